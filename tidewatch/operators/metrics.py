@@ -13,7 +13,7 @@ def _share(a: Column, b: Column) -> Column:
 def binary_metrics(df: DataFrame, y: str, score: str, thr: float | Column, by: list[str] | None = None) -> DataFrame:
     """Counts and rates at a threshold (score >= thr alarms); precision at a prior is 1 without alarms."""
     hit, pos = F.col(score) >= thr, F.col(y) == 1
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     c = df.groupBy(*(by or [])).agg(n(hit & pos).alias("tp"), n(hit & ~pos).alias("fp"), n(~hit & pos).alias("fn"), n(~hit & ~pos).alias("tn"))
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     recall, fpr, precision = _share(tp, tp + fn), _share(fp, fp + tn), _share(tp, tp + fp)
