@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,8 +120,8 @@ def _alike(least: float):
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, SIGNATURE) for i in (2, 3))
-            keep = (a == b).mean(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
+            keep = pa.array((a == b).mean(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -139,6 +141,59 @@ def _confirm(percent: int):
     return run
 
 
+def _block(percent: int):
+    """Links between the documents of two blocks, on full sets; of each document's, one for each component."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: tuple[list, list] = ([], [])
+        if len(left) and len(right):
+            x, y = ([np.frombuffer(v.as_buffer(), _U) for v in t["shingles"].combine_chunks()] for t in (left, right))
+            nx, ny = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+            fx, fy = np.concatenate(x), np.concatenate(y)
+            common = np.intersect1d(fx, fy)
+            shared = np.zeros((len(x), len(y)))
+            rx, ry = np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)
+            for i in range(0, len(common), 16384):
+                part = common[i : i + 16384]
+                held = []
+                for flat, row, n in ((fx, rx, len(x)), (fy, ry, len(y))):
+                    at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+                    hit = part[at] == flat
+                    m = np.zeros((n, len(part)), np.float32)
+                    m[row[hit], at[hit]] = 1
+                    held.append(m)
+                shared += held[0] @ held[1].T
+            alike = 100 * shared >= percent * (nx[:, None] + ny - shared)
+            ids, others, cx, cy = left["id"].to_numpy(), right["id"].to_numpy(), left["c"].to_numpy(), right["c"].to_numpy()
+            alike &= cx[:, None] != cy
+            for r in np.flatnonzero(alike.any(axis=1)):
+                found = np.flatnonzero(alike[r])
+                for k in found[np.unique(cy[found], return_index=True)[1]]:
+                    out[0].append(min(ids[r], others[k]))
+                    out[1].append(max(ids[r], others[k]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
+def compare_blocks(members: DataFrame, sets: DataFrame, percent: int, rows: int = 128) -> DataFrame:
+    """Links (a, b) of each group's odd documents with all its documents of other components.
+
+    members has (key, ruled, id, c, odd). Both sides fall into blocks of about ``rows`` documents;
+    each pair of blocks is one task's work on their full sets, and only links leave it.
+    """
+    keys = ["key", "ruled"]
+    sizes = members.groupBy(*keys).agg(F.ceil(F.count("*") / rows).alias("n_all"), F.ceil(F.sum(F.col("odd").cast("int")) / rows).alias("n_odd"))
+    ready = cut(members.join(sizes, keys).join(sets, "id"))
+    at = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    fields = [*keys, "x", "y", "id", "c", "shingles"]
+    left = ready.where("odd").withColumn("x", at("n_odd", 1)).withColumn("y", every("n_all")).select(*fields)
+    right = ready.withColumn("y", at("n_all", 2)).withColumn("x", every("n_odd")).select(*fields)
+    by = [*keys, "x", "y"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_block(percent), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -146,8 +201,8 @@ def near_duplicates(
     width: int = 5,
     percent: int = 75,
     trees: int = 16,
-    small: int = 32,
-    levels: int = 6,
+    small: int = 8,
+    levels: int = 3,
     children: int = 2,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs.
@@ -159,11 +214,11 @@ def near_duplicates(
     Equal sets fall together first, by aggregation, and one representative goes on.
     Every tree branches the representatives by two selected minwise tokens. In a
     node of up to ``small`` documents all pairs are candidates; a larger node first links
-    its members to one of them. Links found so far merge documents, and a large node
-    whose members are merged already is done. Others branch on, ``children`` selected
-    tokens at a time. A large node is compared, each member outside its main component with
-    all others, once that is no more than ``small`` squared pairs or its level is the last:
-    no node is cut short. A pair at the threshold shares a root node with probability
+    its members to one of them, another one in each node. Links found so far merge documents,
+    and a large node whose members are merged already is done. Others branch on, ``children``
+    selected tokens at a time. Large nodes that one component rules (over half of the members)
+    and those of the last level are compared in blocks on full sets, all documents outside
+    the ruling component with all others: no node is cut short, and no pairs are listed. A pair at the threshold shares a root node with probability
     1 - (1 - 0.75**2)**trees, 0.999998 for 16 trees. Candidates whose signatures agree
     in less than percent - 25 of a hundred positions (over 4 standard deviations below)
     are left out; all others are compared on full sets.
@@ -182,7 +237,7 @@ def near_duplicates(
 
     def nodes(paths: DataFrame) -> DataFrame:
         """Members of nodes of two and more, with the node's size and its first member by hash."""
-        sized = paths.groupBy("path").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id"), "id")).alias("head")).where("size > 1")
+        sized = paths.groupBy("path").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "path"), "id")).alias("head")).where("size > 1")
         return paths.join(sized.select("path", "size", F.col("head.id").alias("head")), "path")
 
     def all_pairs(members: DataFrame) -> DataFrame:
@@ -216,29 +271,35 @@ def near_duplicates(
         x, y = merged.select(F.col("node").alias("a"), F.col("component").alias("ca")), merged.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         return pairs.join(x, "a", "left").join(y, "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
 
-    # One candidate for each document first; what it merges needs no more comparisons.
-    each = found.groupBy("b").agg(F.min("a").alias("a")).union(found.groupBy(F.col("a").alias("z")).agg(F.max("b").alias("b")).select("b", F.col("z").alias("a")))
-    links = cut(confirmed(each.select("a", "b").distinct()))
+    links = cut(confirmed(found.select("a", "b")))
     merged = components(links)
 
-    rest = found
-    level = 0
-    while not large.limit(1).isEmpty():
-        level += 1
+    rest, blocks = [], []
+    for level in range(1, levels + 1):
+        if large.isEmpty():
+            break
         named = large.join(merged, large.id == merged.node, "left").select("path", "id", F.coalesce("component", "id").alias("c"))
         parts = named.groupBy("path", "c").agg(F.count("*").alias("k"))
         mixed = parts.groupBy("path").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         open_ = cut(named.join(mixed.select("path", "size", F.col("main.k").alias("k"), F.col("main.c").alias("main")), "path"))
-        done = F.lit(True) if level == levels else (F.col("size") - F.col("k")) * F.col("size") <= small * small
-        ready = open_.where(done)
-        odd = ready.where("c <> main").select("path", F.col("id").alias("x"), F.col("c").alias("cx"))
-        met = odd.join(ready.select("path", "id", "c"), "path").where("c <> cx").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-        deeper = open_.where(~done).select("path", "id").join(reps.select("id", "sig"), "id").select("path", "id", "sig")
+        # Nodes that one component rules meet as one group, whichever tree they are of.
+        ruled = F.lit(False) if level == levels else F.col("size") < 2 * F.col("k")
+        blocks.append(open_.where(ruled).select(F.col("main").alias("key"), F.lit(True).alias("ruled"), "id", "c", (F.col("c") != F.col("main")).alias("odd")))
+        if level == levels:
+            blocks.append(open_.select(F.col("path").alias("key"), F.lit(False).alias("ruled"), "id", "c", F.lit(True).alias("odd")))
+            break
+        deeper = open_.where(~ruled).select("path", "id").join(reps.select("id", "sig"), "id").select("path", "id", "sig")
         below = cut(nodes(map_batches(deeper, _branch(children), "path long, id long")))
-        rest = rest.union(cut(likely(met.union(all_pairs(below.where(F.col("size") <= small))))))
+        rest.append(cut(likely(all_pairs(below.where(F.col("size") <= small)))))
         large = below.where(F.col("size") > small).select("path", "id")
-    links = links.union(cut(confirmed(across(rest.distinct(), merged))))
-    merged = components(links)
+    more = []
+    if rest:
+        more.append(cut(confirmed(across(reduce(DataFrame.union, rest).distinct(), merged))))
+    if blocks:
+        more.append(cut(compare_blocks(reduce(DataFrame.union, blocks).distinct(), sets, percent)))
+    more = [x for x in more if not x.isEmpty()]
+    if more:
+        merged = components(reduce(DataFrame.union, [links, *more]))
 
     of_class = classes.join(merged, classes.rep == merged.node, "left").select(*equal, F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", *equal).join(of_class, equal, "left")
