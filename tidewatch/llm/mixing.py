@@ -10,6 +10,9 @@ from ._text import cut
 
 _WORDS = r"[^\\x20\\x09-\\x0D]+"
 
+#: The block table is broadcast up to so many rows of about 100 bytes.
+_BROADCAST_ROWS = 100_000
+
 
 def water_fill(sizes: list[int], weights: list[int], most: int) -> list[float]:
     """Targets that share sum(sizes) by weight; none is above most times its size, and
@@ -114,6 +117,8 @@ def plan_mix(
     draws = draws.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
     table = sized.alias("p").join(draws.alias("q"), F.expr("p.source <=> q.source and p.block = q.block"), "left").select("p.source", "p.block", "p.source_size", "p.target", "p.whole", "p.missing", "p.border", "q.draws")
 
+    if len(names) * blocks <= _BROADCAST_ROWS:  # as many rows at most, whatever the corpus; else Spark deals both sides
+        table = F.broadcast(cut(table))
     out = rows.alias("p").join(table.alias("q"), F.expr("p.source <=> q.source and p.block = q.block")).select("p.*", "q.source_size", "q.target", "q.whole", "q.missing", "q.border", "q.draws")
     in_block = Window.partitionBy("source", "block").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
     edge = out.where("border").withColumn("upto", F.sum("size").over(in_block)).withColumn("last", F.col("upto") - F.col("size") / 2 <= F.col("missing")).drop("upto")
