@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import labels, scores
 from tidewatch.operators import bursts, clean, curves, detectors, joins, metrics, sampling
+from tidewatch.plans.files_streams import replay
+from tidewatch.sources import captures
+from tidewatch.streaming import online
 
 
 def test_label_family_edges(spark):
@@ -99,3 +102,62 @@ def test_edges(spark):
     flat = spark.createDataFrame([(1.0,), (1.0,)], "a double")
     assert [r.a for r in clean.minmax_scale(flat, ["a"], flat).collect()] == [0.0, 0.0]
     assert sampling.quotas({"a": 900, "b": 30}, 100) == {"a": 70, "b": 30}
+
+
+def _walk(spark, n=120):
+    rng = np.random.default_rng(5)
+    return spark.createDataFrame([(i % 3, i, float(v)) for i, v in enumerate(rng.normal(size=n))], "k int, t int, v double").withColumn("ts", F.timestamp_seconds(F.col("t") * 600 + 1_700_006_400))
+
+
+def _in_batches(spark, df, cuts, transform, tmp):
+    """A stream over slices of df by t, one micro-batch each."""
+    rows = None
+    for i, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, 10**9])):
+        df.where(f"t >= {lo} and t < {hi}").coalesce(1).write.mode("append").parquet(f"{tmp}/in")
+        out = transform(spark.readStream.schema(df.schema).parquet(f"{tmp}/in"))
+        out.writeStream.format("parquet").option("checkpointLocation", f"{tmp}/state").trigger(availableNow=True).start(f"{tmp}/out").awaitTermination()
+        rows = spark.read.schema(out.schema).parquet(f"{tmp}/out")
+    return rows
+
+
+def test_streams_in_batches_equal_the_table(spark, tmp_path):
+    df = _walk(spark)
+    got = _in_batches(spark, df, [50, 51, 90], lambda s: online.stream_kalman(s, "k", "ts", ["t"], ["v"], [0.0], [1.0], 2.0), tmp_path / "k")
+    want = detectors.kalman_by_key(df, "k", ["t"], ["v"], [0.0], [1.0], 2.0)
+    key = lambda d: [(r.t, round(r.score, 9), r.flag) for r in d.orderBy("t").collect()]
+    assert key(got) == key(want)
+    got = replay(df, lambda s: online.stream_ema(s, "k", "ts", ["t"], ["v"], {"v": 0.0}))
+    want = detectors.ema_baseline_score(df, "k", ["t"], ["v"], {"v": 0.0})
+    assert np.allclose([r.score for r in got.orderBy("t").collect()], [r.score for r in want.orderBy("t").collect()])
+
+
+def test_closed_stream_windows_equal_the_table(spark, tmp_path):
+    df = _walk(spark, 600)
+    got = _in_batches(spark, df, [200, 400], lambda s: online.burst_windows(s, "k", "ts"), tmp_path)
+    want = {tuple(r) for r in online.burst_windows(df, "k", "ts").collect()}
+    found = [tuple(r) for r in got.collect()]
+    assert found and len(found) == len(set(found)) and set(found) <= want
+
+
+def test_captures(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(" f0, Label\n1,DoS \x96 Hulk\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_text("Label,f0\nBENIGN,2\n")
+    (tmp_path / "c.csv").write_text("f0\n2\n")
+    both = captures.read_flow_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert [(r.f0, r.x) for r in both.select("f0", labels.label_family(F.col("Label")).alias("x")).orderBy("f0").collect()] == [("1", "DoS"), ("2", "BENIGN")]
+    with pytest.raises(ValueError):
+        captures.read_flow_csv(spark, [str(tmp_path / "c.csv")])
+    found = {r.name: r.bytes for r in captures.file_inventory(spark, str(tmp_path), "*.csv").collect()}
+    assert found["c.csv"] == 5 and len(found) == 3
+
+
+def test_pca_reconstruction_replay(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 2)) @ rng.normal(size=(2, 4)) + 0.1 * rng.normal(size=(200, 4))
+    cols = list("abcd")
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x], ", ".join(f"{c} double" for c in cols))
+    z = (x - x.mean(0)) / x.std(0)
+    p = np.linalg.svd(z, full_matrices=False)[2][:2]
+    res = z - z @ p.T @ p
+    want = sorted(np.mean(res**2 / (res**2).mean(0), axis=1))
+    assert np.allclose(sorted(r.score for r in detectors.pca_reconstruction(df, df, cols, 2).collect()), want)

@@ -114,53 +114,83 @@ def detector_comparison(fit_df: DataFrame, test_df: DataFrame, cols: list[str],
     return out
 
 
-def ema_baseline_score(df: DataFrame, key: str, order: list[str], cols: list[str], start: dict[str, float], ema: float = 0.01) -> DataFrame:
-    """df's key, order and score: distance to a moving baseline before it follows the row. One chain for each key, in order."""
-    b0 = np.array([start[c] for c in cols])
+def ema_steps(x: np.ndarray, b: np.ndarray, ema: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of rows in order, and the baseline after them."""
+    out = np.empty(len(x))
+    for i, row in enumerate(x):
+        out[i] = np.sqrt(((row - b) ** 2).mean())
+        b = (1 - ema) * b + ema * row
+    return out, b
 
+
+def _in_order(df: DataFrame, key: str, order: list[str], cols: list[str], added: str, steps: Callable[[np.ndarray], dict]) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        x, b = pdf[cols].to_numpy(float), b0.copy()
-        out = np.empty(len(x))
-        for i, row in enumerate(x):
-            out[i] = np.sqrt(((row - b) ** 2).mean())
-            b = (1 - ema) * b + ema * row
-        return pdf[[key, *order]].assign(score=out)
+        return pdf[[key, *order]].assign(**steps(pdf[cols].to_numpy(float)))
 
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *order]) + ", score double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *order]) + f", {added}"
     return df.select(key, *order, *cols).groupBy(key).applyInPandas(run, schema)
 
 
-def kalman_by_key(df: DataFrame, key: str, order: list[str], cols: list[str], mean: list[float], var: list[float], threshold: float, mode: str = "decay", q: float = 1e-6, track: float = 0.01, warmup: int = 20, forgetting: float = 1.0) -> DataFrame:
-    """(key, order, score, flag): per-dimension Kalman filters in order for each key.
+def ema_baseline_score(df: DataFrame, key: str, order: list[str], cols: list[str], start: dict[str, float], ema: float = 0.01) -> DataFrame:
+    """df's key, order and score: distance to a moving baseline before it follows the row. One chain for each key, in order."""
+    b0 = np.array([start[c] for c in cols])
+    return _in_order(df, key, order, cols, "score double", lambda x: {"score": ema_steps(x, b0, ema)[0]})
+
+
+def kalman_steps(z: np.ndarray, x: np.ndarray, p: np.ndarray, seen: int, var: list[float], threshold: float, mode: str = "decay", q: float = 1e-6, track: float = 0.01, warmup: int = 20, forgetting: float = 1.0) -> tuple:
+    """(score, flag, x, p, seen): rows in order, from a state and the rows seen before it."""
+    r = np.maximum(np.array(var), 1e-8)
+    lam2 = forgetting**2 if mode == "forget" else 1.0
+    score, flag = np.empty(len(z)), np.zeros(len(z), np.int32)
+    for i, row in enumerate(z):
+        pred = lam2 * p + q
+        s = np.maximum(pred + r, 1e-12)
+        innovation = row - x
+        score[i] = np.mean(innovation**2 / s)
+        flag[i] = seen + i >= warmup and score[i] >= threshold
+        gain = pred / s
+        x = x + gain * innovation
+        p = (1 - gain) * pred
+        if mode == "decay":
+            x = x + track * (0.05 if flag[i] else 1.0) * innovation
+    return score, flag, x, p, seen + len(z)
+
+
+def kalman_by_key(df: DataFrame, key: str, order: list[str], cols: list[str], mean: list[float], var: list[float], threshold: float, **options) -> DataFrame:
+    """(key, order, score, flag): per-dimension Kalman filters in order for each key; options as of ``kalman_steps``.
 
     mode 'frozen' only corrects, 'decay' also follows the row by ``track`` (a twentieth of it on an alarm), 'forget'
     inflates the covariance by the squared forgetting factor. No alarms during the warm-up.
     """
-    r = np.maximum(np.array(var), 1e-8)
-    m0, lam2 = np.array(mean), forgetting**2 if mode == "forget" else 1.0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x, p = m0.copy(), np.ones(len(cols))
-        score, flag = np.empty(len(pdf)), np.zeros(len(pdf), np.int32)
-        for i, z in enumerate(pdf[cols].to_numpy(float)):
-            pred = lam2 * p + q
-            s = np.maximum(pred + r, 1e-12)
-            innovation = z - x
-            score[i] = np.mean(innovation**2 / s)
-            flag[i] = i >= warmup and score[i] >= threshold
-            gain = pred / s
-            x = x + gain * innovation
-            p = (1 - gain) * pred
-            if mode == "decay":
-                x = x + track * (0.05 if flag[i] else 1.0) * innovation
-        return pdf[[key, *order]].assign(score=score, flag=flag)
+    def steps(z: np.ndarray) -> dict:
+        score, flag, *_ = kalman_steps(z, np.array(mean, float), np.ones(len(cols)), 0, var, threshold, **options)
+        return {"score": score, "flag": flag}
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *order]) + ", score double, flag int"
-    return df.select(key, *order, *cols).groupBy(key).applyInPandas(run, schema)
+    return _in_order(df, key, order, cols, "score double, flag int", steps)
+
+
+def pca_reconstruction(fit_df: DataFrame, df: DataFrame, cols: list[str], latent: int = 4, alpha: float = 0.05) -> DataFrame:
+    """df with score and flag: mean squared residual of standardised features after projection on the first components
+    of the benign rows, each residual over its own benign energy. Statistics are one aggregate and one Gramian."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+
+    stats = moments(fit_df, cols)
+    unit = lambda d: d.select("*", *[((F.col(c) - m) / max(s, 1e-8)).alias(f"_z{i}") for i, (c, (m, s)) in enumerate(stats.items())])
+    zs = [f"_z{i}" for i in range(len(cols))]
+    packed = VectorAssembler(inputCols=zs, outputCol="_v", handleInvalid="skip").transform(unit(fit_df).select(*zs))
+    pc = PCA(k=min(latent, len(cols)), inputCol="_v", outputCol="_p").fit(packed).pc.toArray()
+    keep = pc @ pc.T
+    vector = F.array(*zs)
+    residual = F.array(*[F.col(z) - F.aggregate(F.zip_with(vector, F.array(*map(F.lit, keep[i].tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for i, z in enumerate(zs)])
+    with_residual = lambda d: unit(d).withColumn("_r", residual)
+    energy = with_residual(fit_df).agg(*[F.avg(F.col("_r")[i] * F.col("_r")[i]) for i in range(len(cols))]).first()
+    each = [F.col("_r")[i] / float(np.sqrt(max(e or 0.0, 1e-8))) for i, e in enumerate(energy)]
+    scored = lambda d: with_residual(d).withColumn("score", _mean_square(each)).drop("_r", *zs)
+    thr = _threshold(scored(fit_df).select("score"), alpha)
+    return scored(df).withColumn("flag", (F.col("score") >= thr).cast("int"))
 
 
 def isolation_forest(fit_df: DataFrame, df: DataFrame, cols: list[str], trees: int = 200, psi: int = 256, alpha: float = 0.05, seed: int = 42) -> DataFrame:

@@ -19,6 +19,7 @@ VIEWS = {
     "scored": "SELECT event_id AS id, value AS score, user_id, ts, CAST(CAST(ts AS DATE) AS STRING) AS day,"
     " CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS cls,"
     " CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS y, CASE WHEN value >= 50 THEN 1 ELSE 0 END AS flag FROM {events}",
+    "vectors": "SELECT vec_id AS id, embedding, label FROM {embeddings}",
     "agents": "SELECT * FROM (VALUES (0), (1), (2), (3), (4)) AS t(agent)",
 }
 VIEWS["decisions"] = f"SELECT s.*, a.agent, CASE WHEN flag = 1 THEN CAST((id * (agent + 3)) % 6 % 5 AS INT) ELSE 0 END AS pred FROM ({VIEWS['scored']}) s CROSS JOIN ({VIEWS['agents']}) a"
