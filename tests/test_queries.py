@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidewatch.plans import files_streams, registry, vectors  # noqa: F401
+from tidewatch.plans import decided, files_streams, registry, vectors  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -73,18 +73,18 @@ def cosine_best_match(df: DataFrame, library: DataFrame, id_col: str, vec: str,
 def knn_join(left: DataFrame, right: DataFrame, id_col: str, vec: str, k: int = 5, limit: int = 200_000) -> DataFrame:
     """(id, rank, neighbor, dist): the k rows of right nearest to each row of left, itself excluded.
 
-    left is the rare class; it is broadcast behind a check of its size. Each partition of right keeps its own k
+    Rows with a null vector take no part, and no queries give no rows. left is the rare class; it is broadcast behind a check of its size. Each partition of right keeps its own k
     nearest for a query before anything is shuffled.
     """
     import numpy as np
     import pyarrow as pa
 
-    queries = left.select(id_col, vec)
+    queries = left.select(id_col, vec).where(F.col(vec).isNotNull())
     if queries.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} query rows; split them")
     got = queries.toArrow()
     ids = got[id_col].to_numpy()
-    q = np.array(got[vec].to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+    q = np.array(got[vec].to_pylist(), dtype=np.float64).reshape(len(ids), -1 if len(ids) else 1)
     shared = left.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches):
@@ -105,6 +105,6 @@ def knn_join(left: DataFrame, right: DataFrame, id_col: str, vec: str, k: int =
         rows = [(ids[i], n, float(np.sqrt(d))) for i, v in best.items() for d, n in v]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([int(r[1]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["id", "neighbor", "dist"])
 
-    near = right.select(F.col(id_col).cast("long"), vec).mapInArrow(run, "id long, neighbor long, dist double")
+    near = right.select(F.col(id_col).cast("long"), vec).where(F.col(vec).isNotNull()).mapInArrow(run, "id long, neighbor long, dist double")
     w = Window.partitionBy("id").orderBy("dist", "neighbor")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("id").alias(id_col), "rank", "neighbor", "dist")
