@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidewatch.operators import decisions, measurements, oversample
+from tidewatch.operators import clustering, decisions, measurements, oversample
 
 
 def test_agents_take_classes_in_turn():
@@ -94,3 +94,48 @@ def test_residual_embedding_orders_by_energy(spark):
     d = spark.createDataFrame([(1.0, -2.0, 3.0)], "a double, b double, c double")
     got = d.select(measurements.residual_embedding({"a": 1.0, "b": 5.0, "c": 5.0}, 4).alias("e")).first()["e"]
     assert got == [-2.0, 3.0, 1.0, 0.0]
+
+
+def test_adaptive_filter_learns_noise_but_not_an_attack(spark):
+    rng = np.random.default_rng(9)
+    z = rng.normal(0, 3, size=300)
+    z[200:210] += 60
+    d = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(z)], "k string, t int, z double")
+    got = measurements.adaptive_kalman_by_key(d, "k", ["t"], ["z"], [[1]], [[1e-3]], [[4]], [0]).orderBy("t").collect()
+    assert sum(g["adapted"] for g in got[:5]) == 0 and all(g["adapted"] == 1 - g["alarm"] for g in got[5:])
+    assert all(g["alarm"] for g in got[200:210])
+    assert sum(g["alarm"] for g in got[50:200]) < 30
+
+
+def test_adaptive_filter_in_its_warm_up_is_the_plain_one(spark):
+    z = np.random.default_rng(2).normal(size=(30, 2))
+    d = spark.createDataFrame([("a", i, float(a), float(b)) for i, (a, b) in enumerate(z)], "k string, t int, z0 double, z1 double")
+    args = (d, "k", ["t"], ["z0", "z1"], np.eye(2), np.eye(2) * 0.01, np.eye(2), [0, 0])
+    a = [r["adi"] for r in measurements.adaptive_kalman_by_key(*args, warmup=30).orderBy("t").collect()]
+    b = [r["adi"] for r in measurements.kalman_chi2_by_key(*args).orderBy("t").collect()]
+    assert np.allclose(a, b)
+
+
+def test_matching_equals_all_permutations():
+    from itertools import permutations
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 5, 6):
+        for _ in range(20):
+            cost = rng.random((n, n)).round(1)
+            want = min(sum(cost[i, p[i]] for i in range(n)) for p in permutations(range(n)))
+            assert abs(clustering.assignment_cost(cost) - want) < 1e-9
+
+
+def test_evolution_finds_separate_groups(spark):
+    rng = np.random.default_rng(4)
+    homes = np.array([[0, 0], [20, 0], [0, 20], [20, 20]], float)
+    x = np.concatenate([h + rng.normal(size=(30, 2)) for h in homes])
+    d = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(999, None)], "id long, vec array<double>")
+    centres, inertia = clustering.evolutionary_kmeans(d, "id", "vec", 4, population=4, generations=4, refine=5)
+    assert np.allclose(sorted(map(tuple, np.round(np.array(centres) / 20))), sorted(map(tuple, homes / 20)))
+    c = np.array(centres)
+    want = ((x[:, None] - c[None]) ** 2).sum(-1).min(axis=1).sum()
+    assert abs(inertia - want) < 1e-6 * want
+    with pytest.raises(ValueError):
+        clustering.evolutionary_kmeans(d.limit(0), "id", "vec", 2)

@@ -100,3 +100,50 @@ def mlp_reconstruction_score(df: DataFrame, cols: list[str], layers: list[tuple]
         return out.where(out.notna(), None)
 
     return df.withColumn("score", score(*[F.col(c).cast("double") for c in cols]))
+
+
+def _floored(a: np.ndarray, least: float) -> np.ndarray:
+    """The symmetric part of a with eigenvalues of at least ``least``."""
+    value, vector = np.linalg.eigh((a + a.T) / 2)
+    return (vector * np.maximum(value, least)) @ vector.T
+
+
+def adaptive_kalman_by_key(df: DataFrame, key: str, order: list[str], cols: list[str], h, q0, r0, x0, p0=None, f=None, b: float = 0.97, warmup: int = 5, alpha: float = 0.05) -> DataFrame:
+    """(key, order, adi, alarm, xi, adapted): a Sage-Husa filter in order for each key.
+
+    As ``kalman_chi2_by_key``, and the means and covariances of both noises follow the innovations with weight
+    (1 - b) / (1 - b**(k + 1)) at row k, after ``warmup`` rows and on rows without an alarm only, so that an attack is not
+    learnt as noise. Covariances keep eigenvalues of a thousandth of the smallest they began with. xi is the distance
+    between the predicted and the corrected state.
+    """
+    h, q0, r0, x0 = (np.array(v, float) for v in (h, q0, r0, x0))
+    p0, f = (np.eye(len(x0)) if v is None else np.array(v, float) for v in (p0, f))
+    limit = chi2_quantile(1 - alpha, len(cols))
+    least_q, least_r = (float(np.linalg.eigvalsh(v).min()) / 1000 for v in (q0, r0))
+
+    def steps(z: np.ndarray) -> dict:
+        x, p, q, r = x0, p0, q0, r0
+        drift, offset = np.zeros(len(x0)), np.zeros(len(cols))
+        adi, xi, adapted = np.empty(len(z)), np.empty(len(z)), np.zeros(len(z), np.int32)
+        for i, row in enumerate(z):
+            moved, spread = f @ x, f @ p @ f.T
+            ahead, wide = moved + drift, spread + q
+            innovation = row - h @ ahead - offset
+            s = h @ wide @ h.T + r
+            gain = np.linalg.solve(s, h @ wide).T
+            adi[i] = innovation @ np.linalg.solve(s, innovation)
+            x = ahead + gain @ innovation
+            p = wide - gain @ h @ wide
+            p = (p + p.T) / 2
+            xi[i] = np.linalg.norm(ahead - x)
+            if i >= warmup and adi[i] <= limit:
+                d = (1 - b) / (1 - b ** (i + 1))
+                offset = offset + d * (row - h @ x - offset)
+                drift = drift + d * (x - moved - drift)
+                square = np.outer(innovation, innovation)
+                r = _floored(r + d * (square - h @ wide @ h.T - r), least_r)
+                q = _floored(q + d * (gain @ square @ gain.T + p - spread - q), least_q)
+                adapted[i] = 1
+        return {"adi": adi, "alarm": (adi > limit).astype(np.int32), "xi": xi, "adapted": adapted}
+
+    return _in_order(df, key, order, cols, "adi double, alarm int, xi double, adapted int", steps)

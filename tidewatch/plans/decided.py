@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decisions, measurements, oversample
+from ..operators import clustering, decisions, detectors, measurements, oversample
 from .registry import COLS, _FIT, _fit, _test, add, r
 from .vectors import _vectors
 
@@ -82,3 +82,17 @@ def _(v):
     back = [list(x) for x in zip(*w)]
     layers = [("batch_norm", mean, var, [1] * 4, [0] * 4, 1e-5), ("linear", w, [0, 0]), ("leaky_relu", 0.2), ("linear", back, [0] * 4)]
     return measurements.mlp_reconstruction_score(test, COLS, layers).select("id", "score")
+
+
+@add("adaptive_kalman_by_key", None)
+def _(v):
+    d = v("scored").withColumn("c", F.col("cls") * 10.0)
+    found = measurements.adaptive_kalman_by_key(d, "user_id", ["ts", "id"], ["score", "c"], [[1, 0], [0, 1]], [[1, 0.1], [0.1, 1]], [[400, 0], [0, 100]], [50, 20])
+    return found.select("id", "adi", "alarm", "xi", "adapted")
+
+
+@add("evolutionary_kmeans", None)
+def _(v):
+    d = _vectors(v)
+    centres, _inertia = clustering.evolutionary_kmeans(d, "id", "vec", 10, population=6, generations=8, refine=10)
+    return detectors.kmeans_assign(d, "vec", centres).drop("vec")
