@@ -172,6 +172,17 @@ def test_html():
     assert html_text.main_text("<script>if (a<b) {'</p>'}</script><p>ok</p><!-- <p>no</p> -->") == "ok"
 
 
+def test_html_line_blocks_decide_on_marked_pages():
+    body = "<p>" + "long text " * 20 + "</p>"
+    text = ("long text " * 20).strip()
+    links = "<ul>" + "".join(f"<li><a href={i}>an older entry {i}</a></li>" for i in range(9)) + "</ul>"
+    assert html_text.main_text(f"<article><h1>Head</h1>{body}<p>x</p>{links}</article>") == f"Head\n\n{text}\n\nx"  # dive
+    assert html_text.main_text(f"<article><p>on top</p>{links}<h1>Head</h1>{body}</article>") == f"Head\n\n{text}"  # surge
+    cards = "".join(f"<article><h2>card {i}</h2><p>a teaser</p></article>" for i in range(3))
+    assert html_text.main_text(f"<div>{body * 3}</div>{cards}") == "\n\n".join([text] * 3)
+    assert html_text.main_text(f"<p>{'outside ' * 12}</p><main>{body}</main>") == text
+
+
 def test_language_sums_all_segmentations():
     pieces = [b"a", b"b", b"ab", b"ba", b"aba"]
     v = language.Vocabulary(pieces)

@@ -17,6 +17,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _NAMES = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer header masthead menu nav navbar navigation newsletter notice notices notification popup promo promoted related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _MAIN = frozenset(("article", "main"))
+#: Text of dense blocks inside article or main counts so many times against that outside.
+MARKED = 2
 
 _RAW = re.compile(r"<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -92,23 +94,29 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str, window: int = 3, surge: int = 80) -> str:
     """See extract_main_text."""
     lines = _lines(page)
-    marked = any(inside and text for text, _, inside in lines)
-    weights = []
-    for text, linked, inside in lines:
-        own = 0 if 2 * linked > len(text) and not inside else len(text)
-        weights.append((max(own, surge) if text else 0) if inside else 0 if marked else own)
+    weights = [0 if 2 * linked > len(text) else len(text) for text, linked, _ in lines]
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    kept, inside = [], False
-    for i, (text, _, _) in enumerate(lines):
-        if not inside and weights[i] and sums[i] >= surge:  # surge: a dense block begins here
-            inside = True
-        if inside and not sums[i]:  # dive: nothing but empty lines ahead
-            inside = False
-        if inside and weights[i]:
-            kept.append(text)
-    if not kept and not marked:  # a page too short for any surge
-        kept = [t for (t, _, _), w in zip(lines, weights) if w]
-    return "\n\n".join(kept)
+    blocks, start = [], None
+    for i in range(len(lines)):
+        if start is None and weights[i] and sums[i] >= surge:  # surge: a dense block begins here
+            start = i
+        if start is not None and not sums[i]:  # dive: nothing but empty lines ahead
+            blocks.append((start, i))
+            start = None
+    if start is not None:
+        blocks.append((start, len(lines)))
+    dense, floor = [], 0
+    for start, end in blocks:
+        i = start  # back over lines too short for a surge, if the marked element and no dive joins them to it
+        while lines[start][2] and i > floor and lines[i - 1][2] and sums[i - 1]:
+            i -= 1
+        dense += range(i, end)
+        floor = end
+    if not dense:  # a page too short for any surge
+        dense = [i for i, w in enumerate(weights) if w]
+    inside = sum(weights[i] for i in dense if lines[i][2])
+    marked = MARKED * inside >= sum(weights[i] for i in dense) - inside  # else the marked elements are teasers beside the body
+    return "\n\n".join(text for text, _, mark, w in ((*lines[i], weights[i]) for i in dense) if text and (w or mark) and (mark == marked or not inside))
 
 
 def _extract(at: int, window: int, surge: int):
@@ -126,11 +134,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Markup is stripped into lines, one for each block element; scripts, styles, comments
     in the source, and menus, headers, footers, sidebars, notices, adverts, forms and reader
     comments (by element, role, or a word of class or id) leave an empty line. A line weighs its text
-    length; lines that are mostly links weigh nothing; where the page marks an article or main
-    element, its lines weigh ``surge`` at least and others nothing. Where the sum over the next
-    ``window`` lines first reaches ``surge`` the text begins, where it falls to zero it ends; the lines
-    between, decoded, with white space turned into single spaces, are joined by two newlines.
-    A page that never surges keeps all its weighing lines. A noise element that never ends is ignored.
+    length on every page; lines that are mostly links weigh nothing. Where the sum over the next
+    ``window`` lines first reaches ``surge`` a dense block begins, where it falls to zero it ends. An article
+    or main element adds two bounded things: a block that begins inside reaches back over lines that no
+    dive parts from it, and keeps lines of links between others; and where the dense lines inside hold at
+    least a third of the dense text, those outside go (else the elements are teasers, and those inside go). The
+    lines left, decoded, with white space turned into single spaces, are joined by two newlines.
+    On a page that never surges all weighing lines count as dense. A noise element that never ends is ignored.
 
     Null or empty html, and pages without text, give an empty text. Repeated rows give a row each;
     null ids and urls stay; other columns are ignored. An empty table gives no rows.
