@@ -144,6 +144,31 @@ def test_secrets(spark):
     assert "AKIA" not in clean and clean.startswith("😀 [REDACTED], token: abc; ") and clean.endswith("A" * 60)
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n"])
+def test_pem_line_ends_headers_and_ssh_files(end):
+    import base64
+    import json
+
+    def block(kind, data, headers=()):
+        key = base64.b64encode(data).decode()
+        return end.join([f"-----BEGIN {kind}-----", *headers, *[key[i : i + 64] for i in range(0, len(key), 64)], f"-----END {kind}-----"])
+
+    def pems(text):
+        return [text[a:b] for k, a, b in secrets.find_secrets(text) if k == "pem"]
+
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    der = b"\x30\x81\x86\x02\x01\x00\x04\x81\x80" + bytes(range(128))
+    public = field(b"ssh-ed25519") + field(bytes(32))
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(public) + field(bytes(136))
+    aes = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + "0A" * 16, ""]
+    good = [block("PRIVATE KEY", der), block("OPENSSH PRIVATE KEY", ssh), block("RSA PRIVATE KEY", bytes(range(160)), aes), block("RSA PRIVATE KEY", der, ["Comment: mine", ""])]
+    for text in good:
+        assert pems(f"a {text} b") == [text]
+        assert secrets.find_secrets(json.dumps({"private_key": text}))[0][0] == "pem"
+    bad = [block("PRIVATE KEY", der[:-1]), block("OPENSSH PRIVATE KEY", ssh[:-1]), block("OPENSSH PRIVATE KEY", b"openssh-key-v1\0" + bytes(80)), block("RSA PRIVATE KEY", bytes(range(159)), aes)]
+    assert not any(pems(text) for text in bad)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 1, "user", "a<|end|>b"), (1, 2, "user", "</s>[INST] <\\|x|>"), (1, 3, "assistant", None), (1, 4, "assistant", "z\\[/INST]"), (1, 4, "assistant", "z\\[/INST]"), (2, None, None, "<|turn|>"), (None, 1, "assistant", "né😀")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

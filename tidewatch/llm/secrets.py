@@ -19,7 +19,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+#: A block's type, its header lines and its body; line ends are real ones or escapes as in JSON and source strings.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?:(?:\\+[nr]|[\r\n])[ \t]*)+[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*)*)([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+_ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED.*DEK-Info:\s*[A-Za-z0-9-]+,\s*(?:[0-9A-Fa-f]{16}){1,2}(?![0-9A-Fa-f])", re.S)
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 #: Names that open a key in the SSH wire format, and the magic of its private key files.
 _SSH = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
@@ -27,7 +29,7 @@ _SSH_FILE = b"openssh-key-v1\0"
 
 
 def _base64(text: str) -> bytes | None:
-    text = re.sub(r"[\s\\=]|\\n", "", text).replace("-", "+").replace("_", "/")
+    text = re.sub(r"\\+(?:u003[Dd]|[nrt])|[\s\\=]", "", text).replace("-", "+").replace("_", "/")
     if len(text) % 4 == 1:
         return None
     try:
@@ -62,15 +64,49 @@ def der_items(data: bytes, depth: int = 0) -> list[tuple[int, int]] | None:
     return out
 
 
+def _is_ssh_file(data: bytes) -> bool:
+    """Cipher, key derivation, its options, a number of keys, so many public keys and the private part, to the last byte."""
+    at = len(_SSH_FILE)
+
+    def field() -> bytes | None:
+        nonlocal at
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + n > len(data):
+            return None
+        at += 4 + n
+        return data[at - n : at]
+
+    cipher, derivation, options = field(), field(), field()
+    keys = int.from_bytes(data[at : at + 4], "big")
+    if not cipher or not derivation or options is None or not 1 <= keys <= len(data) // 24:
+        return False
+    at += 4
+    if not all(_is_ssh_key(field() or b"") for _ in range(keys)):
+        return False
+    return bool(field()) and at == len(data)
+
+
+def _is_pem(headers: str, body: str) -> bool:
+    """A body that decodes to a key; an encrypted one, as its headers say, to whole blocks of a cipher."""
+    data = _base64(body)
+    if _ENCRYPTED.search(headers):
+        return data is not None and len(data) >= 24 and len(data) % 8 == 0
+    return is_key(data)
+
+
 def is_key(data: bytes | None) -> bool:
     """A DER sequence that holds a number or string of key size, or an SSH key, with all lengths right."""
     if not data or len(data) < 24:
         return False
     if data.startswith(_SSH_FILE):
-        return True
+        return _is_ssh_file(data)
     if data[:1] == b"\x30":
         items = der_items(data)
         return bool(items) and items[0][0] == 0x30 and sum(n + 2 + (n > 127) + (n > 255) + (n > 65535) for _, n in items[:1]) == len(data) and any(t in (2, 3, 4) and n >= 16 for t, n in items)
+    return _is_ssh_key(data)
+
+
+def _is_ssh_key(data: bytes) -> bool:
     n, i, fields = int.from_bytes(data[:4], "big"), 0, 0
     if data[4 : 4 + n] not in _SSH:
         return False
@@ -96,7 +132,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     out += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", *m.span()) for m in _HEX.finditer(text)]
     out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
-    out += [("pem", *m.span()) for m in _PEM.finditer(text) if is_key(_base64(m[2]))]
+    out += [("pem", *m.span()) for m in _PEM.finditer(text) if _is_pem(m[2], m[3])]
     for m in _RUN.finditer(text):
         plain = m[0].rstrip("=")
         if is_key(_base64(plain)) or (len(plain) % 2 == 0 and re.fullmatch(r"[0-9A-Fa-f]+", plain) and is_key(bytes.fromhex(plain))):
@@ -122,7 +158,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
     Base kinds: assign (a name of a secret, : or =, and a value of 6 characters or more),
     access (AKIA..., 20 or more), hex (24 or more lower-case digits). Confirmed kinds: jwt (its
-    header is JSON with an algorithm), pem (a private key block whose body decodes to a key), key
+    header is JSON with an algorithm), pem (a private key block whose body decodes to a key, or whose headers say that it is
+    encrypted and whose body decodes to whole cipher blocks; line ends may be escaped), key
     (a base64 or hex run of 40 or more characters that decodes to DER with exact nested lengths
     or to an SSH key). Spans of different kinds may overlap.
 
