@@ -244,6 +244,34 @@ def test_cross_entropy(spark):
     assert np.allclose(p.reshape(-1, lm_score.SYMBOLS).sum(axis=1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("hot", [4, 1 << 17])
+def test_cross_entropy_word_brute_force(spark, hot):
+    rng = random.Random(3)
+    vocabulary = ["the", "of", "1234", "5678", "мир", "мур", "漢字", "漢語", "Fox.", "x"]
+    rows = [(i, " ".join(rng.choices(vocabulary, range(10, 0, -1), k=rng.randint(0, 30)))) for i in range(60)]
+    rows += [(7, rows[7][1]), (None, "the мир"), (None, "the мир"), (90, None), (91, " \n"), (92, "5678 the")]
+    good = set(range(0, 60, 3))
+    got = lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in good], "doc_id long"), hot=hot).collect()
+    tokens = [(i, [*w, ""] if (w := (t or "").lower().split()) else []) for i, t in rows]
+    models = []
+    for keep in (lambda i: i in good, lambda i: True):
+        one, two = collections.Counter(), collections.Counter()
+        for i, w in tokens:
+            if keep(i):
+                one.update(w)
+                two.update(zip(["", *w], w))
+        models.append((one, two))
+    v, s = len(models[1][0]), lm_score.STRENGTH
+    expected = []
+    for i, w in tokens:
+        ce = [-sum(np.log2((one[b] + s / v) / (one.total() + s)) + np.log2((two[a, b] + s / v) / (one[a] + s)) for a, b in zip(["", *w], w)) / 2 / len(w) if w else None for one, two in models]
+        expected.append((i, len(w), *ce))
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert len(got) == len(rows)
+    for g, e in zip(sorted(got, key=key), sorted(expected, key=key)):
+        assert tuple(g[:2]) == e[:2] and (g[2] is e[2] is None or np.allclose([g[2], g[3], g[4]], [e[2], e[3], e[2] - e[3]]))
+
+
 def test_top_k_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 8)).astype(np.float32)

@@ -8,49 +8,71 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import cut, map_batches, texts
+from ._text import SPACE, cut, map_batches, mix, prefix_hash, range_hash, texts
 
-#: The shared vocabulary: 41 symbols. Letters one by one; white space, line ends and digits as
-#: three; full stop, comma, other ASCII signs; a first byte of a longer character; the low three
-#: bits of its other bytes.
+#: Of the symbol models that smooth() makes; the word models are not bounded.
 SYMBOLS = 41
 ORDER = 4
-_SYMBOL = np.full(256, 31, np.int64)
-_SYMBOL[0x61:0x7B] = np.arange(26)
-_SYMBOL[[0x20, 0x09]] = 26
-_SYMBOL[[0x0A, 0x0D, 0x0B, 0x0C]] = 27
-_SYMBOL[0x30:0x3A] = 28
-_SYMBOL[0x2E], _SYMBOL[0x2C] = 29, 30
-_SYMBOL[0xC0:] = 32
-_SYMBOL[0x80:0xC0] = 33 + (np.arange(0x80, 0xC0) & 7)
-
-
-def _grams(piece) -> np.ndarray:
-    """One n-gram for each byte of a slice: its symbol after the three before, line ends before the text."""
-    s = _SYMBOL[piece.data]
-    code = s.copy()
-    pos = np.arange(len(s)) - np.repeat(piece.offsets[:-1], np.diff(piece.offsets))
-    for back in range(1, ORDER):
-        was = np.full(len(s), 27, np.int64)
-        was[back:] = s[:-back] if back < len(s) else s[:0]
-        was[pos < back] = 27
-        code += was * SYMBOLS**back
-    return code
+#: Weight of the uniform prior of each word model, in tokens.
+STRENGTH = 4.0
+#: Bytes of text whose n-grams are added up before they leave a counting task.
+CHUNK_BYTES = 8 << 20
+_U = np.uint64
+_STEP = _U(0x9E3779B97F4A7C15)
+#: Of an Arrow batch on its way out.
+ROWS = 1 << 16
+_POSTING = ["doc", "gram", "n", "target", "background"]
+
+
+def _grams(piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram, its text, n_tokens of each text) of a slice: one of order 1 and one of order 2 for each token.
+
+    A text with words is its words and an end, which also stands before the first. Even numbers are
+    words (the end is 0), odd ones pairs.
+    """
+    starts, ends, first = piece.words(SPACE)
+    n = np.diff(first)
+    size = n + (n > 0)
+    last = np.zeros(size.sum(), bool)
+    last[np.cumsum(size)[n > 0] - 1] = True
+    word, before = np.zeros(len(last), _U), np.zeros(len(last), _U)
+    if len(starts):
+        word[~last] = range_hash(prefix_hash(piece.data), starts, ends) << _U(1)
+        before[1:] = word[:-1]
+    pair = mix(before * _STEP + mix(word + _U(1))) | _U(1)
+    text = np.repeat(np.arange(piece.n), size)
+    return np.concatenate([word, pair]), np.concatenate([text, text]), size
+
+
+def _runs(changed: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], changed])) if len(changed) else np.arange(1)
 
 
 def _count(batches):
-    """(gram, n_all, n_target) of a task, each distinct gram once."""
-    size = SYMBOLS**ORDER
-    every, wanted = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    """(gram, n_all, n_target): each distinct n-gram once for about CHUNK_BYTES of text."""
+    held, size = [], 0
+
+    def rows():
+        gram, mine = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(gram)
+        gram = gram[order]
+        at = _runs(gram[1:] != gram[:-1])
+        out = [gram[at].view(np.int64), np.diff(np.append(at, len(gram))), np.add.reduceat(mine[order].astype(np.int64), at)]
+        for i in range(0, len(at), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + ROWS]) for x in out], ["gram", "n_all", "n_target"])
+
     for batch in batches:
         target = np.asarray(batch.column(1).to_pylist(), bool)
         for piece in texts(pc.utf8_lower(batch.column(0).fill_null(""))):
-            g = _grams(piece)
-            mine = np.repeat(target[piece.first : piece.first + piece.n], np.diff(piece.offsets))
-            np.add.at(every, g, 1)
-            np.add.at(wanted, g[mine], 1)
-    seen = np.flatnonzero(every)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(every[seen]), pa.array(wanted[seen])], ["gram", "n_all", "n_target"])
+            gram, text, _ = _grams(piece)
+            if len(gram):
+                held.append((gram, target[piece.first + text]))
+                size += len(piece.data)
+            if size >= CHUNK_BYTES:
+                yield from rows()
+                held, size = [], 0
+    if held:
+        yield from rows()
 
 
 def smooth(counts: np.ndarray, strength: float = 4.0) -> np.ndarray:
@@ -63,44 +85,76 @@ def smooth(counts: np.ndarray, strength: float = 4.0) -> np.ndarray:
     return np.log2(p).ravel().astype(np.float32)
 
 
-def _score(shared):
+def _postings(shared):
+    """(doc, gram, n, target, background): the n-grams of each text, each once; those of the broadcast are already added up in
+    one more row of the text, which has its n_tokens as n."""
+
     def run(batches):
-        target, background = shared.value
+        known, bits = shared.value
         for batch in batches:
-            n, a, b = [], [], []
+            doc = batch.column(0).to_numpy()
             for piece in texts(pc.utf8_lower(batch.column(1).fill_null(""))):
-                g = _grams(piece)
-                sums = [np.concatenate([[0.0], np.cumsum(t[g], dtype=np.float64)]) for t in (target, background)]
-                n += np.diff(piece.offsets).tolist()
-                for out, s in zip((a, b), sums):
-                    out += (-np.diff(s[piece.offsets])).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["id", "n_tokens", "target", "background"])
+                gram, text, size = _grams(piece)
+                mine = doc[piece.first : piece.first + piece.n]
+                at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                hot = known[at] == gram if len(known) else np.zeros(len(gram), bool)
+                sums = [np.bincount(text[hot], x[at[hot]] if len(known) else None, piece.n).astype(float) for x in bits]
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(mine), pa.array(size.astype(np.int64)), *map(pa.array, sums)], _POSTING)
+                gram, text = gram[~hot], text[~hot]
+                if not len(gram):
+                    continue
+                order = np.lexsort((gram, text))
+                gram, text = gram[order], text[order]
+                at = _runs((gram[1:] != gram[:-1]) | (text[1:] != text[:-1]))
+                n = np.diff(np.append(at, len(gram)))
+                for i in range(0, len(at), ROWS):
+                    part = at[i : i + ROWS]
+                    none = pa.nulls(len(part), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[text[part]]), pa.array(gram[part].view(np.int64)), pa.array(n[i : i + ROWS]), none, none], _POSTING)
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 1 << 17) -> DataFrame:
     """(id, n_tokens, ce_target, ce_background, ce_difference) for every row, in bits a token.
 
-    Two models of order 4 over one vocabulary of 41 symbols, smoothed alike: the background
-    counts every text of docs, the target those whose id is in target_ids. A token is a byte of the
-    lower-cased text. ce_difference = ce_target - ce_background, smaller for texts nearer to
-    the target. Each task counts its n-grams and Spark adds them up; the models have 41**4 numbers at
-    any size of the corpus, which is what is gathered and broadcast at most.
+    Two models over one vocabulary, all words of docs: the background counts every text of docs,
+    the target those whose id is in target_ids. A token is a word of the lower-cased text, between
+    white space, or the end of a text with words. An entropy is the mean of those of order 1, p(word), and order 2,
+    p(word | word before); both have a uniform prior of STRENGTH tokens. ce_difference = ce_target - ce_background,
+    smaller for texts nearer to the target.
+
+    Counts of words and pairs are one aggregate that grows with the corpus; each text's n-grams, each
+    once, are joined to it. N-grams with over 1 / ``hot`` of the tokens, so fewer than 2 * ``hot``, are
+    broadcast, and no key of the join has a larger share. N-grams are known by 64-bit hashes.
 
     Null or empty texts: 0 tokens and null entropies. Without target ids the target is
-    uniform at all orders. Repeated rows count each and get a row each; null ids are no
+    uniform at both orders. Repeated rows count each and get a row each; null ids are no
     target; other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     wanted = target_ids.select(F.col(id_col).alias("t")).where("t is not null").distinct().hint("merge")  # one plan at every size: ids grow with the corpus
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = rows.join(wanted, F.col("id") == F.col("t"), "left").select("text", F.col("t").isNotNull().alias("target"))
-    grams = map_batches(marked, _count, "gram int, n_all long, n_target long").groupBy("gram").agg(F.sum("n_all").alias("a"), F.sum("n_target").alias("t"))
-    counts = np.zeros((2, SYMBOLS**ORDER), np.int64)
-    for r in cut(grams).toLocalIterator():
-        counts[:, r.gram] = r.t, r.a
-    shared = spark.sparkContext.broadcast((smooth(counts[0]), smooth(counts[1])))
-    out = map_batches(rows, _score(shared), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, target double, background double")
-    per = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
-    return out.select(F.col("id").alias(id_col), "n_tokens", per("target").alias("ce_target"), per("background").alias("ce_background"), per("target").__sub__(per("background")).alias("ce_difference"))
+    counts = cut(map_batches(marked, _count, "gram long, n_all long, n_target long").groupBy("gram").agg(F.sum("n_all").alias("a"), F.sum("n_target").alias("t")))
+    word = F.col("gram").bitwiseAND(F.lit(1)) == 0
+    types, every, good = counts.where(word).agg(F.count("*"), F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    low = STRENGTH / max(1, types)
+    # order 1: log p of the word; order 2: log of the pair's share less, once for each word as the one before, its total
+    bits = lambda c, total: F.when(word, F.log2((F.col(c) + low) / (F.lit(total) + STRENGTH)) - F.log2(F.col(c) + STRENGTH)).otherwise(F.log2(F.col(c) + low)) / 2
+    common = F.col("a") * hot > every
+    model = counts.select("gram", bits("t", good).alias("bits_t"), bits("a", every).alias("bits_a"), common.alias("common"))
+    got = model.where("common").orderBy("gram").toPandas()
+    known = got["gram"].to_numpy(np.int64).view(_U)
+    order = np.argsort(known)
+    shared = spark.sparkContext.broadcast((known[order], [got[c].to_numpy(float)[order] for c in ("bits_t", "bits_a")]))
+    own = F.xxhash64(F.col("id"), F.col("text"))
+    found = map_batches(rows.select(own.alias("doc"), "text"), _postings(shared), "doc long, gram long, n long, target double, background double")
+    rare = model.where("not common").select(F.col("gram").alias("g"), "bits_t", "bits_a").hint("merge")
+    each = found.join(rare, (F.col("gram") == F.col("g")) & F.col("target").isNull(), "left")
+    is_row = F.col("target").isNotNull()
+    bit = lambda c, d: F.sum(F.when(is_row, F.col(c)).otherwise(F.col("n") * F.col(d)))
+    sums = each.groupBy("doc").agg(bit("target", "bits_t").alias("target"), bit("background", "bits_a").alias("background"), F.sum(F.when(is_row, F.col("n"))).alias("n"), F.sum(is_row.cast("long")).alias("copies"))
+    out = rows.select("id", own.alias("doc")).join(sums.hint("merge"), "doc")  # equal rows were added up
+    per = lambda c: F.when(F.col("n") > 0, -F.col(c) / F.col("n"))
+    return out.select(F.col("id").alias(id_col), (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), per("target").alias("ce_target"), per("background").alias("ce_background"), (per("target") - per("background")).alias("ce_difference"))
