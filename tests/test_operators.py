@@ -76,6 +76,20 @@ def test_isolation_forest_ranks_outliers(spark):
     assert s[0] > s[1] + 0.1
 
 
+def test_knn_blocks_and_ties_of_exact_copies(spark):
+    rows = [(i, [float(i % 3), 0.5]) for i in range(200)] + [(500, None)]
+    for n in (1, 7):
+        df = spark.createDataFrame(rows, "id long, v array<double>").orderBy(F.desc("id")).repartition(n)
+        got = joins.knn_join(df, df, "id", "v", 4, query_rows=30, block_rows=40)
+        near = {}
+        for r in got.collect():
+            near.setdefault(r.id, {})[r["rank"]] = r.neighbor
+        assert near == {i: dict(enumerate([j for j in range(i % 3, 200, 3) if j != i][:4], 1)) for i in range(200)}
+    assert joins.knn_join(df.limit(0), df, "id", "v").count() == 0
+    far = spark.range(200_001).select("id", F.array(F.lit(9.0), F.lit(9.0)).alias("v"))
+    assert joins.knn_join(far, df.where("id < 2"), "id", "v", 1).count() == 200_001
+
+
 def test_knn_and_pattern_cache(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(80, 3))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cosine, physical_score
+from ._work import stored
 
 
 def _key(cols: list[str]) -> Column:
@@ -70,41 +71,60 @@ def cosine_best_match(df: DataFrame, library: DataFrame, id_col: str, vec: str,
     return best.select(id_col, (-F.col("b.i")).alias("pattern_id"), F.col("b.s").alias("similarity"), (F.col("b.s") >= thr).alias("matched"))
 
 
-def knn_join(left: DataFrame, right: DataFrame, id_col: str, vec: str, k: int = 5, limit: int = 200_000) -> DataFrame:
-    """(id, rank, neighbor, dist): the k rows of right nearest to each row of left, itself excluded.
+def _nearest(q, q_ids, x, ids, k: int):
+    """(query, row, squared distance) of each query's k nearest rows of other ids, by (distance, id): distances from one matrix
+    product only leave out rows that its error can't make one of them."""
+    import numpy as np
 
-    Rows with a null vector take no part, and no queries give no rows. left is the rare class; it is broadcast behind a check of its size. Each partition of right keeps its own k
-    nearest for a query before anything is shuffled.
+    out = []
+    with np.errstate(invalid="ignore", over="ignore"):
+        size_x = (x**2).sum(axis=1)
+        for s in range(0, len(q), 256):
+            part = q[s : s + 256]
+            size = (part**2).sum(axis=1)[:, None] + size_x
+            rough, slack = size - 2 * (part @ x.T), 1e-9 * size
+            usable = np.isfinite(rough) & (ids[None, :] != q_ids[s : s + 256, None])
+            low = np.where(usable, rough - slack, np.inf)
+            high = np.where(usable, rough + slack, np.inf)
+            kth = np.partition(high, k - 1, axis=1)[:, k - 1] if k < len(x) else np.full(len(part), np.inf)
+            for i in range(len(part)):
+                at = np.flatnonzero(usable[i] & (low[i] <= kth[i]))
+                d = ((x[at] - part[i]) ** 2).sum(axis=1)
+                best = np.lexsort((ids[at], d))[:k]
+                out += [(s + i, at[b], d[b]) for b in best]
+    return out
+
+
+def knn_join(left: DataFrame, right: DataFrame, id_col: str, vec: str, k: int = 5, query_rows: int = 4096, block_rows: int = 8192) -> DataFrame:
+    """(id, rank, neighbor, dist): the k rows of right nearest to each row of left, itself excluded; ties to smaller ids.
+
+    Queries and rows fall into blocks of about query_rows and block_rows by hash, any number of them; a task holds
+    one block of each and keeps its own k nearest for a query. A query meets vectors of its own length only.
+    Rows with a null id or vector take no part, and no queries give no rows.
     """
     import numpy as np
     import pyarrow as pa
 
-    queries = left.select(id_col, vec).where(F.col(vec).isNotNull())
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} query rows; split them")
-    got = queries.toArrow()
-    ids = got[id_col].to_numpy()
-    q = np.array(got[vec].to_pylist(), dtype=np.float64).reshape(len(ids), -1 if len(ids) else 1)
-    shared = left.sparkSession.sparkContext.broadcast((ids, q))
-
-    def run(batches):
-        ids, q = shared.value
-        best: dict[int, list] = {i: [] for i in range(len(ids))}
-        for batch in batches:
-            if not len(ids) or not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy()
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            for s in range(0, len(q), 256):
-                part = q[s : s + 256]
-                d = ((part[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) if len(x) * len(part) * x.shape[1] < 4e7 else (part**2).sum(1)[:, None] + (x**2).sum(1) - 2 * part @ x.T
-                d = np.where(own[None, :] == ids[s : s + 256, None], np.inf, np.maximum(d, 0))
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                for r in range(len(part)):
-                    best[s + r] = sorted(best[s + r] + [(d[r, c], own[c]) for c in order[r] if np.isfinite(d[r, c])])[:k]
-        rows = [(ids[i], n, float(np.sqrt(d))) for i, v in best.items() for d, n in v]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([int(r[1]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["id", "neighbor", "dist"])
-
-    near = right.select(F.col(id_col).cast("long"), vec).where(F.col(vec).isNotNull()).mapInArrow(run, "id long, neighbor long, dist double")
+    def clean(df: DataFrame) -> DataFrame:
+        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id is not null and v is not null").withColumn("dim", F.size("v"))
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        return t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
+
+    def meet(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found = []
+        if len(asked) and len(rows) and asked["dim"][0].as_py():
+            q_ids, ids = asked["id"].to_numpy(), rows["id"].to_numpy()
+            found = [(q_ids[i], ids[j], np.sqrt(d)) for i, j, d in _nearest(matrix(asked), q_ids, matrix(rows), ids, k)]
+        a, b, c = zip(*found) if found else ((), (), ())
+        return pa.table({"id": pa.array(a, pa.int64()), "neighbor": pa.array(b, pa.int64()), "dist": pa.array(c, pa.float64())})
+
+    asked, rows = stored(clean(left)), stored(clean(right))
+    parts, blocks = max(1, -(-asked.count() // query_rows)), max(1, -(-rows.count() // block_rows))
+    deal = lambda df, part, n: df.withColumn(part, F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)))
+    spread = lambda df, part, n: df.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    keys = ["dim", "part", "block"]
+    asked = spread(deal(asked, "part", parts), "block", blocks).groupBy(*keys)
+    near = asked.cogroup(spread(deal(rows, "block", blocks), "part", parts).groupBy(*keys)).applyInArrow(meet, "id long, neighbor long, dist double")
     w = Window.partitionBy("id").orderBy("dist", "neighbor")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("id").alias(id_col), "rank", "neighbor", "dist")

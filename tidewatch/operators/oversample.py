@@ -35,7 +35,7 @@ def adasyn(df: DataFrame, id_col: str, vec: str, y: str, minority, beta: float =
 
     Each lies on the line from its origin to one of the origin's k nearest rows of the class, both chosen by a hash of
     origin, number and seed, so that reruns agree. A class of one row gets none. Ids are longs; new ones are hashes.
-    The rare class is held to knn_join's limit of queries; all other rows stay where they lie.
+    Neighbours are found in blocks, for a rare class of any size.
     """
     rare = df.where(F.col(y) == F.lit(minority)).select(id_col, vec)
     quota = adasyn_quotas(df, id_col, vec, y, minority, beta, k, total)
