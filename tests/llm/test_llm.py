@@ -1,7 +1,9 @@
 """Operators of tidewatch.llm: brute force, round trips and edge rows."""
 
 import collections
+import fractions
 import hashlib
+import math
 import random
 import re
 
@@ -218,11 +220,33 @@ def test_language_sums_all_segmentations():
         return 1.0 if not s else sum(p[pieces.index(x), 0] * total(s[len(x) :]) for x in pieces if s.startswith(x))
 
     lattice = language.Lattice(word, np.array([0]), np.array([5]), v)
-    assert np.isclose(lattice.total(lattice.forward(p))[0, 0], total(b"ababa"))
+    assert np.isclose(np.exp(lattice.log_total(lattice.forward(p)))[0, 0], total(b"ababa"))
     uses = lattice.expected(p, np.ones((1, 1)))[:, 0]
     assert np.isclose(sum(u * len(x) for u, x in zip(uses, pieces)), 5)
 
 
+def test_language_long_words_and_pieces():
+    rng = random.Random(5)
+    pieces = [b"a", b"b", b"ab", b"bba", b"ababbabbabbabbababab"]
+    p = np.array([[1e-4, 0.3], [1e-3, 0.2], [1e-5, 0.3], [0.2, 0.1], [0.1, 0.1]])
+    words_ = [bytes(rng.choices(b"ab", k=n)) for n in (3, 200, 1000)] + [pieces[4] * 11, b"ab"]
+    data = np.frombuffer(b"".join(words_), np.uint8)
+    size = np.array([len(w) for w in words_])
+    ends, found, uses = np.cumsum(size), np.zeros((len(words_), 2)), 0
+    v = language.Vocabulary(pieces)
+    for g in language._word_groups(size):
+        lattice = language.Lattice(data, (ends - size)[g], ends[g], v)
+        found[g] = lattice.log_total(lattice.forward(p))
+        uses = uses + lattice.expected(p, np.ones((len(g), 2)))
+    for w, got in zip(words_, found):
+        for lang in range(2):
+            alpha = [fractions.Fraction(1)]
+            for i in range(1, len(w) + 1):
+                alpha.append(sum((alpha[i - len(x)] * fractions.Fraction(p[k, lang]) for k, x in enumerate(pieces) if w[:i].endswith(x)), fractions.Fraction(0)))
+            assert np.isclose(got[lang], math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator))
+    assert np.allclose((uses * np.array([len(x) for x in pieces])[:, None]).sum(axis=0), size.sum())
+
+
 def test_language_held_out_and_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit_language_model(docs.where("doc_id % 2 = 0"))

@@ -17,19 +17,21 @@ _U = np.uint64
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[0x61:0x7B] = False
 NOT_LETTER[0x80:] = False
-#: A longer word is scored in parts of so many bytes, which keeps probabilities above underflow.
-WORD_BYTES = 40
+#: Longer words are summed in logarithms, as products of their piece probabilities may fall below the smallest float.
+LINEAR_BYTES = 40
+#: Bytes of words whose segmentations are summed side by side.
+_BATCH_BYTES = 1 << 17
 DEFAULT_PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 _CACHE = 200_000
 
 
-def read_pieces(path: str = DEFAULT_PIECES, longest: int = 12) -> list[bytes]:
-    """Distinct lower-cased letter pieces of a sentencepiece model, up to ``longest`` bytes, and all single bytes."""
+def read_pieces(path: str = DEFAULT_PIECES) -> list[bytes]:
+    """Distinct lower-cased letter pieces of a sentencepiece model, and all single bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower().strip("▁").encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    whole = {p for p in pieces if 0 < len(p) <= longest and not NOT_LETTER[np.frombuffer(p, np.uint8)].any()}
+    whole = {p for p in pieces if p and not NOT_LETTER[np.frombuffer(p, np.uint8)].any()}
     return sorted(whole | {bytes([b]) for b in np.flatnonzero(~NOT_LETTER)})
 
 
@@ -37,44 +39,79 @@ class Lattice:
     """All pieces in a set of words: (end, length, words, pieces) entries by end."""
 
     def __init__(self, data, starts, ends, vocabulary):
-        size = ends - starts
+        self.size = size = ends - starts
         self.longest = int(size.max())
-        self.entries = []
         p = prefix_hash(data)
-        for i in range(1, self.longest + 1):
-            rows = np.flatnonzero(size >= i)
-            at = starts[rows] + i
-            for n in range(1, min(i, vocabulary.longest) + 1):
-                hit, piece = vocabulary.find(range_hash(p, at - n, at))
-                if len(hit):
-                    self.entries.append((i, n, rows[hit], piece))
-        self.size = size
+        row = np.repeat(np.arange(len(size)), size)
+        end = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + 1
+        at = starts[row] + end
+        keys, rows, pieces = [], [], []
+        for n in vocabulary.lengths[vocabulary.lengths <= self.longest]:
+            ok = np.flatnonzero(end >= n)
+            hit, piece = vocabulary.find(range_hash(p, at[ok] - n, at[ok]))
+            keys.append(end[ok[hit]] << 16 | n)
+            rows.append(row[ok[hit]])
+            pieces.append(piece)
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        key, rows, pieces = key[order], np.concatenate(rows)[order], np.concatenate(pieces)[order]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+        self.entries = [(int(key[a]) >> 16, int(key[a]) & 0xFFFF, rows[a:b], pieces[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[word, i]: sum over the segmentations of the first i bytes."""
-        alpha = np.zeros((len(self.size), self.longest + 1, p.shape[1]))
+        """alpha[word, i]: sum over the segmentations of the first i bytes; its logarithm if words are long."""
+        shape = (len(self.size), self.longest + 1, p.shape[1])
+        if self.longest > LINEAR_BYTES:
+            alpha, p = np.full(shape, -np.inf), np.log(p)
+            alpha[:, 0] = 0
+            for i, n, rows, piece in self.entries:
+                alpha[rows, i] = np.logaddexp(alpha[rows, i], alpha[rows, i - n] + p[piece])
+            return alpha
+        alpha = np.zeros(shape)
         alpha[:, 0] = 1
         for i, n, rows, piece in self.entries:
             alpha[rows, i] += alpha[rows, i - n] * p[piece]
         return alpha
 
-    def total(self, alpha: np.ndarray) -> np.ndarray:
-        return alpha[np.arange(len(self.size)), self.size]
+    def log_total(self, alpha: np.ndarray) -> np.ndarray:
+        last = alpha[np.arange(len(self.size)), self.size]
+        return last if self.longest > LINEAR_BYTES else np.log(last)
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all segmentations, words counted as counts[word, language]."""
-        alpha = self.forward(p)
+        alpha, total = self.forward(p), None
+        out, last = np.zeros_like(p), (np.arange(len(self.size)), self.size)
+        if self.longest > LINEAR_BYTES:
+            total, log_p = alpha[last], np.log(p)
+            beta = np.full_like(alpha, -np.inf)
+            beta[last] = 0
+            for i, n, rows, piece in reversed(self.entries):
+                beta[rows, i - n] = np.logaddexp(beta[rows, i - n], beta[rows, i] + log_p[piece])
+            for i, n, rows, piece in self.entries:
+                np.add.at(out, piece, np.exp(alpha[rows, i - n] + log_p[piece] + beta[rows, i] - total[rows]) * counts[rows])
+            return out
         beta = np.zeros_like(alpha)
-        beta[np.arange(len(self.size)), self.size] = 1
+        beta[last] = 1
         for i, n, rows, piece in reversed(self.entries):
             beta[rows, i - n] += beta[rows, i] * p[piece]
-        scale = counts / self.total(alpha)
-        out = np.zeros_like(p)
+        scale = counts / alpha[last]
         for i, n, rows, piece in self.entries:
             np.add.at(out, piece, alpha[rows, i - n] * p[piece] * beta[rows, i] * scale[rows])
         return out
 
 
+def _word_groups(size: np.ndarray):
+    """Indexes of words in groups of like length, of about _BATCH_BYTES bytes or one word."""
+    order = np.argsort(size, kind="stable")
+    short = int(np.searchsorted(size[order], LINEAR_BYTES, "right"))
+    for part in (order[:short], order[short:]):
+        i = 0
+        while i < len(part):
+            j = i + max(1, int(np.searchsorted(np.arange(1, len(part) - i + 1) * size[part[i:]], _BATCH_BYTES, "right")))
+            yield part[i:j]
+            i = j
+
+
 class Vocabulary:
     def __init__(self, pieces: list[bytes]):
         flat = np.frombuffer(b"".join(pieces), np.uint8)
@@ -82,7 +119,7 @@ class Vocabulary:
         hashes = range_hash(prefix_hash(flat), ends - [len(p) for p in pieces], ends)
         order = np.argsort(hashes)
         self.hashes, self.index = hashes[order], order
-        self.size, self.longest = len(pieces), max(map(len, pieces))
+        self.size, self.lengths = len(pieces), np.unique([len(p) for p in pieces])
         self.seen = np.zeros(1 << 18, bool)
         self.seen[(hashes >> _U(46)).astype(np.int64)] = True
 
@@ -101,17 +138,6 @@ class LanguageModel:
     prior: np.ndarray
 
 
-def _split_words(piece):
-    """Starts and ends of words of at most WORD_BYTES bytes, and each text's first one."""
-    starts, ends, _ = piece.words(NOT_LETTER)
-    parts = -(-(ends - starts) // WORD_BYTES)
-    if len(parts) and parts.max() > 1:
-        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = np.repeat(starts, parts) + k * WORD_BYTES
-        ends = np.minimum(starts + WORD_BYTES, np.repeat(ends, parts))
-    return starts, ends, np.searchsorted(starts, piece.offsets)
-
-
 def _lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.fill_null(""))
 
@@ -123,7 +149,7 @@ def _count_words(batches):
         names = batch.column(1).to_pylist()
         tally: dict[tuple[str, bytes], int] = {}
         for piece in texts(_lowered(batch.column(0))):
-            starts, ends, first = _split_words(piece)
+            starts, ends, first = piece.words(NOT_LETTER)
             raw = piece.data.tobytes()
             for r in range(piece.n):
                 lang = names[piece.first + r]
@@ -149,8 +175,8 @@ def _expect(shared):
             ends = np.cumsum(size)
             counts = np.zeros((len(words), len(languages)))
             counts[np.arange(len(words)), [at[x] for x in batch.column(0).to_pylist()]] = batch.column(2).to_numpy()
-            if len(words):
-                total += Lattice(flat, ends - size, ends, vocabulary).expected(p, counts)
+            for group in _word_groups(size):
+                total += Lattice(flat, (ends - size)[group], ends[group], vocabulary).expected(p, counts[group])
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[piece, lang])], ["piece", "lang", "uses"])
 
@@ -204,7 +230,7 @@ def _score(shared):
         for batch in batches:
             preds, scores = [], []
             for piece in texts(_lowered(batch.column(1))):
-                starts, ends, first = _split_words(piece)
+                starts, ends, first = piece.words(NOT_LETTER)
                 p = prefix_hash(piece.data)
                 words, one, back = np.unique(range_hash(p, starts, ends), return_index=True, return_inverse=True)
                 value = np.empty((len(words), n_langs))
@@ -212,11 +238,10 @@ def _score(shared):
                 old = known[at] == words if len(known) else np.zeros(len(words), bool)
                 value[old] = known_scores[at[old]]
                 new = np.flatnonzero(~old)
-                new = new[np.argsort((ends - starts)[one[new]], kind="stable")]
-                for i in range(0, len(new), 4096):
-                    part = one[new[i : i + 4096]]
-                    part_lattice = Lattice(piece.data, starts[part], ends[part], vocabulary)
-                    value[new[i : i + 4096]] = np.log(part_lattice.total(part_lattice.forward(model.p)))
+                for group in _word_groups((ends - starts)[one[new]]):
+                    part = one[new[group]]
+                    lattice = Lattice(piece.data, starts[part], ends[part], vocabulary)
+                    value[new[group]] = lattice.log_total(lattice.forward(model.p))
                 if len(known) < _CACHE and len(new):
                     known = np.concatenate([known, words[new]])
                     known_scores = np.concatenate([known_scores, value[new]])
@@ -246,7 +271,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
     The text is lower-cased; its words are runs of ASCII letters and non-ASCII characters. A word's
     probability in a language is the sum, over all ways to cut it into pieces, of the product of
-    piece probabilities (forward algorithm; words above 40 bytes in parts); a text's is the product
+    piece probabilities (forward algorithm over the whole word, of any length); a text's is the product
     over its words and the language's share of the labelled rows. The model is broadcast: one number
     for each piece and language. Distinct words are scored once for each slice of a task.
 
