@@ -81,6 +81,27 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates.near_duplicates(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    rows = [(8, a), (5, a[:-1] + ["z"]), (5, b), (9, b[:-1] + ["z"]), (7, c), (None, c), (None, ["q"] * 9), (6, []), (6, a[:20] + c[:20])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").withColumn("group", F.lit(1)).withColumn("row", F.lit("r"))
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates.near_duplicates(df).collect())
+    assert got == collections.Counter({(8, 5, False): 1, (5, 5, True): 2, (9, 5, False): 1, (7, 7, True): 1, (None, 7, False): 1, (None, None, False): 1, (6, 6, True): 2})
+    # One of each group of texts: no text goes that has no near-duplicate among those that stay.
+    rows = [(3, b), (5, a), (5, b), (5, a), (None, a), (None, c), (None, c), (4, []), (4, []), (2, c[:-1] + ["z"])]
+    df = spark.createDataFrame([(i, " ".join(w), k) for k, (i, w) in enumerate(rows)], "doc_id long, text string, k int")
+    got = sorted(near_duplicates.without_near_duplicates(df).select("k").toPandas().k)
+    assert got == [0, 1, 7, 8, 9]
+    assert near_duplicates.without_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_attach_deals_common_classes(spark):
+    rows = spark.createDataFrame([(i, i, 2, 7, 7) for i in range(3000)] + [(9000 + i, i, 2, i, 8) for i in range(2000)] + [(1, 1, 0, 0, 0)], "id long, row long, n long, h1 long, h2 long")
+    classes = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.count("*").alias("k"), F.min("id").alias("v"))
+    got = {(r.id, r.h2): r.v for r in near_duplicates._attach(rows, classes, "v").collect()}
+    assert len(got) == 5001 and all(v == (0 if h == 7 else i if h == 8 else None) for (i, h), v in got.items())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

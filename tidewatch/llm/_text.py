@@ -108,7 +108,10 @@ def texts(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
 
 
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """mapInArrow with batches of BATCH_ROWS rows, so that long texts don't add up in one batch."""
+    """mapInArrow with batches of BATCH_ROWS rows, so that long texts don't add up in one batch.
+
+    Spark reads the limit when a plan runs, so it is lowered in the session and stays there.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -116,7 +119,7 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only where the session has none, as in tests."""
+    """The folder that all executors share, as the session names it."""
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if kept.isDefined():
         return kept.get()
@@ -133,4 +136,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: later steps start there and survive the loss of executors."""
     where = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    out = df.sparkSession.read.schema(df.schema).parquet(where)
+    out._written = where
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that cut wrote and that no later step reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

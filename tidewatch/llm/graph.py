@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import cut
+from ._text import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = took.select(F.col("node").alias("via"), F.col("label").alias("jump"))
         step = took.join(up, took.label == up.via, "left").select("node", F.least("label", "jump").alias("label"), "old")
         step = cut(step)
-        labels = step.select("node", "label")
+        discard(labels)
+        labels = step
         if not step.where("label < old").limit(1).count():
-            return labels.withColumnRenamed("label", "component")
+            discard(links)
+            return step.select("node", F.col("label").alias("component"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, SPACE, cut, map_batches, mix, prefix_hash, range_hash, texts
+from ._text import LOWER, SPACE, cut, discard, map_batches, mix, prefix_hash, range_hash, texts
 from .graph import components
 
 _U = np.uint64
@@ -68,17 +68,25 @@ def _sign(width: int):
                     high.append(key[0])
                     low.append(key[1])
                     sigs.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sigs, pa.binary())], ["id", "n", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sigs, pa.binary())], ["id", "row", "n", "h1", "h2", "sig"])
 
     return run
 
 
 def _sets(width: int):
+    """The set of each wanted row (id, text, h1, h2), once in a task."""
+
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            sets = [s for piece in texts(batch.column(1)) for s in shingle_sets(piece, width)]
-            keys = [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in ([k[0] for k in keys], [k[1] for k in keys])), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "h1", "h2", "shingles"])
+            ids, wanted = batch.column(0).to_pylist(), list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            out: tuple[list, list] = ([], [])
+            for i, s in enumerate(x for piece in texts(batch.column(1)) for x in shingle_sets(piece, width)):
+                if ids[i] not in seen and set_key(s) == wanted[i]:
+                    seen.add(ids[i])
+                    out[0].append(ids[i])
+                    out[1].append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["id", "shingles"])
 
     return run
 
@@ -194,46 +202,38 @@ def compare_blocks(members: DataFrame, sets: DataFrame, percent: int, rows: int
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_block(percent), "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    percent: int = 75,
-    trees: int = 16,
-    small: int = 8,
-    levels: int = 3,
-    children: int = 2,
-) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of docs.
+def _attach(rows: DataFrame, classes: DataFrame, value: str) -> DataFrame:
+    """rows with the value of their class (n, h1, h2). A class with over 1 / 1,024 of the rows, so one of at most 1,023, is broadcast."""
+    keys = ["n", "h1", "h2"]
+    total = classes.agg(F.sum("k")).first()[0] or 0
+    names = [F.col(c).alias(f"c_{c}") for c in keys]
+    hot = classes.where(F.col("k") * 1024 > total).select(*names, F.col(value).alias("hot"), F.lit(True).alias("is_hot"))
+    rare = classes.where(F.col("k") * 1024 <= total).select(*[F.col(c).alias(f"r_{c}") for c in keys], F.col(value).alias("rare"))
+    same = lambda p: (F.col("n") == F.col(f"{p}_n")) & (F.col("h1") == F.col(f"{p}_h1")) & (F.col("h2") == F.col(f"{p}_h2"))
+    found = rows.join(F.broadcast(hot), same("c"), "left").drop("c_n", "c_h1", "c_h2")
+    # Rows that are done, or have no words, are dealt by themselves.
+    away = F.when(F.col("is_hot") | (F.col("n") == 0), -F.abs(F.xxhash64("id", "row")) - 1).otherwise(F.col("n"))
+    found = found.withColumn("to", away).join(rare, (F.col("to") == F.col("r_n")) & (F.col("h1") == F.col("r_h1")) & (F.col("h2") == F.col("r_h2")), "left")
+    return found.select(*rows.columns, F.coalesce("hot", "rare").alias(value))
 
-    A document's set holds its distinct shingles of ``width`` words (A-Z lower-cased,
-    ASCII white space between words); a shorter text is one shingle. Documents are
-    linked when 100 * intersection >= percent * union, on the full sets.
 
-    Equal sets fall together first, by aggregation, and one representative goes on.
-    Every tree branches the representatives by two selected minwise tokens. In a
-    node of up to ``small`` documents all pairs are candidates; a larger node first links
-    its members to one of them, another one in each node. Links found so far merge documents,
-    and a large node whose members are merged already is done. Others branch on, ``children``
-    selected tokens at a time. Large nodes that one component rules (over half of the members)
-    and those of the last level are compared in blocks on full sets, all documents outside
-    the ruling component with all others: no node is cut short, and no pairs are listed. A pair at the threshold shares a root node with probability
-    1 - (1 - 0.75**2)**trees, 0.999998 for 16 trees. Candidates whose signatures agree
-    in less than percent - 25 of a hundred positions (over 4 standard deviations below)
-    are left out; all others are compared on full sets.
+def _row_hash(id_col: str, text_col: str) -> F.Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
-    Null or empty text, and text of white space only: n_shingles 0, its own component.
-    A null id gets the component of its equals (null if none has an id) and kept = false.
-    Rows that repeat an id each get a row; where their texts differ, the one with the
-    smallest set key is compared. Other columns are ignored. Empty table: no rows.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(map_batches(base, _sign(width), "id long, n long, h1 long, h2 long, sig binary"))
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, trees: int, small: int, levels: int, children: int) -> tuple[DataFrame, DataFrame]:
+    """(id, row, n, h1, h2) of every row, and (n, h1, h2, node, rep, k, group) of every set that isn't empty: its number, smallest
+    id, rows, and the smallest number that links reach. Numbers rise with the smallest id, nulls last."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _row_hash(id_col, text_col).alias("row"))
+    signed = cut(map_batches(base, _sign(width), "id long, row long, n long, h1 long, h2 long, sig binary"))
     equal = ["n", "h1", "h2"]
-    classes = signed.where("n > 0 and id is not null").groupBy(*equal).agg(F.min("id").alias("rep"))
-    named = signed.where("n > 0").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    reps = cut(named.groupBy("id").agg(F.min(F.struct(*equal, "sig")).alias("x")).select("id", "x.*"))
+    named = signed.where("n > 0").groupBy(*equal).agg(F.min("id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("k"), F.min("sig").alias("sig"))
+    reps = cut(named.repartitionByRange(F.asc_nulls_last("rep")).sortWithinPartitions(F.asc_nulls_last("rep"), *equal).withColumn("id", F.monotonically_increasing_id()))
+    spent: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        spent.append(cut(df))
+        return spent[-1]
 
     def nodes(paths: DataFrame) -> DataFrame:
         """Members of nodes of two and more, with the node's size and its first member by hash."""
@@ -251,15 +251,15 @@ def near_duplicates(
         both = pairs.distinct().join(x, "a").join(y, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         return map_batches(both.select("a", "b", "sa", "sb"), _alike((percent - 25) / 100), "a long, b long")
 
-    first = cut(nodes(map_batches(reps.select("id", "sig"), _paths(trees, 2), "path long, id long")))
+    first = kept(nodes(map_batches(reps.select("id", "sig"), _paths(trees, 2), "path long, id long")))
     heads = first.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-    found = cut(likely(heads.union(all_pairs(first.where(F.col("size") <= small)))))
+    found = kept(likely(heads.union(all_pairs(first.where(F.col("size") <= small)))))
     large = first.where(F.col("size") > small).select("path", "id")
 
     need = found.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
-    texts_of = base.join(need, "id", "left_semi")
-    every = map_batches(texts_of, _sets(width), "id long, h1 long, h2 long, shingles binary")
-    sets = cut(every.join(reps, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"))
+    wanted = reps.join(need, "id", "left_semi").select("row", "id", "h1", "h2")
+    texts_of = base.select("row", "text").join(wanted, "row").select("id", "text", "h1", "h2")
+    sets = kept(map_batches(texts_of, _sets(width), "id long, shingles binary").dropDuplicates(["id"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -271,17 +271,17 @@ def near_duplicates(
         x, y = merged.select(F.col("node").alias("a"), F.col("component").alias("ca")), merged.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         return pairs.join(x, "a", "left").join(y, "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
 
-    links = cut(confirmed(found.select("a", "b")))
+    links = kept(confirmed(found.select("a", "b")))
     merged = components(links)
 
     rest, blocks = [], []
     for level in range(1, levels + 1):
         if large.isEmpty():
             break
-        named = large.join(merged, large.id == merged.node, "left").select("path", "id", F.coalesce("component", "id").alias("c"))
-        parts = named.groupBy("path", "c").agg(F.count("*").alias("k"))
+        of = large.join(merged, large.id == merged.node, "left").select("path", "id", F.coalesce("component", "id").alias("c"))
+        parts = of.groupBy("path", "c").agg(F.count("*").alias("k"))
         mixed = parts.groupBy("path").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = cut(named.join(mixed.select("path", "size", F.col("main.k").alias("k"), F.col("main.c").alias("main")), "path"))
+        open_ = kept(of.join(mixed.select("path", "size", F.col("main.k").alias("k"), F.col("main.c").alias("main")), "path"))
         # Nodes that one component rules meet as one group, whichever tree they are of.
         ruled = F.lit(False) if level == levels else F.col("size") < 2 * F.col("k")
         blocks.append(open_.where(ruled).select(F.col("main").alias("key"), F.lit(True).alias("ruled"), "id", "c", (F.col("c") != F.col("main")).alias("odd")))
@@ -289,19 +289,92 @@ def near_duplicates(
             blocks.append(open_.select(F.col("path").alias("key"), F.lit(False).alias("ruled"), "id", "c", F.lit(True).alias("odd")))
             break
         deeper = open_.where(~ruled).select("path", "id").join(reps.select("id", "sig"), "id").select("path", "id", "sig")
-        below = cut(nodes(map_batches(deeper, _branch(children), "path long, id long")))
-        rest.append(cut(likely(all_pairs(below.where(F.col("size") <= small)))))
+        below = kept(nodes(map_batches(deeper, _branch(children), "path long, id long")))
+        rest.append(kept(likely(all_pairs(below.where(F.col("size") <= small)))))
         large = below.where(F.col("size") > small).select("path", "id")
     more = []
     if rest:
-        more.append(cut(confirmed(across(reduce(DataFrame.union, rest).distinct(), merged))))
+        more.append(kept(confirmed(across(reduce(DataFrame.union, rest).distinct(), merged))))
     if blocks:
-        more.append(cut(compare_blocks(reduce(DataFrame.union, blocks).distinct(), sets, percent)))
+        more.append(kept(compare_blocks(reduce(DataFrame.union, blocks).distinct(), sets, percent)))
     more = [x for x in more if not x.isEmpty()]
     if more:
         merged = components(reduce(DataFrame.union, [links, *more]))
+    classes = reps.join(merged, reps.id == merged.node, "left").select(*equal, F.col("id").alias("node"), "rep", "k", F.coalesce("component", "id").alias("group"))
+    classes = cut(classes)
+    discard(*spent, reps)
+    return signed.drop("sig"), classes
 
-    of_class = classes.join(merged, classes.rep == merged.node, "left").select(*equal, F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", *equal).join(of_class, equal, "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
+
+def _joined_by_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(group, whole): groups that hold sets of one id are one; only groups that others join."""
+    several = signed.where("n > 0 and id is not null").groupBy("id").agg(F.min("h1").alias("a1"), F.max("h1").alias("b1"), F.min("h2").alias("a2"), F.max("h2").alias("b2")).where("a1 <> b1 or a2 <> b2")
+    ids = cut(several.select("id"))
+    if ids.isEmpty():
+        return signed.sparkSession.range(0).select(F.col("id").alias("group"), F.col("id").alias("whole"))
+    own = cut(_attach(signed.where("n > 0").join(ids, "id", "left_semi"), classes, "group").select("id", "group").distinct())
+    heads = own.groupBy("id").agg(F.min("group").alias("head"))
+    return components(own.join(heads, "id").select(F.col("group").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("group"), F.col("component").alias("whole"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 75,
+    trees: int = 16,
+    small: int = 8,
+    levels: int = 3,
+    children: int = 2,
+) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of docs.
+
+    A document's set holds its distinct shingles of ``width`` words (A-Z lower-cased,
+    ASCII white space between words); a shorter text is one shingle. Documents are
+    linked when 100 * intersection >= percent * union, on the full sets.
+
+    Equal sets fall together first, by aggregation, and one representative goes on.
+    Every tree branches the representatives by two selected minwise tokens. In a
+    node of up to ``small`` documents all pairs are candidates; a larger node first links
+    its members to one of them, another one in each node. Links found so far merge documents,
+    and a large node whose members are merged already is done. Others branch on, ``children``
+    selected tokens at a time. Large nodes that one component rules (over half of the members)
+    and those of the last level are compared in blocks on full sets, all documents outside
+    the ruling component with all others: no node is cut short, and no pairs are listed. A pair at the threshold shares a root node with probability
+    1 - (1 - 0.75**2)**trees, 0.999998 for 16 trees. Candidates whose signatures agree
+    in less than percent - 25 of a hundred positions (over 4 standard deviations below)
+    are left out; all others are compared on full sets.
+
+    Null or empty text, and text of white space only: n_shingles 0, its own component.
+    A null id gets the component of its equals (null if none has an id) and kept = false.
+    Rows that repeat an id each get a row and are linked with each other, whatever their texts (if they have words).
+    Other columns are ignored. Empty table: no rows.
+    """
+    signed, classes = _linked(docs, id_col, text_col, width, percent, trees, small, levels, children)
+    joined = _joined_by_id(signed, classes)
+    classes = classes.join(joined, "group", "left").withColumn("group", F.coalesce("whole", "group"))
+    least = classes.groupBy("group").agg(F.min("rep").alias("component_id"))
+    of_class = cut(classes.join(least, "group").select("n", "h1", "h2", "k", "component_id"))
+    out = _attach(signed, of_class, "component_id")
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest id, nulls last, then of the smallest hash of id and text.
+
+    Groups are of texts, whatever their ids, with options as of near_duplicates. Texts without words are in no group and stay.
+    Of rows that repeat id and text one stays, the smallest by its other columns. An empty table gives no rows.
+    """
+    o = {"width": 5, "percent": 75, "trees": 16, "small": 8, "levels": 3, "children": 2} | options
+    signed, classes = _linked(docs, id_col, text_col, **o)
+    grouped = _attach(signed.where("n > 0"), classes, "group").groupBy("group", F.col("id").isNull().alias("none"), "id", "row").agg(F.count("*").alias("rows"))
+    best = grouped.groupBy("group").agg(F.min(F.struct("none", "id", "row", "rows")).alias("b"))
+    empty = signed.where("n = 0").select("row").distinct().select("row", F.lit(1).cast("long").alias("rows"))
+    stay = cut(best.select("b.row", "b.rows").union(empty))
+    rows = docs.withColumn("_row", _row_hash(id_col, text_col)).join(stay.select(F.col("row").alias("_stay"), F.col("rows").alias("_rows")), F.col("_row") == F.col("_stay"))
+    single = rows.where("_rows = 1").select(*docs.columns)
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    first = rows.where("_rows > 1").groupBy("_row").agg(F.min(F.struct(id_col, text_col, *others)).alias("x")).select("x.*")
+    return single.union(first.select(*docs.columns))
