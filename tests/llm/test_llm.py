@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -160,13 +161,39 @@ def test_secrets(spark):
     assert {k for k, _, _ in found} == {"assign", "access", "hex", "jwt", "key"}
     assert text[found[0][1] : found[0][2]] == "Token = abcdef"
     assert not secrets.is_key(der[:-1]) and not secrets.is_key(der + b"\0") and secrets.is_key(der)
-    assert secrets.is_key(b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(32))
-    out = secrets.scan_secrets(edge_docs(spark, [(20, text)]))
+    public = b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(32)
+    assert not secrets.is_key(public) and secrets.is_key(public + b"\0\0\0\x40" + bytes(64) + bytes(4))
+    out = secrets.scan_secrets(edge_docs(spark, [(20, text)]), mark="[REDACTED]")
     assert out.count() == 10 and dict(out.dtypes)["spans"].startswith("array")
-    clean = out.withColumn("text", secrets.redact(F.col("text"), F.col("spans"))).where("doc_id = 20").first().text
+    assert out.where("doc_id <> 20 and not redacted <=> text").count() == 0
+    clean = out.where("doc_id = 20").first().redacted
     assert "AKIA" not in clean and clean.startswith("😀 [REDACTED], token: abc; ") and clean.endswith("A" * 60)
 
 
+def test_secrets_keys_by_their_parts_and_linear_time():
+    import base64
+
+    def der(tag, *parts):
+        body = b"".join(parts)
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82, n >> 8, n & 255])) + body
+
+    number, oid = der(2, b"\x01" * 128), der(0x30, der(6, b"\x2a\x86\x48"), b"\x05\x00")
+    version, secret = der(2, b"\0"), der(4, b"\x07" * 40)
+    private = [der(0x30, version, *[number] * 8), der(0x30, version, oid, secret), der(0x30, der(2, b"\1"), secret), der(0x30, oid, secret)]
+    public = [der(0x30, number, der(2, b"\1\0\1")), der(0x30, oid, der(3, b"\0" * 140)), der(0x30, der(0x30, number, oid), oid, der(3, b"\0" * 140))]
+    assert [secrets.is_key(x) for x in [*private, *public]] == [True] * 4 + [False] * 3
+    for x, end in zip(private, ["\n", "\r\n", "\\n", "\n"]):
+        plain = base64.b64encode(x).decode()
+        lines = end.join(plain[i : i + 64] for i in range(0, len(plain), 64))
+        found = secrets.find_secrets(f"see {lines} there")
+        assert ("key", 4, 4 + len(lines)) in found
+    began = time.perf_counter()
+    for text in ("eyJ" * 100_000, "A" * 1_000_000, ("A" * 64 + "\n") * 15_000, "token=abcdefg " * 20_000, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "secret" + " " * 500_000):
+        secrets.redacted(text, secrets.find_secrets(text))
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n"])
 def test_pem_line_ends_headers_and_ssh_files(end):
     import base64
@@ -403,6 +430,16 @@ def test_pipeline(spark):
     groups = groups_of([(r.doc_id, r.text) for r in docs.collect() if any(c.isalpha() for c in r.text or "")])
     assert all(groups[i][1] == i for i in kept)
     assert out.where("text rlike 'AKIA[A-Z0-9]{16,}'").count() == 0
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, same), (5, "quite another text of its own"), (5, same), (5, same), (None, same), (7, "the token: abcdef1 and more words here"), (8, None)]
+    few = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], docs.schema)
+    got = [(r.doc_id, r.text) for r in cp.one_of_each(spark, few, SF).collect()]
+    assert collections.Counter(got) == collections.Counter([(3, same), rows[1], rows[5], rows[6]])
+    item = bench.first().text
+    leaked = spark.createDataFrame([(5, item, None, None, 0), (5, "clean words", None, None, 0), (None, None, None, None, 0)], docs.schema)
+    assert {r.text for r in cp.not_in_benchmark(spark, leaked, SF).collect()} == {"clean words", None}
+    assert {r.text for r in cp.without_secrets(spark, few, SF).collect()} >= {"the [REDACTED] and more words here", None}
+    assert cp.mixed(spark, docs.limit(0), SF).count() == 0
     empty = docs.limit(0)
     for _, stage in cp.STAGES[:-1]:
         empty = stage(spark, empty, SF)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,20 +87,21 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(shared):
+def _scan(shared, text_at: int):
+    """The columns of each batch, and n_words, hits and items."""
+
     def run(batches):
         groups: list[Patterns] = shared.value
         for batch in batches:
-            old = {k: batch.column(batch.schema.get_field_index(k)) for k in ("hits", "items")}
             n_words, hits, items = [], [], []
-            for piece in texts(batch.column(batch.schema.get_field_index("text"))):
+            for piece in texts(batch.column(text_at)):
                 data, starts, ends, first, h = word_hashes(piece)
                 spans: dict[int, list] = {}
                 found: dict[int, set] = {}
+                raw = data.tobytes()
                 for g in groups:
                     where, which = g.search(h, first)
                     row = np.searchsorted(first, where, "right") - 1
-                    raw = data.tobytes() if len(where) else b""
                     for a, w, r in zip(where.tolist(), which.tolist(), row.tolist()):
                         if all(raw[starts[a + j] : ends[a + j]] == x for j, x in enumerate(g.words[w])):
                             base = int(first[r])
@@ -106,12 +109,9 @@ def _scan(shared):
                             found.setdefault(r, set()).update(g.items[w])
                 n_words += np.diff(first).tolist()
                 for r in range(piece.n):
-                    was = old["hits"][piece.first + r].as_py() or []
-                    merged = _merge(spans.get(r, []) + [(x["start"], x["end"]) for x in was])
-                    hits.append([{"start": a, "end": b} for a, b in merged])
-                    items.append(sorted(found.get(r, set()) | set(old["items"][piece.first + r].as_py() or [])))
-            made = {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, _HITS), "items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([made.get(k, batch.column(i)) for i, k in enumerate(batch.schema.names)], batch.schema.names)
+                    hits.append([{"start": a, "end": b} for a, b in _merge(spans.get(r, []))])
+                    items.append(sorted(found.get(r, ())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(hits, _HITS), pa.array(items, pa.list_(pa.string()))], [*batch.schema.names, "n_words", "hits", "items"])
 
     return run
 
@@ -150,8 +150,9 @@ def decontaminate(
     item_text_col: str = "text",
     width: int = 13,
     block_chars: int = 2_000_000,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(id, n_words, n_hit, hits, items, contaminated) for every row of docs.
+    """(id, n_words, n_hit, hits, items, contaminated, and the columns ``keep``) for every row of docs.
 
     Words are runs of ASCII letters, digits and all non-ASCII characters, A-Z
     lower-cased. A window is ``width`` consecutive words of an item, or all of a
@@ -160,25 +161,46 @@ def decontaminate(
     contaminated when n_hit > 0 and 20 * n_hit >= n_words.
 
     The shift tables of one block of items (at most block_chars characters and one item
-    more) are broadcast; a larger benchmark takes a further pass over the rows for each
-    block, adding to hits and items. The documents are never shuffled.
+    more) are broadcast, and rows are searched where they lie. A larger benchmark takes a further
+    pass over the texts for each block, from which only rows with hits are written; they join the last pass.
 
     Null or empty texts have no words and no hits; null or empty items no windows; a null
     item id reads 'null'; ties, repeated rows and items count once in a row's items.
-    Other columns are ignored. Empty tables give no rows, or rows without hits.
+    Other columns are ignored; ``keep`` may not name n_words, n_hit, hits, items or contaminated. Empty tables give no rows, or rows without hits.
     """
     spark = docs.sparkSession
-    items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start: long, end: long>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, text string, n_words long, hits array<struct<start: long, end: long>>, items array<string>"
-    passes = 0
-    for block in _blocks(items, block_chars):
-        if passes:
-            out = cut(out)
-        out = map_batches(out, _scan(spark.sparkContext.broadcast(_patterns(block, width))), schema)
-        passes += 1
-    if not passes:
-        out = map_batches(out, _scan(spark.sparkContext.broadcast([])), schema)
+    bench = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep or [] if c != text_col])
+    own = F.xxhash64("id", "text")
+
+    def scanned(df: DataFrame, block: list) -> DataFrame:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        return map_batches(df, _scan(spark.sparkContext.broadcast(_patterns(block, width)), df.columns.index("text")), f"{schema}, n_words long, hits array<struct<start: long, end: long>>, items array<string>")
+
+    earlier, last = [], []
+    for block in _blocks(bench, block_chars):
+        if last:
+            found = scanned(rows.select(own.alias("row"), "text"), last).where("size(hits) > 0").select("row", "hits", "items")
+            earlier.append(cut(found.dropDuplicates(["row"])))
+        last = block
+    out = scanned(rows, last)
+    if earlier:
+        more = reduce(DataFrame.union, earlier).groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("more_hits"), F.flatten(F.collect_list("items")).alias("more_items"))  # at most one row for each block
+        out = out.withColumn("row", own).join(more, "row", "left")
+        out = out.withColumn("hits", F.when(F.col("more_hits").isNull(), F.col("hits")).otherwise(_merged(F.array_sort(F.concat("hits", "more_hits")))))
+        out = out.withColumn("items", F.when(F.col("more_items").isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", "more_items"))))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    out = out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "hits", "items")
-    return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    out = out.withColumn("n_hit", n_hit).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "hits", "items", "contaminated", *[F.col("text" if c == text_col else f"k_{c}").alias(c) for c in keep or []])
+
+
+def _merged(spans: F.Column) -> F.Column:
+    """Sorted spans with those that meet made one."""
+    none = F.expr("cast(array() as array<struct<start: long, end: long>>)")
+
+    def step(done, x):
+        end = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(end["start"].alias("start"), F.greatest(end["end"], x["end"]).alias("end"))
+        return F.when((F.size(done) > 0) & (end["end"] >= x["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(spans, none, step)

@@ -222,7 +222,9 @@ def fit_language_model(
     return LanguageModel(languages, pieces, p, np.log(prior / prior.sum()))
 
 
-def _score(shared):
+def _score(shared, kept_at: int):
+    """The text is the second column; columns from kept_at on go along."""
+
     def run(batches):
         model: LanguageModel = shared.value
         vocabulary, n_langs = Vocabulary(model.pieces), len(model.languages)
@@ -261,7 +263,7 @@ def _score(shared):
                     e = np.exp(sums[r] - sums[r].max())
                     preds.append(model.languages[int(e.argmax())])
                     scores.append(float(e.max() / e.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], ["id", "lang_pred", "score", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], pa.array(preds, pa.string()), pa.array(scores, pa.float64()), *batch.columns[kept_at:]], ["id", "lang_pred", "score", *batch.schema.names[kept_at:]])
 
     return run
 
@@ -279,8 +281,9 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     Ties go to the first language by name. Repeated rows each get a row, null ids stay, other columns
     are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep or []])
-    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep or [] if c != text_col])
+    kept_at = 1 if text_col in (keep or []) else 2
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[kept_at:])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = map_batches(rows, _score(shared), f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double{kept}")
-    return out.select(F.col("id").alias(id_col), "lang_pred", "score", *[F.col(f"k_{c}").alias(c) for c in keep or []])
+    out = map_batches(rows, _score(shared, kept_at), f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double{kept}")
+    return out.select(F.col("id").alias(id_col), "lang_pred", "score", *[F.col("text" if c == text_col else f"k_{c}").alias(c) for c in keep or []])
