@@ -1,7 +1,7 @@
 """A corpus pipeline: five stages over the documents table, each written and read again.
 
 Stages work on all rows that the stage before them kept, and only on what they are given. Rows that
-repeat a doc_id go through every stage on their own. Null texts leave with the language
+repeat a doc_id go through every stage on their own; of rows that repeat a text one stays. Null texts leave with the language
 stage; nulls in other columns stay as they are. An empty table goes through empty. Columns
 other than those of documents are left out.
 """
@@ -17,8 +17,8 @@ from tidewatch.llm._text import shared_dir
 from tidewatch.llm.decontaminate import decontaminate
 from tidewatch.llm.language import fit_language_model, identify_language
 from tidewatch.llm.mixing import plan_mix, write_order
-from tidewatch.llm.near_duplicates import near_duplicates
-from tidewatch.llm.secrets import redact, scan_secrets
+from tidewatch.llm.near_duplicates import without_near_duplicates
+from tidewatch.llm.secrets import scan_secrets
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,24 +31,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates, and documents without an id."""
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keep one row of each group of near-duplicate texts, that of the smallest id; ids that repeat hide no other text."""
+    return without_near_duplicates(docs.select(*COLUMNS))
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop contaminated documents."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone, F.expr("doc_id <=> gone"), "left_anti").select(*COLUMNS)
+    """Drop contaminated rows."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS[1:])
+    return found.where("not contaminated").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by a mark; the documents stay."""
-    found = scan_secrets(docs.select(*COLUMNS))
-    text = redact(F.col("text"), F.col("spans"))
-    chars = F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    return found.withColumn("n_chars", chars).withColumn("text", text).select(*COLUMNS)
+    found = scan_secrets(docs.select(*COLUMNS), mark="[REDACTED]")
+    chars = F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("redacted").cast("long"))
+    return found.withColumn("n_chars", chars).withColumn("text", F.col("redacted")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
