@@ -221,16 +221,18 @@ def test_pem_line_ends_headers_and_ssh_files(end):
 
 def test_chat_round_trip(spark):
     rows = [(1, 1, "user", "a<|end|>b"), (1, 2, "user", "</s>[INST] <\\|x|>"), (1, 3, "assistant", None), (1, 4, "assistant", "z\\[/INST]"), (1, 4, "assistant", "z\\[/INST]"), (2, None, None, "<|turn|>"), (None, 1, "assistant", "né😀")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows += [(3, i, "assistant" if i % 3 else "user", f"é{i} " * 50) for i in range(600)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, conv string, mask int")
     got = {}
-    for r in chat.format_chats(df).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("learned", chat.masked_text(F.col("formatted"))).collect():
+    for r in chat.format_chats(df).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("learned", chat.masked_text(F.col("formatted"), F.col("mask"))).collect():
         got[r.conv_id] = ([tuple(t) for t in r.turns], r.learned)
         at, under = 0, ""
-        for chars, loss in r["mask"]:
-            under += r.formatted[at : at + chars] if loss else ""
+        for chars, size, loss in r["mask"]:
+            part = r.formatted[at : at + chars]
+            assert len(part.encode()) == size
+            under += re.sub(r"([<\[])\\(\\*(?:\||/?s>|/?INST\]))", r"\1\2", part) if loss else ""
             at += chars
-        assert at == len(r.formatted)
-        assert under.replace("[\\", "[").replace("<\\", "<").count("z") == r.learned.count("z")
+        assert at == len(r.formatted) and under == r.learned == "".join(t for role, t in got[r.conv_id][0] if role == "assistant")
     assert got[1] == ([("user", "a<|end|>b"), ("user", "</s>[INST] <\\|x|>"), ("assistant", ""), ("assistant", "z\\[/INST]"), ("assistant", "z\\[/INST]")], "z\\[/INST]z\\[/INST]")
     assert got[2] == ([("", "<|turn|>")], "") and got[None][1] == "né😀"
     assert chat.format_chats(df.limit(0)).count() == 0
@@ -247,6 +249,28 @@ def test_html():
     assert html_text.main_text("<script>if (a<b) {'</p>'}</script><p>ok</p><!-- <p>no</p> -->") == "ok"
 
 
+def test_html_names_that_hold_the_page_and_broken_tags():
+    body = "<p>" + "long text " * 20 + "</p>"
+    text = ("long text " * 20).strip()
+    for name in ("page has-sidebar", "social-policy-report"):
+        assert html_text.main_text(f'<div class="{name}">{body * 2}</div>') == f"{text}\n\n{text}"
+        assert html_text.main_text(f'<main><div class="{name}">{body * 2}</div></main>') == f"{text}\n\n{text}"
+    assert html_text.main_text(f'{body * 2}<div class="post-comments">{body}</div>') == f"{text}\n\n{text}"
+    assert html_text.main_text(f'<p title="a<b>c">{text}</p>') == text
+    for broken in ("<a ", "<script ", "<!", "<?", '<a "', "<a '", '<a "<a "', "</a", "<!--", '<p class="'):
+        began = time.perf_counter()
+        html_text.main_text(broken * (1_000_000 // len(broken)))
+        assert time.perf_counter() - began < 5, broken
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", None, "t", 0), (2, None, "", "t", 0), (None, "u", "<p>some words", "t", 0), (3, "u", "<p>same", "t", 0), (3, "u", "<p>same", "t", 0), (4, "u", "<p>" + "é " * 500_000, "t", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = collections.Counter((r.page_id, r.url, r.text[:5], r.n_chars) for r in html_text.extract_main_text(df).collect())
+    assert got == collections.Counter({(1, "u", "", 0): 1, (2, None, "", 0): 1, (None, "u", "some ", 10): 1, (3, "u", "same", 4): 2, (4, "u", "é é é", 999_999): 1})
+    assert html_text.extract_main_text(df.limit(0)).count() == 0
+
+
 def test_html_line_blocks_decide_on_marked_pages():
     body = "<p>" + "long text " * 20 + "</p>"
     text = ("long text " * 20).strip()
@@ -390,12 +414,17 @@ def test_token_counts(spark, tmp_path):
     flat = np.concatenate([np.append(rng.integers(0, 1000, n), 50256) for n in lengths] + [np.arange(5)]).astype("<u2")
     flat.tofile(tmp_path / "a.bin")
     np.array([], "<u2").tofile(tmp_path / "b.bin")
+    (tmp_path / "c.bin").write_bytes(b"\x01\x00\x07")
+    assert token_counts.read_token_files(spark, f"file://{tmp_path}/c.bin").first().tokens == b"\x01\x00"
+    (tmp_path / "c.bin").unlink()
     blocks = token_counts.read_token_files(spark, f"file://{tmp_path}", block_tokens=16)
+    assert blocks.where("octet_length(tokens) > 32").count() == 0
     got = sorted((r.ordinal, r.n_tokens, r.closed) for r in token_counts.count_tokens(blocks).collect())
     assert got == [(i, n, True) for i, n in enumerate(lengths)] + [(8, 5, False)]
     docs = edge_docs(spark)
-    packed = cut(token_counts.pack_documents(docs, block_tokens=64))
-    assert token_counts.count_tokens(packed).where("closed").count() == 9
+    got = collections.Counter((r.doc_id, r.n_tokens) for r in token_counts.document_tokens(docs, block_tokens=64).collect())
+    assert got[1, 0] == got[2, 0] == 1 and got[3, 3] == 2 and got[4, 3] == got[None, 3] == 1 and sum(got.values()) == 9
+    assert token_counts.document_tokens(docs.limit(0)).count() == 0
     import base64
 
     import tiktoken

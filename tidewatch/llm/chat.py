@@ -25,8 +25,8 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     Turn structs are collected and sorted by turn, then role and text (nulls first). Adjacent
     turns of one role merge into a block: <|turn|>role<|text|>text<|more|>text<|end|>. Control
     strings inside roles and texts get a backslash, so marks are never forged and reading back
-    (read_turns) is exact. mask array<struct<chars, loss>> are run lengths over formatted;
-    loss covers the texts of role ``learn``, without marks.
+    (read_turns) is exact. mask array<struct<chars, bytes, loss>> are run lengths over formatted, in code points and in
+    UTF-8 bytes; loss covers the texts of role ``learn``, without marks.
 
     Work per conversation is linear in its turns; a conversation is one row, so it must fit
     in a task, as a training example must. Null text and null role are empty; a null
@@ -45,11 +45,12 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     )
     got = got.select("conv", F.transform("begins", block).alias("blocks"))
     join = lambda b: F.concat(F.lit(TURN), escape(b["role"]), F.lit(TEXT), F.array_join(b["texts"], MORE), F.lit(END))
-    run = lambda chars, loss: F.struct(chars.cast("long").alias("chars"), loss.alias("loss"))
+    run = lambda text, loss: F.struct(F.length(text).cast("long").alias("chars"), F.octet_length(text).cast("long").alias("bytes"), loss.alias("loss"))
+    mark = lambda text: run(text, F.lit(False))
     runs = lambda b: F.concat(
-        F.array(run(F.length(escape(b["role"])) + len(TURN + TEXT), F.lit(False))),
-        F.flatten(F.transform(b["texts"], lambda t, i: F.array(run(F.when(i > 0, len(MORE)).otherwise(0), F.lit(False)), run(F.length(t), b["role"] == learn)))),
-        F.array(run(F.lit(len(END)), F.lit(False))),
+        F.array(mark(F.concat(F.lit(TURN), escape(b["role"]), F.lit(TEXT)))),
+        F.flatten(F.transform(b["texts"], lambda t, i: F.array(mark(F.when(i > 0, MORE).otherwise("")), run(t, b["role"] == learn)))),
+        F.array(mark(F.lit(END))),
     )
     return got.select(F.col("conv").alias(conv_col), F.array_join(F.transform("blocks", join), "").alias("formatted"), F.flatten(F.transform("blocks", runs)).alias("mask"))
 
@@ -65,7 +66,14 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def masked_text(formatted: Column, learn: str = "assistant") -> Column:
-    """The text under the loss mask, unescaped: the learned role's texts in order, nothing between."""
-    blocks = F.regexp_extract_all(formatted, F.lit(rf"(?s)<\|turn\|>{learn}<\|text\|>(.*?)<\|end\|>"), 1)
-    return F.array_join(F.transform(blocks, lambda b: F.array_join(F.transform(F.split(b, r"<\|more\|>"), unescape), "")), "")
+def masked_text(formatted: Column, mask: Column) -> Column:
+    """The text under the loss mask, unescaped run by run, in order, nothing between. Runs are cut from the bytes, each at its own place."""
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.expr("cast(array() as array<struct<at: long, bytes: long>>)").alias("runs"))
+
+    def step(s, r):
+        here = F.struct(s["at"].alias("at"), r["bytes"].alias("bytes"))
+        return F.struct((s["at"] + r["bytes"]).alias("at"), F.when(r["loss"], F.array_append(s["runs"], here)).otherwise(s["runs"]).alias("runs"))
+
+    raw = formatted.cast("binary")
+    cut = lambda r: F.decode(F.substring(raw, r["at"].cast("int"), r["bytes"].cast("int")), "UTF-8")
+    return F.array_join(F.transform(F.aggregate(mask, start, step)["runs"], lambda r: unescape(cut(r))), "")

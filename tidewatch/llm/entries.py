@@ -13,9 +13,8 @@ from .lm_score import cross_entropy_difference
 from .mixing import plan_mix
 from .near_duplicates import near_duplicates
 from .secrets import scan_secrets
-from .token_counts import count_tokens, pack_documents
+from .token_counts import document_tokens
 from .top_k import top_k
-from ._text import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +43,10 @@ def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
-    chats = format_chats(rows.union(more)).withColumn("turns", read_turns(F.col("formatted"))).withColumn("learned", masked_text(F.col("formatted")))
+    own = F.lit("</s>[INST] ok [/INST]")
+    more = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), own.alias("text"))
+    more = more.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
+    chats = format_chats(rows.union(more)).withColumn("turns", read_turns(F.col("formatted"))).withColumn("learned", masked_text(F.col("formatted"), F.col("mask")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(
         "conv_id",
@@ -83,9 +84,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = cut(pack_documents(_table(spark, sf_dir, "documents")))
-    names = packed.select("stream", "first_doc", F.posexplode("docs").alias("k", "doc_id")).select("stream", (F.col("first_doc") + F.col("k")).alias("ordinal"), "doc_id")
-    return names.join(count_tokens(packed), ["stream", "ordinal"]).select("doc_id", "n_tokens")
+    return document_tokens(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:

@@ -20,27 +20,44 @@ _MAIN = frozenset(("article", "main"))
 #: Text of dense blocks inside article or main counts so many times against that outside.
 MARKED = 2
 
-_RAW = re.compile(r"<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A tag ends at its >, or is text if another < comes first outside quotes: no search runs past the next tag.
+_REST = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_RAW = re.compile(rf"<(script|style)\b{_REST}>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<![^<>]*>|<\?[^<>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)({_REST})>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
-def _is_noise(tag: str, attributes: str) -> bool:
+def _noise(tag: str, attributes: str) -> int:
+    """2 for an element that never holds main text, 1 for one whose class or id has a compound name with a word of such parts, else 0."""
     if tag in _DROPPED:
-        return True
+        return 2
     if tag in ("body", "html", "article", "main") or not attributes:
-        return False
+        return 0
+    found = 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a or b or c).lower())
-        if name.lower() == "role" and _ROLES.intersection(words) or name.lower() in ("class", "id") and _NAMES.intersection(words):
-            return True
-    return False
-
-
-def _lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length of its links' texts, inside the main element) of every line without noise; a part of noise is an empty line."""
+        value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a or b or c).lower()
+        if name.lower() == "role" and _ROLES.intersection(value.split()):
+            return 2
+        if name.lower() in ("class", "id"):
+            for token in value.split():
+                words = [w for w in re.split(r"[^a-z]+", token) if w]
+                if len(words) == 1 and words[0] in _NAMES:
+                    return 2
+                if _NAMES.intersection(words):
+                    found = 1
+    return found
+
+
+def _lines(page: str, least: int = 1) -> list[tuple[str, int, bool]]:
+    """(text, length of its links' texts, inside the main element) of every line without noise (as of _noise, ``least`` and above);
+    a part of noise is an empty line. A compound name doesn't make noise of what holds most of the page's text."""
     source = _RAW.sub(" ", page)
     tags = list(_TAG.finditer(source))
+    before = [0]  # characters of text before each tag, and in all
+    for k, m in enumerate(tags):
+        before.append(before[-1] + len(source[tags[k - 1].end() if k else 0 : m.start()].strip()))
+    before.append(before[-1] + len(source[tags[-1].end() if tags else 0 :].strip()))
+    before = before[1:]
     close: dict[int, int] = {}
     opened: dict[str, list[int]] = {}
     for k, m in enumerate(tags):
@@ -73,7 +90,10 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
         if m is None:
             break
         at, tag = m.end(), (m[2] or "").lower()
-        if tag and not m[1] and _is_noise(tag, m[3] or "") and (k in close or tag in _VOID):
+        kind = _noise(tag, m[3] or "") if tag and not m[1] and (k in close or tag in _VOID) else 0
+        if kind == 1 and 2 * (before[close.get(k, k)] - before[k]) > before[-1]:
+            kind = 0
+        if kind >= least:
             end()
             k = close.get(k, k)
             at = tags[k].end()
@@ -93,7 +113,10 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str, window: int = 3, surge: int = 80) -> str:
     """See extract_main_text."""
-    lines = _lines(page)
+    return _dense_text(_lines(page), window, surge)
+
+
+def _dense_text(lines: list[tuple[str, int, bool]], window: int, surge: int) -> str:
     weights = [0 if 2 * linked > len(text) else len(text) for text, linked, _ in lines]
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     blocks, start = [], None

@@ -12,6 +12,8 @@ _WORDS = r"[^\\x20\\x09-\\x0D]+"
 
 #: The block table is broadcast up to so many rows of about 100 bytes.
 _BROADCAST_ROWS = 100_000
+#: Rows of a block where a table is so large that 1,024 blocks would hold more.
+BLOCK_ROWS = 65_536
 
 
 def water_fill(sizes: list[int], weights: list[int], most: int) -> list[float]:
@@ -61,7 +63,7 @@ def plan_mix(
     source_col: str = "source",
     weights: tuple[int, ...] = (1, 2, 3),
     most: int = 3,
-    blocks: int = 1024,
+    blocks: int | None = None,
     shards: int = 16,
     seed: int = 17,
     keep: list[str] | None = None,
@@ -73,7 +75,8 @@ def plan_mix(
     its source's size and the excess is shared again. draws array<struct<pass, shard>>
     says in which output shards a row's copies go; taken = size * number of draws.
 
-    Rows fall into ``blocks`` blocks of their source by hash. A source draws all its blocks
+    Rows fall into ``blocks`` blocks of their source by hash (None: 1,024, and one more for every BLOCK_ROWS rows
+    beyond 1,024 times as many, so a block stays small at any size). A source draws all its blocks
     as often as its target holds it whole; then permuted blocks up to the rest, and of the block
     on the border permuted rows, so taken misses the target by at most half a row.
     The splitting tree deals each source's block draws to the shards; a shard takes the next ones of
@@ -89,8 +92,9 @@ def plan_mix(
     size = F.coalesce(F.expr(f"regexp_count(x, '{_WORDS}')").cast("long"), F.lit(0).cast("long"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("x"), *[F.col(c).alias(f"k_{c}") for c in keep or []])
     rows = rows.withColumn("size", size).withColumn("h", F.xxhash64("id", "x", F.lit(seed)))
-    rows = rows.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")).withColumn("h", F.xxhash64("h", F.lit(seed + 1)))
     rows = cut(rows.drop("x"))
+    blocks = blocks or max(1024, rows.count() // BLOCK_ROWS)
+    rows = rows.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")).withColumn("h", F.xxhash64("h", F.lit(seed + 1)))
 
     per_block = cut(rows.groupBy("source", "block").agg(F.sum("size").alias("words")))
     totals = {r.source: (int(r.words), int(r.n)) for r in per_block.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("n")).toLocalIterator()}

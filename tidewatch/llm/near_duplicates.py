@@ -221,6 +221,22 @@ def _row_hash(id_col: str, text_col: str) -> F.Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
+#: Bits of the filter below: at most 2**20 numbers of 64.
+_FILTER_BITS = 1 << 26
+
+
+def _likely_in(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """rows with maybe, true for every row whose column is in keys (of the same name) and, by chance, for few others.
+
+    A bit for each key, 64 bits a row, is broadcast: at most 1,048,576 rows at any size. With more keys than bits it only filters less.
+    """
+    at = F.pmod(F.col(column), F.lit(_FILTER_BITS))
+    bits = keys.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("_bits"))
+    found = rows.withColumn("_at", at).join(F.broadcast(bits), F.shiftright("_at", 6) == F.col("_word"), "left")
+    maybe = F.coalesce(F.expr("(_bits & shiftleft(1L, cast(_at & 63 as int))) <> 0"), F.lit(False))
+    return found.select(*rows.columns, maybe.alias("maybe"))
+
+
 def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, trees: int, small: int, levels: int, children: int) -> tuple[DataFrame, DataFrame]:
     """(id, row, n, h1, h2) of every row, and (n, h1, h2, node, rep, k, group) of every set that isn't empty: its number, smallest
     id, rows, and the smallest number that links reach. Numbers rise with the smallest id, nulls last."""
@@ -257,8 +273,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     large = first.where(F.col("size") > small).select("path", "id")
 
     need = found.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
-    wanted = reps.join(need, "id", "left_semi").select("row", "id", "h1", "h2")
-    texts_of = base.select("row", "text").join(wanted, "row").select("id", "text", "h1", "h2")
+    wanted = kept(reps.join(need, "id", "left_semi").select("row", "id", "h1", "h2"))
+    # Only texts that are likely wanted are shuffled.
+    texts_of = _likely_in(base.select("row", "text"), "row", wanted).where("maybe").join(wanted, "row").select("id", "text", "h1", "h2")
     sets = kept(map_batches(texts_of, _sets(width), "id long, shingles binary").dropDuplicates(["id"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -369,12 +386,14 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     o = {"width": 5, "percent": 75, "trees": 16, "small": 8, "levels": 3, "children": 2} | options
     signed, classes = _linked(docs, id_col, text_col, **o)
-    grouped = _attach(signed.where("n > 0"), classes, "group").groupBy("group", F.col("id").isNull().alias("none"), "id", "row").agg(F.count("*").alias("rows"))
-    best = grouped.groupBy("group").agg(F.min(F.struct("none", "id", "row", "rows")).alias("b"))
-    empty = signed.where("n = 0").select("row").distinct().select("row", F.lit(1).cast("long").alias("rows"))
-    stay = cut(best.select("b.row", "b.rows").union(empty))
-    rows = docs.withColumn("_row", _row_hash(id_col, text_col)).join(stay.select(F.col("row").alias("_stay"), F.col("rows").alias("_rows")), F.col("_row") == F.col("_stay"))
-    single = rows.where("_rows = 1").select(*docs.columns)
+    grouped = cut(_attach(signed.where("n > 0"), classes, "group").groupBy("group", F.col("id").isNull().alias("none"), "id", "row").agg(F.count("*").alias("rows")))
+    best = grouped.groupBy("group").agg(F.min(F.struct("none", "id", "row")).alias("b"), F.sum("rows").alias("all")).where("all > 1")
+    shared = cut(grouped.join(best.select("group", F.col("b.row").alias("first")), "group").select("row", (F.col("row") == F.col("first")).alias("stays"), "rows"))
+    # Rows alone in their group go straight through; the others meet their decision.
+    rows = _likely_in(docs.withColumn("_row", _row_hash(id_col, text_col)), "_row", shared.select(F.col("row").alias("_row")))
+    alone = rows.where("not maybe").select(*docs.columns)
+    met = rows.where("maybe").join(shared.select(F.col("row").alias("_shared"), F.col("stays").alias("_stays"), F.col("rows").alias("_rows")), F.col("_row") == F.col("_shared"), "left")
+    single = met.where("_shared is null or (_stays and _rows = 1)").select(*docs.columns)
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    first = rows.where("_rows > 1").groupBy("_row").agg(F.min(F.struct(id_col, text_col, *others)).alias("x")).select("x.*")
-    return single.union(first.select(*docs.columns))
+    first = met.where("_stays and _rows > 1").groupBy("_row").agg(F.min(F.struct(id_col, text_col, *others)).alias("x")).select("x.*")
+    return alone.union(single).union(first.select(*docs.columns))

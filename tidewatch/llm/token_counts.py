@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import base64
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import cut, map_batches
+from ._text import cut, map_batches, shared_dir
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text before merging (the public pattern of this vocabulary).
@@ -20,61 +22,86 @@ SEPARATOR = 50256
 _DTYPE = np.dtype("<u2")
 
 
-def read_token_files(spark: SparkSession, path: str, block_tokens: int = 1 << 20) -> DataFrame:
-    """(stream, block, tokens) of flat files of little-endian 16-bit identifiers.
+def _ranges(batches):
+    """Each (stream, block, at, size) with its bytes, read by the task itself."""
+    for batch in batches:
+        for path, block, at, size in zip(*(c.to_pylist() for c in batch.columns)):
+            system, name = pafs.FileSystem.from_uri(path)
+            with system.open_input_file(name) as f:
+                f.seek(at)
+                raw = f.read(size)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([block], pa.int32()), pa.array([raw], pa.binary())], ["stream", "block", "tokens"])
 
-    A file is a stream, named by its path; an odd last byte is left out. Files are read
-    whole by one task, so each must be under 2 GB, Spark's limit for a binary value.
+
+def read_token_files(spark: SparkSession, path: str, block_tokens: int = 1 << 20, names: str = "*") -> DataFrame:
+    """(stream, block, tokens) of flat files of little-endian 16-bit identifiers, of any size; of a folder those whose names fit ``names``.
+
+    A file is a stream, named by its path; an odd last byte is left out, and an empty file has no block. Spark lists
+    the files, and tasks read ranges of block_tokens identifiers each, spread evenly, so a large file is many tasks' work.
+    Ranges are read by pyarrow's file systems (local or mounted, HDFS, S3, GCS).
     """
-    step = block_tokens * _DTYPE.itemsize
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream"), "content", F.length("content").alias("n"))
-    starts = F.when(F.col("n") > 1, F.sequence(F.lit(0), F.col("n") - 2, F.lit(step))).otherwise(F.expr("array(0)"))
-    cuts = files.select("stream", "content", "n", F.posexplode(starts).alias("block", "at"))
-    size = F.least(F.lit(step), F.col("n") - F.col("n") % 2 - F.col("at"))
-    return cuts.select("stream", "block", F.expr("content").substr(F.col("at") + 1, size).alias("tokens"))
+    width = _DTYPE.itemsize
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select(F.col("path").alias("stream"), (F.col("length") - F.col("length") % width).alias("n")).where("n > 0")
+    cuts = files.select("stream", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block_tokens * width).cast("long"))).alias("block", "at"))
+    cuts = cuts.select("stream", "block", "at", F.least(F.lit(block_tokens * width).cast("long"), F.col("n") - F.col("at")).alias("size"))
+    dealt = cuts.repartition(F.xxhash64("stream", "block"))
+    return map_batches(dealt, _ranges, "stream string, block int, tokens binary")
 
 
-def _encode(ranks: str, text_at: int, id_at: int, block_tokens: int):
+def _encode(ranks: str, folder: str, keep_ids: int):
     def run(batches):
         import tiktoken
 
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("flat", pat_str=_SPLIT, mergeable_ranks=merges, special_tokens={})
-        stream, block, first, n = f"part-{TaskContext.get().partitionId():06d}", 0, 0, 0
-        held: list[np.ndarray] = []
-        size, ended = 0, []
-
-        def rows(tokens, ids):
-            arrays = [pa.array([stream]), pa.array([block], pa.int32()), pa.array([tokens.tobytes()], pa.binary()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(arrays, ["stream", "block", "tokens", "first_doc", "docs"])
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(id_at).to_pylist(), batch.column(text_at)):
-                text = text.as_py() or ""
-                held.append(np.array([*encoding.encode_ordinary(text), SEPARATOR], _DTYPE))
-                size += len(held[-1])
-                ended.append(doc_id)
-                while size >= block_tokens:
-                    flat = np.concatenate(held)
-                    tokens, rest = flat[:block_tokens], flat[block_tokens:]
-                    yield rows(tokens, ended)
-                    held, size, block, first, ended = [rest], len(rest), block + 1, first + len(ended), []
-        if size or ended:
-            yield rows(np.concatenate(held), ended)
+        task = TaskContext.get()
+        stream, first, ended = f"part-{task.partitionId():06d}.bin", 0, []
+        system, where = pafs.FileSystem.from_uri(folder)
+        # Under a name of the attempt until it is whole: a task that runs again replaces the file.
+        own = f"{where}/_{stream}-{task.taskAttemptId()}"
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([stream]), pa.array([first], pa.int64()), pa.array([ended], pa.list_(pa.int64()))], ["stream", "first_doc", "docs"])
+
+        with system.open_output_stream(own) as out:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    out.write(np.array([*encoding.encode_ordinary(text.as_py() or ""), SEPARATOR], _DTYPE).tobytes())
+                    ended.append(doc_id)
+                    if len(ended) >= keep_ids:
+                        yield row()
+                        first, ended = first + len(ended), []
+        system.move(own, f"{where}/{stream}")
+        if ended:
+            yield row()
 
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = DEFAULT_RANKS, block_tokens: int = 1 << 20) -> DataFrame:
-    """(stream, block, tokens, first_doc, docs): each partition's texts as one flat token stream in blocks.
+def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
+    """Write each partition's texts as one flat token file in folder (a URI that all executors reach; made here), and
+    return (stream, first_doc, docs): a file's name, and the ids of its documents in order, first_doc the place of the first.
 
-    A separator follows every text, empty and null ones too. docs are the ids of texts read
-    for the block, in order, first_doc the place of the first of them in the stream. The result
-    is only defined once written, as streams follow the partitions.
+    A separator follows every text, empty and null ones too. Null ids stay, repeated rows are written each. The list is
+    written beside the files. Partitions without rows, and so an empty table, give files without tokens.
     """
+    spark = docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_batches(rows, _encode(ranks, 1, 0, block_tokens), "stream string, block int, tokens binary, first_doc long, docs array<long>")
+    return cut(map_batches(rows, _encode(ranks, folder, 4096), "stream string, first_doc long, docs array<long>"))
+
+
+def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = DEFAULT_RANKS, block_tokens: int = 1 << 20) -> DataFrame:
+    """(id, n_tokens) of every row: flat files in the shared folder, scanned for separators, and named by the order of writing."""
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    listed = write_token_files(docs, folder, id_col, text_col, ranks)
+    counts = count_tokens(read_token_files(spark, folder, block_tokens, "part-*.bin"))
+    counts = counts.withColumn("stream", F.element_at(F.split("stream", "/"), -1))
+    names = listed.select("stream", "first_doc", F.posexplode("docs").alias("k", "id")).select("stream", (F.col("first_doc") + F.col("k")).alias("ordinal"), "id")
+    return names.join(counts, ["stream", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
 
 
 def _scan(separator: int):
