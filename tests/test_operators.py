@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import labels, scores
-from tidewatch.operators import bursts, clean, curves, detectors, joins, metrics, sampling
+from tidewatch.operators import _work, bursts, clean, curves, detectors, joins, measurements, metrics, sampling
 from tidewatch.plans.files_streams import replay
 from tidewatch.sources import captures
 from tidewatch.streaming import online
@@ -116,6 +116,15 @@ def test_edges(spark):
     flat = spark.createDataFrame([(1.0,), (1.0,)], "a double")
     assert [r.a for r in clean.minmax_scale(flat, ["a"], flat).collect()] == [0.0, 0.0]
     assert sampling.quotas({"a": 900, "b": 30}, 100) == {"a": 70, "b": 30}
+    assert sampling.quotas({"a": 1000, "b": 1000}, 60) == {"a": 30, "b": 30}
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        counts = {c: int(n) for c, n in enumerate(rng.integers(1, 400, rng.integers(1, 9)))}
+        budget = int(rng.integers(1, 600))
+        want = {c: min(n, max(round(n * budget / sum(counts.values())), min(50, n))) for c, n in counts.items()} if sum(counts.values()) > budget else counts
+        while sum(want.values()) > max(budget, len(counts)):
+            want[max(want, key=lambda c: (want[c], c))] -= 1
+        assert sampling.quotas(counts, budget) == want
 
 
 def _walk(spark, n=120):
@@ -174,4 +183,66 @@ def test_pca_reconstruction_replay(spark):
     p = np.linalg.svd(z, full_matrices=False)[2][:2]
     res = z - z @ p.T @ p
     want = sorted(np.mean(res**2 / (res**2).mean(0), axis=1))
-    assert np.allclose(sorted(r.score for r in detectors.pca_reconstruction(df, df, cols, 2).collect()), want)
+    assert np.allclose(sorted(r.score for r in detectors.pca_reconstruction(df, df, cols, latent=2).collect()), want)
+
+
+def test_chains_go_on_from_batch_to_batch(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, i, float(v), 1) for k, n in (("a", 500), ("b", 3), (None, 40), ("c", 90)) for i, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "k string, t int, v double, score int").repartition(7)
+    ask = {
+        "ema": lambda: detectors.ema_baseline_score(df, "k", ["t"], ["v"], {"v": 0.0}, 0.1),
+        "kalman": lambda: detectors.kalman_by_key(df, "k", ["t"], ["v"], [0.0], [1.0], 2.0),
+        "chi2": lambda: measurements.kalman_chi2_by_key(df, "k", ["t"], ["v"], [[1]], [[1e-3]], [[1]], [0]),
+        "adaptive": lambda: measurements.adaptive_kalman_by_key(df, "k", ["t"], ["v"], [[1]], [[1e-3]], [[1]], [0], xi_threshold=1.0),
+        "cache": lambda: detectors.pattern_cache(df.withColumn("x", F.array("v", F.lit(0.3))), "k", ["t"], "x"),
+    }
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for name, run in ask.items():
+            found = []
+            for n in ("10000", "7"):
+                spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+                found.append(sorted(map(tuple, run().collect()), key=lambda r: (r[0] is None, r[0] or "", r[1])))
+            assert len(found[0]) == 633 and found[0] == found[1], name
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    z = np.array([r[2] for r in rows if r[0] == "a"])[:, None]
+    want = detectors.kalman_steps(z, np.zeros(1), np.ones(1), 0, [1.0], 2.0)
+    got = ask["kalman"]().where("k = 'a'").orderBy("t").collect()
+    assert np.allclose([r.score for r in got], want[0]) and [r.flag for r in got] == want[1].tolist()
+
+
+def test_every_detector_keeps_the_contract(spark):
+    rng = np.random.default_rng(4)
+    cols = [f"c{i}" for i in range(5)]
+    frame = lambda x, y: spark.createDataFrame([(i, y, *map(float, v)) for i, v in enumerate(x)], "id int, y int, " + ", ".join(f"{c} double" for c in cols))
+    fit = frame(rng.normal(size=(700, 5)), 0)
+    test = frame(rng.normal(size=(200, 5)), 0).unionByName(frame(rng.normal(size=(80, 5)) + 4, 1))
+    for name in detectors.list_detectors():
+        out = detectors.make_detector(name)(fit, test, cols, k=3)
+        if name != "null":
+            assert curves.roc_auc(out, "y", "score").first()[0] > 0.95, name
+        bad = out.where("score is null or isnan(score) or flag not in (0, 1) or trust is null or trust < 0 or trust > 1 or size(embedding) <> 3 or exists(embedding, x -> x is null or isnan(x))")
+        assert bad.count() == 0 and out.count() == 280, name
+        with pytest.raises(Exception):
+            detectors.make_detector(name)(fit, test.drop("c0"), cols).count() if name != "null" else 1 / 0
+    out = detectors.wrap_model(lambda x: np.abs(x).sum(axis=1), fit, test, cols, k=3, flag_fn=lambda x: x[:, 0] > 2, trust_fn=lambda x: x[:, 0], embed_fn=lambda x: x[:, :2])
+    r = out.where("id = 5 and y = 1").first()
+    assert r.flag == int(r.c0 > 2) and r.trust == min(1.0, max(0.0, r.c0)) and r.embedding == [r.c0, r.c1, 0.0]
+    both = detectors.detector_comparison(fit, test, cols, names=("zscore", "isolation_forest", "null"))
+    assert {x.detector: x.roc_auc > 0.9 for x in both.collect()} == {"zscore": True, "isolation_forest": True, "null": False}
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a", float(x)) for x in rng.normal(size=500)] + [("b", float(x)) for x in rng.integers(0, 4, 300)] + [(None, 2.0), ("n", None), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {r.g: list(r)[1:] for r in _work.quantiles(df, "v", qs, ["g"]).collect()}
+    for g in ("a", "b"):
+        assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g and v is not None], qs))
+    assert got[None] == [2.0] * 5 and got["n"] == [None] * 5
+    every = [v for _, v in rows if v is not None]
+    assert np.allclose(_work.quantile_list(df, "v", qs), np.quantile(every, qs)) and np.allclose(list(_work.quantiles(df, "v", qs).first()), np.quantile(every, qs))
+    assert _work.quantile_list(df.limit(0), "v", qs) == [None] * 5

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,3 +41,76 @@ def prefix_sums(df: DataFrame, order: list, sums: list[str]) -> DataFrame:
     own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = parts.join(offsets, F.col("_part") == F.col("_p"))
     return out.select(*df.columns, *[(F.sum(c).over(own) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums])
+
+
+def _same(by: list[str], a: str, b: str):
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return on
+
+
+def grouped_sums(g: DataFrame, by: list[str], order: list, sums: list[str]) -> DataFrame:
+    """g with cum_<column>, running over ``order`` within ``by``, and total_<column> of the group, for each of sums (not below 0).
+
+    One running sum over (by, order) is spread over range partitions; what a group begins with is taken off, so no group
+    is one task's work. Rows equal in by and order must be grouped before.
+    """
+    c = stored(prefix_sums(g, [*by, *order], sums))
+    sizes = c.groupBy(*by).agg(*[F.sum(x).alias(f"total_{x}") for x in sums], *[F.min(F.col(f"cum_{x}") - F.col(x)).alias(f"_before_{x}") for x in sums])
+    joined = c.alias("c").join(sizes.alias("s"), _same(by, "c", "s")) if by else c.alias("c").crossJoin(F.broadcast(sizes).alias("s"))
+    cums = [(F.col(f"c.cum_{x}") - F.col(f"s._before_{x}")).alias(f"cum_{x}") for x in sums]
+    return joined.select(*[F.col(f"c.{x}") for x in g.columns], *cums, *[F.col(f"s.total_{x}") for x in sums])
+
+
+def quantile_list(df: DataFrame, value: str, qs: list[float]) -> list[float | None]:
+    """Exact quantiles of a column, any number of them: as of quantiles, but the driver gets the few values at their ranks."""
+    g = df.select(F.col(value).cast("double").alias("_v")).where("_v is not null").groupBy("_v").agg(F.count("*").alias("k"))
+    c = stored(grouped_sums(g, [], ["_v"], ["k"]))
+    total = c.agg(F.max("total_k")).first()[0]
+    if not total:
+        return [None] * len(qs)
+    at = [(total - 1) * q for q in qs]
+    ranks = sorted({int(f(x)) for x in at for f in (math.floor, math.ceil)})
+    before = F.col("cum_k") - F.col("k")
+    mine = F.filter(F.array(*[F.lit(x).cast("long") for x in ranks]), lambda x: (x >= before) & (x < F.col("cum_k")))
+    near = c.where((F.col("k") > 1) | before.isin(ranks)).select("_v", mine.alias("ranks")).where("size(ranks) > 0")
+    found = {x: r["_v"] for r in near.toLocalIterator() for x in r["ranks"]}
+    return [found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) if x % 1 else found[int(x)] for x in at]
+
+
+def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, q0, q1, ...): exact quantiles of the group, interpolated between the two nearest rows; null where it has no value.
+
+    Rows are counted by value and the counts are summed over range partitions, so neither a group nor the
+    whole column is ever one task's work; what is left is one row for each group and quantile's two neighbours. Nulls take no part.
+    """
+    by = list(by or [])
+    names = [f"_g{i}" for i in range(len(by))]
+    keys = [F.col(c).alias(n) for c, n in zip(by, names)]
+    g = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null").groupBy(*names, "_v").agg(F.count("*").alias("k"))
+    c = grouped_sums(g, names, ["_v"], ["k"]).withColumnsRenamed({"cum_k": "cum", "total_k": "total"})
+    parts = []
+    for i, q in enumerate(qs):
+        at = (F.col("total") - 1) * F.lit(float(q))
+        low, high = F.floor(at), F.ceil(at)
+        holds = lambda place: (F.col("cum") > place) & (F.col("cum") - F.col("k") <= place)
+        parts += [F.max(F.when(holds(low), F.col("_v"))).alias(f"_l{i}"), F.max(F.when(holds(high), F.col("_v"))).alias(f"_h{i}")]
+    found = c.groupBy(*names).agg(F.max("total").alias("total"), *parts)
+    out = []
+    for i, q in enumerate(qs):
+        at = (F.col("total") - 1) * F.lit(float(q))
+        low, high, f = F.col(f"_l{i}"), F.col(f"_h{i}"), at - F.floor(at)
+        out.append(F.when(F.floor(at) == F.ceil(at), low).otherwise((1 - f) * low + f * high).alias(f"q{i}"))
+    out = found.select(*[F.col(n).alias(c) for n, c in zip(names, by)], *out)
+    if by:  # groups without a value stay, with nulls
+        every = df.select(*by).distinct()
+        out = every.alias("e").join(out.alias("o"), _same(by, "e", "o"), "left").select("e.*", *[f"o.q{i}" for i in range(len(qs))])
+    return out
+
+
+def column_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns in one pass over df."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in cols])).alias("x")).select("x._c", "x._x")
+    found = {r["_c"]: [r[f"q{i}"] for i in range(len(qs))] for r in quantiles(each, "_x", qs, ["_c"]).collect()}  # one row for each column
+    return {c: found.get(c, [None] * len(qs)) for c in cols}

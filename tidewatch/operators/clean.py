@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._work import column_quantiles
+
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """Text to double; what fails, and infinite and NaN values, become null."""
@@ -19,8 +21,10 @@ def _one_row(df: DataFrame, stats: dict[str, Column]) -> dict:
 def impute_median(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     """Rows without any feature go; other nulls become the column's median, or 0 if it has none."""
     rows = df.where(F.coalesce(*[F.col(c) for c in cols]).isNotNull())
-    median = (lambda c: F.percentile(c, F.lit(0.5))) if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000))
-    found = _one_row(rows, {c: median(c) for c in cols})
+    if exact:
+        found = {c: q[0] for c, q in column_quantiles(rows, cols, [0.5]).items()}
+    else:
+        found = _one_row(rows, {c: F.percentile_approx(c, 0.5, 10_000) for c in cols})
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(float(found[c] or 0.0))) for c in cols})
 
 
@@ -71,8 +75,9 @@ def log1p_zscore(df: DataFrame, cols: list[str], fit_df: DataFrame) -> DataFrame
 
 
 def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A row for each feature: min, max, mean, population std, median; one pass over df."""
-    parts = [F.struct(F.lit(c).alias("feature"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.percentile(c, F.lit(0.5)).alias("median")) for c in cols]
+    """A row for each feature: min, max, mean, population std and variance, exact median."""
+    medians = column_quantiles(df, cols, [0.5])
+    parts = [F.struct(F.lit(c).alias("feature"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.var_pop(c).alias("variance"), F.lit(medians[c][0]).cast("double").alias("median")) for c in cols]
     return df.agg(F.array(*parts).alias("s")).select(F.inline("s"))
 
 
@@ -86,6 +91,13 @@ def dedup_exact(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.dropDuplicates(cols)
 
 
+def duplicate_rate(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(n, n_distinct, rate): rows, different vectors, and the share of rows that dedup_exact drops (0 without rows)."""
+    counts = df.groupBy(*cols).agg(F.count("*").alias("k"))
+    n, d = F.coalesce(F.sum("k"), F.lit(0)), F.count("*")
+    return counts.agg(n.alias("n"), d.alias("n_distinct"), F.when(n > 0, 1 - d / n).otherwise(0.0).alias("rate"))
+
+
 def feature_attribution(df: DataFrame, resid_cols: list[str], k: int = 15) -> DataFrame:
     """(feature, energy): the k features of largest mean squared residual."""
     parts = [F.struct(F.lit(c).alias("feature"), F.avg(F.col(c) * F.col(c)).alias("energy")) for c in resid_cols]

@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import prefix_sums, stored
+from ._work import grouped_sums, prefix_sums, quantile_list, quantiles, stored
 
 
-def _cumulative(df: DataFrame, y: str, score: str) -> DataFrame:
-    """(s, tp, fp, pos, neg) for every distinct score, from the largest down, with totals p and n."""
-    g = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
-    c = prefix_sums(g, [F.desc("s")], ["pos", "neg"]).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
-    t = c.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return c.crossJoin(F.broadcast(t))
+def _cumulative(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """(by, s, tp, fp, pos, neg) for every distinct score, from the largest down, with the group's totals p and n."""
+    g = df.where(F.col(score).isNotNull()).groupBy(*(by or []), F.col(score).alias("s")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
+    c = grouped_sums(g, by or [], [F.desc("s")], ["pos", "neg"])
+    return c.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "total_pos": "p", "total_neg": "n"})
 
 
-def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Area under the ROC curve, ties by trapezoid; null with one class only."""
-    c = _cumulative(df, y, score)
+def roc_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """Area under the ROC curve, of each group if ``by`` is given, ties by trapezoid; null with one class only."""
+    c = _cumulative(df, y, score, by)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return c.agg((area / (F.max("p") * F.max("n"))).alias("roc_auc"))
+    return c.groupBy(*(by or [])).agg((area / (F.max("p") * F.max("n"))).alias("roc_auc"))
 
 
-def pr_auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Average precision over distinct scores."""
-    c = _cumulative(df, y, score)
-    return c.agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("p")).alias("pr_auc"))
+def pr_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """Average precision over distinct scores, of each group if ``by`` is given."""
+    c = _cumulative(df, y, score, by)
+    return c.groupBy(*(by or [])).agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("p")).alias("pr_auc"))
 
 
 def score_orientation(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -66,28 +65,31 @@ def _at_thresholds(df: DataFrame, y: str, score: str, thresholds: list[float]) -
 def best_f1_threshold(df: DataFrame, y: str, score: str, lo: float = 0.5, hi: float = 0.9995, n: int = 400) -> DataFrame:
     """(threshold, f1): the first best of n quantiles as thresholds. Uses labels: an optimistic bound."""
     qs = [lo + (hi - lo) * i / (n - 1) for i in range(n)]
-    cuts = df.agg(F.percentile(score, F.array(*map(F.lit, qs)))).first()[0]
+    cuts = quantile_list(df, score, qs)
     c = _at_thresholds(df, y, score, cuts).withColumn("f1", 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p")))
     return c.agg(F.max(F.struct("f1", (-F.col("i")).alias("i"), "threshold")).alias("b")).select("b.threshold", "b.f1")
 
 
 def prior_threshold_sweep(df: DataFrame, y: str, score: str, alphas: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2, 0.3, 0.4)) -> DataFrame:
     """(alpha, threshold, f1): the score's 1 - alpha quantile as threshold."""
-    cuts = df.agg(F.percentile(score, F.array(*[F.lit(1 - a) for a in alphas]))).first()[0]
+    cuts = quantile_list(df, score, [1 - a for a in alphas])
     c = _at_thresholds(df, y, score, cuts)
     alpha = F.element_at(F.array(*map(F.lit, alphas)), F.col("i") + 1)
     return c.select(alpha.alias("alpha"), "threshold", (2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p"))).alias("f1"))
 
 
 def benign_quantile_threshold(df: DataFrame, score: str, alpha: float = 0.05, by: list[str] | None = None, exact: bool = True) -> DataFrame:
-    q = F.percentile(score, F.lit(1 - alpha)) if exact else F.percentile_approx(score, 1 - alpha, 10_000)
-    return df.groupBy(*(by or [])).agg(q.alias("threshold"))
+    """(by, threshold): the 1 - alpha quantile, exact and spread, or by a sketch."""
+    if exact:
+        return quantiles(df, score, [1 - alpha], by).withColumnRenamed("q0", "threshold")
+    return df.groupBy(*(by or [])).agg(F.percentile_approx(score, 1 - alpha, 10_000).alias("threshold"))
 
 
 def robust_scale(df: DataFrame, score: str) -> DataFrame:
     """IQR / 1.349, or the population deviation where that is 0."""
-    q = F.percentile(score, F.array(F.lit(0.25), F.lit(0.75)))
-    return df.agg(q.alias("q"), F.stddev_pop(score).alias("s")).select(F.when(F.col("q")[1] > F.col("q")[0], (F.col("q")[1] - F.col("q")[0]) / 1.349).otherwise(F.col("s")).alias("scale"))
+    low, high = quantile_list(df, score, [0.25, 0.75])
+    spread = F.lit((high - low) / 1.349) if low is not None and high > low else F.stddev_pop(score)
+    return df.agg(spread.cast("double").alias("scale"))
 
 
 def evt_threshold(df: DataFrame, score: str, alpha: float = 0.05, tail: float = 0.10, gap: float = 0.03) -> DataFrame:
@@ -95,15 +97,15 @@ def evt_threshold(df: DataFrame, score: str, alpha: float = 0.05, tail: float =
 
     The shape is half of 1 minus the second raw moment over the squared mean, held to 0.25 either
     way. Falls back to the plain quantile under 10 exceedances, for a threshold that is not
-    positive and finite, or one whose empirical quantile is off by more than gap. Under 50 scores is an error.
+    positive and finite, or one whose empirical quantile is off by more than gap. Under 50 finite scores is an error.
     """
     import math
 
-    base = df.where(F.col(score).isNotNull() & ~F.isnan(score))
-    n, qs = base.agg(F.count("*"), F.percentile(score, F.array(F.lit(1 - tail), F.lit(1 - alpha)))).first()
+    base = df.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf")))
+    n = base.count()
     if n < 50:
         raise ValueError(f"{n} scores are too few for a tail fit")
-    u, plain = qs
+    u, plain = quantile_list(base, score, [1 - tail, 1 - alpha])
     e = F.when(F.col(score) > u, F.col(score) - u)
     k, m1, m2 = base.agg(F.count(e), F.avg(e), F.avg(e * e)).first()
     xi, beta, thr, fallback = 0.0, 1e-12, plain, True
@@ -124,8 +126,7 @@ def ks_drift(a: DataFrame, b: DataFrame, cols: list[str], p: float = 0.01) -> Da
     """(feature, ks, p_value, drifted): two-sample Kolmogorov-Smirnov with the asymptotic p-value."""
     long = lambda d, side: d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.feature", "x.v", F.lit(side).alias("side")).where("v is not null")
     g = long(a, 0).union(long(b, 1)).groupBy("feature", "v").agg(F.sum((F.col("side") == 0).cast("long")).alias("na"), F.sum((F.col("side") == 1).cast("long")).alias("nb"))
-    upto = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    c = g.select("feature", F.sum("na").over(upto).alias("ca"), F.sum("nb").over(upto).alias("cb"), F.sum("na").over(Window.partitionBy("feature")).alias("ta"), F.sum("nb").over(Window.partitionBy("feature")).alias("tb"))
+    c = grouped_sums(g, ["feature"], ["v"], ["na", "nb"]).withColumnsRenamed({"cum_na": "ca", "cum_nb": "cb", "total_na": "ta", "total_nb": "tb"})
     d = c.groupBy("feature").agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"), F.max("ta").alias("ta"), F.max("tb").alias("tb"))
     lam = (F.sqrt(F.col("ta") * F.col("tb") / (F.col("ta") + F.col("tb")))) * F.col("ks")
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, j: s + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * j * j * lam * lam))
@@ -139,8 +140,7 @@ def spearman_topk(df: DataFrame, cols: list[str], score: str, k: int = 15) -> Da
 
     def ranks(c: str, name: str) -> DataFrame:
         g = rows.groupBy("feature", c).agg(F.count("*").alias("k"))
-        upto = Window.partitionBy("feature").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        return g.select("feature", c, (F.sum("k").over(upto) - (F.col("k") - 1) / 2).alias(name))
+        return grouped_sums(g, ["feature"], [c], ["k"]).select("feature", c, (F.col("cum_k") - (F.col("k") - 1) / 2).alias(name))
 
     r = rows.join(ranks("v", "rv"), ["feature", "v"]).join(ranks("_s", "rs"), ["feature", "_s"])
     return r.groupBy("feature").agg(F.corr("rv", "rs").alias("rho")).orderBy(F.desc(F.abs("rho")), "feature").limit(k)

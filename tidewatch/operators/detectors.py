@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import topk_abs_embedding
+from ..functions.scores import topk_abs_embedding, trust_score
+from ._work import quantile_list
 from .clean import moments
-from .curves import benign_quantile_threshold
 
 _REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -43,10 +43,24 @@ def _mean_square(parts: list[Column]) -> Column:
 
 
 def _threshold(scored: DataFrame, alpha: float) -> float:
-    found = benign_quantile_threshold(scored, "score", alpha).first()[0]
+    found = quantile_list(scored, "score", [1 - alpha])[0]
     return float("inf") if found is None else float(found)
 
 
+def _judged(fit_scored: DataFrame, df: DataFrame, score: Column, z: list[Column], alpha: float, k: int, slope: float = 1.0) -> DataFrame:
+    """df with score, flag (at the benign 1 - alpha quantile), trust by the benign scores' mean and deviation, and as embedding the k
+    largest standardised deviations."""
+    thr = _threshold(fit_scored, alpha)
+    s = fit_scored.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).first()
+    out = df.withColumn("score", score).withColumn("flag", (F.col("score") >= thr).cast("int"))
+    out = out.withColumn("trust", trust_score(F.col("score"), F.col("flag"), float(s.m or 0.0), float(s.s or 0.0) + 1e-8, slope))
+    return out.withColumn("embedding", topk_abs_embedding(F.array(*z), k))
+
+
+def _standardised(fit_df: DataFrame, cols: list[str]) -> list[Column]:
+    return [(F.col(c) - m) / max(s, 1e-8) for c, (m, s) in moments(fit_df, cols).items()]
+
+
 @register("zscore", "zscore_demo")
 def zscore_detector(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: float = 0.05, k: int = 4) -> DataFrame:
     """Root mean square of standardised features; trust is half the score over the threshold, held to [0, 1]."""
@@ -60,28 +74,44 @@ def zscore_detector(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: fl
 
 
 @register("kalman_frozen")
-def kalman_frozen_nis(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: float = 0.05, p0: float = 1.0) -> DataFrame:
-    """Normalised innovation against a baseline that does not move: mean of (x - mean)^2 / (p0 + variance)."""
+def kalman_frozen_nis(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: float = 0.05, k: int = 4, p0: float = 1.0) -> DataFrame:
+    """Normalised innovation against a baseline that does not move: mean of (x - mean)^2 / (p0 + variance); the embedding has the largest innovations."""
     stats = moments(fit_df, cols)
-    score = _mean_square([(F.col(c) - m) / float(np.sqrt(p0 + max(s * s, 1e-8))) for c, (m, s) in stats.items()])
-    thr = _threshold(fit_df.select(score.alias("score")), alpha)
-    return df.withColumn("score", score).withColumn("flag", (F.col("score") >= thr).cast("int"))
+    z = [(F.col(c) - m) / float(np.sqrt(p0 + max(s * s, 1e-8))) for c, (m, s) in stats.items()]
+    score = _mean_square(z)
+    return _judged(fit_df.select(score.alias("score")), df, score, z, alpha, k, 0.5)
 
 
 @register("null")
-def null_detector(df: DataFrame, k: int = 4) -> DataFrame:
+def null_detector(fit_df: DataFrame | None, df: DataFrame, cols: list[str] | None = None, alpha: float = 0.05, k: int = 4) -> DataFrame:
+    """Constant output, for ablation; nothing is fitted."""
     return df.withColumns({"score": F.lit(0.0), "flag": F.lit(0), "trust": F.lit(0.5), "embedding": F.array_repeat(F.lit(0.0), k)})
 
 
-def wrap_model(score_fn: Callable[[np.ndarray], np.ndarray], fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: float = 0.05) -> DataFrame:
-    """A user's vectorised scoring function, calibrated on benign rows."""
+Model = Callable[[np.ndarray], np.ndarray]
 
-    @F.pandas_udf("double")
-    def score(*xs: pd.Series) -> pd.Series:
-        return pd.Series(score_fn(np.column_stack([x.to_numpy(float) for x in xs])))
 
-    thr = _threshold(fit_df.select(score(*cols).alias("score")), alpha)
-    return df.withColumn("score", score(*cols)).withColumn("flag", (F.col("score") >= thr).cast("int"))
+def wrap_model(score_fn: Model, fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: float = 0.05, k: int = 4, flag_fn: Model | None = None, trust_fn: Model | None = None, embed_fn: Model | None = None) -> DataFrame:
+    """A user's vectorised functions of the (rows, features) matrix: the score, calibrated on benign rows, and, instead of the
+    calibrated ones, flag, trust and embedding (any width, padded or cut to k)."""
+
+    def applied(fn: Model, kind: str, shape: Callable = lambda x: x):
+        @F.pandas_udf(kind)
+        def run(*xs: pd.Series) -> pd.Series:
+            return pd.Series(shape(np.asarray(fn(np.column_stack([x.to_numpy(float) for x in xs])))))
+
+        return run(*cols)
+
+    score = applied(score_fn, "double")
+    out = _judged(fit_df.select(score.alias("score")), df, score, _standardised(fit_df, cols), alpha, k)
+    if flag_fn:
+        out = out.withColumn("flag", applied(flag_fn, "int", lambda x: x.astype(int)))
+    if trust_fn:
+        out = out.withColumn("trust", F.greatest(F.lit(0.0), F.least(F.lit(1.0), applied(trust_fn, "double"))))
+    if embed_fn:
+        found = applied(embed_fn, "array<double>", lambda x: list(x.reshape(len(x), -1).astype(float)))
+        out = out.withColumn("embedding", F.slice(F.concat(found, F.array_repeat(F.lit(0.0), k)), 1, k))
+    return out
 
 
 def residual_chi2(df: DataFrame, z: str, z_ref: str, r_diag: list[float], threshold: float) -> DataFrame:
@@ -92,7 +122,8 @@ def residual_chi2(df: DataFrame, z: str, z_ref: str, r_diag: list[float], thresh
 
 
 def calibrate_residual_threshold(df: DataFrame, xi: str, pct: float = 99.5, k: float = 3.0) -> DataFrame:
-    return df.agg(F.greatest(F.percentile(xi, F.lit(pct / 100)), F.avg(xi) + k * F.stddev_pop(xi)).alias("threshold"))
+    """The larger of a quantile and mean plus k deviations; null without rows."""
+    return df.agg(F.greatest(F.lit(quantile_list(df, xi, [pct / 100])[0]).cast("double"), F.avg(xi) + k * F.stddev_pop(xi)).alias("threshold"))
 
 
 def kmeans_assign(df: DataFrame, vec: str, centers: list[list[float]]) -> DataFrame:
@@ -102,16 +133,25 @@ def kmeans_assign(df: DataFrame, vec: str, centers: list[list[float]]) -> DataFr
     return df.withColumn("_d", d).withColumn("cluster", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).withColumn("dist", F.array_min("_d")).drop("_d")
 
 
-def detector_comparison(fit_df: DataFrame, test_df: DataFrame, cols: list[str], y: str = "y", alpha: float = 0.05) -> DataFrame:
-    """One metrics row for each row-local detector, by its own flag."""
+def detector_comparison(fit_df: DataFrame, test_df: DataFrame, cols: list[str], y: str = "y", alpha: float = 0.05, names: tuple[str, ...] = ("zscore", "kalman_frozen")) -> DataFrame:
+    """One row for each registered detector named: threshold metrics by its own flag, and ROC and PR areas of its score."""
+    from ._work import stored
+    from .curves import pr_auc, roc_auc
     from .metrics import binary_metrics
 
     out = None
-    for name in ("zscore", "kalman_frozen"):
-        s = make_detector(name)(fit_df, test_df, cols, alpha).select(y, F.col("flag").cast("double").alias("flag"))
-        m = binary_metrics(s, y, "flag", 0.5).select(F.lit(name).alias("detector"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+    for name in names:
+        s = make_detector(name)(fit_df, test_df, cols, alpha).select(F.lit(name).alias("detector"), y, F.col("flag").cast("double").alias("flag"), "score")
+        out = s if out is None else out.unionByName(s)
+    out, by = stored(out), ["detector"]
+    return binary_metrics(out, y, "flag", 0.5, by).join(roc_auc(out, y, "score", by), by).join(pr_auc(out, y, "score", by), by)
+
+
+def class_rates(scored: DataFrame, names: str = "detector", y: str = "cls", flag: str = "flag") -> DataFrame:
+    """(detector, class, n, alarms, rate) of rows scored by several detectors."""
+    from .metrics import class_detection_rate
+
+    return class_detection_rate(scored, y, flag, [names])
 
 
 def ema_steps(x: np.ndarray, b: np.ndarray, ema: float) -> tuple[np.ndarray, np.ndarray]:
@@ -123,57 +163,140 @@ def ema_steps(x: np.ndarray, b: np.ndarray, ema: float) -> tuple[np.ndarray, np.
     return out, b
 
 
-def _in_order(df: DataFrame, key: str, order: list[str], cols: list[str], added: str, steps: Callable[[np.ndarray], dict]) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf[[key, *order]].assign(**steps(pdf[cols].to_numpy(float)))
+def _in_order(df: DataFrame, key: str, order: list[str], cols: list[str], added: str, start: Callable[[int], tuple], step: Callable[[np.ndarray, tuple], tuple[dict, tuple]]) -> DataFrame:
+    """df's key and order with the columns ``added``: a recursion over each key's rows in order.
+
+    Rows are dealt and sorted by key and order, and come in batches: a task holds one batch and the state of the last key, so a key
+    may have any number of rows. In a batch all keys step side by side: ``step`` gets one row of each key that has one
+    left, as a matrix, and their states (arrays with a row for each key, as ``start`` makes them).
+    """
+    names = [c.split()[0] for c in added.split(", ")]
+
+    def run(batches):
+        carried, last = None, None
+        for pdf in batches:
+            n = len(pdf)
+            if not n:
+                continue
+            k = pdf[key]
+            new = ((k != k.shift()) & ~(k.isna() & k.shift().isna())).to_numpy()
+            new[0] = True
+            begins = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            place = np.arange(n) - begins[group]
+            state = start(len(begins))
+            first = k.iloc[0]
+            if carried is not None and (first == last or (pd.isna(first) and pd.isna(last))):
+                for s, c in zip(state, carried):
+                    s[0] = c
+            z = pdf[cols].to_numpy(float)
+            rows = np.argsort(place, kind="stable")
+            ends = np.cumsum(np.bincount(place))
+            found: dict[str, np.ndarray] = {}
+            for a, b in zip(np.append(0, ends[:-1]), ends):
+                at = rows[a:b]
+                got, after = step(z[at], tuple(s[group[at]] for s in state))
+                for name, x in got.items():
+                    if name not in found:
+                        found[name] = np.empty((n, *x.shape[1:]), x.dtype)
+                    found[name][at] = x
+                for s, x in zip(state, after):
+                    s[group[at]] = x
+            carried, last = tuple(s[-1] for s in state), k.iloc[-1]
+            yield pdf[[key, *order]].assign(**{c: list(found[c]) if found[c].ndim > 1 else found[c] for c in names})
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *order]) + f", {added}"
+    return df.select(key, *order, *[c for c in cols if c not in (key, *order)]).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def _chained(df: DataFrame, key: str, order: list[str], cols: list[str], added: str, start: Callable[[], tuple], steps: Callable[[np.ndarray, tuple], tuple[dict, tuple]]) -> DataFrame:
+    """As _in_order, one key after the other: ``steps`` gets the rows of a key that a batch holds, in order, and the state before them."""
+
+    def run(batches):
+        state, last = None, None
+        for pdf in batches:
+            parts = []
+            k = pdf[key]
+            new = ((k != k.shift()) & ~(k.isna() & k.shift().isna())).to_numpy()
+            edges = np.append(np.flatnonzero(new), len(pdf)) if len(pdf) else [0, 0]
+            if len(pdf) and edges[0] != 0:
+                edges = np.append(0, edges)
+            for a, b in zip(edges[:-1], edges[1:]):
+                part = pdf.iloc[a:b]
+                name = part[key].iloc[0] if len(part) else last
+                if state is None or not (name == last or (pd.isna(name) and pd.isna(last))):
+                    state = start()
+                got, state = steps(part[cols].to_numpy(float), state)
+                last = name
+                parts.append(part[[key, *order]].assign(**got))
+            yield pd.concat(parts)
 
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *order]) + f", {added}"
-    return df.select(key, *order, *cols).groupBy(key).applyInPandas(run, schema)
+    return df.select(key, *order, *[c for c in cols if c not in (key, *order)]).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def ema_baseline_score(df: DataFrame, key: str, order: list[str], cols: list[str], start: dict[str, float], ema: float = 0.01) -> DataFrame:
     """df's key, order and score: distance to a moving baseline before it follows the row. One chain for each key, in order."""
-    b0 = np.array([start[c] for c in cols])
-    return _in_order(df, key, order, cols, "score double", lambda x: {"score": ema_steps(x, b0, ema)[0]})
+    b0 = np.array([start[c] for c in cols], float)
+
+    def step(z: np.ndarray, state: tuple) -> tuple[dict, tuple]:
+        (b,) = state
+        return {"score": np.sqrt(((z - b) ** 2).mean(axis=1))}, ((1 - ema) * b + ema * z,)
+
+    return _in_order(df, key, order, cols, "score double", lambda n: (np.tile(b0, (n, 1)),), step)
+
+
+def _kalman_row(z: np.ndarray, x: np.ndarray, p: np.ndarray, seen, r: np.ndarray, threshold: float, mode: str = "decay", q: float = 1e-6, track: float = 0.01, warmup: int = 20, forgetting: float = 1.0) -> tuple:
+    """(score, flag, standardised innovation, x, p) of one row of each filter, whose features are the last axis."""
+    pred = (forgetting**2 if mode == "forget" else 1.0) * p + q
+    s = np.maximum(pred + r, 1e-12)
+    innovation = z - x
+    score = np.mean(innovation**2 / s, axis=-1)
+    flag = ((np.asarray(seen) >= warmup) & (score >= threshold)).astype(np.int32)
+    gain = pred / s
+    x, p = x + gain * innovation, (1 - gain) * pred
+    if mode == "decay":
+        x = x + (track * np.where(flag == 1, 0.05, 1.0))[..., None] * innovation
+    return score, flag, innovation / np.sqrt(s), x, p
 
 
 def kalman_steps(z: np.ndarray, x: np.ndarray, p: np.ndarray, seen: int, var: list[float], threshold: float, mode: str = "decay", q: float = 1e-6, track: float = 0.01, warmup: int = 20, forgetting: float = 1.0) -> tuple:
     """(score, flag, x, p, seen): rows in order, from a state and the rows seen before it."""
     r = np.maximum(np.array(var), 1e-8)
-    lam2 = forgetting**2 if mode == "forget" else 1.0
     score, flag = np.empty(len(z)), np.zeros(len(z), np.int32)
     for i, row in enumerate(z):
-        pred = lam2 * p + q
-        s = np.maximum(pred + r, 1e-12)
-        innovation = row - x
-        score[i] = np.mean(innovation**2 / s)
-        flag[i] = seen + i >= warmup and score[i] >= threshold
-        gain = pred / s
-        x = x + gain * innovation
-        p = (1 - gain) * pred
-        if mode == "decay":
-            x = x + track * (0.05 if flag[i] else 1.0) * innovation
+        score[i], flag[i], _, x, p = _kalman_row(row, x, p, seen + i, r, threshold, mode, q, track, warmup, forgetting)
     return score, flag, x, p, seen + len(z)
 
 
-def kalman_by_key(df: DataFrame, key: str, order: list[str], cols: list[str], mean: list[float], var: list[float], threshold: float, **options) -> DataFrame:
-    """(key, order, score, flag): per-dimension Kalman filters in order for each key; options as of ``kalman_steps``.
+def kalman_by_key(df: DataFrame, key: str, order: list[str], cols: list[str], mean: list[float], var: list[float], threshold: float, benign: tuple[float, float] | None = None, k: int = 4, **options) -> DataFrame:
+    """(key, order, score, flag, trust, embedding): per-dimension Kalman filters in order for each key; options as of ``kalman_steps``.
 
     mode 'frozen' only corrects, 'decay' also follows the row by ``track`` (a twentieth of it on an alarm), 'forget'
-    inflates the covariance by the squared forgetting factor. No alarms during the warm-up.
+    inflates the covariance by the squared forgetting factor. No alarms during the warm-up. trust is by the ``benign`` scores' mean and
+    deviation (those of a right model, 1 and sqrt(2 / features), if None); the embedding has the k largest standardised innovations.
     """
+    r, x0 = np.maximum(np.array(var, float), 1e-8), np.array(mean, float)
+    mu, sd = benign or (1.0, float(np.sqrt(2 / len(cols))))
 
-    def steps(z: np.ndarray) -> dict:
-        score, flag, *_ = kalman_steps(z, np.array(mean, float), np.ones(len(cols)), 0, var, threshold, **options)
-        return {"score": score, "flag": flag}
+    def start(n: int) -> tuple:
+        return np.tile(x0, (n, 1)), np.ones((n, len(cols))), np.zeros(n, np.int64)
 
-    return _in_order(df, key, order, cols, "score double, flag int", steps)
+    def step(z: np.ndarray, state: tuple) -> tuple[dict, tuple]:
+        x, p, seen = state
+        score, flag, off, x, p = _kalman_row(z, x, p, seen, r, threshold, **options)
+        return {"score": score, "flag": flag, "off": off}, (x, p, seen + 1)
 
+    out = _in_order(df, key, order, cols, "score double, flag int, off array<double>", start, step)
+    trust = trust_score(F.col("score"), F.col("flag"), mu, sd, 0.5)
+    return out.withColumn("trust", trust).withColumn("embedding", topk_abs_embedding(F.col("off"), k)).drop("off")
 
-def pca_reconstruction(fit_df: DataFrame, df: DataFrame, cols: list[str], latent: int = 4, alpha: float = 0.05) -> DataFrame:
-    """df with score and flag: mean squared residual of standardised features after projection on the first components
+
+@register("pca_reconstruction")
+def pca_reconstruction(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: float = 0.05, k: int = 4, latent: int = 2) -> DataFrame:
+    """df with score, flag, trust and embedding: mean squared residual of standardised features after projection on the first components
     of the benign rows, each residual over its own benign energy. Statistics are one aggregate and one Gramian."""
     from pyspark.ml.feature import PCA, VectorAssembler
 
@@ -188,26 +311,31 @@ def pca_reconstruction(fit_df: DataFrame, df: DataFrame, cols: list[str], latent
     with_residual = lambda d: unit(d).withColumn("_r", residual)
     energy = with_residual(fit_df).agg(*[F.avg(F.col("_r")[i] * F.col("_r")[i]) for i in range(len(cols))]).first()
     each = [F.col("_r")[i] / float(np.sqrt(max(e or 0.0, 1e-8))) for i, e in enumerate(energy)]
-    scored = lambda d: with_residual(d).withColumn("score", _mean_square(each)).drop("_r", *zs)
-    thr = _threshold(scored(fit_df).select("score"), alpha)
-    return scored(df).withColumn("flag", (F.col("score") >= thr).cast("int"))
+    benign = with_residual(fit_df).select(_mean_square(each).alias("score"))
+    return _judged(benign, with_residual(df), _mean_square(each), each, alpha, k).drop("_r", *zs)
 
 
-def isolation_forest(fit_df: DataFrame, df: DataFrame, cols: list[str], trees: int = 200, psi: int = 256, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """df with score and flag: 2 ** (-mean path length / c(psi)).
+@register("isolation_forest")
+def isolation_forest(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: float = 0.05, k: int = 4, trees: int = 200, psi: int = 256, seed: int = 42, id_col: str | None = None) -> DataFrame:
+    """df with score, flag, trust and embedding: 2 ** (-mean path length / c(psi)).
 
-    Each tree takes psi benign rows: those with the smallest hashes of row and tree within a pre-thinned sample. Trees
-    are built by tree id; the forest (trees * 2 * psi nodes) is broadcast for scoring.
+    Each tree takes psi benign rows: those with the smallest hashes among about twice as many, drawn by a hash of the row (its id,
+    or all its columns if id_col is None; then equal rows are drawn together) and the tree. A row draws the few numbers of its trees, so
+    no row meets all trees. Trees are built by tree id; the forest (trees * 2 * psi nodes) is broadcast for scoring.
     """
     spark, width = fit_df.sparkSession, len(cols)
     n = max(1, fit_df.count())
-    share = min(1.0, 4 * psi * trees / n)
     feature = F.array(*[F.col(c).cast("double") for c in cols])
-    h = F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
-    thin = fit_df.where(h < share) if share < 1 else fit_df
-    per_tree = min(1.0, 2 * psi / max(1.0, n * share))
-    pick = thin.select(feature.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    pick = pick.withColumn("u", F.pmod(F.xxhash64("x", "tree", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)).where(F.col("u") < per_tree)
+    row = F.xxhash64(F.col(id_col), F.lit(seed)) if id_col else F.xxhash64(*fit_df.columns, F.lit(seed))
+    unit = lambda *x: F.pmod(F.xxhash64(*x), F.lit(1 << 30)) / (1 << 30)
+    base = fit_df.select(feature.alias("x"), row.alias("row"))
+    if n <= 2 * psi:
+        pick = base.select("x", "row", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    else:
+        draws = F.floor(F.lit(2 * psi * trees / n) + unit("row", F.lit(1))).cast("int")
+        pick = base.withColumn("draws", draws).where("draws > 0").select("x", "row", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("draw"))
+        pick = pick.select("x", "row", F.pmod(F.xxhash64("row", "draw"), F.lit(trees)).cast("int").alias("tree")).distinct()
+    pick = pick.withColumn("u", unit("row", "tree", F.lit(2)))
     depth = int(np.ceil(np.log2(max(2, psi))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -233,25 +361,33 @@ def isolation_forest(fit_df: DataFrame, df: DataFrame, cols: list[str], trees: i
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "low", "high", "length"])
 
     made = pick.groupBy("tree").applyInPandas(build, "tree int, node int, feature int, cut double, low int, high int, length double").toPandas()
-    forest = [g.sort_values("node")[["feature", "cut", "low", "high", "length"]].to_numpy() for _, g in made.groupby("tree")]
-    shared = spark.sparkContext.broadcast(forest)
+    kept = [g.sort_values("node")[["feature", "cut", "low", "high", "length"]].to_numpy() for _, g in made.groupby("tree")]
+    nodes = np.zeros((len(kept), max(map(len, kept), default=1), 5))
+    for t, g in enumerate(kept):
+        nodes[t, : len(g)] = g
+    feature_of, low, high = (nodes[:, :, i].astype(np.int32) for i in (0, 2, 3))
+    shared = spark.sparkContext.broadcast((feature_of.ravel(), nodes[:, :, 1].ravel(), low.ravel(), high.ravel(), nodes[:, :, 4].ravel(), len(kept), nodes.shape[1]))
 
     @F.pandas_udf("double")
     def score(*xs: pd.Series) -> pd.Series:
+        features, cuts, low, high, length, n_trees, size = shared.value
         x = np.column_stack([s.to_numpy(float) for s in xs])
         total = np.zeros(len(x))
-        for t in shared.value:
-            at = np.zeros(len(x), int)
-            for _ in range(depth + 1):
-                f = t[at, 0].astype(int)
+        root = np.arange(n_trees) * size
+        for i in range(0, len(x), 512):  # all trees at once, some rows at a time
+            part = x[i : i + 512]
+            flat, own = np.ascontiguousarray(part).ravel(), (np.arange(len(part)) * width)[:, None]
+            at = np.tile(root, (len(part), 1))
+            for _ in range(depth):
+                f = features[at]
                 inner = f >= 0
-                go_low = x[np.arange(len(x)), np.where(inner, f, 0)] < t[at, 1]
-                at = np.where(inner, np.where(go_low, t[at, 2], t[at, 3]).astype(int), at)
-            total += t[at, 4]
-        return pd.Series(2.0 ** (-(total / max(1, len(shared.value))) / max(_c(psi), 1e-12)))
+                go = np.where(flat[own + np.maximum(f, 0)] < cuts[at], low[at], high[at])
+                at = np.where(inner, root + go, at)
+            total[i : i + 512] = length[at].sum(axis=1)
+        return pd.Series(2.0 ** (-(total / max(1, n_trees)) / max(_c(psi), 1e-12)))
 
-    thr = _threshold(fit_df.select(score(*cols).alias("score")), alpha)
-    return df.withColumn("score", score(*cols)).withColumn("flag", (F.col("score") >= thr).cast("int"))
+    value = score(*cols)
+    return _judged(fit_df.select(value.alias("score")), df, value, _standardised(fit_df, cols), alpha, k)
 
 
 def _c(n: int) -> float:
@@ -259,41 +395,70 @@ def _c(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+class PatternLibrary:
+    """Patterns of one key, matched by cosine; all survival values decay with each vector."""
+
+    def __init__(self, seeds: list | None, sim: float, sv: float, reward: float, decay: float, evict: float, cap: int):
+        self.ids = np.arange(len(seeds or []))
+        self.life = np.full(len(self.ids), sv)
+        self.unit = [self._unit(np.array(s, float)) for s in seeds or []]
+        self.fresh = len(self.ids)
+        self.sim, self.sv, self.reward, self.decay, self.evict, self.cap = sim, sv, reward, decay, evict, cap
+
+    @staticmethod
+    def _unit(x: np.ndarray) -> np.ndarray:
+        return x / (np.linalg.norm(x) + 1e-12)
+
+    def see(self, x: np.ndarray) -> tuple[int, float, bool, int]:
+        """(pattern, similarity, matched, patterns left)."""
+        u = self._unit(x)
+        self.life = self.life * self.decay
+        sims = np.array(self.unit) @ u if len(self.ids) else np.zeros(0)
+        best = int(np.argmax(sims)) if len(sims) else -1
+        near = float(sims[best]) if len(sims) else 1.0
+        hit = best < 0 or near >= self.sim
+        if best >= 0 and hit:
+            self.life[best] += self.reward
+            mine = int(self.ids[best])
+        else:
+            mine = self.fresh
+            self._add(mine, u)
+        self._drop(mine)
+        return mine, near, hit, len(self.ids)
+
+    def _add(self, mine: int, u: np.ndarray) -> None:
+        self.ids, self.life, self.fresh = np.append(self.ids, mine), np.append(self.life, self.sv), mine + 1
+        self.unit.append(u)
+
+    def _drop(self, mine: int) -> None:
+        """Patterns below evict go, but not the one just seen; of more than cap the weakest, then the oldest, go too."""
+        stay = np.flatnonzero((self.life >= self.evict) | (self.ids == mine))
+        if len(stay) > self.cap:
+            weakest = np.lexsort((self.ids[stay], self.life[stay]))[: len(stay) - self.cap]
+            stay = np.delete(stay, weakest)
+        if len(stay) < len(self.ids):
+            self.ids, self.life, self.unit = self.ids[stay], self.life[stay], [self.unit[i] for i in stay]
+
+
 def pattern_cache(df: DataFrame, key: str, order: list[str], vec: str, seeds: list[list[float]] | None = None, sim: float = 0.9, sv: float = 1.0, reward: float = 1.0, decay: float = 0.99, evict: float = 0.2, cap: int = 1000) -> DataFrame:
     """(key, order, pattern_id, similarity, matched, n_patterns): online cosine matching for each key, in order.
 
     All survival values decay; the first vector of an empty library is normal; a hit is rewarded, a miss registers a
-    new pattern and is an anomaly; patterns below ``evict`` and the weakest beyond ``cap`` go.
+    new pattern and is an anomaly; patterns below ``evict`` and the weakest beyond ``cap`` go. A task holds a batch of rows and
+    the library of one key, whatever the key's number of rows.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        lib = [(i, np.array(s, float)) for i, s in enumerate(seeds or [])]
-        life = {i: sv for i, _ in lib}
-        fresh, rows = len(lib), []
-        for x in pdf[vec]:
-            x = np.array(x, float)
-            life = {i: v * decay for i, v in life.items()}
-            sims = [float(x @ p / (np.linalg.norm(x) * np.linalg.norm(p) + 1e-12)) for _, p in lib]
-            best = int(np.argmax(sims)) if sims else -1
-            if best >= 0 and sims[best] >= sim:
-                mine, s, hit = lib[best][0], sims[best], True
-                life[mine] += reward
-            else:
-                mine, s, hit = fresh, sims[best] if sims else 1.0, not sims
-                lib.append((mine, x))
-                life[mine] = sv
-                fresh += 1
-            stay = [i for i, _ in lib if i == mine or life[i] >= evict]
-            if len(stay) > cap:
-                gone = set(sorted(stay, key=lambda i: (life[i], i))[: len(stay) - cap])
-                stay = [i for i in stay if i not in gone]
-            keep = set(stay)
-            lib = [(i, p) for i, p in lib if i in keep]
-            life = {i: v for i, v in life.items() if i in keep}
-            rows.append((mine, s, hit, len(lib)))
-        return pdf[[key, *order]].assign(pattern_id=[r[0] for r in rows], similarity=[r[1] for r in rows], matched=[r[2] for r in rows], n_patterns=[r[3] for r in rows])
+    def run(batches):
+        library, last = None, None
+        for pdf in batches:
+            rows = []
+            for name, x in zip(pdf[key], pdf[vec]):
+                if library is None or not (name == last or (pd.isna(name) and pd.isna(last))):
+                    library, last = PatternLibrary(seeds, sim, sv, reward, decay, evict, cap), name
+                rows.append(library.see(np.array(x, float)))
+            columns = zip(*rows) if rows else [[], [], [], []]
+            yield pdf[[key, *order]].assign(**dict(zip(("pattern_id", "similarity", "matched", "n_patterns"), map(list, columns))))
 
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *order]) + ", pattern_id int, similarity double, matched boolean, n_patterns int"
-    return df.select(key, *order, vec).groupBy(key).applyInPandas(run, schema)
+    return df.select(key, *order, vec).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

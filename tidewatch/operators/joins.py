@@ -39,7 +39,8 @@ def exclude_fit_source(df: DataFrame, days: list[str], day: str = "day") -> Data
 
 
 def label_lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default: str) -> DataFrame:
-    return df.join(F.broadcast(dim.select(key, value)), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+    """df with the value of its key, or default; Spark broadcasts dim while it is small."""
+    return df.join(dim.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
 def tag_scenario(df: DataFrame, segments: list[tuple[str, int, int]], step: str = "step", default: str = "BENIGN") -> DataFrame:

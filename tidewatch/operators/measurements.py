@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .detectors import _in_order
+from .detectors import _chained
 
 
 def chi2_quantile(p: float, m: int) -> float:
@@ -52,18 +52,18 @@ def kalman_chi2_by_key(df: DataFrame, key: str, order: list[str], cols: list[str
 
     The state moves by f (stays, if None) with noise q and is measured in ``cols`` by h with noise r; it starts at x0 with
     covariance p0 (the identity, if None). alarm: adi is above the (1 - alpha) quantile of the chi-squared distribution
-    with one degree for each measurement. A key's rows are one chain and must fit in a task; a null measurement gives
+    with one degree for each measurement. A key's rows are one chain, of any length: a task holds a batch; a null measurement gives
     null adi from there on for its key, and no alarms.
     """
     h, q, r, x0 = (np.array(v, float) for v in (h, q, r, x0))
     p0, f = (np.eye(len(x0)) if v is None else np.array(v, float) for v in (p0, f))
     limit = chi2_quantile(1 - alpha, len(cols))
 
-    def steps(z: np.ndarray) -> dict:
-        adi, *_ = kalman_chi2_steps(z, x0, p0, f, h, q, r)
-        return {"adi": adi, "alarm": (adi > limit).astype(np.int32)}
+    def steps(z: np.ndarray, state: tuple) -> tuple[dict, tuple]:
+        adi, x, p = kalman_chi2_steps(z, *state, f, h, q, r)
+        return {"adi": adi, "alarm": (adi > limit).astype(np.int32)}, (x, p)
 
-    return _in_order(df, key, order, cols, "adi double, alarm int", steps)
+    return _chained(df, key, order, cols, "adi double, alarm int", lambda: (x0, p0), steps)
 
 
 def residual_embedding(energy: dict[str, float], k: int = 4) -> Column:
@@ -108,23 +108,23 @@ def _floored(a: np.ndarray, least: float) -> np.ndarray:
     return (vector * np.maximum(value, least)) @ vector.T
 
 
-def adaptive_kalman_by_key(df: DataFrame, key: str, order: list[str], cols: list[str], h, q0, r0, x0, p0=None, f=None, b: float = 0.97, warmup: int = 5, alpha: float = 0.05) -> DataFrame:
+def adaptive_kalman_by_key(df: DataFrame, key: str, order: list[str], cols: list[str], h, q0, r0, x0, p0=None, f=None, b: float = 0.97, warmup: int = 5, alpha: float = 0.05, xi_threshold: float | None = None) -> DataFrame:
     """(key, order, adi, alarm, xi, adapted): a Sage-Husa filter in order for each key.
 
     As ``kalman_chi2_by_key``, and the means and covariances of both noises follow the innovations with weight
     (1 - b) / (1 - b**(k + 1)) at row k, after ``warmup`` rows and on rows without an alarm only, so that an attack is not
     learnt as noise. Covariances keep eigenvalues of a thousandth of the smallest they began with. xi is the distance
-    between the predicted and the corrected state.
+    between the predicted and the corrected state; with an xi_threshold, rows that reach it are alarms too.
     """
     h, q0, r0, x0 = (np.array(v, float) for v in (h, q0, r0, x0))
     p0, f = (np.eye(len(x0)) if v is None else np.array(v, float) for v in (p0, f))
     limit = chi2_quantile(1 - alpha, len(cols))
     least_q, least_r = (float(np.linalg.eigvalsh(v).min()) / 1000 for v in (q0, r0))
 
-    def steps(z: np.ndarray) -> dict:
-        x, p, q, r = x0, p0, q0, r0
-        drift, offset = np.zeros(len(x0)), np.zeros(len(cols))
+    def steps(z: np.ndarray, state: tuple) -> tuple[dict, tuple]:
+        x, p, q, r, drift, offset, seen = state
         adi, xi, adapted = np.empty(len(z)), np.empty(len(z)), np.zeros(len(z), np.int32)
+        alarm = np.zeros(len(z), np.int32)
         for i, row in enumerate(z):
             moved, spread = f @ x, f @ p @ f.T
             ahead, wide = moved + drift, spread + q
@@ -136,14 +136,16 @@ def adaptive_kalman_by_key(df: DataFrame, key: str, order: list[str], cols: list
             p = wide - gain @ h @ wide
             p = (p + p.T) / 2
             xi[i] = np.linalg.norm(ahead - x)
-            if i >= warmup and adi[i] <= limit:
-                d = (1 - b) / (1 - b ** (i + 1))
+            alarm[i] = adi[i] > limit or (xi_threshold is not None and xi[i] >= xi_threshold)
+            if seen + i >= warmup and adi[i] <= limit and not alarm[i]:
+                d = (1 - b) / (1 - b ** (seen + i + 1))
                 offset = offset + d * (row - h @ x - offset)
                 drift = drift + d * (x - moved - drift)
                 square = np.outer(innovation, innovation)
                 r = _floored(r + d * (square - h @ wide @ h.T - r), least_r)
                 q = _floored(q + d * (gain @ square @ gain.T + p - spread - q), least_q)
                 adapted[i] = 1
-        return {"adi": adi, "alarm": (adi > limit).astype(np.int32), "xi": xi, "adapted": adapted}
+        return {"adi": adi, "alarm": alarm, "xi": xi, "adapted": adapted}, (x, p, q, r, drift, offset, seen + len(z))
 
-    return _in_order(df, key, order, cols, "adi double, alarm int, xi double, adapted int", steps)
+    start = lambda: (x0, p0, q0, r0, np.zeros(len(x0)), np.zeros(len(cols)), 0)
+    return _chained(df, key, order, cols, "adi double, alarm int, xi double, adapted int", start, steps)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._work import quantiles
+
 
 def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -79,9 +81,14 @@ def class_detection_rate(df: DataFrame, y: str, flag: str, by: list[str] | None
 
 
 def daily_breakdown(df: DataFrame, day: str, y: str, score: str, flag: str) -> DataFrame:
+    """Per day: rows, share of attacks, rates, and median, 95 % quantile and mean score of benign and attack rows."""
     benign, attack = F.when(F.col(y) == 0, F.col(score)), F.when(F.col(y) == 1, F.col(score))
-    stats = [f.alias(f"{n}_{k}") for n, c in (("benign", benign), ("attack", attack)) for k, f in (("median", F.percentile(c, F.lit(0.5))), ("p95", F.percentile(c, F.lit(0.95))), ("mean", F.avg(c)))]
-    return df.groupBy(day).agg(F.count("*").alias("n"), F.avg(F.col(y).cast("double")).alias("attack_ratio"), F.avg(F.when(F.col(y) == 1, F.col(flag))).alias("detection_rate"), F.avg(F.when(F.col(y) == 0, F.col(flag))).alias("fpr"), *stats)
+    stats = [F.avg(c).alias(f"{n}_mean") for n, c in (("benign", benign), ("attack", attack))]
+    out = df.groupBy(day).agg(F.count("*").alias("n"), F.avg(F.col(y).cast("double")).alias("attack_ratio"), F.avg(F.when(F.col(y) == 1, F.col(flag))).alias("detection_rate"), F.avg(F.when(F.col(y) == 0, F.col(flag))).alias("fpr"), *stats)
+    for name, c in (("benign", benign), ("attack", attack)):
+        q = quantiles(df.select(F.col(day).alias("_day"), c.alias("_s")), "_s", [0.5, 0.95], ["_day"]).withColumnsRenamed({"q0": f"{name}_median", "q1": f"{name}_p95"})
+        out = out.join(q, F.col(day).eqNullSafe(F.col("_day")), "left").drop("_day")
+    return out
 
 
 def daily_drift(df: DataFrame, fit_df: DataFrame, day: str, y: str, score: str, thr: float) -> DataFrame:
@@ -94,18 +101,22 @@ def daily_drift(df: DataFrame, fit_df: DataFrame, day: str, y: str, score: str,
 
 def daily_recalibration(df: DataFrame, day: str, y: str, score: str, alpha: float = 0.05, min_benign: int = 50) -> DataFrame:
     """Per day with enough benign rows: its own benign quantile threshold, and rates with it."""
-    thresholds = df.where(F.col(y) == 0).groupBy(day).agg(F.percentile(score, F.lit(1 - alpha)).alias("threshold"), F.count("*").alias("benign")).where(F.col("benign") >= min_benign)
+    benign = df.where(F.col(y) == 0)
+    enough = benign.groupBy(day).agg(F.count("*").alias("benign")).where(F.col("benign") >= min_benign)
+    thresholds = quantiles(benign, score, [1 - alpha], [day]).withColumnRenamed("q0", "threshold").join(enough, day)
     joined = join_daily_threshold(df, thresholds, day)
     return joined.groupBy(day, "threshold", "benign").agg(F.avg(F.when(F.col(y) == 0, (F.col(score) >= F.col("threshold")).cast("double"))).alias("fpr"), F.avg(F.when(F.col(y) == 1, (F.col(score) >= F.col("threshold")).cast("double"))).alias("detection_rate"))
 
 
 def join_daily_threshold(scored: DataFrame, thresholds: DataFrame, day: str) -> DataFrame:
-    return scored.join(F.broadcast(thresholds), day)
+    return scored.join(thresholds, day)  # Spark broadcasts the days while they are few
 
 
 def class_evidence(df: DataFrame, y: str, score: str, flag: str, thr: float) -> DataFrame:
-    median = F.percentile(score, F.lit(0.5))
-    return df.groupBy(y).agg(F.avg(flag).alias("alarm_rate"), median.alias("median"), F.percentile(score, F.lit(0.95)).alias("p95"), (median / thr).alias("separation"))
+    """Per class: alarm rate, median and 95 % quantile of the score, and the median over the threshold."""
+    q = quantiles(df.select(F.col(y).alias("_y"), score), score, [0.5, 0.95], ["_y"])
+    rates = df.groupBy(y).agg(F.avg(flag).alias("alarm_rate")).join(q, F.col(y).eqNullSafe(F.col("_y")))
+    return rates.select(y, "alarm_rate", F.col("q0").alias("median"), F.col("q1").alias("p95"), (F.col("q0") / thr).alias("separation"))
 
 
 def failure_decomposition(df: DataFrame, y: str, p: str, flag: str, by: list[str] | None = None) -> DataFrame:

@@ -42,7 +42,7 @@ def stratified_split(df: DataFrame, y: str, id_col: str, test_size: float = 0.2,
     marked = df.withColumn("_ok", ok)
     r = ranked(marked, [y, "_ok"], id_col, seed)
     total = marked.groupBy(F.col(y).alias("_y")).agg(F.count("*").alias("_total"))
-    r = r.join(F.broadcast(total), F.col(y).eqNullSafe(F.col("_y")))
+    r = r.join(total, F.col(y).eqNullSafe(F.col("_y")))  # Spark broadcasts it while it is small
     quota = F.bround(F.col("_total") * F.lit(test_size), 0)
     if at_least_one:
         quota = F.when(F.col("_total") > 1, F.greatest(quota, F.lit(1))).otherwise(0)
@@ -61,15 +61,25 @@ def cap_class(df: DataFrame, y: str, id_col: str, cls, cap: int, seed: int = 42)
 
 
 def quotas(counts: dict, max_n: int, floor: int = 50) -> dict:
-    """Proportional quotas with a floor of min(floor, n); the largest is trimmed until they fit."""
+    """Proportional quotas, rounded half to even, of at least min(floor, n).
+
+    While they are too many, the largest gives one row at a time (of equal ones the last class), and none falls below one. So all end at
+    one level: the least at which they are enough, less one row for the last classes at it.
+    """
     total = sum(counts.values())
     if total <= max_n:
         return dict(counts)
-    q = {c: min(n, max(min(floor, n), int(n * max_n // total))) for c, n in counts.items()}
-    while sum(q.values()) > max_n:
-        top = max(sorted(q), key=lambda c: q[c])
-        q[top] -= min(q[top], sum(q.values()) - max_n)
-    return q
+    q = {c: min(n, max(min(floor, n), round(n * max_n / total))) for c, n in counts.items()}
+    held = lambda level: sum(min(v, level) for v in q.values())
+    if sum(q.values()) <= max_n:
+        return q
+    low, high = 1, max(q.values())
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if held(mid) >= max_n else (mid + 1, high)
+    over = held(low) - max_n if low > 1 else 0
+    at_level = sorted((c for c, v in q.items() if v >= low), reverse=True)
+    return {c: min(v, low) - (c in at_level[:over]) for c, v in q.items()}
 
 
 def stratified_subset(df: DataFrame, y: str, id_col: str, max_n: int, floor: int = 50, seed: int = 42) -> DataFrame:

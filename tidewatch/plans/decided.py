@@ -94,5 +94,5 @@ def _(v):
 @add("evolutionary_kmeans", None)
 def _(v):
     d = _vectors(v)
-    centres, _inertia = clustering.evolutionary_kmeans(d, "id", "vec", 10, population=6, generations=8, refine=10)
+    centres, _inertia = clustering.evolutionary_kmeans(d, "id", "vec", 10)
     return detectors.kmeans_assign(d, "vec", centres).drop("vec")

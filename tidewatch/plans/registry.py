@@ -116,27 +116,27 @@ def _(v):
     return clean.drop_incomplete(v("dirty"), ["t0", "t1"])
 
 
-@add("minmax_scale", f", {_FIT}, s AS (SELECT min(f0) AS a, max(f0) AS b, min(f1) AS c, max(f1) AS d FROM fit) SELECT id, {r('greatest(0, least(1, (f0 - a) / (b - a))) AS f0', 'greatest(0, least(1, (f1 - c) / (d - c))) AS f1')} FROM test, s", "flows")
+@add("minmax_scale", f", {_FIT}, s AS (SELECT {', '.join(f'min({c}) AS a{c}, max({c}) AS b{c}' for c in COLS)} FROM fit) SELECT id, {r(*[f'greatest(0, least(1, ({c} - a{c}) / (b{c} - a{c}))) AS {c}' for c in COLS])} FROM test, s", "flows")
 def _(v):
-    return clean.minmax_scale(_test(v).select("id", "f0", "f1"), ["f0", "f1"], _fit(v))
+    return clean.minmax_scale(_test(v).select("id", *COLS), COLS, _fit(v))
 
 
-@add("zscore_scale", f", {_FIT}, s AS (SELECT avg(f0) AS a, stddev_pop(f0) AS b FROM fit) SELECT id, {r('(f0 - a) / b AS f0')} FROM test, s", "flows")
+@add("zscore_scale", f", {_FIT}, s AS (SELECT {', '.join(f'avg({c}) AS a{c}, stddev_pop({c}) AS b{c}' for c in COLS)} FROM fit) SELECT id, {r(*[f'({c} - a{c}) / b{c} AS {c}' for c in COLS])} FROM test, s", "flows")
 def _(v):
-    return clean.zscore_scale(_test(v).select("id", "f0"), ["f0"], _fit(v))
+    return clean.zscore_scale(_test(v).select("id", *COLS), COLS, _fit(v))
 
 
-@add("log1p_zscore", f", {_FIT}, s AS (SELECT avg(ln(1 + f0)) AS a, stddev_pop(ln(1 + f0)) AS b FROM fit) SELECT id, {r('(ln(1 + f0) - a) / b AS f0')} FROM test, s", "flows")
+@add("log1p_zscore", f", {_FIT}, s AS (SELECT {', '.join(f'avg(ln(1 + greatest({c}, 0))) AS a{c}, stddev_pop(ln(1 + greatest({c}, 0))) AS b{c}' for c in COLS)} FROM fit) SELECT id, {r(*[f'(ln(1 + greatest({c}, 0)) - a{c}) / b{c} AS {c}' for c in COLS])} FROM test, s", "flows")
 def _(v):
-    return clean.log1p_zscore(_test(v).select("id", "f0"), ["f0"], _fit(v))
+    return clean.log1p_zscore(_test(v).select("id", *COLS), COLS, _fit(v))
 
 
-@add("column_stats", " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'min({c}) AS min', f'max({c}) AS max', f'avg({c}) AS mean', f'stddev_pop({c}) AS std', f'median({c}) AS median')} FROM flows" for c in ("f0", "f1", "f3")), "flows")
+@add("column_stats", " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'min({c}) AS min', f'max({c}) AS max', f'avg({c}) AS mean', f'stddev_pop({c}) AS std', f'var_pop({c} / 1000) AS variance', f'median({c}) AS median')} FROM flows" for c in COLS), "flows")
 def _(v):
-    return clean.column_stats(v("flows"), ["f0", "f1", "f3"])
+    return clean.column_stats(v("flows"), COLS).withColumn("variance", F.col("variance") / 1e6)
 
 
-@add("topk_variance_features", f"SELECT 1 AS place, 'f1' AS feature, {r('var_pop(f1 / 1000) AS variance')} FROM flows UNION ALL SELECT 0, 'f0', round(var_pop(f0), 6) FROM flows", "flows")
+@add("topk_variance_features", f"SELECT place, feature, {r('variance')} FROM ({' UNION ALL '.join(f"SELECT {i} AS place, '{c}' AS feature, var_pop({c if c != 'f1' else 'f1 / 1000'}) AS variance FROM flows" for i, c in enumerate(COLS))}) ORDER BY variance DESC, place LIMIT 2", "flows")
 def _(v):
     return clean.topk_variance_features(v("flows").withColumn("f1", F.col("f1") / 1000), COLS, 2)
 
@@ -146,9 +146,14 @@ def _(v):
     return clean.filter_benign_fit(v("flows").withColumn("label", labels.label_family(F.col("raw_label")))).select("id")
 
 
-@add("dedup_exact", f"SELECT DISTINCT {r('f0', 'f2', 'f3')} FROM flows", "flows")
+@add("dedup_exact", f"SELECT DISTINCT {r(*COLS)} FROM flows", "flows")
 def _(v):
-    return clean.dedup_exact(v("flows").select("f0", "f2", "f3"), ["f0", "f2", "f3"])
+    return clean.dedup_exact(v("flows").select(*COLS), COLS)
+
+
+@add("duplicate_rate", f"SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT f0, f2, f3 FROM flows)) AS n_distinct, {r('1 - (SELECT count(*) FROM (SELECT DISTINCT f0, f2, f3 FROM flows)) / count(*) AS rate')} FROM flows", "flows")
+def _(v):
+    return clean.duplicate_rate(v("flows"), ["f0", "f2", "f3"])
 
 
 # -- sampling
@@ -192,7 +197,12 @@ def _(v):
     return sampling.class_pool(v("scored"), "cls", "id", [1, 3], 40).select("id")
 
 
-@add("stratified_subset", None)
+@add("stratified_subset", f""", x AS ({_RANK.format(by='cls', t='scored')}), c AS (SELECT cls, count(*) AS n, sum(count(*)) OVER () AS total FROM scored GROUP BY cls),
+    q AS (SELECT cls, CASE WHEN total <= 300 THEN n ELSE least(n, greatest(round_even(n * 300.0 / total, 0)::BIGINT, least(50, n))) END AS q FROM c),
+    lv AS (SELECT min(range) AS lv FROM (SELECT range, (SELECT sum(least(q, range)) FROM q) AS held FROM range(1, 301)) WHERE held >= least(300, (SELECT sum(q) FROM q))),
+    t AS (SELECT cls, q, lv, (SELECT sum(least(q, lv)) FROM q, lv) - 300 AS over, count(*) FILTER (q >= lv) OVER (ORDER BY cls DESC) AS place FROM q, lv),
+    f AS (SELECT cls AS c, least(q, lv) - CASE WHEN q >= lv AND lv > 1 AND place <= over THEN 1 ELSE 0 END AS quota FROM t)
+    SELECT id, cls FROM x JOIN f ON cls = c WHERE k <= quota""", "scored")
 def _(v):
     return sampling.stratified_subset(v("scored"), "cls", "id", 300).select("id", "cls")
 
@@ -205,14 +215,14 @@ def _(v):
 # -- leakage and joins
 
 
-@add("leakage_check", f", {_FIT}, u AS (SELECT DISTINCT f0, f2, f3 FROM fit) SELECT count(*) AS n, count(u.f0) AS leaked, {r('count(u.f0) / count(*) AS share')} FROM test LEFT JOIN u ON test.f0 = u.f0 AND test.f2 = u.f2 AND test.f3 = u.f3", "flows")
+@add("leakage_check", f", {_FIT}, u AS (SELECT DISTINCT f0, f1, f2, f3 FROM fit) SELECT count(*) AS n, count(u.f0) AS leaked, {r('count(u.f0) / count(*) AS share')} FROM test LEFT JOIN u ON test.f0 = u.f0 AND test.f1 = u.f1 AND test.f2 = u.f2 AND test.f3 = u.f3", "flows")
 def _(v):
-    return joins.leakage_check(_test(v), _fit(v), ["f0", "f2", "f3"])
+    return joins.leakage_check(_test(v), _fit(v), COLS)
 
 
-@add("remove_leakage", f", {_FIT}, u AS (SELECT DISTINCT f0, f2, f3 FROM fit) SELECT id FROM test WHERE NOT EXISTS (SELECT 1 FROM u WHERE test.f0 = u.f0 AND test.f2 = u.f2 AND test.f3 = u.f3)", "flows")
+@add("remove_leakage", f", {_FIT}, u AS (SELECT DISTINCT f0, f1, f2, f3 FROM fit) SELECT id FROM test WHERE NOT EXISTS (SELECT 1 FROM u WHERE test.f0 = u.f0 AND test.f1 = u.f1 AND test.f2 = u.f2 AND test.f3 = u.f3)", "flows")
 def _(v):
-    return joins.remove_leakage(_test(v), _fit(v), ["f0", "f2", "f3"]).select("id")
+    return joins.remove_leakage(_test(v), _fit(v), COLS).select("id")
 
 
 @add("exclude_fit_source", "SELECT id FROM flows WHERE day NOT IN ('Monday')", "flows")
@@ -267,12 +277,12 @@ def _(v):
     return metrics.binary_metrics(v("scored"), "y", "score", 50.0, ["day"])
 
 
-_CM = "cm AS (SELECT y.range::INT AS y, p.range::INT AS p, (SELECT count(*) FROM d WHERE d.cls = y.range AND d.pred = p.range) AS n FROM range(5) y, range(5) p)"
-_REP = f"d AS (SELECT * FROM decisions WHERE agent = 1), {_CM}, e AS (SELECT y AS cls, sum(n) FILTER (y = p) AS tp, (SELECT sum(n) FROM cm c2 WHERE c2.p = cm.y) AS pred, sum(n) AS support FROM cm GROUP BY y), rep AS (SELECT cls, coalesce(tp / nullif(pred, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall, coalesce(2 * tp / nullif(pred + support, 0), 0) AS f1, support::BIGINT AS support FROM e)"
+_CM = "cm AS (SELECT y.range::INT AS y, p.range::INT AS p, (SELECT count(*) FROM decisions d WHERE d.cls = y.range AND d.pred = p.range) AS n FROM range(5) y, range(5) p)"
+_REP = f"{_CM}, e AS (SELECT y AS cls, sum(n) FILTER (y = p) AS tp, (SELECT sum(n) FROM cm c2 WHERE c2.p = cm.y) AS pred, sum(n) AS support FROM cm GROUP BY y), rep AS (SELECT cls, coalesce(tp / nullif(pred, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall, coalesce(2 * tp / nullif(pred + support, 0), 0) AS f1, support::BIGINT AS support FROM e)"
 
 
 def _cm(v):
-    return metrics.confusion_matrix(v("decisions").where("agent = 1"), "cls", "pred", 5)
+    return metrics.confusion_matrix(v("decisions"), "cls", "pred", 5)
 
 
 @add("confusion_matrix", f", {_REP} SELECT * FROM cm", "decisions")
@@ -297,9 +307,9 @@ def _(v):
     return metrics.class_distribution(v("flows"), ["day", "cls"])
 
 
-@add("merge_rare_classes", "SELECT day, CASE WHEN day IN ('2024-01-01') OR n >= 320 THEN day ELSE 'Other' END AS merged, n FROM (SELECT day, count(*) AS n FROM scored GROUP BY day)", "scored")
+@add("merge_rare_classes", "SELECT *, dense_rank() OVER (ORDER BY merged <> '2024-01-01', merged = 'Other', merged)::INT - 1 AS class_idx FROM (SELECT day, CASE WHEN day IN ('2024-01-01') OR n >= 320 THEN day ELSE 'Other' END AS merged, n FROM (SELECT day, count(*) AS n FROM scored GROUP BY day))", "scored")
 def _(v):
-    return metrics.merge_rare_classes(v("scored"), "day", 320, benign="2024-01-01")[1].select("day", "merged", "n")
+    return metrics.merge_rare_classes(v("scored"), "day", 320, benign="2024-01-01")[1].select("day", "merged", "n", "class_idx")
 
 
 @add("class_detection_rate", f"SELECT cls, count(*) AS n, sum(flag)::BIGINT AS alarms, {r('avg(flag) AS rate')} FROM scored GROUP BY cls", "scored")
@@ -397,7 +407,10 @@ def _(v):
     return curves.prior_threshold_sweep(v("scored"), "y", "score")
 
 
-@add("best_f1_threshold", None)
+_CUTS = f"cuts AS (SELECT unnest(range(400)) AS i, unnest((SELECT quantile_cont(score, [{', '.join(repr(0.5 + 0.4995 * i / 399) for i in range(400))}]) FROM scored)) AS t)"
+
+
+@add("best_f1_threshold", f", {_CURVE}, {_CUTS}, x AS (SELECT i, t, sum(pos) AS tp, sum(neg) AS fp, any_value(p) AS p FROM cuts JOIN c ON s >= t GROUP BY i, t) SELECT {r('t AS threshold', '2 * tp / (tp + fp + p) AS f1')} FROM x ORDER BY 2 * tp / (tp + fp + p) DESC, i LIMIT 1", "scored")
 def _(v):
     return curves.best_f1_threshold(v("scored"), "y", "score")
 
@@ -412,17 +425,31 @@ def _(v):
     return curves.robust_scale(v("scored"), "score")
 
 
-@add("evt_threshold", None)
+@add("evt_threshold", f""", b AS (SELECT score FROM scored WHERE y = 0), q AS (SELECT quantile_cont(score, 0.9) AS u, quantile_cont(score, 0.95) AS plain, count(*) AS n FROM b),
+    e AS (SELECT u, plain, n, count(*) FILTER (score > u) AS k, avg(score - u) FILTER (score > u) AS m1, avg((score - u) * (score - u)) FILTER (score > u) AS m2 FROM b, q GROUP BY u, plain, n),
+    g AS (SELECT *, greatest(-0.25, least(0.25, 0.5 * (1 - m2 / (m1 * m1)))) AS xi, 0.05 / (k / n) AS ratio FROM e), h AS (SELECT *, greatest(m1 * (1 - xi), 1e-12) AS beta FROM g),
+    f AS (SELECT *, u + CASE WHEN abs(xi) < 1e-6 THEN beta * ln(1 / ratio) ELSE beta / xi * (pow(ratio, -xi) - 1) END AS found FROM h),
+    o AS (SELECT *, k < 10 OR NOT isfinite(found) OR found <= 0 OR abs((SELECT avg((score <= found)::INT) FROM b) - 0.95) > 0.03 AS back FROM f)
+    SELECT {r('CASE WHEN back THEN plain ELSE found END AS threshold', 'u', 'CASE WHEN back THEN 0 ELSE xi END AS xi', 'CASE WHEN back THEN 1e-12 ELSE beta END AS beta')}, k AS n_exceed, back AS fallback FROM o""", "scored")
 def _(v):
     return curves.evt_threshold(v("scored").where("y = 0"), "score")
 
 
-@add("ks_drift", None)
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v, y, day FROM flows" for c in COLS)
+
+
+@add("ks_drift", f""", l AS ({_LONG}), g AS (SELECT feature, v, count(*) FILTER (y = 0 AND day = 'Monday') AS na, count(*) FILTER (day <> 'Monday') AS nb FROM l GROUP BY 1, 2),
+    c AS (SELECT feature, sum(na) OVER w AS ca, sum(nb) OVER w AS cb, sum(na) OVER (PARTITION BY feature) AS ta, sum(nb) OVER (PARTITION BY feature) AS tb FROM g WINDOW w AS (PARTITION BY feature ORDER BY v)),
+    d AS (SELECT feature, max(abs(ca / ta - cb / tb)) AS ks, any_value(sqrt(ta * tb / (ta + tb))) AS root FROM c GROUP BY feature), s AS (SELECT feature, ks, root * ks AS lam FROM d),
+    p AS (SELECT feature, ks, lam, (SELECT sum(CASE WHEN j.range % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2 * j.range * j.range * lam * lam)) FROM range(1, 101) j) AS series FROM s),
+    o AS (SELECT feature, ks, CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0, least(1, series)) END AS p_value FROM p) SELECT feature, {r('ks', 'p_value')}, p_value < 0.01 AS drifted FROM o""", "flows")
 def _(v):
     return curves.ks_drift(_fit(v), _test(v), COLS)
 
 
-@add("spearman_topk", None)
+@add("spearman_topk", f""", l AS (SELECT feature, v, f0 * f3 AS s FROM flows, LATERAL (VALUES {', '.join(f"('{c}', {c})" for c in COLS)}) AS t(feature, v)),
+    k AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2 AS rv, rank() OVER (PARTITION BY feature ORDER BY s) + (count(*) OVER (PARTITION BY feature, s) - 1) / 2 AS rs FROM l),
+    o AS (SELECT feature, corr(rv, rs) AS rho FROM k GROUP BY feature ORDER BY abs(rho) DESC, feature LIMIT 3) SELECT feature, {r('rho')} FROM o""", "flows")
 def _(v):
     return curves.spearman_topk(v("flows").withColumn("s", F.col("f0") * F.col("f3")), COLS, "s", 3)
 
@@ -446,7 +473,17 @@ def _(v):
     return bursts.run_lengths(bursts.bin_counts(_trace(v), "user_id", "h", 6.0).withColumn("f", (F.col("n") > 0).cast("int")), "user_id", "bin", "f")
 
 
-@add("burst_features", None)
+_HURST = """u AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS nn FROM b), sc AS (SELECT user_id, bin, n, (1 << k)::INT AS size FROM u, range(2, 31) t(k) WHERE k <= floor(log2(nn)) - 1 AND (bin // (1 << k) + 1) * (1 << k) <= nn),
+    dv AS (SELECT *, bin // size AS blk, n - avg(n) OVER (PARTITION BY user_id, size, bin // size) AS d FROM sc), cd AS (SELECT *, sum(d) OVER (PARTITION BY user_id, size, blk ORDER BY bin) AS cs FROM dv),
+    rs AS (SELECT user_id, size, (max(cs) - min(cs)) / stddev_samp(n) AS rs FROM cd GROUP BY user_id, size, blk HAVING stddev_samp(n) > 1e-12), mr AS (SELECT user_id, ln(size) AS x, ln(avg(rs)) AS yy FROM rs GROUP BY user_id, size),
+    hu AS (SELECT user_id, CASE WHEN count(*) >= 2 THEN regr_slope(yy, x) ELSE 0.5 END AS hurst FROM mr GROUP BY user_id)"""
+_RUNS = """f AS (SELECT user_id, bin, (n > 0)::INT AS f, row_number() OVER (PARTITION BY user_id ORDER BY bin) - row_number() OVER (PARTITION BY user_id, n > 0 ORDER BY bin) AS i FROM b), ru AS (SELECT user_id, f, count(*) * 6.0 AS d FROM f GROUP BY user_id, f, i),
+    ra AS (SELECT user_id, coalesce(avg(d) FILTER (f = 1), 0) AS mean_on, coalesce(var_pop(d) FILTER (f = 1), 0) AS var_on, coalesce(avg(d) FILTER (f = 0), 0) AS mean_off, coalesce(var_pop(d) FILTER (f = 0), 0) AS var_off, coalesce(sum(d) FILTER (f = 1), 0) AS t_on, coalesce(sum(d) FILTER (f = 0), 0) AS t_off, count(*) FILTER (f = 1) AS n_bursts FROM ru GROUP BY user_id),
+    ca AS (SELECT user_id, sum(n) AS packets, max(n) AS peak, count(*) * 6.0 AS duration FROM b GROUP BY user_id)"""
+
+
+@add("burst_features", f""", {_TRACE}, {_HURST}, {_RUNS}, o AS (SELECT *, t_on + t_off + 1e-12 AS total, packets / (duration + 1e-12) AS rate FROM ra JOIN ca USING (user_id) LEFT JOIN hu USING (user_id))
+    SELECT user_id, {r('mean_on', 'var_on', 'mean_off', 'var_off', 't_on / total AS on_ratio', 't_off / total AS idle_ratio', 'packets / (t_on + 1e-12) AS burst_rate', 'rate AS arrival_rate', 'peak / (rate * 6 + 1e-12) AS peak_to_mean', 'coalesce(hurst, 0.5) AS hurst', 'n_bursts::DOUBLE AS n_bursts')} FROM o""", "scored")
 def _(v):
     return bursts.burst_features(_trace(v), "user_id", "h", 6.0)
 
@@ -459,26 +496,26 @@ _KS = "(" + " + ".join(f"pow(f{i} - m{i}, 2) / (1 + greatest(s{i} * s{i}, 1e-8))
 
 
 def _scored_sql(expr: str) -> str:
-    return f"{_FIT}, st AS (SELECT {_Z} FROM fit), th AS (SELECT quantile_cont({expr}, 0.95) AS t FROM fit, st), z AS (SELECT id, y, {expr} AS score, CASE WHEN {expr} >= t THEN 1 ELSE 0 END AS flag FROM test, st, th)"
+    return f"{_FIT}, st AS (SELECT {_Z} FROM fit), th AS (SELECT quantile_cont({expr}, 0.95) AS t, avg({expr}) AS mu, stddev_pop({expr}) AS sd FROM fit, st), z AS (SELECT id, y, {expr} AS score, CASE WHEN {expr} >= t THEN 1 ELSE 0 END AS flag, t, mu, sd FROM test, st, th)"
 
 
-@add("zscore_detector", f", {_scored_sql(_ZS)} SELECT id, {r('score')}, flag FROM z", "flows")
+@add("zscore_detector", f", {_scored_sql(_ZS)} SELECT id, {r('score', 'greatest(0, least(1, score / t / 2)) AS trust')}, flag, 4 AS width FROM z", "flows")
 def _(v):
-    return detectors.zscore_detector(_fit(v), _test(v), COLS).select("id", "score", "flag")
+    return detectors.zscore_detector(_fit(v), _test(v), COLS).select("id", "score", "flag", "trust", F.size("embedding").alias("width"))
 
 
-@add("kalman_frozen_nis", f", {_scored_sql(_KS)} SELECT id, {r('score')}, flag FROM z", "flows")
+@add("kalman_frozen_nis", f", {_scored_sql(_KS)}, o AS (SELECT *, 1 / (1 + exp(-greatest(-30, least(30, 0.5 * (score - mu) / (sd + 1e-8))))) AS p FROM z) SELECT id, {r('score', 'CASE WHEN flag = 1 THEN p ELSE 1 - p END AS trust')}, flag, 4 AS width FROM o", "flows")
 def _(v):
-    return detectors.kalman_frozen_nis(_fit(v), _test(v), COLS).select("id", "score", "flag")
+    return detectors.kalman_frozen_nis(_fit(v), _test(v), COLS).select("id", "score", "flag", "trust", F.size("embedding").alias("width"))
 
 
 @add("null_detector", f"SELECT id, {r('0 AS score')}, 0 AS flag, {r('0.5 AS trust')} FROM flows", "flows")
 def _(v):
-    return detectors.null_detector(v("flows")).select("id", "score", "flag", "trust")
+    return detectors.null_detector(None, v("flows")).select("id", "score", "flag", "trust")
 
 
 def _compared(name: str, expr: str) -> str:
-    return f"SELECT '{name}' AS detector, * FROM ({'WITH ' + _scored_sql(expr)}, c AS (SELECT {_rates('flag = 1')} FROM z) SELECT tp, fp, fn, tn, {_BINARY} FROM c)"
+    return f"SELECT '{name}' AS detector, * FROM ({'WITH ' + _scored_sql(expr)}, c AS (SELECT {_rates('flag = 1')} FROM z), g AS (SELECT score AS s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM z GROUP BY 1), w AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS up, sum(neg) OVER (ORDER BY s DESC) AS un, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM g), au AS (SELECT sum(neg * (up - pos / 2)) / any_value(p * n) AS roc_auc, sum(pos * up / (up + un)) / any_value(p) AS pr_auc FROM w) SELECT tp, fp, fn, tn, {_BINARY}, {r('roc_auc', 'pr_auc')} FROM c, au)"
 
 
 @add("detector_comparison", f"{_compared('zscore', _ZS)} UNION ALL {_compared('kalman_frozen', _KS)}", "flows")
@@ -503,17 +540,19 @@ def _(v):
 
 @add("isolation_forest", None)
 def _(v):
-    return detectors.isolation_forest(_fit(v), _test(v), COLS, trees=50).select("id", "score", "flag")
+    return detectors.isolation_forest(_fit(v), _test(v), COLS, id_col="id").select("id", "score", "flag", "trust", F.size("embedding").alias("width"))
 
 
-@add("ema_baseline_score", None)
+@add("ema_baseline_score", f""", o AS (SELECT id, user_id, score, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS k FROM scored),
+    e AS (SELECT * FROM (WITH RECURSIVE w AS (SELECT id, user_id, k, 50.0::DOUBLE AS b, score FROM o WHERE k = 1 UNION ALL SELECT o.id, o.user_id, o.k, 0.99 * w.b + 0.01 * w.score, o.score FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1) SELECT * FROM w))
+    SELECT id, {r('abs(score - b) AS score')} FROM e""", "scored")
 def _(v):
     return detectors.ema_baseline_score(v("scored"), "user_id", ["ts", "id"], ["score"], {"score": 50.0}).select("id", "score")
 
 
 @add("kalman_by_key", None)
 def _(v):
-    return detectors.kalman_by_key(v("scored"), "user_id", ["ts", "id"], ["score"], [50.0], [400.0], 4.0).select("id", "score", "flag")
+    return detectors.kalman_by_key(v("scored"), "user_id", ["ts", "id"], ["score"], [50.0], [400.0], 4.0).select("id", "score", "flag", "trust", F.size("embedding").alias("width"))
 
 
 @add("pattern_cache", None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import clean, detectors, joins, metrics, sampling, sets
+from ..operators import clean, curves, detectors, joins, metrics, sampling, sets
 from .registry import COLS, _FIT, _fit, _test, add, r
 
 _X = "x AS (SELECT id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM vectors)"
@@ -79,7 +79,7 @@ def _(v):
 
 @add("join_daily_threshold", f", t AS (SELECT day, quantile_cont(score, 0.95) AS threshold FROM scored WHERE y = 0 GROUP BY day) SELECT id, {r('threshold')} FROM scored JOIN t USING (day)", "scored")
 def _(v):
-    t = v("scored").where("y = 0").groupBy("day").agg(F.percentile("score", F.lit(0.95)).alias("threshold"))
+    t = curves.benign_quantile_threshold(v("scored").where("y = 0"), "score", by=["day"])
     return metrics.join_daily_threshold(v("scored"), t, "day").select("id", "threshold")
 
 
@@ -125,4 +125,4 @@ def _(v):
 
 @add("pca_reconstruction", None)
 def _(v):
-    return detectors.pca_reconstruction(_fit(v), _test(v), COLS, 2).select("id", "score", "flag")
+    return detectors.pca_reconstruction(_fit(v), _test(v), COLS).select("id", "score", "flag", "trust", F.size("embedding").alias("width"))
