@@ -145,6 +145,11 @@ def _in_batches(spark, df, cuts, transform, tmp):
 
 def test_streams_in_batches_equal_the_table(spark, tmp_path):
     df = _walk(spark)
+    vectors = df.withColumn("x", F.array("v", F.lit(0.5)))
+    got = _in_batches(spark, vectors, [50, 51, 90], lambda s: online.stream_pattern_cache(s, "k", "ts", ["t"], "x", cap=4), tmp_path / "p")
+    want = detectors.pattern_cache(vectors, "k", ["t"], "x", cap=4)
+    of = lambda d: [(r.t, r.pattern_id, round(r.similarity, 9), r.matched, r.n_patterns) for r in d.orderBy("t").collect()]
+    assert of(got) == of(want)
     got = _in_batches(spark, df, [50, 51, 90], lambda s: online.stream_kalman(s, "k", "ts", ["t"], ["v"], [0.0], [1.0], 2.0), tmp_path / "k")
     want = detectors.kalman_by_key(df, "k", ["t"], ["v"], [0.0], [1.0], 2.0)
     key = lambda d: [(r.t, round(r.score, 9), r.flag) for r in d.orderBy("t").collect()]

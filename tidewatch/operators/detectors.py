@@ -133,6 +133,11 @@ def kmeans_assign(df: DataFrame, vec: str, centers: list[list[float]]) -> DataFr
     return df.withColumn("_d", d).withColumn("cluster", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).withColumn("dist", F.array_min("_d")).drop("_d")
 
 
+def kmeans_summary(assigned: DataFrame) -> DataFrame:
+    """(cluster, n, inertia): rows and summed squared distances of each cluster of kmeans_assign."""
+    return assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("dist").alias("inertia"))
+
+
 def detector_comparison(fit_df: DataFrame, test_df: DataFrame, cols: list[str], y: str = "y", alpha: float = 0.05, names: tuple[str, ...] = ("zscore", "kalman_frozen")) -> DataFrame:
     """One row for each registered detector named: threshold metrics by its own flag, and ROC and PR areas of its score."""
     from ._work import stored
@@ -398,6 +403,14 @@ def _c(n: int) -> float:
 class PatternLibrary:
     """Patterns of one key, matched by cosine; all survival values decay with each vector."""
 
+    def state(self) -> tuple:
+        """Plain lists, as a stream keeps them."""
+        return self.ids.tolist(), self.life.tolist(), [u.tolist() for u in self.unit], self.fresh
+
+    def restore(self, ids: list, life: list, unit: list, fresh: int) -> PatternLibrary:
+        self.ids, self.life, self.unit, self.fresh = np.array(ids, int), np.array(life, float), [np.array(u, float) for u in unit], fresh
+        return self
+
     def __init__(self, seeds: list | None, sim: float, sv: float, reward: float, decay: float, evict: float, cap: int):
         self.ids = np.arange(len(seeds or []))
         self.life = np.full(len(self.ids), sv)

@@ -142,6 +142,39 @@ def agent_report(decisions: DataFrame, agent: str = "agent", y: str = "y", p: st
     return c.select(agent, "accuracy", precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / (precision + recall + eps)).alias("f1"), "flag_rate")
 
 
+def policy_classes(decisions: DataFrame, by: list[str], y: str = "y", p: str = "pred") -> DataFrame:
+    """(by, class, prediction, n, share): how each policy's predictions fall for rows of each class."""
+    n = decisions.groupBy(*by, y, p).agg(F.count("*").alias("n"))
+    totals = decisions.groupBy(*by, y).agg(F.count("*").alias("_total"))
+    return n.join(totals, [*by, y]).select(*by, y, p, "n", (F.col("n") / F.col("_total")).alias("share"))
+
+
+def detector_row(decisions: DataFrame, id_col: str = "id", y: str = "y", flag: str = "flag", eps: float = 1e-9) -> DataFrame:
+    """What agent_report gives of an agent, for the detector's own flag (binary accuracy), over the rows that the agents decided, each once."""
+    rows = decisions.groupBy(id_col).agg(F.max(y).alias("y"), F.max(flag).alias("f"))
+    n = lambda c: F.sum(c.cast("long"))
+    hit, attack = F.col("f") == 1, F.col("y") > 0
+    c = rows.agg(F.avg((hit == attack).cast("double")).alias("accuracy"), n(hit & attack).alias("tp"), n(hit & ~attack).alias("fp"), n(~hit & attack).alias("fn"), F.avg(hit.cast("double")).alias("flag_rate"))
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp") + eps), F.col("tp") / (F.col("tp") + F.col("fn") + eps)
+    return c.select(F.lit("detector").alias("name"), "accuracy", precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / (precision + recall + eps)).alias("f1"), "flag_rate")
+
+
+def recalibration_summary(df: DataFrame, day: str, y: str, score: str, thr: float, alpha: float = 0.05, min_benign: int = 50) -> DataFrame:
+    """One row: rates over all days that have an own threshold (as daily_recalibration), with it and with thr, their differences, and the largest over the smallest threshold."""
+    own = daily_recalibration(df, day, y, score, alpha, min_benign).select(F.col(day).alias("_day"), "threshold")
+    rows = df.join(own, F.col(day) == F.col("_day"))
+    rate = lambda at, k: F.avg(F.when(F.col(y) == k, (F.col(score) >= at).cast("double")))
+    c = rows.agg(F.max("threshold").alias("high"), F.min("threshold").alias("low"), rate(F.col("threshold"), 0).alias("fpr"), rate(F.col("threshold"), 1).alias("detection_rate"), rate(F.lit(thr), 0).alias("g0"), rate(F.lit(thr), 1).alias("g1"))
+    return c.select("fpr", "detection_rate", (F.col("fpr") - F.col("g0")).alias("fpr_change"), (F.col("detection_rate") - F.col("g1")).alias("detection_change"), (F.col("high") / F.col("low")).alias("threshold_ratio"))
+
+
+def segment_summary(fused: DataFrame, segment: str, label: str = "label", alarm: str = "alarm", benign: str = "BENIGN") -> DataFrame:
+    """One row over all segments: detection and false alarm rate, accuracy of the alarm, and the share of attack rows whose label names their segment."""
+    attack, hit = F.col(segment) != benign, F.col(alarm) == 1
+    rate = lambda c, of: F.avg(F.when(of, c.cast("double")))
+    return fused.agg(rate(hit, attack).alias("detection_rate"), rate(hit, ~attack).alias("false_alarm_rate"), F.avg((hit == attack).cast("double")).alias("accuracy"), rate(F.col(label).contains(F.col(segment)), attack).alias("label_match"))
+
+
 def leaderboard(metrics: DataFrame, higher_is_better: dict[str, bool]) -> DataFrame:
     """(metric, winner, runner_up) of (detector, metric, value); ties by name."""
     up = F.element_at(F.create_map(*[x for k, v in higher_is_better.items() for x in (F.lit(k), F.lit(v))]), F.col("metric"))
@@ -175,8 +208,8 @@ def score_histogram(df: DataFrame, score: str, y: str, bins: int = 60) -> DataFr
     return counts.withColumn("density", F.col("n") / F.sum("n").over(Window.partitionBy(y)) / width)
 
 
-def segment_rates(fused: DataFrame, layers: dict[str, str], segment: str = "segment", expected: str = "expected") -> DataFrame:
-    """(layer, segment, rate, n): alarm rate per layer and scenario segment."""
+def segment_rates(fused: DataFrame, layers: dict[str, str], segment: str = "segment") -> DataFrame:
+    """(layer, segment, rate, n): alarm rate per layer and scenario segment; segment_summary has the rates over all."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), F.col(c).cast("double").alias("alarm")) for k, c in layers.items()]))
     return fused.select(segment, each.alias("x")).groupBy("x.layer", segment).agg(F.avg("x.alarm").alias("rate"), F.count("*").alias("n"))
 

@@ -106,6 +106,12 @@ def _(v):
     return replay(_events(v), lambda s: online.stream_kalman(s, "user_id", "ts", ["ts", "id"], ["score"], [50.0], [400.0], 4.0)).select("id", "score", "flag")
 
 
+@add("stream_pattern_cache", None)
+def _(v):
+    s = _events(v).withColumn("x", F.array("score", F.lit(10.0), F.lit(1.0)))
+    return replay(s, lambda d: online.stream_pattern_cache(d, "user_id", "ts", ["ts", "id"], "x")).drop("user_id", "ts")
+
+
 _HOURS = "h AS (SELECT user_id, floor(epoch(ts) / 3600)::BIGINT AS b, count(*) AS n FROM scored GROUP BY 1, 2), d AS (SELECT *, b - b % 24 AS o, b - lag(b) OVER (PARTITION BY user_id, b - b % 24 ORDER BY b) AS gap FROM h)"
 
 

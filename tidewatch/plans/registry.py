@@ -353,6 +353,27 @@ def _(v):
     return metrics.agent_report(v("decisions"), y="cls")
 
 
+@add("policy_classes", f", c AS (SELECT agent, cls, pred, count(*) AS n FROM decisions GROUP BY ALL) SELECT agent, cls, pred, n, {r('n / sum(n) OVER (PARTITION BY agent, cls) AS share')} FROM c", "decisions")
+def _(v):
+    return metrics.policy_classes(v("decisions"), ["agent"], y="cls")
+
+
+@add("detector_row", f", c AS (SELECT count(*) FILTER (flag = 1 AND cls > 0) AS tp, count(*) FILTER (flag = 1 AND cls = 0) AS fp, count(*) FILTER (flag = 0 AND cls > 0) AS fn, avg((flag = 1)::INT) AS flag_rate, avg(((flag = 1) = (cls > 0))::INT) AS accuracy FROM scored), q AS (SELECT *, tp / (tp + fp + 1e-9) AS p, tp / (tp + fn + 1e-9) AS q FROM c) SELECT 'detector' AS name, {r('accuracy', 'p AS precision', 'q AS recall', '2 * p * q / (p + q + 1e-9) AS f1', 'flag_rate')} FROM q", "scored")
+def _(v):
+    return metrics.detector_row(v("decisions"), y="cls")
+
+
+@add("recalibration_summary", f", t AS (SELECT day, quantile_cont(score, 0.95) AS threshold FROM scored WHERE y = 0 GROUP BY day HAVING count(*) >= 50), c AS (SELECT max(threshold) / min(threshold) AS ratio, avg((score >= threshold)::INT) FILTER (y = 0) AS f, avg((score >= threshold)::INT) FILTER (y = 1) AS d, avg((score >= 50)::INT) FILTER (y = 0) AS f0, avg((score >= 50)::INT) FILTER (y = 1) AS d0 FROM scored JOIN t USING (day)) SELECT {r('f AS fpr', 'd AS detection_rate', 'f - f0 AS fpr_change', 'd - d0 AS detection_change', 'ratio AS threshold_ratio')} FROM c", "scored")
+def _(v):
+    return metrics.recalibration_summary(v("scored"), "day", "y", "score", 50.0)
+
+
+@add("segment_summary", f", g AS (SELECT {_SEG_SQL} AS seg, flag, CASE WHEN score >= 80 THEN 'DoS+FDIA' WHEN flag = 1 THEN 'DoS' ELSE 'BENIGN' END AS label FROM scored) SELECT {r(*[x.replace('ATT', "(seg <> 'BENIGN')") for x in ('avg((flag = 1)::INT) FILTER (ATT) AS detection_rate', 'avg((flag = 1)::INT) FILTER (NOT ATT) AS false_alarm_rate', 'avg(((flag = 1) = ATT)::INT) AS accuracy', 'avg(contains(label, seg)::INT) FILTER (ATT) AS label_match')])} FROM g", "scored")
+def _(v):
+    s = joins.tag_scenario(v("scored"), _SEG, "id").withColumn("label", F.when(F.col("score") >= 80, "DoS+FDIA").when(F.col("flag") == 1, "DoS").otherwise("BENIGN"))
+    return metrics.segment_summary(s, "segment", alarm="flag")
+
+
 @add("majority_vote", ", c AS (SELECT id, pred, count(*) AS k FROM decisions GROUP BY id, pred) SELECT id, pred AS winner FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC, pred = 0, pred) = 1", "decisions")
 def _(v):
     return metrics.majority_vote(v("decisions"), "id", "pred")
@@ -538,6 +559,12 @@ def _(v):
     return detectors.kmeans_assign(v("flows").select("id", F.array("f0", "f2").alias("x")), "x", [[10, 0], [40, 0.1]]).select("id", "cluster", "dist")
 
 
+@add("kmeans_summary", f"SELECT cluster, count(*) AS n, {r('sum(dist) / 1000 AS inertia')} FROM (SELECT CASE WHEN pow(f0 - 10, 2) + pow(f2 - 0, 2) <= pow(f0 - 40, 2) + pow(f2 - 0.1, 2) THEN 0 ELSE 1 END AS cluster, least(pow(f0 - 10, 2) + pow(f2 - 0, 2), pow(f0 - 40, 2) + pow(f2 - 0.1, 2)) AS dist FROM flows) GROUP BY cluster", "flows")
+def _(v):
+    a = detectors.kmeans_assign(v("flows").select("id", F.array("f0", "f2").alias("x")), "x", [[10, 0], [40, 0.1]])
+    return detectors.kmeans_summary(a).withColumn("inertia", F.col("inertia") / 1000)
+
+
 @add("isolation_forest", None)
 def _(v):
     return detectors.isolation_forest(_fit(v), _test(v), COLS, id_col="id").select("id", "score", "flag", "trust", F.size("embedding").alias("width"))

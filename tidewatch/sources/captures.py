@@ -68,6 +68,11 @@ def file_inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFra
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def inventory_totals(inventory: DataFrame) -> DataFrame:
+    """(files, bytes) of a file_inventory."""
+    return inventory.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
 def capture_name(path: Column) -> Column:
     """Last name of a path; of a folder that Spark has written, the folder's."""
     parts = F.split(path, "/")

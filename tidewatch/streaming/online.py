@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.detectors import ema_steps, kalman_steps
+from ..operators.detectors import PatternLibrary, ema_steps, kalman_steps
 
 
 def stream_score(sdf: DataFrame, score: Column, threshold: float) -> DataFrame:
@@ -23,7 +23,7 @@ def stream_score(sdf: DataFrame, score: Column, threshold: float) -> DataFrame:
     return sdf.withColumn("score", score).withColumn("flag", (F.col("score") >= threshold).cast("int"))
 
 
-def _by_key(sdf: DataFrame, key: str, ts: str, order: list[str], cols: list[str], added: str, state_schema: str, start: tuple, steps: Callable, watermark: str, idle_ms: int) -> DataFrame:
+def _by_key(sdf: DataFrame, key: str, ts: str, order: list[str], cols: list[str], added: str, state_schema: str, start: tuple, steps: Callable, watermark: str, idle_ms: int, kind: type = float) -> DataFrame:
     kinds = dict(sdf.dtypes)
     names = [key, *dict.fromkeys([ts, *order])]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", {added}"
@@ -33,7 +33,7 @@ def _by_key(sdf: DataFrame, key: str, ts: str, order: list[str], cols: list[str]
             state.remove()
             return
         pdf = pd.concat(list(frames)).sort_values(order)
-        found, after = steps(pdf[cols].to_numpy(float), state.get if state.exists else start)
+        found, after = steps(pdf[cols].to_numpy(kind), state.get if state.exists else start)
         state.update(after)
         last = max(int(pdf[ts].max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1)
         state.setTimeoutTimestamp(last + idle_ms)
@@ -64,6 +64,19 @@ def stream_kalman(sdf: DataFrame, key: str, ts: str, order: list[str], cols: lis
     return _by_key(sdf, key, ts, order, cols, "score double, flag int", "x array<double>, p array<double>, seen long", begin, steps, watermark, idle_ms)
 
 
+def stream_pattern_cache(sdf: DataFrame, key: str, ts: str, order: list[str], vec: str, seeds: list[list[float]] | None = None, sim: float = 0.9, sv: float = 1.0, reward: float = 1.0, decay: float = 0.99, evict: float = 0.2, cap: int = 1000, watermark: str = "1 hour", idle_ms: int = 30 * 86_400_000) -> DataFrame:
+    """(key, ts, order, pattern_id, similarity, matched, n_patterns): matching as ``pattern_cache``; a key's library is its state."""
+    options = (sim, sv, reward, decay, evict, cap)
+
+    def steps(x, state):
+        library = PatternLibrary(None, *options).restore(*state)
+        rows = [library.see(np.array(v, float)) for v in x[:, 0]]
+        return dict(zip(("pattern_id", "similarity", "matched", "n_patterns"), map(list, zip(*rows)))), library.state()
+
+    added = "pattern_id int, similarity double, matched boolean, n_patterns int"
+    return _by_key(sdf, key, ts, order, [vec], added, "ids array<long>, life array<double>, unit array<array<double>>, fresh long", PatternLibrary(seeds, *options).state(), steps, watermark, idle_ms, object)
+
+
 def burst_windows(df: DataFrame, entity: str, ts: str, window: str = "1 day", width: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
     """(entity, start, packets, peak, on_bins, n_bursts, mean_on) of each tumbling window, for tables and streams.
 
