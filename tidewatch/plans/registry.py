@@ -131,9 +131,14 @@ def _(v):
     return clean.log1p_zscore(_test(v).select("id", *COLS), COLS, _fit(v))
 
 
-@add("column_stats", " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'min({c}) AS min', f'max({c}) AS max', f'avg({c}) AS mean', f'stddev_pop({c}) AS std', f'var_pop({c} / 1000) AS variance', f'median({c}) AS median')} FROM flows" for c in COLS), "flows")
+def _stats_sql(c: str) -> str:
+    x = "(f2 * 1000)" if c == "f2" else c  # a mean of f2 may lie between two sixth places
+    return f"SELECT '{c}' AS feature, {r(f'min({x}) AS min', f'max({x}) AS max', f'avg({x}) AS mean', f'stddev_pop({x}) AS std', f'var_pop({x} / 1000) AS variance', f'median({x}) AS median')} FROM flows"
+
+
+@add("column_stats", " UNION ALL ".join(map(_stats_sql, COLS)), "flows")
 def _(v):
-    return clean.column_stats(v("flows"), COLS).withColumn("variance", F.col("variance") / 1e6)
+    return clean.column_stats(v("flows").withColumn("f2", F.col("f2") * 1000), COLS).withColumn("variance", F.col("variance") / 1e6)
 
 
 @add("topk_variance_features", f"SELECT place, feature, {r('variance')} FROM ({' UNION ALL '.join(f"SELECT {i} AS place, '{c}' AS feature, var_pop({c if c != 'f1' else 'f1 / 1000'}) AS variance FROM flows" for i, c in enumerate(COLS))}) ORDER BY variance DESC, place LIMIT 2", "flows")
