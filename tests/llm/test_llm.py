@@ -385,6 +385,42 @@ def test_top_k_brute_force(spark):
     assert top_k.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows, ahead", [(16, 1), (64, 4), (5000, 4)])
+def test_top_k_routes_copies_lengths_and_repeated_rows(spark, shard_rows, ahead):
+    rng = np.random.default_rng(5)
+    centres = 6 * rng.normal(size=(7, 6))
+    vectors = [(i, (centres[i % 7] + rng.normal(size=6)).astype(np.float32)) for i in range(500)]
+    vectors += [(i, vectors[3][1]) for i in range(500, 800)]  # a third are copies
+    vectors += [(1000 + i, rng.normal(size=1 + i % 12).astype(np.float32)) for i in range(240)]  # more lengths than routes are made for
+    vectors += [vectors[10], vectors[10]]
+    rows = [(i, [float(x) for x in v], 1, "v", 0.5) for i, v in vectors]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard int, v string, floor double")
+    got = collections.defaultdict(list)
+    for r in top_k.top_k(df, df.where("vec_id % 10 = 0"), shard_rows=shard_rows, query_rows=7, leaf=8, ahead=ahead).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    q = {i: np.floor(256 * v.astype(float)) for i, v in vectors}
+    for i in q:
+        if i % 10 == 0:
+            expected = sorted(((int(q[i] @ q[j]), j) for j, v in vectors if j != i and len(v) == len(q[i])), key=lambda t: (-t[0], t[1]))[:5]
+            assert got.pop(i) == expected
+    assert not got
+
+
+def test_top_k_branches_are_passed_over(monkeypatch):
+    """On parted clusters a query looks at few leaves, and the result is whole."""
+    rng = np.random.default_rng(6)
+    x = np.floor(256 * np.repeat(40 * rng.normal(size=(20, 5)), 50, axis=0) + 256 * rng.normal(size=(1000, 5)))
+    q, seen = x[::50], []
+    reach = top_k._reach
+    monkeypatch.setattr(top_k, "_reach", lambda a, c, r: seen.append(len(a) * len(r)) or reach(a, c, r))
+    best, who = top_k.search(x, np.arange(1000), q, np.arange(0, 1000, 50), np.full(20, -np.inf), 5, 8)
+    nodes = len(top_k.BallTree(x, 8).radii)
+    assert sum(seen) < 0.5 * nodes * len(q)
+    for n in range(20):
+        s = x @ q[n]
+        assert [(-int(b), int(w)) for b, w in zip(best[n], who[n])] == sorted((-int(s[j]), j) for j in range(1000) if j != 50 * n)[:5]
+
+
 def test_mix(spark):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randrange(0, 30), rng.choice(["a", "b", "b", "b", "c", None])) for i in range(3000)]
