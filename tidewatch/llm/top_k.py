@@ -68,8 +68,9 @@ class BallTree:
 def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int, leaf: int):
     """(scores, ids) of each query's k best in x that reach its floor; ties to smaller ids.
 
-    Queries go down the tree together. At a node each goes first to the child of the larger bound; to
-    the other only if that child's bound still reaches the query's kth score, at first the floor.
+    Queries go down the tree together. At a node each goes first to the child of the larger bound (fewer than an
+    eighth of all go with the others); to the other only if that child's bound still reaches the query's kth score, at
+    first the floor.
     """
     tree = BallTree(x, leaf)
     best = np.full((len(q), k), -np.inf)
@@ -85,6 +86,8 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, flo
         if pair[0] >= 0:
             below = np.minimum(_reach(q[live], tree.centres[pair], tree.radii[pair]), bound[:, None])
             left = below[:, 0] >= below[:, 1]
+            if min(left.sum(), (~left).sum()) < len(q) / 8:  # too few to go another way by themselves
+                left[:] = 2 * left.sum() >= len(left)
             for side, mine in ((0, left), (1, ~left)):  # the last pushed is visited first
                 if mine.any():
                     stack += [(pair[1 - side], live[mine], below[mine, 1 - side]), (pair[side], live[mine], below[mine, side])]
@@ -92,8 +95,10 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, flo
         rows = tree.rows[node]
         s = q[live] @ x[rows].T
         own = np.broadcast_to(ids[rows], s.shape)
-        s = np.where((own == q_ids[live, None]) | (s < floor[live, None]), -np.inf, s)
-        own = np.where(np.isinf(s), _NONE, own)
+        s = np.where((own == q_ids[live, None]) | (s < np.maximum(best[live, -1], floor[live])[:, None]), -np.inf, s)
+        new = ~np.isinf(s).all(axis=1)  # only these have anything to merge
+        live, s = live[new], s[new]
+        own = np.where(np.isinf(s), _NONE, own[new])
         s, own = np.concatenate([best[live], s], axis=1), np.concatenate([who[live], own], axis=1)
         top = np.lexsort((own, -s), axis=1)[:, :k]
         best[live], who[live] = np.take_along_axis(s, top, 1), np.take_along_axis(own, top, 1)
