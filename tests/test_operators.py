@@ -167,6 +167,16 @@ def test_closed_stream_windows_equal_the_table(spark, tmp_path):
     assert found and len(found) == len(set(found)) and set(found) <= want
 
 
+def test_burst_features_of_arrays_equal_those_of_rows(spark):
+    rng = np.random.default_rng(5)
+    traces = [[int(n) for n in rng.poisson(rate, size)] for rate, size in ((0.4, 80), (3, 33), (0.2, 16), (2, 7), (1, 1))] + [[0] * 20, [4] * 20]
+    rows = spark.createDataFrame([(e, b, n) for e, x in enumerate(traces) for b, n in enumerate(x)], "e int, bin int, n long")
+    arrays = spark.createDataFrame([(e, [float(n) for n in x]) for e, x in enumerate(traces)], "e int, x array<double>")
+    for width, on in ((1.0, 1), (0.5, 2)):
+        of = lambda d: np.array([list(r) for r in d.select("e", *bursts.FEATURES).orderBy("e").collect()], float)
+        assert np.allclose(of(bursts.array_features(arrays, "x", width, on)), of(bursts.trace_features(rows, "e", width, on)), rtol=1e-9, atol=1e-9)
+
+
 def test_captures(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(" f0, Label\n1,DoS \x96 Hulk\n".encode("latin-1"))
     (tmp_path / "b.csv").write_text("Label,f0\nBENIGN,2\n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -40,14 +40,85 @@ def hurst_rs(df: DataFrame, entity: str, bin_col: str, count: str) -> DataFrame:
     return df.select(entity).distinct().join(fit, entity, "left").select(entity, F.coalesce("hurst", F.lit(0.5)).alias("hurst"))
 
 
+#: The features of a trace of bins, in order.
+FEATURES = ["mean_on", "var_on", "mean_off", "var_off", "on_ratio", "idle_ratio", "burst_rate", "arrival_rate", "peak_to_mean", "hurst", "n_bursts"]
+
+
 def burst_features(df: DataFrame, entity: str, ts: str, width: float, on: int = 1) -> DataFrame:
     """ON and OFF durations, ratios, rates, peak-to-mean, Hurst and number of bursts of each entity."""
-    counts = bin_counts(df, entity, ts, width).withColumn("_on", (F.col("n") >= on).cast("int"))
+    return trace_features(bin_counts(df, entity, ts, width), entity, width, on)
+
+
+def trace_features(bins: DataFrame, entity: str, width: float, on: int = 1) -> DataFrame:
+    """The burst features of bins (entity, bin, n) as of bin_counts."""
+    counts = bins.withColumn("_on", (F.col("n") >= on).cast("int"))
     runs = run_lengths(counts, entity, "bin", "_on").withColumn("d", F.col("length") * width)
     when = lambda v, f: F.coalesce(f(F.when(F.col("_on") == v, F.col("d"))), F.lit(0.0))
     r = runs.groupBy(entity).agg(when(1, F.avg).alias("mean_on"), when(1, F.var_pop).alias("var_on"), when(0, F.avg).alias("mean_off"), when(0, F.var_pop).alias("var_off"), when(1, F.sum).alias("t_on"), when(0, F.sum).alias("t_off"), F.sum("_on").cast("double").alias("n_bursts"))
     c = counts.groupBy(entity).agg(F.sum("n").alias("packets"), F.max("n").alias("peak"), (F.count("*") * width).alias("duration"))
+    return r.join(c, entity).join(hurst_rs(counts, entity, "bin", "n"), entity).select(entity, *_shares(width))
+
+
+def _shares(width: float) -> list:
+    """FEATURES from durations, totals and duration."""
     rate = F.col("packets") / (F.col("duration") + EPS)
     total = F.col("t_on") + F.col("t_off") + EPS
-    out = r.join(c, entity).join(hurst_rs(counts, entity, "bin", "n"), entity)
-    return out.select(entity, "mean_on", "var_on", "mean_off", "var_off", (F.col("t_on") / total).alias("on_ratio"), (F.col("t_off") / total).alias("idle_ratio"), (F.col("packets") / (F.col("t_on") + EPS)).alias("burst_rate"), rate.alias("arrival_rate"), (F.col("peak") / (rate * width + EPS)).alias("peak_to_mean"), "hurst", "n_bursts")
+    made = {"on_ratio": F.col("t_on") / total, "idle_ratio": F.col("t_off") / total, "burst_rate": F.col("packets") / (F.col("t_on") + EPS), "arrival_rate": rate, "peak_to_mean": F.col("peak") / (rate * width + EPS)}
+    return [made.get(c, F.col(c)).alias(c) for c in FEATURES]
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
+def _block_range(v: Column, size: Column) -> Column:
+    """Rescaled range of one block, null where it doesn't vary."""
+    mean = _sum(v) / size
+    start = F.struct(F.lit(0.0).alias("at"), F.lit(float("inf")).alias("low"), F.lit(float("-inf")).alias("high"), F.lit(0.0).alias("squares"))
+
+    def step(a: Column, x: Column) -> Column:
+        at = a["at"] + x - mean
+        return F.struct(at.alias("at"), F.least(a["low"], at).alias("low"), F.greatest(a["high"], at).alias("high"), (a["squares"] + (x - mean) * (x - mean)).alias("squares"))
+
+    def finish(a: Column) -> Column:
+        s = F.sqrt(a["squares"] / (size - 1))
+        return F.when(s > EPS, (a["high"] - a["low"]) / s)
+
+    return F.aggregate(v, start, step, finish)
+
+
+def _hurst_of(bins: Column) -> Column:
+    """hurst_rs of an array of counts."""
+
+    def scale(k: Column) -> Column:
+        size = F.pow(F.lit(2.0), k).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(bins) / size).cast("int") - 1), lambda j: _block_range(F.slice(bins, j * size + 1, size), size))
+        varied = F.filter(blocks, lambda x: x.isNotNull())
+        return F.struct(F.log(size.cast("double")).alias("x"), F.when(F.size(varied) > 0, F.log(_sum(varied) / F.size(varied))).alias("y"))
+
+    top = F.floor(F.log2(F.size(bins))).cast("int") - 1
+    points = F.filter(F.transform(F.when(top >= 2, F.sequence(F.lit(2), top)).otherwise(F.array().cast("array<int>")), scale), lambda p: p["y"].isNotNull())
+    none = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "x", "y", "xx", "xy")])
+    add = lambda a, p: F.struct((a["n"] + 1).alias("n"), (a["x"] + p["x"]).alias("x"), (a["y"] + p["y"]).alias("y"), (a["xx"] + p["x"] * p["x"]).alias("xx"), (a["xy"] + p["x"] * p["y"]).alias("xy"))
+    slope = lambda a: F.when(a["n"] >= 2, (a["n"] * a["xy"] - a["x"] * a["y"]) / (a["n"] * a["xx"] - a["x"] * a["x"])).otherwise(0.5)
+    return F.aggregate(points, none, add, slope)
+
+
+def array_features(df: DataFrame, bins: str, width: float, on: int = 1) -> DataFrame:
+    """df with the burst features of each row's array of counts (doubles, at least one), by expressions alone, so for streams too."""
+    flag = lambda i: F.element_at(bins, i) >= on
+    starts = F.filter(F.sequence(F.lit(1), F.size(bins)), lambda i: (i == 1) | (flag(i) != flag(F.greatest(i - 1, F.lit(1)))))
+    df = df.withColumn("_starts", starts).withColumn("_ends", F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(F.size(bins) + 1)))
+    runs = F.zip_with("_starts", "_ends", lambda a, b: F.struct(flag(a).alias("on"), ((b - a) * width).cast("double").alias("d")))
+    df = df.withColumn("_runs", runs)
+    for name in ("on", "off"):
+        picked = F.filter("_runs", lambda r: r["on"] == (name == "on"))  # noqa: B023
+        df = df.withColumn(f"_{name}", F.transform(picked, lambda r: r["d"]))
+        n, total = F.size(f"_{name}"), _sum(F.col(f"_{name}"))
+        df = df.withColumn(f"t_{name}", total).withColumn(f"mean_{name}", F.when(n > 0, F.col(f"t_{name}") / n).otherwise(0.0))
+        spread = _sum(F.transform(f"_{name}", lambda d: (d - F.col(f"mean_{name}")) * (d - F.col(f"mean_{name}"))))
+        df = df.withColumn(f"var_{name}", F.when(n > 0, spread / n).otherwise(0.0))
+    df = df.withColumn("n_bursts", F.size("_on").cast("double")).withColumn("hurst", _hurst_of(F.col(bins)))
+    df = df.withColumn("packets", _sum(F.col(bins))).withColumn("peak", F.array_max(bins)).withColumn("duration", F.size(bins) * width)
+    made = dict(zip(FEATURES, _shares(width)))
+    return df.select("*", *[made[c] for c in FEATURES if c not in df.columns]).drop("_starts", "_ends", "_runs", "_on", "_off", "t_on", "t_off", "duration")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators._work import scratch
 from ..sources import captures
 from ..streaming import online
-from .registry import QUERIES, _fit, _test, add, r
+from .registry import QUERIES, _fit, _test, add, r, trace_sql
 
 
 @add("read_flow_csv", f"SELECT id, raw_label, {r('f0', 'f1')} FROM flows", "flows")
@@ -112,17 +112,21 @@ def _(v):
     return replay(s, lambda d: online.stream_pattern_cache(d, "user_id", "ts", ["ts", "id"], "x")).drop("user_id", "ts")
 
 
-_HOURS = "h AS (SELECT user_id, floor(epoch(ts) / 3600)::BIGINT AS b, count(*) AS n FROM scored GROUP BY 1, 2), d AS (SELECT *, b - b % 24 AS o, b - lag(b) OVER (PARTITION BY user_id, b - b % 24 ORDER BY b) AS gap FROM h)"
+# Keys of windows are texts: user and first hour.
+_HOURS = """h AS (SELECT user_id || ' ' || (floor(epoch(ts) / 3600)::BIGINT // 24 * 24) AS user_id, floor(epoch(ts) / 3600)::BIGINT AS h, count(*) AS n FROM scored GROUP BY 1, 2),
+    e AS (SELECT user_id, min(h) AS first, max(h) AS last FROM h GROUP BY user_id),
+    b AS (SELECT e.user_id, (t.h - e.first)::INT AS bin, coalesce(n, 0) AS n FROM (SELECT *, unnest(range(first, last + 1)) AS h FROM e) t JOIN e USING (user_id) LEFT JOIN h ON h.user_id = e.user_id AND h.h = t.h)"""
+_WINDOWS = f"""SELECT split_part(user_id, ' ', 1)::BIGINT AS user_id, split_part(user_id, ' ', 2)::BIGINT AS start_hour, packets::BIGINT AS packets, peak::BIGINT AS peak,
+    (SELECT count(*) FROM b WHERE b.user_id = o.user_id AND b.n > 0) AS on_bins, {trace_sql(1.0)[1]} FROM o"""
 
 
-@add("burst_windows", f", {_HOURS} SELECT user_id, o AS start_hour, sum(n)::BIGINT AS packets, max(n) AS peak, count(*) AS on_bins, count(*) FILTER (gap IS NULL OR gap > 1) AS n_bursts, {r('count(*) / count(*) FILTER (gap IS NULL OR gap > 1) AS mean_on')} FROM d GROUP BY user_id, o", "scored")
+@add("burst_windows", f", {_HOURS}, {trace_sql(1.0)[0]} {_WINDOWS}", "scored")
 def _(v):
     return _windows(online.burst_windows(_events(v), "user_id", "ts"))
 
 
 def _windows(d):
-    hour = (F.unix_seconds("start") / 3600).cast("long").alias("start_hour")
-    return d.select("user_id", hour, "packets", "peak", F.col("on_bins").cast("long").alias("on_bins"), F.col("n_bursts").cast("long").alias("n_bursts"), "mean_on")
+    return d.withColumn("start_hour", (F.unix_seconds("start") / 3600).cast("long")).drop("start")
 
 
 @add("stream_burst_windows", None)

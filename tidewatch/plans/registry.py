@@ -503,13 +503,19 @@ _HURST = """u AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS nn FROM b),
     dv AS (SELECT *, bin // size AS blk, n - avg(n) OVER (PARTITION BY user_id, size, bin // size) AS d FROM sc), cd AS (SELECT *, sum(d) OVER (PARTITION BY user_id, size, blk ORDER BY bin) AS cs FROM dv),
     rs AS (SELECT user_id, size, (max(cs) - min(cs)) / stddev_samp(n) AS rs FROM cd GROUP BY user_id, size, blk HAVING stddev_samp(n) > 1e-12), mr AS (SELECT user_id, ln(size) AS x, ln(avg(rs)) AS yy FROM rs GROUP BY user_id, size),
     hu AS (SELECT user_id, CASE WHEN count(*) >= 2 THEN regr_slope(yy, x) ELSE 0.5 END AS hurst FROM mr GROUP BY user_id)"""
-_RUNS = """f AS (SELECT user_id, bin, (n > 0)::INT AS f, row_number() OVER (PARTITION BY user_id ORDER BY bin) - row_number() OVER (PARTITION BY user_id, n > 0 ORDER BY bin) AS i FROM b), ru AS (SELECT user_id, f, count(*) * 6.0 AS d FROM f GROUP BY user_id, f, i),
+_RUNS = """f AS (SELECT user_id, bin, (n > 0)::INT AS f, row_number() OVER (PARTITION BY user_id ORDER BY bin) - row_number() OVER (PARTITION BY user_id, n > 0 ORDER BY bin) AS i FROM b), ru AS (SELECT user_id, f, count(*) * {width} AS d FROM f GROUP BY user_id, f, i),
     ra AS (SELECT user_id, coalesce(avg(d) FILTER (f = 1), 0) AS mean_on, coalesce(var_pop(d) FILTER (f = 1), 0) AS var_on, coalesce(avg(d) FILTER (f = 0), 0) AS mean_off, coalesce(var_pop(d) FILTER (f = 0), 0) AS var_off, coalesce(sum(d) FILTER (f = 1), 0) AS t_on, coalesce(sum(d) FILTER (f = 0), 0) AS t_off, count(*) FILTER (f = 1) AS n_bursts FROM ru GROUP BY user_id),
-    ca AS (SELECT user_id, sum(n) AS packets, max(n) AS peak, count(*) * 6.0 AS duration FROM b GROUP BY user_id)"""
+    ca AS (SELECT user_id, sum(n) AS packets, max(n) AS peak, count(*) * {width} AS duration FROM b GROUP BY user_id)"""
+_SHARES = ("mean_on", "var_on", "mean_off", "var_off", "t_on / total AS on_ratio", "t_off / total AS idle_ratio", "packets / (t_on + 1e-12) AS burst_rate", "rate AS arrival_rate", "peak / (rate * {width} + 1e-12) AS peak_to_mean", "coalesce(hurst, 0.5) AS hurst", "n_bursts::DOUBLE AS n_bursts")
 
 
-@add("burst_features", f""", {_TRACE}, {_HURST}, {_RUNS}, o AS (SELECT *, t_on + t_off + 1e-12 AS total, packets / (duration + 1e-12) AS rate FROM ra JOIN ca USING (user_id) LEFT JOIN hu USING (user_id))
-    SELECT user_id, {r('mean_on', 'var_on', 'mean_off', 'var_off', 't_on / total AS on_ratio', 't_off / total AS idle_ratio', 'packets / (t_on + 1e-12) AS burst_rate', 'rate AS arrival_rate', 'peak / (rate * 6 + 1e-12) AS peak_to_mean', 'coalesce(hurst, 0.5) AS hurst', 'n_bursts::DOUBLE AS n_bursts')} FROM o""", "scored")
+def trace_sql(width: float) -> tuple[str, str]:
+    """The tables behind the burst features of bins b (user_id, bin, n), the last one o; and the features' columns."""
+    tables = f"{_HURST}, {_RUNS.format(width=width)}, o AS (SELECT *, t_on + t_off + 1e-12 AS total, packets / (duration + 1e-12) AS rate FROM ra JOIN ca USING (user_id) LEFT JOIN hu USING (user_id))"
+    return tables, r(*[c.format(width=width) for c in _SHARES])
+
+
+@add("burst_features", f", {_TRACE}, {trace_sql(6.0)[0]} SELECT user_id, {trace_sql(6.0)[1]} FROM o", "scored")
 def _(v):
     return bursts.burst_features(_trace(v), "user_id", "h", 6.0)
 

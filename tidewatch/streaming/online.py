@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.bursts import FEATURES, array_features
 from ..operators.detectors import PatternLibrary, ema_steps, kalman_steps
 
 
@@ -77,18 +78,22 @@ def stream_pattern_cache(sdf: DataFrame, key: str, ts: str, order: list[str], ve
     return _by_key(sdf, key, ts, order, [vec], added, "ids array<long>, life array<double>, unit array<array<double>>, fresh long", PatternLibrary(seeds, *options).state(), steps, watermark, idle_ms, object)
 
 
-def burst_windows(df: DataFrame, entity: str, ts: str, window: str = "1 day", width: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """(entity, start, packets, peak, on_bins, n_bursts, mean_on) of each tumbling window, for tables and streams.
+def burst_windows(df: DataFrame, entity: str, ts: str, window: str = "1 day", width: str = "1 hour", watermark: str = "1 hour", on: int = 1) -> DataFrame:
+    """(entity, start, packets, peak, on_bins, and the burst features) of each tumbling window, for tables and streams.
 
     Arrivals are counted by bin first, so a window's state is at most one entry for each of its bins, however many
-    arrivals there are; mean_on is in bins. The window must be a multiple of the width. A stream gives a window when the watermark has
-    passed it; rows later than that are dropped.
+    arrivals there are. A window's trace goes from its first bin with an arrival to its last one, empty ones between them
+    included; bins of ``on`` arrivals and more are ON. Durations are in bins. The window must be a multiple of the width. A stream
+    gives a window when the watermark has passed it; rows later than that are dropped. Null entities are one entity; null
+    times have no window.
     """
     bins = df.withWatermark(ts, watermark).groupBy(entity, F.window(ts, width).alias("w")).agg(F.count("*").alias("n"))
     size = F.unix_micros("w.end") - F.unix_micros("w.start")
     bins = bins.select(entity, "w", F.window_time("w").alias("at"), F.struct((F.unix_micros("w.start") / size).cast("long").alias("b"), "n").alias("bin"))
     each = bins.groupBy(entity, F.window("at", window).alias("o")).agg(F.sort_array(F.collect_list("bin")).alias("s"))
-    begins = F.size(F.filter("s", lambda x, i: (i == 0) | (x["b"] - F.element_at("s", F.greatest(i, F.lit(1)))["b"] > 1)))
-    total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    out = each.select(entity, F.col("o.start").alias("start"), total.alias("packets"), F.array_max(F.transform("s", lambda x: x["n"])).alias("peak"), F.size("s").alias("on_bins"), begins.alias("n_bursts"))
-    return out.withColumn("mean_on", F.col("on_bins") / F.col("n_bursts"))
+    skipped = lambda x, i: F.when(i > 0, x["b"] - F.element_at("s", F.greatest(i, F.lit(1)))["b"] - 1).otherwise(0)
+    trace = F.flatten(F.transform("s", lambda x, i: F.concat(F.array_repeat(F.lit(0.0), skipped(x, i).cast("int")), F.array(x["n"].cast("double")))))
+    traces = each.select(entity, F.col("o.start").alias("start"), trace.alias("_trace"))
+    found = array_features(traces, "_trace", 1.0, on)
+    busy = F.size(F.filter("_trace", lambda n: n >= on)).cast("long").alias("on_bins")
+    return found.select(entity, "start", F.col("packets").cast("long").alias("packets"), F.col("peak").cast("long").alias("peak"), busy, *FEATURES)
