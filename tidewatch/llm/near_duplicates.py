@@ -91,9 +91,16 @@ def _sets(width: int):
     return run
 
 
+def _roots(trees: int, rows: int) -> np.ndarray:
+    """The positions that each tree's root selects."""
+    if trees > 256:
+        raise ValueError("at most 256 trees")
+    return np.array([np.random.default_rng(1000 + t).choice(SIGNATURE, rows, replace=False) for t in range(trees)])
+
+
 def _paths(trees: int, rows: int):
-    """Root branches: each tree selects ``rows`` positions and branches on their minwise tokens."""
-    pick = np.array([np.random.default_rng(1000 + t).choice(SIGNATURE, rows, replace=False) for t in range(trees)])
+    """Root branches: each tree selects ``rows`` positions and branches on their minwise tokens. A path's low byte is its tree."""
+    pick = _roots(trees, rows)
 
     def run(batches):
         for batch in batches:
@@ -101,23 +108,32 @@ def _paths(trees: int, rows: int):
             key = np.zeros((len(sig), trees), _U) + np.arange(1, trees + 1, dtype=_U)
             for r in range(rows):
                 key = mix(key * _WORD[r] + sig[:, pick[:, r]])
+            key = key & ~_U(255) | np.arange(trees, dtype=_U)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), trees))], ["path", "id"])
 
     return run
 
 
 def _branch(children: int):
-    """Children of a node: positions follow from the node alone, so all its documents select the same ones."""
+    """Children of a node: positions follow from the node alone, so all its documents select the same ones, each once on a path.
+
+    A bit of ``used`` stands for a position that the path has selected; ``was`` is the size of the node above.
+    """
 
     def run(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, SIGNATURE)
-            node = batch.column(0).to_numpy().view(_U)
-            made, row = [], np.arange(len(sig))
+            node, used = batch.column(0).to_numpy().view(_U), batch.column(3).to_numpy().view(_U)
+            paths, masks, row, taken = [], [], np.arange(len(sig)), used
             for c in range(children):
                 at = mix(node + _U(c + 1)) % _U(SIGNATURE)
-                made.append(mix(mix(node + _U(c + 1)) + sig[row, at.astype(np.int64)]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(np.tile(batch.column(1).to_numpy(), children))], ["path", "id"])
+                while (again := (taken >> at & _U(1)).astype(bool)).any():
+                    at = np.where(again, (at + _U(1)) % _U(SIGNATURE), at)
+                taken = taken | _U(1) << at
+                paths.append(mix(mix(node + _U(c + 1)) + sig[row, at.astype(np.int64)]))
+                masks.append(used | _U(1) << at)
+            ids, was = (np.tile(batch.column(i).to_numpy(), children) for i in (1, 4))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).view(np.int64)), pa.array(ids), pa.array(np.concatenate(masks).view(np.int64)), pa.array(was)], ["path", "id", "used", "was"])
 
     return run
 
@@ -270,7 +286,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     first = kept(nodes(map_batches(reps.select("id", "sig"), _paths(trees, 2), "path long, id long")))
     heads = first.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
     found = kept(likely(heads.union(all_pairs(first.where(F.col("size") <= small)))))
-    large = first.where(F.col("size") > small).select("path", "id")
+    masks = [int(np.bitwise_or.reduce(_U(1) << p.astype(_U)).view(np.int64)) for p in _roots(trees, 2)]
+    root = F.element_at(F.array(*map(F.lit, masks)), (F.col("path").bitwiseAND(F.lit(255)) + 1).cast("int")).cast("long")
+    large = first.where(F.col("size") > small).select("path", "id", root.alias("used"), F.lit(None).cast("long").alias("was"))
 
     need = found.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
     wanted = kept(reps.join(need, "id", "left_semi").select("row", "id", "h1", "h2"))
@@ -295,20 +313,19 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     for level in range(1, levels + 1):
         if large.isEmpty():
             break
-        of = large.join(merged, large.id == merged.node, "left").select("path", "id", F.coalesce("component", "id").alias("c"))
+        of = large.join(merged, large.id == merged.node, "left").select("path", "id", "used", "was", F.coalesce("component", "id").alias("c"))
         parts = of.groupBy("path", "c").agg(F.count("*").alias("k"))
         mixed = parts.groupBy("path").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         open_ = kept(of.join(mixed.select("path", "size", F.col("main.k").alias("k"), F.col("main.c").alias("main")), "path"))
         # Nodes that one component rules meet as one group, whichever tree they are of.
-        ruled = F.lit(False) if level == levels else F.col("size") < 2 * F.col("k")
-        blocks.append(open_.where(ruled).select(F.col("main").alias("key"), F.lit(True).alias("ruled"), "id", "c", (F.col("c") != F.col("main")).alias("odd")))
-        if level == levels:
-            blocks.append(open_.select(F.col("path").alias("key"), F.lit(False).alias("ruled"), "id", "c", F.lit(True).alias("odd")))
-            break
-        deeper = open_.where(~ruled).select("path", "id").join(reps.select("id", "sig"), "id").select("path", "id", "sig")
-        below = kept(nodes(map_batches(deeper, _branch(children), "path long, id long")))
+        ruled = F.col("size") < 2 * F.col("k")
+        # The pairs of two nodes of over 1 / sqrt(2) of the size are as many as those above: branching on wins nothing.
+        stuck = F.lit(level == levels) | F.coalesce(children * F.col("size") * F.col("size") > F.col("was") * F.col("was"), F.lit(False))
+        blocks.append(open_.where(ruled | stuck).select(F.when(ruled, F.col("main")).otherwise(F.col("path")).alias("key"), ruled.alias("ruled"), "id", "c", (~ruled | (F.col("c") != F.col("main"))).alias("odd")))
+        deeper = open_.where(~ruled & ~stuck).join(reps.select("id", "sig"), "id").select("path", "id", "sig", "used", "size")
+        below = kept(nodes(map_batches(deeper, _branch(children), "path long, id long, used long, was long")))
         rest.append(kept(likely(all_pairs(below.where(F.col("size") <= small)))))
-        large = below.where(F.col("size") > small).select("path", "id")
+        large = below.where(F.col("size") > small).select("path", "id", "used", "was")
     more = []
     if rest:
         more.append(kept(confirmed(across(reduce(DataFrame.union, rest).distinct(), merged))))
@@ -342,7 +359,7 @@ def near_duplicates(
     percent: int = 75,
     trees: int = 16,
     small: int = 8,
-    levels: int = 3,
+    levels: int = 24,
     children: int = 2,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs.
@@ -356,10 +373,12 @@ def near_duplicates(
     node of up to ``small`` documents all pairs are candidates; a larger node first links
     its members to one of them, another one in each node. Links found so far merge documents,
     and a large node whose members are merged already is done. Others branch on, ``children``
-    selected tokens at a time. Large nodes that one component rules (over half of the members)
-    and those of the last level are compared in blocks on full sets, all documents outside
+    selected tokens at a time, until nodes are small. Large nodes that one component rules (over half of the members),
+    those that hardly shrink (two like it have as many pairs as the node above) and those of the last level
+    are compared in blocks on full sets, all documents outside
     the ruling component with all others: no node is cut short, and no pairs are listed. A pair at the threshold shares a root node with probability
-    1 - (1 - 0.75**2)**trees, 0.999998 for 16 trees. Candidates whose signatures agree
+    1 - (1 - 0.75**2)**trees, 0.999998 for 16 trees, and a node at any depth with at least 0.99998, as of two children
+    with a chance of 0.75 each a line dies out with a chance of 1 / 9. Candidates whose signatures agree
     in less than percent - 25 of a hundred positions (over 4 standard deviations below)
     are left out; all others are compared on full sets.
 
@@ -384,7 +403,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Groups are of texts, whatever their ids, with options as of near_duplicates. Texts without words are in no group and stay.
     Of rows that repeat id and text one stays, the smallest by its other columns. An empty table gives no rows.
     """
-    o = {"width": 5, "percent": 75, "trees": 16, "small": 8, "levels": 3, "children": 2} | options
+    o = {"width": 5, "percent": 75, "trees": 16, "small": 8, "levels": 24, "children": 2} | options
     signed, classes = _linked(docs, id_col, text_col, **o)
     grouped = cut(_attach(signed.where("n > 0"), classes, "group").groupBy("group", F.col("id").isNull().alias("none"), "id", "row").agg(F.count("*").alias("rows")))
     best = grouped.groupBy("group").agg(F.min(F.struct("none", "id", "row")).alias("b"), F.sum("rows").alias("all")).where("all > 1")
