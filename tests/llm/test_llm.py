@@ -74,19 +74,6 @@ def test_near_duplicates_brute_force(spark):
     assert got == groups_of(rows)
 
 
-def test_near_duplicates_at_any_number_of_levels(spark):
-    """A family that shares half of its shingles, below the limit, with some true copies in it."""
-    rng = random.Random(9)
-    base = [f"b{i}" for i in range(120)]
-    texts = [base + [f"o{rng.randrange(100000)}" for _ in range(50)] for _ in range(240)]
-    texts += [w[:-1] + ["end"] for w in texts[::9]]
-    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = groups_of(rows)
-    for levels in (1, 24):
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df, levels=levels).collect()} == want
-
-
 def test_near_duplicates_edges(spark):
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(edge_docs(spark)).collect())
     assert got[1, 0, 1, True] == got[2, 0, 2, True] == got[6, 0, 6, True] == 1
