@@ -13,6 +13,7 @@ from .lm_score import cross_entropy_difference
 from .mixing import plan_mix
 from .near_duplicates import near_duplicates
 from .secrets import scan_secrets
+from .substring_dedup import dedup_substrings
 from .token_counts import document_tokens
 from .top_k import top_k
 
@@ -87,8 +88,13 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op12_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    found = (op1_line_blocks, op2_secret_scan, op3_chosen_path, op4_chat_format, op5_wu_manber, op6_piece_unigrams, op7_cross_entropy, op8_ball_tree, op9_mix_sources, op10_separator_scan)
+    found = (op1_line_blocks, op2_secret_scan, op3_chosen_path, op4_chat_format, op5_wu_manber, op6_piece_unigrams, op7_cross_entropy, op8_ball_tree, op9_mix_sources, op10_separator_scan, op12_count_min)
     return {f.__name__: f for f in found}
 
 
@@ -132,4 +138,14 @@ def oracle_sql() -> dict[str, str]:
                 FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
             FROM s QUALIFY rank <= 5""",
+        "op12_count_min": r"""
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            x AS (SELECT r, doc_id, p, array_to_string(w[p : p + 12], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+            m AS (SELECT k, min(doc_id) AS least FROM x GROUP BY k HAVING min(doc_id) < max(doc_id)),
+            h AS (SELECT DISTINCT r, unnest(range(p, p + 13)) AS q FROM x JOIN m USING (k) WHERE doc_id > least),
+            e AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+            k AS (SELECT r, string_agg(word, ' ' ORDER BY q) AS kept FROM e ANTI JOIN h USING (r, q) GROUP BY r),
+            g AS (SELECT r, count(*) AS n FROM h GROUP BY r)
+            SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM d LEFT JOIN g USING (r) LEFT JOIN k USING (r)""",
     }
