@@ -16,6 +16,7 @@ from .secrets import scan_secrets
 from .substring_dedup import dedup_substrings
 from .token_counts import document_tokens
 from .top_k import top_k
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,13 +89,17 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op11_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op12_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict:
-    found = (op1_line_blocks, op2_secret_scan, op3_chosen_path, op4_chat_format, op5_wu_manber, op6_piece_unigrams, op7_cross_entropy, op8_ball_tree, op9_mix_sources, op10_separator_scan, op12_count_min)
+    found = (op1_line_blocks, op2_secret_scan, op3_chosen_path, op4_chat_format, op5_wu_manber, op6_piece_unigrams, op7_cross_entropy, op8_ball_tree, op9_mix_sources, op10_separator_scan, op11_bit_sliced, op12_count_min)
     return {f.__name__: f for f in found}
 
 
