@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats, masked_text, read_turns
 from .decontaminate import decontaminate
+from .hard_negatives import hard_negatives
 from .html_text import extract_main_text
 from .language import fit_language_model, identify_language
 from .lm_score import cross_entropy_difference
@@ -98,8 +99,14 @@ def op12_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_bond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict:
-    found = (op1_line_blocks, op2_secret_scan, op3_chosen_path, op4_chat_format, op5_wu_manber, op6_piece_unigrams, op7_cross_entropy, op8_ball_tree, op9_mix_sources, op10_separator_scan, op11_bit_sliced, op12_count_min)
+    found = (op1_line_blocks, op2_secret_scan, op3_chosen_path, op4_chat_format, op5_wu_manber, op6_piece_unigrams, op7_cross_entropy, op8_ball_tree, op9_mix_sources, op10_separator_scan, op11_bit_sliced, op12_count_min, op13_bond)
     return {f.__name__: f for f in found}
 
 
@@ -153,4 +160,12 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT r, count(*) AS n FROM h GROUP BY r)
             SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
             FROM d LEFT JOIN g USING (r) LEFT JOIN k USING (r)""",
+        "op13_bond": """
+            WITH v AS (
+                SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+                WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.r, b.vec_id, b.label, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND len(a.e) = len(b.e)),
+            p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE label = own AND vec_id <> anchor_id QUALIFY place <= 5)
+            SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, place ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s USING (anchor_id) WHERE s.label <> p.own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5""",
     }
