@@ -151,7 +151,7 @@ class Repeated:
 
     def __init__(self, column: DataFrame, width: int, anchor: int, bits: int):
         """From a table of one text column."""
-        block_bits = min(20, max(6, bits - 9))  # about 1,024 blocks
+        block_bits = min(20, max(3, bits - 9))  # about 1,024 blocks
         parts = map_batches(column, _sketch(width, anchor, bits, block_bits), "block int, once binary, twice binary")
         merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merge(block_bits), "block int, bits binary")
         flags = np.zeros((2 << bits) // 8, np.uint8)
@@ -200,7 +200,7 @@ def _segments(repeated: Repeated, width: int, anchor: int):
 
 
 def _expand(repeated: Repeated, width: int):
-    """(k1, k2, rep, s1, s2, off): the windows of segments that are estimated to be in two of them."""
+    """(k1, k2, rep, s1, s2, offs): the windows of segments that are estimated to be in two of them, each once with its places."""
 
     def run(batches):
         for batch in batches:
@@ -208,10 +208,16 @@ def _expand(repeated: Repeated, width: int):
                 w = Windows(piece, width, width)
                 likely = np.flatnonzero(w.valid)
                 likely = likely[repeated.has(w.hash[likely])]
-                digest = w.digests(likely, likely + width)
-                at = pa.array(piece.first + w.row[likely], pa.int64())
-                columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), batch.column(2).take(at), batch.column(0).take(at), batch.column(1).take(at), pa.array(likely - w.first[w.row[likely]], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "rep", "s1", "s2", "off"])
+                digest, row = w.digests(likely, likely + width), w.row[likely]
+                order = np.lexsort((digest[:, 1], digest[:, 0], row))
+                digest, row, likely = digest[order], row[order], likely[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1]).any(axis=1)
+                begins = np.flatnonzero(new)
+                offs = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)), pa.int32()), pa.array(likely - w.first[row], pa.int32()))
+                at = pa.array(piece.first + row[begins], pa.int64())
+                columns = [pa.array(digest[begins, 0]), pa.array(digest[begins, 1]), batch.column(2).take(at), batch.column(0).take(at), batch.column(1).take(at), offs]
+                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "rep", "s1", "s2", "offs"])
 
     return run
 
@@ -288,10 +294,10 @@ def dedup_substrings(
     key = ["s1", "s2"]
     reps = cut(segments.groupBy(*key).agg(F.min("id").alias("rep"), F.first("text", ignorenulls=True).alias("text")))
     again = Repeated(reps.select("text"), width, width, bits)
-    windows = map_batches(reps.select("s1", "s2", "rep", "text"), _expand(again, width), "k1 long, k2 long, rep long, s1 long, s2 long, off int")
+    windows = map_batches(reps.select("s1", "s2", "rep", "text"), _expand(again, width), "k1 long, k2 long, rep long, s1 long, s2 long, offs array<int>")
     windows = cut(windows)
     shared = windows.groupBy("k1", "k2").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    late = windows.join(shared, ["k1", "k2"]).where("rep > least").groupBy(*key).agg(F.collect_set("off").alias("offs"))  # at most a segment's windows
+    late = windows.join(shared, ["k1", "k2"]).where("rep > least").groupBy(*key).agg(F.flatten(F.collect_list("offs")).alias("offs"))  # at most a segment's windows
     judged = segments.drop("text").join(reps.select(*key, "rep").join(late, key, "left"), key)
     whole = F.array(F.struct("start", "n"))
     ones = F.transform("offs", lambda o: F.struct((F.col("start") + o).alias("start"), F.lit(1).alias("n")))
