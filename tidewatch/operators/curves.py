@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,33 +51,44 @@ def best_f1_exhaustive(df: DataFrame, y: str, score: str) -> DataFrame:
     return c.agg(F.max(F.struct("f1", "s")).alias("b")).select(F.col("b.s").alias("threshold"), "b.f1")
 
 
-def _at_thresholds(df: DataFrame, y: str, score: str, thresholds: list[float]) -> DataFrame:
-    """(i, threshold, tp, fp, p) for each threshold: rows fall into one of len + 1 buckets, then suffix sums of few rows."""
-    spark = df.sparkSession
-    order = sorted(range(len(thresholds)), key=lambda i: thresholds[i])
-    edges = F.array(*[F.lit(float(thresholds[i])) for i in order])
-    bucket = F.size(F.filter(edges, lambda t: t <= F.col(score)))
-    b = df.where(F.col(score).isNotNull()).groupBy(bucket.alias("b")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
-    table = spark.createDataFrame([(i, float(thresholds[i]), rank + 1) for rank, i in enumerate(order)], "i int, threshold double, rank int")
-    total = b.agg(F.sum("pos").alias("p"))
-    x = F.broadcast(table).join(b, F.col("b") >= F.col("rank"), "left").groupBy("i", "threshold").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg"), F.lit(0)).alias("fp"))
-    return x.crossJoin(F.broadcast(total))
+def _at_quantiles(df: DataFrame, y: str, score: str, qs: list[float]) -> list[tuple[float, int, int, int]]:
+    """(threshold, tp, fp, positives) at each of the score's quantiles, all from one running sum over its different values.
+
+    The rows with a score of a threshold or above are those down to the first value not below it. The driver gets the few values at the quantiles' ranks.
+    """
+    c = stored(_cumulative(df, y, score))
+    top = c.agg(F.max("p"), F.max("n")).first()
+    total = (top[0] or 0) + (top[1] or 0)
+    if not total:
+        return []
+    at = [(total - 1) * q for q in qs]
+    ranks = sorted({f(x) for x in at for f in (math.floor, math.ceil)})
+    before = F.lit(total) - F.col("tp") - F.col("fp")
+    held = F.filter(F.array(*[F.lit(x).cast("long") for x in ranks]), lambda x: (x >= before) & (x < before + F.col("pos") + F.col("neg")))
+    found = {rank: (r["s"], r["tp"], r["fp"]) for r in c.select("s", "tp", "fp", held.alias("ranks")).where("size(ranks) > 0").collect() for rank in r["ranks"]}
+    out = []
+    for x in at:
+        low, high = found[math.floor(x)], found[math.ceil(x)]
+        part = x - math.floor(x)
+        out.append((low[0] + (high[0] - low[0]) * part if part and high[0] != low[0] else low[0], *(high if part else low)[1:], top[0]))
+    return out
+
+
+def _f1(tp: int, fp: int, p: int) -> float | None:
+    return 2 * tp / (tp + fp + p) if tp + fp + p else None
 
 
 def best_f1_threshold(df: DataFrame, y: str, score: str, lo: float = 0.5, hi: float = 0.9995, n: int = 400) -> DataFrame:
     """(threshold, f1): the first best of n quantiles as thresholds. Uses labels: an optimistic bound."""
-    qs = [lo + (hi - lo) * i / (n - 1) for i in range(n)]
-    cuts = quantile_list(df, score, qs)
-    c = _at_thresholds(df, y, score, cuts).withColumn("f1", 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p")))
-    return c.agg(F.max(F.struct("f1", (-F.col("i")).alias("i"), "threshold")).alias("b")).select("b.threshold", "b.f1")
+    found = [(t, _f1(tp, fp, p)) for t, tp, fp, p in _at_quantiles(df, y, score, [lo + (hi - lo) * i / (n - 1) for i in range(n)])]
+    best = max((x for x in found if x[1] is not None), key=lambda x: x[1], default=(None, None))
+    return df.sparkSession.createDataFrame([best], "threshold double, f1 double")
 
 
 def prior_threshold_sweep(df: DataFrame, y: str, score: str, alphas: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2, 0.3, 0.4)) -> DataFrame:
-    """(alpha, threshold, f1): the score's 1 - alpha quantile as threshold."""
-    cuts = quantile_list(df, score, [1 - a for a in alphas])
-    c = _at_thresholds(df, y, score, cuts)
-    alpha = F.element_at(F.array(*map(F.lit, alphas)), F.col("i") + 1)
-    return c.select(alpha.alias("alpha"), "threshold", (2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p"))).alias("f1"))
+    """(alpha, threshold, f1): the score's 1 - alpha quantile as threshold; no rows without scores."""
+    found = zip(alphas, _at_quantiles(df, y, score, [1 - a for a in alphas]))
+    return df.sparkSession.createDataFrame([(float(a), t, _f1(tp, fp, p)) for a, (t, tp, fp, p) in found], "alpha double, threshold double, f1 double")
 
 
 def benign_quantile_threshold(df: DataFrame, score: str, alpha: float = 0.05, by: list[str] | None = None, exact: bool = True) -> DataFrame:
@@ -99,8 +112,6 @@ def evt_threshold(df: DataFrame, score: str, alpha: float = 0.05, tail: float =
     way. Falls back to the plain quantile under 10 exceedances, for a threshold that is not
     positive and finite, or one whose empirical quantile is off by more than gap. Under 50 finite scores is an error.
     """
-    import math
-
     base = df.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf")))
     n = base.count()
     if n < 50:
