@@ -261,3 +261,12 @@ def test_quantiles_are_exact(spark):
     every = [v for _, v in rows if v is not None]
     assert np.allclose(_work.quantile_list(df, "v", qs), np.quantile(every, qs)) and np.allclose(list(_work.quantiles(df, "v", qs).first()), np.quantile(every, qs))
     assert _work.quantile_list(df.limit(0), "v", qs) == [None] * 5
+
+
+def test_forest_draws_rows_not_values(spark):
+    """A row that a third of the fit set repeats has about a third of each tree's draw, and no more than psi rows meet."""
+    rows = [(0.0, 0.0)] * 3000 + [(float(x), float(y)) for x, y in np.random.default_rng(3).normal(size=(6000, 2))]
+    fit = spark.createDataFrame(rows, "a double, b double").repartition(6)
+    test = spark.createDataFrame([(0.0, 0.0), (9.0, -9.0)], "a double, b double")
+    got = {r.a: r.score for r in detectors.isolation_forest(fit, test, ["a", "b"], trees=30, psi=64).collect()}
+    assert got[0.0] < 0.5 < got[9.0]

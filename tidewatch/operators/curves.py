@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._work import grouped_sums, prefix_sums, quantile_list, quantiles, stored
@@ -17,17 +17,26 @@ def _cumulative(df: DataFrame, y: str, score: str, by: list[str] | None = None)
     return c.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "total_pos": "p", "total_neg": "n"})
 
 
+def _areas() -> dict[str, Column]:
+    """Both areas of the rows of _cumulative."""
+    roc = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / (F.max("p") * F.max("n"))
+    pr = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("p")
+    return {"roc_auc": roc.alias("roc_auc"), "pr_auc": pr.alias("pr_auc")}
+
+
 def roc_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve, of each group if ``by`` is given, ties by trapezoid; null with one class only."""
-    c = _cumulative(df, y, score, by)
-    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return c.groupBy(*(by or [])).agg((area / (F.max("p") * F.max("n"))).alias("roc_auc"))
+    return _cumulative(df, y, score, by).groupBy(*(by or [])).agg(_areas()["roc_auc"])
 
 
 def pr_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Average precision over distinct scores, of each group if ``by`` is given."""
-    c = _cumulative(df, y, score, by)
-    return c.groupBy(*(by or [])).agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("p")).alias("pr_auc"))
+    return _cumulative(df, y, score, by).groupBy(*(by or [])).agg(_areas()["pr_auc"])
+
+
+def curve_areas(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """(by, roc_auc, pr_auc) from one set of running sums."""
+    return _cumulative(df, y, score, by).groupBy(*(by or [])).agg(*_areas().values())
 
 
 def score_orientation(df: DataFrame, y: str, score: str) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import topk_abs_embedding, trust_score
-from ._work import quantile_list
+from ._work import discard, quantile_list, stored
 from .clean import moments
 
 _REGISTRY: dict[str, Callable[..., DataFrame]] = {}
@@ -50,8 +51,10 @@ def _threshold(scored: DataFrame, alpha: float) -> float:
 def _judged(fit_scored: DataFrame, df: DataFrame, score: Column, z: list[Column], alpha: float, k: int, slope: float = 1.0) -> DataFrame:
     """df with score, flag (at the benign 1 - alpha quantile), trust by the benign scores' mean and deviation, and as embedding the k
     largest standardised deviations."""
-    thr = _threshold(fit_scored, alpha)
-    s = fit_scored.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).first()
+    held = stored(fit_scored.select("score"))  # scored once
+    thr = _threshold(held, alpha)
+    s = held.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).first()
+    discard(held)
     out = df.withColumn("score", score).withColumn("flag", (F.col("score") >= thr).cast("int"))
     out = out.withColumn("trust", trust_score(F.col("score"), F.col("flag"), float(s.m or 0.0), float(s.s or 0.0) + 1e-8, slope))
     return out.withColumn("embedding", topk_abs_embedding(F.array(*z), k))
@@ -67,7 +70,9 @@ def zscore_detector(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: fl
     stats = moments(fit_df, cols)
     z = [(F.col(c) - m) / max(s, 1e-8) for c, (m, s) in stats.items()]
     score = F.sqrt(_mean_square(z))
-    thr = _threshold(fit_df.select(score.alias("score")), alpha)
+    held = stored(fit_df.select(score.alias("score")))
+    thr = _threshold(held, alpha)
+    discard(held)
     out = df.withColumn("score", score).withColumn("flag", (F.col("score") >= thr).cast("int"))
     trust = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / max(thr, 1e-8) / 2))
     return out.withColumn("trust", trust).withColumn("embedding", topk_abs_embedding(F.array(*z), k))
@@ -138,18 +143,24 @@ def kmeans_summary(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("dist").alias("inertia"))
 
 
-def detector_comparison(fit_df: DataFrame, test_df: DataFrame, cols: list[str], y: str = "y", alpha: float = 0.05, names: tuple[str, ...] = ("zscore", "kalman_frozen")) -> DataFrame:
-    """One row for each registered detector named: threshold metrics by its own flag, and ROC and PR areas of its score."""
-    from ._work import stored
-    from .curves import pr_auc, roc_auc
+#: The detectors by one name each.
+DETECTORS = ("zscore", "kalman_frozen", "null", "pca_reconstruction", "isolation_forest")
+
+
+def scored_by_all(fit_df: DataFrame, test_df: DataFrame, cols: list[str], keep: list[str], alpha: float = 0.05, names: tuple[str, ...] = DETECTORS) -> DataFrame:
+    """(detector, keep, flag, score): test rows as each detector named judges them, written once."""
+    made = [make_detector(n)(fit_df, test_df, cols, alpha).select(F.lit(n).alias("detector"), *keep, F.col("flag").cast("int").alias("flag"), F.col("score").cast("double").alias("score")) for n in names]
+    return stored(reduce(DataFrame.unionByName, made))
+
+
+def detector_comparison(fit_df: DataFrame, test_df: DataFrame, cols: list[str], y: str = "y", alpha: float = 0.05, names: tuple[str, ...] = DETECTORS, scored: DataFrame | None = None) -> DataFrame:
+    """One row for each registered detector named: threshold metrics by its own flag, and ROC and PR areas of its score. ``scored``: rows of
+    scored_by_all, if they are there already."""
+    from .curves import curve_areas
     from .metrics import binary_metrics
 
-    out = None
-    for name in names:
-        s = make_detector(name)(fit_df, test_df, cols, alpha).select(F.lit(name).alias("detector"), y, F.col("flag").cast("double").alias("flag"), "score")
-        out = s if out is None else out.unionByName(s)
-    out, by = stored(out), ["detector"]
-    return binary_metrics(out, y, "flag", 0.5, by).join(roc_auc(out, y, "score", by), by).join(pr_auc(out, y, "score", by), by)
+    out, by = scored or scored_by_all(fit_df, test_df, cols, [y], alpha, names), ["detector"]
+    return binary_metrics(out.withColumn("flag", F.col("flag").cast("double")), y, "flag", 0.5, by).join(curve_areas(out, y, "score", by), by)
 
 
 def class_rates(scored: DataFrame, names: str = "detector", y: str = "cls", flag: str = "flag") -> DataFrame:
@@ -324,14 +335,14 @@ def pca_reconstruction(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha:
 def isolation_forest(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: float = 0.05, k: int = 4, trees: int = 200, psi: int = 256, seed: int = 42, id_col: str | None = None) -> DataFrame:
     """df with score, flag, trust and embedding: 2 ** (-mean path length / c(psi)).
 
-    Each tree takes psi benign rows: those with the smallest hashes among about twice as many, drawn by a hash of the row (its id,
-    or all its columns if id_col is None; then equal rows are drawn together) and the tree. A row draws the few numbers of its trees, so
+    Each tree takes psi benign rows: those with the smallest hashes among about twice as many, drawn by a hash of the row (its id, which should be
+    its own, or else its columns and place) and the tree, and cut to psi before they meet. A row draws the few numbers of its trees, so
     no row meets all trees. Trees are built by tree id; the forest (trees * 2 * psi nodes) is broadcast for scoring.
     """
     spark, width = fit_df.sparkSession, len(cols)
     n = max(1, fit_df.count())
     feature = F.array(*[F.col(c).cast("double") for c in cols])
-    row = F.xxhash64(F.col(id_col), F.lit(seed)) if id_col else F.xxhash64(*fit_df.columns, F.lit(seed))
+    row = F.xxhash64(F.col(id_col), F.lit(seed)) if id_col else F.xxhash64(*fit_df.columns, F.monotonically_increasing_id(), F.lit(seed))
     unit = lambda *x: F.pmod(F.xxhash64(*x), F.lit(1 << 30)) / (1 << 30)
     base = fit_df.select(feature.alias("x"), row.alias("row"))
     if n <= 2 * psi:
@@ -340,13 +351,15 @@ def isolation_forest(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: f
         draws = F.floor(F.lit(2 * psi * trees / n) + unit("row", F.lit(1))).cast("int")
         pick = base.withColumn("draws", draws).where("draws > 0").select("x", "row", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("draw"))
         pick = pick.select("x", "row", F.pmod(F.xxhash64("row", "draw"), F.lit(trees)).cast("int").alias("tree")).distinct()
-    pick = pick.withColumn("u", unit("row", "tree", F.lit(2)))
+    pick = pick.withColumn("u", F.xxhash64("row", "tree", F.lit(2)))
+    nearest = Window.partitionBy("tree").orderBy("u", "x")
+    pick = pick.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= psi)
     depth = int(np.ceil(np.log2(max(2, psi))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf.tree.iloc[0])
         rng = np.random.default_rng([seed, tree])
-        x = np.stack(pdf.sort_values("u").x.to_numpy()[:psi])
+        x = np.stack(pdf.sort_values("place").x.to_numpy())
         nodes = []
 
         def grow(rows, level):

@@ -528,7 +528,7 @@ _KS = "(" + " + ".join(f"pow(f{i} - m{i}, 2) / (1 + greatest(s{i} * s{i}, 1e-8))
 
 
 def _scored_sql(expr: str) -> str:
-    return f"{_FIT}, st AS (SELECT {_Z} FROM fit), th AS (SELECT quantile_cont({expr}, 0.95) AS t, avg({expr}) AS mu, stddev_pop({expr}) AS sd FROM fit, st), z AS (SELECT id, y, {expr} AS score, CASE WHEN {expr} >= t THEN 1 ELSE 0 END AS flag, t, mu, sd FROM test, st, th)"
+    return f"{_FIT}, st AS (SELECT {_Z} FROM fit), th AS (SELECT quantile_cont({expr}, 0.95) AS t, avg({expr}) AS mu, stddev_pop({expr}) AS sd FROM fit, st), z AS (SELECT id, y, cls, {expr} AS score, CASE WHEN {expr} >= t THEN 1 ELSE 0 END AS flag, t, mu, sd FROM test, st, th)"
 
 
 @add("zscore_detector", f", {_scored_sql(_ZS)} SELECT id, {r('score', 'greatest(0, least(1, score / t / 2)) AS trust')}, flag, 4 AS width FROM z", "flows")
@@ -546,15 +546,32 @@ def _(v):
     return detectors.null_detector(None, v("flows")).select("id", "score", "flag", "trust")
 
 
-def _compared(name: str, expr: str) -> str:
-    return f"SELECT '{name}' AS detector, * FROM ({'WITH ' + _scored_sql(expr)}, c AS (SELECT {_rates('flag = 1')} FROM z), g AS (SELECT score AS s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM z GROUP BY 1), w AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS up, sum(neg) OVER (ORDER BY s DESC) AS un, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM g), au AS (SELECT sum(neg * (up - pos / 2)) / any_value(p * n) AS roc_auc, sum(pos * up / (up + un)) / any_value(p) AS pr_auc FROM w) SELECT tp, fp, fn, tn, {_BINARY}, {r('roc_auc', 'pr_auc')} FROM c, au)"
+_NULL = f"{_FIT}, z AS (SELECT id, y, cls, 0.0::DOUBLE AS score, 0 AS flag FROM test)"
 
 
-@add("detector_comparison", f"{_compared('zscore', _ZS)} UNION ALL {_compared('kalman_frozen', _KS)}", "flows")
+def _compared(name: str, scored: str) -> str:
+    return f"SELECT '{name}' AS detector, * FROM ({'WITH ' + scored}, c AS (SELECT {_rates('flag = 1')} FROM z), g AS (SELECT score AS s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM z GROUP BY 1), w AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS up, sum(neg) OVER (ORDER BY s DESC) AS un, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM g), au AS (SELECT sum(neg * (up - pos / 2)) / any_value(p * n) AS roc_auc, sum(pos * up / (up + un)) / any_value(p) AS pr_auc FROM w) SELECT tp, fp, fn, tn, {_BINARY}, {r('roc_auc', 'pr_auc')} FROM c, au)"
+
+
+@add("detector_comparison", f"{_compared('zscore', _scored_sql(_ZS))} UNION ALL {_compared('kalman_frozen', _scored_sql(_KS))} UNION ALL {_compared('null', _NULL)}", "flows")
+def _(v):
+    return detectors.detector_comparison(_fit(v), _test(v), COLS, names=("zscore", "kalman_frozen", "null"))
+
+
+@add("detector_comparison_all", None)
 def _(v):
     return detectors.detector_comparison(_fit(v), _test(v), COLS)
 
 
+def _class_rates(name: str, scored: str) -> str:
+    return f"SELECT '{name}' AS detector, cls, count(*) AS n, sum(z.flag)::BIGINT AS alarms, {r('avg(z.flag) AS rate')} FROM ({'WITH ' + scored} SELECT * FROM z) z GROUP BY cls"
+
+
+@add("detector_class_rates", f"{_class_rates('zscore', _scored_sql(_ZS))} UNION ALL {_class_rates('kalman_frozen', _scored_sql(_KS))} UNION ALL {_class_rates('null', _NULL)}", "flows")
+def _(v):
+    return detectors.class_rates(detectors.scored_by_all(_fit(v), _test(v), COLS, ["cls"], names=("zscore", "kalman_frozen", "null")))
+
+
 @add("validate_detector_output", "SELECT 0::BIGINT AS bad_score, 0::BIGINT AS bad_flag, 0::BIGINT AS bad_trust, count(*) FILTER ((score >= 60) <> (flag = 1)) AS flag_differs FROM scored", "scored")
 def _(v):
     return metrics.validate_detector_output(v("scored").withColumn("trust", F.lit(0.5)), 60.0)
