@@ -218,7 +218,10 @@ def test_chains_go_on_from_batch_to_batch(spark):
             found = []
             for n in ("10000", "7"):
                 spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
-                found.append(sorted(map(tuple, run().collect()), key=lambda r: (r[0] is None, r[0] or "", r[1])))
+                made = run()
+                if name == "ema":  # a scan: how rows are put together shows in the last places
+                    made = made.withColumn("score", F.round("score", 9))
+                found.append(sorted(map(tuple, made.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1])))
             assert len(found[0]) == 633 and found[0] == found[1], name
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import topk_abs_embedding, trust_score
 from ._work import discard, quantile_list, stored
 from .clean import moments
+from .scans import affine_scan, spread_after
 
 _REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -43,6 +44,12 @@ def _mean_square(parts: list[Column]) -> Column:
     return total / len(parts)
 
 
+def _number(c: Column) -> Column:
+    """Null for NaN, as for null."""
+    x = c.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _threshold(scored: DataFrame, alpha: float) -> float:
     found = quantile_list(scored, "score", [1 - alpha])[0]
     return float("inf") if found is None else float(found)
@@ -254,14 +261,18 @@ def _chained(df: DataFrame, key: str, order: list[str], cols: list[str], added:
 
 
 def ema_baseline_score(df: DataFrame, key: str, order: list[str], cols: list[str], start: dict[str, float], ema: float = 0.01) -> DataFrame:
-    """df's key, order and score: distance to a moving baseline before it follows the row. One chain for each key, in order."""
-    b0 = np.array([start[c] for c in cols], float)
+    """df's key, order and score: distance to a moving baseline before it follows the row, in order for each key.
 
-    def step(z: np.ndarray, state: tuple) -> tuple[dict, tuple]:
-        (b,) = state
-        return {"score": np.sqrt(((z - b) ** 2).mean(axis=1))}, ((1 - ema) * b + ema * z,)
+    The baseline is a linear recursion, so keys are scans: one with any share of the rows spreads over tasks (see affine_scan). A null
+    or NaN makes its key's scores null from there on.
+    """
 
-    return _in_order(df, key, order, cols, "score double", lambda n: (np.tile(b0, (n, 1)),), step)
+    def steps(z: np.ndarray, _place: np.ndarray) -> tuple:
+        return np.full(z.shape, 1 - ema), ema * z, {}
+
+    out = affine_scan(df, key, order, cols, [start[c] for c in cols], steps)
+    off = [_number(F.col(c)) - F.col("before")[j] for j, c in enumerate(cols)]
+    return out.select(key, *order, F.sqrt(_mean_square(off)).alias("score"))
 
 
 def _kalman_row(z: np.ndarray, x: np.ndarray, p: np.ndarray, seen, r: np.ndarray, threshold: float, mode: str = "decay", q: float = 1e-6, track: float = 0.01, warmup: int = 20, forgetting: float = 1.0) -> tuple:
@@ -293,9 +304,37 @@ def kalman_by_key(df: DataFrame, key: str, order: list[str], cols: list[str], me
     mode 'frozen' only corrects, 'decay' also follows the row by ``track`` (a twentieth of it on an alarm), 'forget'
     inflates the covariance by the squared forgetting factor. No alarms during the warm-up. trust is by the ``benign`` scores' mean and
     deviation (those of a right model, 1 and sqrt(2 / features), if None); the embedding has the k largest standardised innovations.
+    Gains of 'frozen' and 'forget' depend on no data, so their keys spread over tasks as scans; a key of 'decay' is one chain, in batches.
     """
     r, x0 = np.maximum(np.array(var, float), 1e-8), np.array(mean, float)
     mu, sd = benign or (1.0, float(np.sqrt(2 / len(cols))))
+    if options.get("mode", "decay") in ("frozen", "forget"):
+        out = _kalman_scan(df, key, order, cols, x0, r, threshold, **options)
+    else:
+        out = _kalman_chain(df, key, order, cols, x0, r, threshold, **options)
+    trust = trust_score(F.col("score"), F.col("flag"), mu, sd, 0.5)
+    return out.withColumn("trust", trust).withColumn("embedding", topk_abs_embedding(F.col("off"), k)).drop("off")
+
+
+def _kalman_scan(df: DataFrame, key: str, order: list[str], cols: list[str], x0: np.ndarray, r: np.ndarray, threshold: float, mode: str, q: float = 1e-6, warmup: int = 20, forgetting: float = 1.0, track: float = 0.0) -> DataFrame:
+    """Filters whose gains depend on a row's place in its key alone: the mean is a scan."""
+    growth = forgetting**2 if mode == "forget" else 1.0
+
+    def steps(z: np.ndarray, place: np.ndarray) -> tuple:
+        ahead = growth * spread_after(place, 1.0, r, q, growth) + q
+        whole = np.maximum(ahead + r, 1e-12)
+        gain = ahead / whole
+        return 1 - gain, gain * z, {"_s": whole}
+
+    out = affine_scan(df, key, order, cols, x0.tolist(), steps, ("_s",), placed=True)
+    off = F.array(*[(_number(F.col(c)) - F.col("before")[j]) / F.sqrt(F.col("_s")[j]) for j, c in enumerate(cols)])
+    out = out.withColumn("off", off).withColumn("score", _mean_square([F.col("off")[j] for j in range(len(cols))]))
+    flag = (F.col("_place") >= warmup) & F.coalesce(F.col("score") >= threshold, F.lit(False))
+    return out.select(key, *order, "score", flag.cast("int").alias("flag"), "off")
+
+
+def _kalman_chain(df: DataFrame, key: str, order: list[str], cols: list[str], x0: np.ndarray, r: np.ndarray, threshold: float, **options) -> DataFrame:
+    """Filters that follow rows by their flags: one chain for each key."""
 
     def start(n: int) -> tuple:
         return np.tile(x0, (n, 1)), np.ones((n, len(cols))), np.zeros(n, np.int64)
@@ -305,9 +344,7 @@ def kalman_by_key(df: DataFrame, key: str, order: list[str], cols: list[str], me
         score, flag, off, x, p = _kalman_row(z, x, p, seen, r, threshold, **options)
         return {"score": score, "flag": flag, "off": off}, (x, p, seen + 1)
 
-    out = _in_order(df, key, order, cols, "score double, flag int, off array<double>", start, step)
-    trust = trust_score(F.col("score"), F.col("flag"), mu, sd, 0.5)
-    return out.withColumn("trust", trust).withColumn("embedding", topk_abs_embedding(F.col("off"), k)).drop("off")
+    return _in_order(df, key, order, cols, "score double, flag int, off array<double>", start, step)
 
 
 @register("pca_reconstruction")
