@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import labels, scores
 from tidewatch.operators import _work, bursts, clean, curves, detectors, joins, measurements, metrics, sampling
-from tidewatch.plans.files_streams import replay
+from tidewatch.plans.files_streams import replay, run_stream
 from tidewatch.sources import captures
 from tidewatch.streaming import online
 
@@ -138,8 +138,7 @@ def _in_batches(spark, df, cuts, transform, tmp):
     for i, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, 10**9])):
         df.where(f"t >= {lo} and t < {hi}").coalesce(1).write.mode("append").parquet(f"{tmp}/in")
         out = transform(spark.readStream.schema(df.schema).parquet(f"{tmp}/in"))
-        out.writeStream.format("parquet").option("checkpointLocation", f"{tmp}/state").trigger(availableNow=True).start(f"{tmp}/out").awaitTermination()
-        rows = spark.read.schema(out.schema).parquet(f"{tmp}/out")
+        rows = run_stream(out, tmp)
     return rows
 
 

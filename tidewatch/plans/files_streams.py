@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators._work import scratch
 from ..sources import captures
 from ..streaming import online
-from .registry import QUERIES, _fit, _test, add, r, trace_sql
+from .registry import EMA_SQL, KALMAN_SQL, QUERIES, TRUST_SQL, _fit, _test, add, r, trace_sql
 
 
 @add("read_flow_csv", f"SELECT id, raw_label, {r('f0', 'f1')} FROM flows", "flows")
@@ -78,13 +80,43 @@ def _(v):
 QUERIES["file_inventory"] = lambda spark, sf_dir: captures.file_inventory(spark, sf_dir, "*.parquet")
 
 
+@contextmanager
+def state_store(spark):
+    """The state store that stateful processors need, as long as a stream runs; the session is left as it was."""
+    name, value = online.ROCKSDB
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+def run_stream(out: DataFrame, path: str) -> DataFrame:
+    """All that ``out`` gives from the files that are there, as a table; a further run goes on from its checkpoint."""
+    with state_store(out.sparkSession):
+        out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return out.sparkSession.read.schema(out.schema).parquet(f"{path}/out")
+
+
 def replay(df: DataFrame, transform) -> DataFrame:
     """What ``transform`` makes of df as a stream: its rows go to files, and the stream ends with the last one."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(f"{path}/in")
-    out = transform(spark.readStream.schema(df.schema).parquet(f"{path}/in"))
-    out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{path}/out")
+    return run_stream(transform(spark.readStream.schema(df.schema).parquet(f"{path}/in")), path)
+
+
+def replay_late(df: DataFrame, transform, ts: str, files: int = 3) -> DataFrame:
+    """As replay, from files that each hold rows of all times and come one after the other; the last one has a row a century on, of no
+    key, which takes the watermark past all others and waits for ever."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    cols = [c for c in df.columns if c != ts]
+    for i in range(files):
+        df.where(F.pmod(F.xxhash64(*cols), F.lit(files)) == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    end = df.agg(F.make_dt_interval(F.lit(36_500)).alias("far"), F.max(ts).alias("t")).select((F.col("t") + F.col("far")).alias("t"))
+    end.select(*[F.col("t").alias(ts) if c == ts else F.lit(None).cast(t).alias(c) for c, t in df.dtypes]).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return run_stream(transform(stream), path)
 
 
 def _events(v):
@@ -96,12 +128,18 @@ def _(v):
     return replay(_events(v).select("id", F.col("score").alias("value")), lambda s: online.stream_score(s, F.abs(F.col("value") - 50) / 10, 3.0)).select("id", "score", "flag")
 
 
-@add("stream_ema", None)
+@add("stream_ema", EMA_SQL, "scored")
 def _(v):
     return replay(_events(v), lambda s: online.stream_ema(s, "user_id", "ts", ["ts", "id"], ["score"], {"score": 50.0})).select("id", "score")
 
 
-@add("stream_kalman", None)
+@add("stream_ema_late", EMA_SQL, "scored")
+def _(v):
+    late = lambda s: online.stream_ema(s, "user_id", "ts", ["ts", "id"], ["score"], {"score": 50.0}, watermark="3650 days", in_order=True, idle_ms=10**13)
+    return replay_late(_events(v), late, "ts").select("id", "score")
+
+
+@add("stream_kalman", KALMAN_SQL.replace(", 4 AS width", "").replace(TRUST_SQL, ""), "scored")
 def _(v):
     return replay(_events(v), lambda s: online.stream_kalman(s, "user_id", "ts", ["ts", "id"], ["score"], [50.0], [400.0], 4.0)).select("id", "score", "flag")
 

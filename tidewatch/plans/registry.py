@@ -598,13 +598,19 @@ def _(v):
     return detectors.isolation_forest(_fit(v), _test(v), COLS, id_col="id").select("id", "score", "flag", "trust", F.size("embedding").alias("width"))
 
 
-@add("ema_baseline_score", f""", o AS (SELECT id, user_id, score, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS k FROM scored),
+EMA_SQL = f""", o AS (SELECT id, user_id, score, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS k FROM scored),
     e AS (SELECT * FROM (WITH RECURSIVE w AS (SELECT id, user_id, k, 50.0::DOUBLE AS b, score FROM o WHERE k = 1 UNION ALL SELECT o.id, o.user_id, o.k, 0.99 * w.b + 0.01 * w.score, o.score FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1) SELECT * FROM w))
-    SELECT id, {r('abs(score - b) AS score')} FROM e""", "scored")
+    SELECT id, {r('abs(score - b) AS score')} FROM e"""
+
+
+@add("ema_baseline_score", EMA_SQL, "scored")
 def _(v):
     return detectors.ema_baseline_score(v("scored"), "user_id", ["ts", "id"], ["score"], {"score": 50.0}).select("id", "score")
 
 
+TRUST_SQL = f", {r('CASE WHEN flag = 1 THEN h ELSE 1 - h END AS trust')}"
+
+
 def _kalman_sql(follow: str, growth: float) -> str:
     """The filter's recursion over each user's rows: x and p before row k; follow is what an innovation adds besides the gain."""
     ahead = f"({growth} * w.p + 1e-6)"
@@ -614,7 +620,7 @@ def _kalman_sql(follow: str, growth: float) -> str:
     e AS (SELECT * FROM (WITH RECURSIVE w AS (SELECT id, user_id, k, 50.0::DOUBLE AS x, 1.0::DOUBLE AS p, score FROM o WHERE k = 1
         UNION ALL SELECT o.id, o.user_id, o.k, w.x + ({ahead} / ({ahead} + 400) + {follow.format(flag=flag)}) * (w.score - w.x), (1 - {ahead} / ({ahead} + 400)) * {ahead}, o.score FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1) SELECT * FROM w)),
     f AS (SELECT id, {score} AS score, {flag} AS flag FROM e w), g AS (SELECT *, 1 / (1 + exp(-greatest(-30, least(30, 0.5 * (score - 1) / sqrt(2.0))))) AS h FROM f)
-    SELECT id, {r('score')}, flag, {r('CASE WHEN flag = 1 THEN h ELSE 1 - h END AS trust')}, 4 AS width FROM g"""
+    SELECT id, {r('score')}, flag{TRUST_SQL}, 4 AS width FROM g"""
 
 
 def _kalman(v, **options):
@@ -622,7 +628,10 @@ def _kalman(v, **options):
     return found.select("id", "score", "flag", "trust", F.size("embedding").alias("width"))
 
 
-@add("kalman_by_key", _kalman_sql("CASE WHEN {flag} = 1 THEN 0.0005 ELSE 0.01 END", 1.0), "scored")
+KALMAN_SQL = _kalman_sql("CASE WHEN {flag} = 1 THEN 0.0005 ELSE 0.01 END", 1.0)
+
+
+@add("kalman_by_key", KALMAN_SQL, "scored")
 def _(v):
     return _kalman(v)
 

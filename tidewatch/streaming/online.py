@@ -1,60 +1,143 @@
-"""Detectors on streams. Batches of a stream give the same rows as the batch operators, if each key's rows come in order.
+"""Detectors on streams. A stream gives the same rows as the batch operators, if each key's rows are taken in order.
 
-Rows of a key are sorted within a micro-batch; a row that comes in a later micro-batch than its successors is taken when it
-comes, unless the watermark has passed it: then Spark drops it. A key that is silent for ``idle`` of event time loses its
-state and begins anew. One key's rows of a micro-batch must fit in a task.
+Keys are stateful processors (transformWithState), so the session's state store must be RocksDB. A stream takes rows in one of two ways:
+
+* as they come (``in_order=False``): rows of a key are sorted within a micro-batch, and one that comes in a later micro-batch than its successors
+  is taken when it comes. One key's rows of a micro-batch must fit in a task.
+* in order (``in_order=True``): rows wait in a list state until the watermark has passed them, so that late rows find their place. A timer
+  takes those that are due. Rows that the watermark hasn't passed at the end of a stream stay in its checkpoint.
+
+Rows later than the watermark are dropped by Spark. A key that is silent for ``idle_ms`` of event time loses its state, by a timer, and begins anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..operators.bursts import FEATURES, array_features
 from ..operators.detectors import PatternLibrary, ema_steps, kalman_steps
 
+#: The state store that stateful processors need.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def stream_score(sdf: DataFrame, score: Column, threshold: float) -> DataFrame:
     """A fitted row-local score and its flag; no state."""
     return sdf.withColumn("score", score).withColumn("flag", (F.col("score") >= threshold).cast("int"))
 
 
-def _by_key(sdf: DataFrame, key: str, ts: str, order: list[str], cols: list[str], added: str, state_schema: str, start: tuple, steps: Callable, watermark: str, idle_ms: int, kind: type = float) -> DataFrame:
+def _millis(ts: pd.Series) -> pd.Series:
+    return ts.astype("datetime64[ms]").astype("int64")
+
+
+class _Recursion(StatefulProcessor):
+    """One key: its recursion's state, the time of its next timer, and the rows that wait for the watermark."""
+
+    def __init__(self, names: list[str], ts: str, order: list[str], cols: list[str], row: str, state: str, start: tuple, steps: Callable, kind: type, in_order: bool, idle_ms: int):
+        self.names, self.ts, self.order, self.cols, self.kind = names, ts, order, cols, kind
+        self.row, self.state, self.start, self.steps = row, state, start, steps
+        self.in_order, self.idle_ms = in_order, idle_ms
+        self.columns = list(dict.fromkeys([*names, *cols]))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", self.state)
+        self.timer = handle.getValueState("timer", "at long, last long")
+        self.waiting = handle.getListState("waiting", self.row) if self.in_order else None
+
+    def _taken(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        """What the recursion makes of rows, in order."""
+        pdf = pdf.sort_values(self.order)
+        found, after = self.steps(pdf[self.cols].to_numpy(self.kind), self.now.get() if self.now.exists() else self.start)
+        self.now.update(after)
+        return pdf[self.names].assign(**found)
+
+    def _rows(self, pdf: pd.DataFrame) -> list[tuple]:
+        pdf = pdf[self.columns].astype(object)
+        rows = pdf.where(pdf.notna(), None).itertuples(index=False, name=None)
+        return [tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in r) for r in rows]
+
+    def _wake(self, at: int, last: int) -> None:
+        """The next timer, in place of the one before."""
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old != at:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+        self.timer.update((at, last))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.timer.get()[1] if self.timer.exists() else 0
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if not self.in_order:
+            pdf = pd.concat(list(rows))
+            last = max(last, int(_millis(pdf[self.ts]).max()))
+            yield self._taken(pdf)
+            self._wake(max(last, watermark) + self.idle_ms, last)
+            return
+        first = self.timer.get()[0] if self.timer.exists() else None
+        for pdf in rows:  # straight to the state, a piece at a time
+            at = _millis(pdf[self.ts])
+            last, least = max(last, int(at.max())), int(at.min()) + 1
+            first = least if first is None else min(first, least)
+            self.waiting.appendList(self._rows(pdf))
+        self._wake(max(first, watermark + 1), last)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark, last = timerValues.getCurrentWatermarkInMs(), self.timer.get()[1]
+        later = None
+        self.timer.clear()  # Spark has removed the one that went off
+        if self.in_order and self.waiting.exists():
+            held = pd.DataFrame(list(self.waiting.get()), columns=self.columns)
+            due = _millis(held[self.ts]) < watermark
+            rest = held[~due]
+            if due.any():
+                yield self._taken(held[due])
+            if len(rest):
+                self.waiting.put(self._rows(rest))
+                later = int(_millis(rest[self.ts]).min()) + 1
+            else:
+                self.waiting.clear()
+        if later is not None:
+            self._wake(max(later, watermark + 1), last)
+        elif last + self.idle_ms > watermark:
+            self._wake(last + self.idle_ms, last)
+        else:
+            self.now.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _by_key(sdf: DataFrame, key: str, ts: str, order: list[str], cols: list[str], added: str, state_schema: str, start: tuple, steps: Callable, watermark: str, idle_ms: int, in_order: bool, kind: type = float) -> DataFrame:
     kinds = dict(sdf.dtypes)
     names = [key, *dict.fromkeys([ts, *order])]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", {added}"
-
-    def run(_, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(frames)).sort_values(order)
-        found, after = steps(pdf[cols].to_numpy(kind), state.get if state.exists else start)
-        state.update(after)
-        last = max(int(pdf[ts].max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(last + idle_ms)
-        yield pdf[names].assign(**found)
-
-    rows = sdf.select(*dict.fromkeys([*names, *cols])).withWatermark(ts, watermark)
-    return rows.groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    columns = list(dict.fromkeys([*names, *cols]))
+    of = lambda cs: ", ".join(f"`{c}` {kinds[c]}" for c in cs)
+    processor = _Recursion(names, ts, order, cols, of(columns), state_schema, start, steps, kind, in_order, idle_ms)
+    rows = sdf.select(*columns).withWatermark(ts, watermark)
+    own = F.when(F.col(key).isNull(), "null").otherwise(F.concat(F.lit("of "), F.col(key).cast("string")))  # a state's key may not be null
+    return rows.withColumn("_key", own).groupBy("_key").transformWithStateInPandas(processor, StructType.fromDDL(f"{of(names)}, {added}"), "append", "eventTime")
 
 
-def stream_ema(sdf: DataFrame, key: str, ts: str, order: list[str], cols: list[str], start: dict[str, float], ema: float = 0.01, watermark: str = "1 hour", idle_ms: int = 30 * 86_400_000) -> DataFrame:
+def stream_ema(sdf: DataFrame, key: str, ts: str, order: list[str], cols: list[str], start: dict[str, float], ema: float = 0.01, watermark: str = "1 hour", idle_ms: int = 30 * 86_400_000, in_order: bool = False) -> DataFrame:
     """(key, ts, order, score): the moving baseline's distance, as ``ema_baseline_score``."""
 
     def steps(x, state):
         score, b = ema_steps(x, np.array(state[0], float), ema)
         return {"score": score}, (b.tolist(),)
 
-    return _by_key(sdf, key, ts, order, cols, "score double", "b array<double>", ([start[c] for c in cols],), steps, watermark, idle_ms)
+    return _by_key(sdf, key, ts, order, cols, "score double", "b array<double>", ([start[c] for c in cols],), steps, watermark, idle_ms, in_order)
 
 
-def stream_kalman(sdf: DataFrame, key: str, ts: str, order: list[str], cols: list[str], mean: list[float], var: list[float], threshold: float, watermark: str = "1 hour", idle_ms: int = 30 * 86_400_000, **options) -> DataFrame:
+def stream_kalman(sdf: DataFrame, key: str, ts: str, order: list[str], cols: list[str], mean: list[float], var: list[float], threshold: float, watermark: str = "1 hour", idle_ms: int = 30 * 86_400_000, in_order: bool = False, **options) -> DataFrame:
     """(key, ts, order, score, flag): filters as ``kalman_by_key``, with its options."""
 
     def steps(x, state):
@@ -62,10 +145,10 @@ def stream_kalman(sdf: DataFrame, key: str, ts: str, order: list[str], cols: lis
         return {"score": score, "flag": flag}, (m.tolist(), p.tolist(), seen)
 
     begin = ([float(m) for m in mean], [1.0] * len(cols), 0)
-    return _by_key(sdf, key, ts, order, cols, "score double, flag int", "x array<double>, p array<double>, seen long", begin, steps, watermark, idle_ms)
+    return _by_key(sdf, key, ts, order, cols, "score double, flag int", "x array<double>, p array<double>, seen long", begin, steps, watermark, idle_ms, in_order)
 
 
-def stream_pattern_cache(sdf: DataFrame, key: str, ts: str, order: list[str], vec: str, seeds: list[list[float]] | None = None, sim: float = 0.9, sv: float = 1.0, reward: float = 1.0, decay: float = 0.99, evict: float = 0.2, cap: int = 1000, watermark: str = "1 hour", idle_ms: int = 30 * 86_400_000) -> DataFrame:
+def stream_pattern_cache(sdf: DataFrame, key: str, ts: str, order: list[str], vec: str, seeds: list[list[float]] | None = None, sim: float = 0.9, sv: float = 1.0, reward: float = 1.0, decay: float = 0.99, evict: float = 0.2, cap: int = 1000, watermark: str = "1 hour", idle_ms: int = 30 * 86_400_000, in_order: bool = False) -> DataFrame:
     """(key, ts, order, pattern_id, similarity, matched, n_patterns): matching as ``pattern_cache``; a key's library is its state."""
     options = (sim, sv, reward, decay, evict, cap)
 
@@ -75,7 +158,7 @@ def stream_pattern_cache(sdf: DataFrame, key: str, ts: str, order: list[str], ve
         return dict(zip(("pattern_id", "similarity", "matched", "n_patterns"), map(list, zip(*rows)))), library.state()
 
     added = "pattern_id int, similarity double, matched boolean, n_patterns int"
-    return _by_key(sdf, key, ts, order, [vec], added, "ids array<long>, life array<double>, unit array<array<double>>, fresh long", PatternLibrary(seeds, *options).state(), steps, watermark, idle_ms, object)
+    return _by_key(sdf, key, ts, order, [vec], added, "ids array<long>, life array<double>, unit array<array<double>>, fresh long", PatternLibrary(seeds, *options).state(), steps, watermark, idle_ms, in_order, object)
 
 
 def burst_windows(df: DataFrame, entity: str, ts: str, window: str = "1 day", width: str = "1 hour", watermark: str = "1 hour", on: int = 1) -> DataFrame:
