@@ -1,43 +1,110 @@
-"""Burst features of arrival traces: bins, runs and rescaled range, per entity."""
+"""Burst features of arrival traces: occupied bins, runs and rescaled range, per entity."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._work import _same, grouped_sums, stored
+
 EPS = 1e-12
 
 
+#: Bins that one array holds where all of them are made.
+_ARRAY = 4096
+
+
+def _joined(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """a with the other columns of b; nulls are equal."""
+    return a.alias("a").join(b.alias("b"), _same(by, "a", "b"), how).select("a.*", *[f"b.{c}" for c in b.columns if c not in by])
+
+
+def occupied_bins(df: DataFrame, entity: str, ts: str, width: float) -> DataFrame:
+    """(entity, n_bins, bin, n): the bins that have arrivals, from the first arrival on; the last edge is closed. ts in the width's unit.
+
+    Null entities are one entity, rows without a time are no arrivals. Empty bins are never made, so a trace may span any time.
+    """
+    rows = df.select(entity, F.col(ts).cast("double").alias("_t")).where("_t is not null")
+    span = rows.groupBy(entity).agg(F.min("_t").alias("_t0"), F.greatest(F.lit(1), F.ceil((F.max("_t") - F.min("_t")) / width)).cast("long").alias("n_bins"))
+    at = F.least(F.floor((F.col("_t") - F.col("_t0")) / width).cast("long"), F.col("n_bins") - 1)
+    return _joined(rows, span, [entity]).groupBy(entity, "n_bins", at.alias("bin")).agg(F.count("*").alias("n"))
+
+
 def bin_counts(df: DataFrame, entity: str, ts: str, width: float) -> DataFrame:
-    """(entity, bin, n) with empty bins, from the first arrival; the last edge is closed. ts in the width's unit."""
-    span = df.groupBy(entity).agg(F.min(ts).alias("t0"), F.greatest(F.lit(1), F.ceil((F.max(ts) - F.min(ts)) / width)).cast("int").alias("n_bins"))
-    at = F.least(F.floor((F.col(ts) - F.col("t0")) / width).cast("int"), F.col("n_bins") - 1)
-    counts = df.join(span, entity).groupBy(entity, at.alias("bin")).agg(F.count("*").alias("n"))
-    every = span.select(entity, F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("bin"))
-    return every.join(counts, [entity, "bin"], "left").select(entity, "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    """(entity, bin, n): occupied_bins with the empty bins between them, an entity's bins in pieces."""
+    found = occupied_bins(df, entity, ts, width)
+    pieces = found.groupBy(entity).agg(F.max("n_bins").alias("n_bins")).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins") - 1, F.lit(_ARRAY).cast("long"))))
+    every = pieces.select(entity, F.explode(F.sequence("_from", F.least(F.col("_from") + _ARRAY, F.col("n_bins")) - 1)).alias("bin"))
+    out = _joined(every, found.select(entity, "bin", "n"), [entity, "bin"], "left")
+    return out.select(entity, F.col("bin").cast("int").alias("bin"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def run_lengths(df: DataFrame, entity: str, bin_col: str, flag: str) -> DataFrame:
-    """(entity, flag, start, length) of each run of equal flags."""
-    w = Window.partitionBy(entity).orderBy(bin_col)
-    marked = df.withColumn("_new", (F.lag(flag).over(w).isNull() | (F.lag(flag).over(w) != F.col(flag))).cast("int"))
-    grouped = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(entity, flag, "_run").agg(F.min(bin_col).alias("start"), F.count("*").alias("length")).drop("_run")
+def _ranked(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """df with its rows' places in their groups from 1, counted over range partitions."""
+    return grouped_sums(df.withColumn("_one", F.lit(1).cast("long")), by, [order], ["_one"]).select(*df.columns, F.col("cum__one").alias(name))
 
 
-def hurst_rs(df: DataFrame, entity: str, bin_col: str, count: str) -> DataFrame:
-    """(entity, hurst): slope of log mean R/S over log block size, blocks of 4, 8, ... below half the trace; 0.5 under two scales."""
-    sized = df.withColumn("_n", F.count("*").over(Window.partitionBy(entity)))
-    top = F.floor(F.log2("_n")).cast("int") - 1
-    scales = sized.where(top >= 2).withColumn("_k", F.explode(F.sequence(F.lit(2), top))).withColumn("size", F.pow(F.lit(2), F.col("_k")).cast("int"))
-    blocks = scales.withColumn("block", F.floor(F.col(bin_col) / F.col("size"))).where((F.col("block") + 1) * F.col("size") <= F.col("_n"))
-    b = Window.partitionBy(entity, "size", "block")
-    dev = blocks.withColumn("_y", F.col(count) - F.avg(count).over(b))
-    dev = dev.withColumn("_c", F.sum("_y").over(b.orderBy(bin_col).rowsBetween(Window.unboundedPreceding, 0)))
-    rs = dev.groupBy(entity, "size", "block").agg((F.max("_c") - F.min("_c")).alias("r"), F.stddev_samp(count).alias("s")).where(F.col("s") > EPS)
+def run_lengths(df: DataFrame, entity: str, bin_col: str, flag: str) -> DataFrame:
+    """(entity, flag, start, length) of each run of equal flags.
+
+    In a run both a row's place among the entity's rows and that among those of its flag go up by one, so their difference names it:
+    no entity is one task's work.
+    """
+    placed = _ranked(_ranked(df.select(entity, bin_col, flag), [entity], bin_col, "_i"), [entity, flag], bin_col, "_j")
+    return placed.groupBy(entity, flag, (F.col("_i") - F.col("_j")).alias("_run")).agg(F.min(bin_col).alias("start"), F.count("*").alias("length")).drop("_run")
+
+
+def sparse_runs(bins: DataFrame, entity: str, on: int = 1) -> DataFrame:
+    """(entity, _on, start, length) of the runs of occupied_bins: bins of ``on`` arrivals and more are ON, all others, empty ones too, OFF.
+
+    ON runs are bins that go up with their place; OFF runs are what lies between one ON run and the next, before the first and after the last.
+    """
+    busy = _ranked(bins.where(F.col("n") >= on).select(entity, "n_bins", "bin"), [entity], "bin", "_i")
+    runs = busy.groupBy(entity, "n_bins", (F.col("bin") - F.col("_i")).alias("_run")).agg(F.min("bin").alias("start"), F.count("*").alias("length")).drop("_run")
+    runs = stored(_ranked(runs, [entity], "start", "_k"))
+    ends = runs.select(entity, (F.col("_k") + 1).alias("_k"), (F.col("start") + F.col("length")).alias("_end"))
+    spans = bins.groupBy(entity).agg(F.max("n_bins").alias("n_bins"))
+    last = _joined(spans, runs.groupBy(entity).agg((F.max("_k") + 1).alias("_k")), [entity], "left")
+    last = last.select(entity, "n_bins", F.col("n_bins").alias("start"), F.coalesce("_k", F.lit(1).cast("long")).alias("_k"))
+    gaps = _joined(runs.select(entity, "start", "_k").union(last.select(entity, "start", "_k")), ends, [entity, "_k"], "left").withColumn("_end", F.coalesce("_end", F.lit(0).cast("long")))
+    off = gaps.where("start > _end").select(entity, F.lit(0).alias("_on"), F.col("_end").alias("start"), (F.col("start") - F.col("_end")).alias("length"))
+    return runs.select(entity, F.lit(1).alias("_on"), "start", "length").union(off)
+
+
+def sparse_hurst(bins: DataFrame, entity: str) -> DataFrame:
+    """(entity, hurst) of occupied_bins: as hurst_rs.
+
+    In a block's cumulated deviations from its mean each empty bin goes down by the mean, so their ends are at an occupied bin, just before one, or at the
+    block's end, where they are 0. What came before a bin is a running sum over range partitions, so no block is one task's work.
+    """
+    counted = grouped_sums(bins.select(entity, "n_bins", "bin", "n"), [entity], ["bin"], ["n"])
+    top = F.floor(F.log2("n_bins")).cast("int") - 1
+    sized = counted.where(top >= 2).withColumn("size", F.explode(F.transform(F.sequence(F.lit(2), top), lambda k: F.pow(F.lit(2.0), k).cast("long"))))
+    sized = sized.withColumn("block", F.floor(F.col("bin") / F.col("size"))).where((F.col("block") + 1) * F.col("size") <= F.col("n_bins"))
+    key = [entity, "size", "block"]
+    sums = sized.groupBy(*key).agg(F.min(F.col("cum_n") - F.col("n")).alias("_b"), F.sum("n").alias("_sum"), F.sum(F.col("n") * F.col("n")).alias("_squares"))
+    met = _joined(sized, sums, key).withColumn("_m", F.col("_sum") / F.col("size"))
+    at = F.col("bin") - F.col("block") * F.col("size")
+    after = F.col("cum_n") - F.col("_b") - (at + 1) * F.col("_m")
+    before = F.when(at >= 1, F.col("cum_n") - F.col("n") - F.col("_b") - at * F.col("_m"))
+    deviation = F.sqrt((F.max("_squares") - F.max("size") * F.max("_m") * F.max("_m")) / (F.max("size") - 1))
+    reach = F.greatest(F.max(after), F.max(before), F.lit(0.0)) - F.least(F.min(after), F.min(before), F.lit(0.0))
+    rs = met.groupBy(*key).agg(reach.alias("r"), deviation.alias("s")).where(F.col("s") > EPS)
     mean = rs.groupBy(entity, "size").agg(F.log(F.avg(F.col("r") / F.col("s"))).alias("y")).withColumn("x", F.log("size"))
     fit = mean.groupBy(entity).agg(F.when(F.count("*") >= 2, F.regr_slope("y", "x")).otherwise(0.5).alias("hurst"))
-    return df.select(entity).distinct().join(fit, entity, "left").select(entity, F.coalesce("hurst", F.lit(0.5)).alias("hurst"))
+    return _joined(bins.select(entity).distinct(), fit, [entity], "left").select(entity, F.coalesce("hurst", F.lit(0.5)).alias("hurst"))
+
+
+def _sparse(bins: DataFrame, entity: str, bin_col: str, count: str) -> DataFrame:
+    """Bins of which all are there as those of occupied_bins; an entity whose bins are all empty keeps its first."""
+    spans = bins.groupBy(entity).agg(F.count("*").alias("n_bins"))
+    kept = bins.where((F.col(count) > 0) | (F.col(bin_col) == 0)).select(entity, F.col(bin_col).cast("long").alias("bin"), F.col(count).alias("n"))
+    return _joined(kept, spans, [entity]).select(entity, "n_bins", "bin", "n")
+
+
+def hurst_rs(df: DataFrame, entity: str, bin_col: str, count: str) -> DataFrame:
+    """(entity, hurst): slope of log mean R/S over log block size, blocks of 4, 8, ... below half the trace; 0.5 under two scales. Bins from 0, all of them."""
+    return sparse_hurst(_sparse(df, entity, bin_col, count), entity)
 
 
 #: The features of a trace of bins, in order.
@@ -45,18 +112,21 @@ FEATURES = ["mean_on", "var_on", "mean_off", "var_off", "on_ratio", "idle_ratio"
 
 
 def burst_features(df: DataFrame, entity: str, ts: str, width: float, on: int = 1) -> DataFrame:
-    """ON and OFF durations, ratios, rates, peak-to-mean, Hurst and number of bursts of each entity."""
-    return trace_features(bin_counts(df, entity, ts, width), entity, width, on)
+    """ON and OFF durations, ratios, rates, peak-to-mean, Hurst and number of bursts of each entity, from its occupied bins."""
+    return _features(stored(occupied_bins(df, entity, ts, width)), entity, width, on)
 
 
 def trace_features(bins: DataFrame, entity: str, width: float, on: int = 1) -> DataFrame:
     """The burst features of bins (entity, bin, n) as of bin_counts."""
-    counts = bins.withColumn("_on", (F.col("n") >= on).cast("int"))
-    runs = run_lengths(counts, entity, "bin", "_on").withColumn("d", F.col("length") * width)
+    return _features(_sparse(bins, entity, "bin", "n"), entity, width, on)
+
+
+def _features(bins: DataFrame, entity: str, width: float, on: int) -> DataFrame:
+    runs = sparse_runs(bins, entity, on).withColumn("d", F.col("length") * width)
     when = lambda v, f: F.coalesce(f(F.when(F.col("_on") == v, F.col("d"))), F.lit(0.0))
     r = runs.groupBy(entity).agg(when(1, F.avg).alias("mean_on"), when(1, F.var_pop).alias("var_on"), when(0, F.avg).alias("mean_off"), when(0, F.var_pop).alias("var_off"), when(1, F.sum).alias("t_on"), when(0, F.sum).alias("t_off"), F.sum("_on").cast("double").alias("n_bursts"))
-    c = counts.groupBy(entity).agg(F.sum("n").alias("packets"), F.max("n").alias("peak"), (F.count("*") * width).alias("duration"))
-    return r.join(c, entity).join(hurst_rs(counts, entity, "bin", "n"), entity).select(entity, *_shares(width))
+    c = bins.groupBy(entity).agg(F.sum("n").alias("packets"), F.max("n").alias("peak"), (F.max("n_bins") * width).alias("duration"))
+    return _joined(_joined(r, c, [entity]), sparse_hurst(bins, entity), [entity]).select(entity, *_shares(width))
 
 
 def _shares(width: float) -> list:

@@ -520,6 +520,11 @@ def _(v):
     return bursts.burst_features(_trace(v), "user_id", "h", 6.0)
 
 
+@add("hurst_rs", f", {_TRACE}, {_HURST} SELECT user_id, {r('coalesce(hurst, 0.5) AS hurst')} FROM (SELECT DISTINCT user_id FROM b) LEFT JOIN hu USING (user_id)", "scored")
+def _(v):
+    return bursts.hurst_rs(bursts.bin_counts(_trace(v), "user_id", "h", 6.0), "user_id", "bin", "n")
+
+
 # -- detectors
 
 _Z = ", ".join(f"avg({c}) AS m{i}, greatest(stddev_pop({c}), 1e-8) AS s{i}" for i, c in enumerate(COLS))
