@@ -126,11 +126,27 @@ def wrap_model(score_fn: Model, fit_df: DataFrame, df: DataFrame, cols: list[str
     return out
 
 
-def residual_chi2(df: DataFrame, z: str, z_ref: str, r_diag: list[float], threshold: float) -> DataFrame:
-    """adi = sum of squared residuals over their variances; alarm at the threshold."""
-    r = F.array(*map(F.lit, r_diag))
-    d = F.zip_with(F.zip_with(z, z_ref, lambda a, b: (a - b) * (a - b)), r, lambda e, v: e / v)
-    return df.withColumn("adi", F.aggregate(d, F.lit(0.0), lambda s, x: s + x)).withColumn("alarm", (F.col("adi") >= threshold).cast("int"))
+def residual_chi2(df: DataFrame, z: str, z_ref: str, r: list[float] | list[list[float]], threshold: float | None = None, alpha: float = 0.05) -> DataFrame:
+    """adi = d' R^-1 d of the residual d = z - z_ref; alarm from the threshold on, or from the (1 - alpha) quantile of the chi-squared distribution.
+
+    r has the variances, or the whole covariance R: its Cholesky factor is taken once, and each row is whitened by the factor's inverse with array
+    expressions. A null, or another length than r's, gives a null adi and no alarm.
+    """
+    from .measurements import chi2_quantile
+
+    r = np.array(r, float)
+    m = len(r)
+    limit = chi2_quantile(1 - alpha, m) if threshold is None else threshold
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    d = F.zip_with(z, z_ref, lambda a, b: a.cast("double") - b.cast("double"))
+    if r.ndim == 1:
+        white = F.zip_with(d, F.array(*map(F.lit, (1 / np.sqrt(r)).tolist())), lambda e, w: e * w)
+    else:
+        rows = np.linalg.inv(np.linalg.cholesky(r))
+        white = F.transform(F.array(*[F.array(*map(F.lit, row)) for row in rows.tolist()]), lambda row: total(F.zip_with(row, d, lambda w, e: w * e)))
+    sized = (F.size(z) == m) & (F.size(z_ref) == m)
+    out = df.withColumn("adi", F.when(sized, total(F.transform(white, lambda w: w * w))))
+    return out.withColumn("alarm", F.coalesce((F.col("adi") >= limit).cast("int"), F.lit(0)))
 
 
 def calibrate_residual_threshold(df: DataFrame, xi: str, pct: float = 99.5, k: float = 3.0) -> DataFrame:

@@ -43,12 +43,49 @@ def label_lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default: s
     return df.join(dim.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
-def tag_scenario(df: DataFrame, segments: list[tuple[str, int, int]], step: str = "step", default: str = "BENIGN") -> DataFrame:
-    """segment of each step: the first whose [start, end) holds it."""
-    tag = F.lit(None).cast("string")
-    for name, start, end in reversed(segments):
-        tag = F.when((F.col(step) >= start) & (F.col(step) < end), name).otherwise(tag)
-    return df.withColumn("segment", F.coalesce(tag, F.lit(default)))
+#: An interval is cut into pieces of 64 ** level steps, aligned to their size.
+_PIECE_BITS = 6
+_EVER = 1 << 62
+
+
+def aligned_pieces(start: int | None, end: int | None) -> list[tuple[int, int]]:
+    """(level, number) of the largest aligned pieces that make up [start, end); None is open."""
+    a, b = -_EVER if start is None else max(start, -_EVER), _EVER if end is None else min(end, _EVER)
+    out, level, size = [], 0, 1 << _PIECE_BITS
+    while a < b:
+        up, down = -(-a // size), b // size
+        if up >= down:
+            out += [(level, i) for i in range(a, b)]
+            break
+        out += [(level, i) for i in (*range(a, up * size), *range(down * size, b))]
+        a, b, level = up, down, level + 1
+    return out
+
+
+def tag_scenario(df: DataFrame, segments: DataFrame | list[tuple[str, int | None, int | None]], step: str = "step", default: str = "BENIGN") -> DataFrame:
+    """df with the segment of each step: the first whose [start, end) holds it, else default.
+
+    segments: a table (place, segment, start, end), of which the smallest place comes first (then the name), or a list in order. A null start or end is open; segments may
+    overlap, leave gaps, and be any number. Each is cut into aligned pieces of 64 ** level steps, at most 126 of a level, and a row
+    meets one piece of each level that occurs by an equal join, which Spark broadcasts while the pieces are few. A null step has no segment.
+    """
+    if isinstance(segments, list):
+        segments = df.sparkSession.createDataFrame([(i, *s) for i, s in enumerate(segments)], "place int, segment string, start long, end long")
+
+    @F.udf("array<struct<level: int, number: long>>")
+    def cut(start, end):
+        return aligned_pieces(start, end)
+
+    pieces = segments.select("place", "segment", F.explode(cut(F.col("start").cast("long"), F.col("end").cast("long"))).alias("p"))
+    first = stored(pieces.groupBy("p.level", "p.number").agg(F.min(F.struct("place", "segment")).alias("s")))
+    levels = sorted(r.level for r in first.select("level").distinct().collect())  # 11 at most
+    out = df
+    for i in levels:
+        mine = first.where(F.col("level") == i).select(F.col("number").alias("_number"), F.col("s").alias(f"_s{i}"))
+        out = out.join(mine, F.shiftright(F.col(step).cast("long"), _PIECE_BITS * i) == F.col("_number"), "left").drop("_number")
+    found = [F.col(f"_s{i}") for i in levels]
+    chosen = F.lit(None).cast("string") if not found else (F.least(*found) if len(found) > 1 else found[0])["segment"]
+    return out.withColumn("segment", F.coalesce(chosen, F.lit(default))).drop(*[f"_s{i}" for i in levels])
 
 
 def fuse_layers(phys: DataFrame, net: DataFrame, on: list[str], chi_threshold: float, w_phys: float = 0.5, w_net: float = 0.5, mode: str = "weighted", thr: float = 0.5) -> DataFrame:

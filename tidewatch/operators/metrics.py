@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._work import quantiles
+from ._work import _same, prefix_sums, quantiles, stored
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -67,13 +67,20 @@ def class_distribution(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_rare_classes(df: DataFrame, y: str, min_rows: int = 200, other: str = "Other", benign: str = "BENIGN") -> tuple[DataFrame, DataFrame]:
-    """(df with merged and class_idx, mapping): attack classes under min_rows become ``other``; indexes are dense, benign 0."""
+    """(df with merged and class_idx, mapping): attack classes under min_rows become ``other``; indexes are dense, benign 0.
+
+    Rows without a label are a class of their own, the last one, and rare or not as others; every row stays. Any number of classes: they are
+    numbered over range partitions.
+    """
     counts = df.groupBy(y).agg(F.count("*").alias("n"))
-    merged = F.when((F.col(y) != benign) & (F.col("n") < min_rows), other).otherwise(F.col(y))
-    mapping = counts.withColumn("merged", merged)
-    order = Window.orderBy((F.col("merged") != benign), (F.col("merged") == other), "merged")
-    mapping = mapping.withColumn("class_idx", F.dense_rank().over(order) - 1)
-    return df.join(F.broadcast(mapping.select(y, "merged", "class_idx")), y), mapping
+    rare = ~F.col(y).eqNullSafe(F.lit(benign)) & (F.col("n") < min_rows)
+    mapping = stored(counts.withColumn("merged", F.when(rare, F.lit(other)).otherwise(F.col(y))))
+    rank = F.when(F.col("merged") == benign, 0).when(F.col("merged") == other, 2).when(F.col("merged").isNull(), 3).otherwise(1)
+    named = mapping.select("merged").distinct().withColumn("_rank", rank).withColumn("_one", F.lit(1).cast("long"))
+    named = prefix_sums(named, ["_rank", "merged"], ["_one"]).select("merged", (F.col("cum__one") - 1).cast("int").alias("class_idx"))
+    mapping = mapping.alias("a").join(named.alias("b"), _same(["merged"], "a", "b")).select("a.*", "b.class_idx")
+    found = mapping.select(F.col(y).alias("_y"), "merged", "class_idx")
+    return df.join(found, F.col(y).eqNullSafe(F.col("_y"))).drop("_y"), mapping
 
 
 def class_detection_rate(df: DataFrame, y: str, flag: str, by: list[str] | None = None) -> DataFrame:
@@ -119,6 +126,13 @@ def class_evidence(df: DataFrame, y: str, score: str, flag: str, thr: float) ->
     return rates.select(y, "alarm_rate", F.col("q0").alias("median"), F.col("q1").alias("p95"), (F.col("q0") / thr).alias("separation"))
 
 
+def evidence_spread(evidence: DataFrame, median: str = "median", eps: float = 1e-9) -> DataFrame:
+    """(spread, classes): how far apart the classes' median scores lie, over their own median; 0 for one class. One row for each class comes in, as of class_evidence."""
+    m = F.col(median)
+    spread = (F.max(m) - F.min(m)) / (F.abs(F.percentile(m, 0.5)) + eps)
+    return evidence.agg(F.when(F.count(m) > 1, spread).otherwise(0.0).alias("spread"), F.count(m).alias("classes"))
+
+
 def failure_decomposition(df: DataFrame, y: str, p: str, flag: str, by: list[str] | None = None) -> DataFrame:
     """Attack rows by cause: alerted or missed, class right or wrong; the four sum to n_attack."""
     a, hit, right = F.col(y) > 0, F.col(flag) == 1, F.col(p) == F.col(y)

@@ -244,6 +244,13 @@ def _(v):
     return joins.tag_scenario(v("scored"), _SEG, "id").select("id", "segment")
 
 
+@add("tag_scenario_table", "SELECT id, CASE WHEN id < 100 THEN 'START' WHEN id >= 1000 AND id < 3000 THEN 'FDIA' WHEN id >= 1500 AND id < 5000 THEN 'DoS' WHEN id >= 2000 AND id < 2010 THEN 'INNER' WHEN id >= 7000 THEN 'LAST' ELSE 'BENIGN' END AS segment FROM scored", "scored")
+def _(v):
+    rows = [(1, "FDIA", 1000, 3000), (0, "START", None, 100), (2, "DoS", 1500, 5000), (4, "LAST", 7000, None), (3, "INNER", 2000, 2010), (3, "NONE", 6000, 6000)]
+    table = v("scored").sparkSession.createDataFrame(rows, "place int, segment string, start long, end long")
+    return joins.tag_scenario(v("scored"), table, "id").select("id", "segment")
+
+
 @add("segment_rates", f"SELECT layer, segment, {r('avg(a) AS rate')}, count(*) AS n FROM (SELECT 'net' AS layer, {_SEG_SQL} AS segment, flag AS a FROM scored UNION ALL SELECT 'phys', {_SEG_SQL}, CASE WHEN score >= 80 THEN 1 ELSE 0 END FROM scored) GROUP BY layer, segment", "scored")
 def _(v):
     s = joins.tag_scenario(v("scored"), _SEG, "id").withColumn("p", (F.col("score") >= 80).cast("int"))
@@ -343,6 +350,11 @@ def _(v):
     return metrics.class_evidence(v("scored"), "cls", "score", "flag", 50.0)
 
 
+@add("evidence_spread", f", m AS (SELECT cls, median(score) AS m FROM scored GROUP BY cls) SELECT {r('(max(m) - min(m)) / (abs(median(m)) + 1e-9) AS spread')}, count(*) AS classes FROM m", "scored")
+def _(v):
+    return metrics.evidence_spread(metrics.class_evidence(v("scored"), "cls", "score", "flag", 50.0))
+
+
 @add("failure_decomposition", "SELECT agent, " + ", ".join(f"count(*) FILTER (cls > 0 AND flag = {f} AND {'' if ok else 'NOT '}(pred = cls)) AS {n}" for n, f, ok in (("alerted_right", 1, 1), ("alerted_wrong", 1, 0), ("missed_right", 0, 1), ("missed_wrong", 0, 0))) + ", count(*) FILTER (cls > 0) AS n_attack FROM decisions GROUP BY agent", "decisions")
 def _(v):
     return metrics.failure_decomposition(v("decisions"), "cls", "pred", "flag", ["agent"])

@@ -37,6 +37,14 @@ def _(v):
     return detectors.residual_chi2(d, "vec", "ref", [0.5] * 64, 3.0).select("id", "adi", "alarm")
 
 
+@add("residual_chi2_full", f", {_X}, s AS (SELECT id, sum(42.25 * v * v) / 0.5 - 0.1 / (0.5 * 6.9) * sum(6.5 * v) * sum(6.5 * v) AS adi FROM x GROUP BY id) SELECT id, {r('adi')}, (adi >= 83.67526074272097)::INT AS alarm FROM s", "vectors")
+def _(v):
+    """R is 0.5 on the diagonal and 0.1 everywhere besides."""
+    d = _vectors(v).withColumn("vec", F.transform("vec", lambda x: 6.5 * x)).withColumn("ref", F.array_repeat(F.lit(0.0), 64))
+    full = [[0.1 + (0.5 if i == j else 0.0) for j in range(64)] for i in range(64)]
+    return detectors.residual_chi2(d, "vec", "ref", full).select("id", "adi", "alarm")
+
+
 _NAMES = ["BENIGN", "DDoS", "PortScan", "Bot", "DoS"]
 
 
