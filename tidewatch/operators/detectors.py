@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from ..functions.scores import topk_abs_embedding, trust_score
 from ._work import discard, quantile_list, stored
@@ -103,27 +104,33 @@ def null_detector(fit_df: DataFrame | None, df: DataFrame, cols: list[str] | Non
 Model = Callable[[np.ndarray], np.ndarray]
 
 
-def wrap_model(score_fn: Model, fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: float = 0.05, k: int = 4, flag_fn: Model | None = None, trust_fn: Model | None = None, embed_fn: Model | None = None) -> DataFrame:
+def wrap_model(score_fn: Model, fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: float = 0.05, k: int = 4, flag_fn: Model | None = None, trust_fn: Model | None = None, embed_fn: Model | None = None, load: bool = False) -> DataFrame:
     """A user's vectorised functions of the (rows, features) matrix: the score, calibrated on benign rows, and, instead of the
-    calibrated ones, flag, trust and embedding (any width, padded or cut to k)."""
-
-    def applied(fn: Model, kind: str, shape: Callable = lambda x: x):
-        @F.pandas_udf(kind)
-        def run(*xs: pd.Series) -> pd.Series:
-            return pd.Series(shape(np.asarray(fn(np.column_stack([x.to_numpy(float) for x in xs])))))
-
-        return run(*cols)
-
-    score = applied(score_fn, "double")
-    out = _judged(fit_df.select(score.alias("score")), df, score, _standardised(fit_df, cols), alpha, k)
-    if flag_fn:
-        out = out.withColumn("flag", applied(flag_fn, "int", lambda x: x.astype(int)))
-    if trust_fn:
-        out = out.withColumn("trust", F.greatest(F.lit(0.0), F.least(F.lit(1.0), applied(trust_fn, "double"))))
-    if embed_fn:
-        found = applied(embed_fn, "array<double>", lambda x: list(x.reshape(len(x), -1).astype(float)))
-        out = out.withColumn("embedding", F.slice(F.concat(found, F.array_repeat(F.lit(0.0), k)), 1, k))
-    return out
+    calibrated ones, flag, trust and embedding (any width, padded or cut to k).
+
+    All functions see a batch's matrix in one pass. With ``load`` they are makers of such functions without arguments, called once in each task, so
+    that a model is loaded where it is used.
+    """
+    given = {"score": score_fn, "flag": flag_fn, "trust": trust_fn, "embedding": embed_fn}
+    shapes = {"score": lambda x: x.astype(float), "flag": lambda x: x.astype(int), "trust": lambda x: np.clip(x.astype(float), 0.0, 1.0), "embedding": lambda x: list(x.reshape(len(x), -1).astype(float))}
+    kinds = {"score": "double", "flag": "int", "trust": "double", "embedding": "array<double>"}
+
+    def applied(names: list[str]) -> Column:
+        def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+            models = {n: given[n]() if load else given[n] for n in names}
+            for xs in parts:
+                x = np.column_stack([c.to_numpy(float) for c in xs])
+                yield pd.DataFrame({n: pd.Series(shapes[n](np.asarray(f(x)))) for n, f in models.items()})
+
+        schema = ", ".join(f"{n} {kinds[n]}" for n in names)
+        return F.pandas_udf(run, schema, PandasUDFType.SCALAR_ITER)(*cols)
+
+    own = [n for n, f in given.items() if f]
+    fit = fit_df.select(applied(["score"]).alias("_m")).select("_m.score")
+    out = _judged(fit, df.withColumn("_m", applied(own)), F.col("_m.score"), _standardised(fit_df, cols), alpha, k)
+    for n in own[1:]:
+        out = out.withColumn(n, F.slice(F.concat("_m.embedding", F.array_repeat(F.lit(0.0), k)), 1, k) if n == "embedding" else F.col(f"_m.{n}"))
+    return out.drop("_m")
 
 
 def residual_chi2(df: DataFrame, z: str, z_ref: str, r: list[float] | list[list[float]], threshold: float | None = None, alpha: float = 0.05) -> DataFrame:

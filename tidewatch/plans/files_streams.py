@@ -22,6 +22,16 @@ def _(v):
     return back.select("id", F.col("Label").alias("raw_label"), F.col("f0").cast("double").alias("f0"), F.col("f1").cast("double").alias("f1"))
 
 
+@add("read_flow_csv_encodings", "SELECT id, 'Caf' || chr(233) || ' ' || cls AS name FROM flows", "flows")
+def _(v):
+    """One folder with files of both encodings."""
+    spark, path = v("flows").sparkSession, scratch(v("flows").sparkSession)
+    for encoding, part in (("UTF-8", "cls < 2"), ("ISO-8859-1", "cls >= 2")):
+        rows = v("flows").where(part).select("id", F.concat(F.lit("Caf\u00e9 "), F.col("cls").cast("string")).alias("Label"))
+        rows.write.mode("append").csv(path, header=True, encoding=encoding)
+    return captures.read_flow_csv(spark, [path]).select("id", F.col("Label").alias("name"))
+
+
 def _captures(v) -> str:
     """Monday as CSV, the other days as parquet, and a manifest that also names an absent file."""
     spark, path = v("flows").sparkSession, scratch(v("flows").sparkSession)

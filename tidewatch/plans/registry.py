@@ -558,6 +558,12 @@ def _(v):
     return detectors.kalman_frozen_nis(_fit(v), _test(v), COLS).select("id", "score", "flag", "trust", F.size("embedding").alias("width"))
 
 
+@add("wrap_model", f", {_scored_sql('(f0 / 50 + 10 * f3)')}, o AS (SELECT *, 1 / (1 + exp(-greatest(-30, least(30, (score - mu) / (sd + 1e-8))))) AS p FROM z) SELECT id, {r('score', 'CASE WHEN flag = 1 THEN p ELSE 1 - p END AS trust')}, flag, 4 AS width FROM o", "flows")
+def _(v):
+    linear = lambda x: x[:, 0] / 50 + 10 * x[:, 3]
+    return detectors.wrap_model(lambda: linear, _fit(v), _test(v), COLS, load=True).select("id", "score", "flag", "trust", F.size("embedding").alias("width"))
+
+
 @add("null_detector", f"SELECT id, {r('0 AS score')}, 0 AS flag, {r('0.5 AS trust')} FROM flows", "flows")
 def _(v):
     return detectors.null_detector(None, v("flows")).select("id", "score", "flag", "trust")
