@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import column_quantiles
+from ._work import column_quantiles, discard, stored
 
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -22,7 +22,9 @@ def impute_median(df: DataFrame, cols: list[str], exact: bool = True) -> DataFra
     """Rows without any feature go; other nulls become the column's median, or 0 if it has none."""
     rows = df.where(F.coalesce(*[F.col(c) for c in cols]).isNotNull())
     if exact:
-        found = {c: q[0] for c, q in column_quantiles(rows, cols, [0.5]).items()}
+        held = stored(rows.select(*[F.col(c).cast("double").alias(c) for c in cols]))  # coercion from text is dear
+        found = {c: q[0] for c, q in column_quantiles(held, cols, [0.5]).items()}
+        discard(held)
     else:
         found = _one_row(rows, {c: F.percentile_approx(c, 0.5, 10_000) for c in cols})
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(float(found[c] or 0.0))) for c in cols})

@@ -440,34 +440,42 @@ def isolation_forest(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: f
 
     made = pick.groupBy("tree").applyInPandas(build, "tree int, node int, feature int, cut double, low int, high int, length double").toPandas()
     kept = [g.sort_values("node")[["feature", "cut", "low", "high", "length"]].to_numpy() for _, g in made.groupby("tree")]
-    nodes = np.zeros((len(kept), max(map(len, kept), default=1), 5))
-    for t, g in enumerate(kept):
-        nodes[t, : len(g)] = g
-    feature_of, low, high = (nodes[:, :, i].astype(np.int32) for i in (0, 2, 3))
-    shared = spark.sparkContext.broadcast((feature_of.ravel(), nodes[:, :, 1].ravel(), low.ravel(), high.ravel(), nodes[:, :, 4].ravel(), len(kept), nodes.shape[1]))
+    feature_of, cuts, lengths = _as_heaps(kept, depth)
+    shared = spark.sparkContext.broadcast((feature_of, cuts, lengths))
 
     @F.pandas_udf("double")
     def score(*xs: pd.Series) -> pd.Series:
-        features, cuts, low, high, length, n_trees, size = shared.value
+        features, cuts, lengths = shared.value
         x = np.column_stack([s.to_numpy(float) for s in xs])
+        flat, own = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * width
         total = np.zeros(len(x))
-        root = np.arange(n_trees) * size
-        for i in range(0, len(x), 512):  # all trees at once, some rows at a time
-            part = x[i : i + 512]
-            flat, own = np.ascontiguousarray(part).ravel(), (np.arange(len(part)) * width)[:, None]
-            at = np.tile(root, (len(part), 1))
+        for f, c, n in zip(features, cuts, lengths):  # one small tree at a time, all rows of the batch together
+            at = np.zeros(len(x), np.int64)
             for _ in range(depth):
-                f = features[at]
-                inner = f >= 0
-                go = np.where(flat[own + np.maximum(f, 0)] < cuts[at], low[at], high[at])
-                at = np.where(inner, root + go, at)
-            total[i : i + 512] = length[at].sum(axis=1)
-        return pd.Series(2.0 ** (-(total / max(1, n_trees)) / max(_c(psi), 1e-12)))
+                at = 2 * at + 2 - (flat[own + f[at]] < c[at])
+            total += n[at]
+        return pd.Series(2.0 ** (-(total / max(1, len(features))) / max(_c(psi), 1e-12)))
 
     value = score(*cols)
     return _judged(fit_df.select(value.alias("score")), df, value, _standardised(fit_df, cols), alpha, k)
 
 
+def _as_heaps(trees: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, cuts, lengths) of each tree as a full one: the children of node i are 2 * i + 1 and 2 * i + 2. All below a leaf have its length."""
+    features = np.zeros((len(trees), 2 ** (depth + 1) - 1), np.int64)
+    cuts, lengths = np.full(features.shape, np.inf), np.zeros(features.shape)
+    for t, nodes in enumerate(trees):
+        place = np.zeros(features.shape[1], np.int64)
+        for i in range(features.shape[1]):
+            feature, cut, low, high, length = nodes[place[i]]
+            lengths[t, i] = length
+            if feature >= 0:
+                features[t, i], cuts[t, i] = int(feature), cut
+            if 2 * i + 2 < features.shape[1]:
+                place[2 * i + 1], place[2 * i + 2] = (int(low), int(high)) if feature >= 0 else (place[i], place[i])
+    return features, cuts, lengths
+
+
 def _c(n: int) -> float:
     """Mean path length of an unsuccessful search in a tree of n rows."""
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
