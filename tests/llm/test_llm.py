@@ -268,6 +268,10 @@ def test_html_names_that_hold_the_page_and_broken_tags():
     for name in ("page has-sidebar", "social-policy-report"):
         assert html_text.main_text(f'<div class="{name}">{body * 2}</div>') == f"{text}\n\n{text}"
         assert html_text.main_text(f'<main><div class="{name}">{body * 2}</div></main>') == f"{text}\n\n{text}"
+    for wrapper in ('class="alert"', 'class="content menu"', 'role="dialog"', 'id="widget"'):
+        assert html_text.main_text(f"<nav><a href=1>one</a> of many</nav><div {wrapper}>{body * 2}</div><footer>foot</footer>") == f"{text}\n\n{text}"
+        assert html_text.main_text(f"<div {wrapper}><p>tiny</p></div>") == "tiny"
+        assert html_text.main_text(f"{body}<div {wrapper}>{body * 3}</div>") == text
     assert html_text.main_text(f'{body * 2}<div class="post-comments">{body}</div>') == f"{text}\n\n{text}"
     assert html_text.main_text(f'<p title="a<b>c">{text}</p>') == text
     for broken in ("<a ", "<script ", "<!", "<?", '<a "', "<a '", '<a "<a "', "</a", "<!--", '<p class="'):

@@ -28,9 +28,10 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden)\b(?:\s*=\s*(?:\"([
 
 
 def _noise(tag: str, attributes: str) -> int:
-    """2 for an element that never holds main text, 1 for one whose class or id has a compound name with a word of such parts, else 0."""
+    """3 for an element that never holds main text, 2 for one whose class, id or role names such a part, 1 for one whose class or id has a compound
+    name with a word of such parts, else 0."""
     if tag in _DROPPED:
-        return 2
+        return 3
     if tag in ("body", "html", "article", "main") or not attributes:
         return 0
     found = 0
@@ -113,12 +114,22 @@ def _lines(page: str, least: int = 1) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str, window: int = 3, surge: int = 80) -> str:
     """See extract_main_text."""
-    return _dense_text(_lines(page), window, surge)
+    lines = _lines(page)
+    if max(_sums(lines, window)[1], default=0) < surge:  # the names have left nothing dense: do they wrap the page?
+        bare = _lines(page, 3)
+        if max(_sums(bare, window)[1], default=0) >= surge or not any(text for text, _, _ in lines):
+            lines = bare
+    return _dense_text(lines, window, surge)
 
 
-def _dense_text(lines: list[tuple[str, int, bool]], window: int, surge: int) -> str:
+def _sums(lines: list[tuple[str, int, bool]], window: int) -> tuple[list[int], list[int]]:
+    """What each line weighs, and the sum over it and the next ones of its window."""
     weights = [0 if 2 * linked > len(text) else len(text) for text, linked, _ in lines]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    return weights, [sum(weights[i : i + window]) for i in range(len(weights))]
+
+
+def _dense_text(lines: list[tuple[str, int, bool]], window: int, surge: int) -> str:
+    weights, sums = _sums(lines, window)
     blocks, start = [], None
     for i in range(len(lines)):
         if start is None and weights[i] and sums[i] >= surge:  # surge: a dense block begins here
@@ -157,7 +168,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Markup is stripped into lines, one for each block element; scripts, styles, comments
     in the source, and menus, headers, footers, sidebars, notices, adverts, forms and reader
     comments (by element, role, or a word of class or id) leave an empty line. A line weighs its text
-    length on every page; lines that are mostly links weigh nothing. Where the sum over the next
+    length on every page; lines that are mostly links weigh nothing. Where names (not elements) leave nothing that surges, they wrap the page, and don't count. Where the sum over the next
     ``window`` lines first reaches ``surge`` a dense block begins, where it falls to zero it ends. An article
     or main element adds two bounded things: a block that begins inside reaches back over lines that no
     dive parts from it, and keeps lines of links between others; and where the dense lines inside hold at
