@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import detectors, scans
+from tidewatch.operators import detectors, measurements, scans
 
 
 def rows_of(n=3000, seed=2):
@@ -37,7 +37,7 @@ def test_composition_equals_steps():
     rng = np.random.default_rng(0)
     group = np.repeat(np.arange(5), [1, 7, 64, 3, 100])
     a, c = rng.uniform(0, 1, (175, 2)), rng.normal(size=(175, 2))
-    got_a, got_c = scans.compose(a, c, group)
+    got_a, got_c = np.split(scans.composed(np.concatenate([a, c], axis=1), group, scans.affine), 2, axis=1)
     for g in range(5):
         x = np.array([3.0, -1.0])
         for i in np.flatnonzero(group == g):
@@ -95,3 +95,28 @@ def test_empty_and_one_row(spark):
     assert [r.score for r in detectors.ema_baseline_score(df, "u", ["t"], ["x"], {"x": 50.0}).collect()] == [1.0]
     assert detectors.ema_baseline_score(df.limit(0), "u", ["t"], ["x"], {"x": 50.0}).count() == 0
     assert detectors.kalman_by_key(df.limit(0), "u", ["t"], ["x"], [50.0], [400.0], 4.0, mode="frozen").count() == 0
+
+
+@pytest.mark.parametrize("parts,batch", [(1, 10_000), (7, 64)])
+def test_filter_with_matrices_equals_its_chain(spark, ranges, parts, batch):
+    rows = rows_of()
+    f, h, q, r = np.array([[1.0, 0.1], [0.0, 0.9]]), np.array([[1.0, 0.2], [0.0, 1.0]]), np.array([[0.5, 0.1], [0.1, 0.3]]), np.array([[400.0, 5.0], [5.0, 1.0]])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = measurements.kalman_chi2_by_key(frame(spark, rows, parts), "u", ["t"], ["x", "y"], h, q, r, [50, 0], f=f)
+        got = {(x.u, x.t): (x.adi, x.alarm) for x in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for u in {x[0] for x in rows}:
+        x, p = np.array([50.0, 0.0]), np.eye(2)
+        for _, t, *z in sorted((x for x in rows if x[0] == u), key=lambda x: x[1]):
+            x, p = f @ x, f @ p @ f.T + q
+            off = np.array([nan(v) for v in z]) - h @ x
+            s = np.linalg.inv(h @ p @ h.T + r)
+            gain = p @ h.T @ s
+            want = off @ s @ off
+            adi, alarm = got[u, t]
+            assert np.isclose(nan(adi), want, rtol=1e-8, equal_nan=True) and alarm == int(want > -2 * np.log(0.05))
+            x, p = x + gain @ off, (np.eye(2) - gain @ h) @ p
+    assert found.limit(0).count() == 0

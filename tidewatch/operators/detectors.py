@@ -256,33 +256,6 @@ def _in_order(df: DataFrame, key: str, order: list[str], cols: list[str], added:
     return df.select(key, *order, *[c for c in cols if c not in (key, *order)]).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def _chained(df: DataFrame, key: str, order: list[str], cols: list[str], added: str, start: Callable[[], tuple], steps: Callable[[np.ndarray, tuple], tuple[dict, tuple]]) -> DataFrame:
-    """As _in_order, one key after the other: ``steps`` gets the rows of a key that a batch holds, in order, and the state before them."""
-
-    def run(batches):
-        state, last = None, None
-        for pdf in batches:
-            parts = []
-            k = pdf[key]
-            new = ((k != k.shift()) & ~(k.isna() & k.shift().isna())).to_numpy()
-            edges = np.append(np.flatnonzero(new), len(pdf)) if len(pdf) else [0, 0]
-            if len(pdf) and edges[0] != 0:
-                edges = np.append(0, edges)
-            for a, b in zip(edges[:-1], edges[1:]):
-                part = pdf.iloc[a:b]
-                name = part[key].iloc[0] if len(part) else last
-                if state is None or not (name == last or (pd.isna(name) and pd.isna(last))):
-                    state = start()
-                got, state = steps(part[cols].to_numpy(float), state)
-                last = name
-                parts.append(part[[key, *order]].assign(**got))
-            yield pd.concat(parts)
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *order]) + f", {added}"
-    return df.select(key, *order, *[c for c in cols if c not in (key, *order)]).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
-
-
 def ema_baseline_score(df: DataFrame, key: str, order: list[str], cols: list[str], start: dict[str, float], ema: float = 0.01) -> DataFrame:
     """df's key, order and score: distance to a moving baseline before it follows the row, in order for each key.
 
@@ -371,9 +344,9 @@ def _kalman_chain(df: DataFrame, key: str, order: list[str], cols: list[str], x0
 
 
 @register("pca_reconstruction")
-def pca_reconstruction(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: float = 0.05, k: int = 4, latent: int = 2) -> DataFrame:
+def pca_reconstruction(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: float = 0.05, k: int = 4, latent: int = 2, per_feature: bool = True) -> DataFrame:
     """df with score, flag, trust and embedding: mean squared residual of standardised features after projection on the first components
-    of the benign rows, each residual over its own benign energy. Statistics are one aggregate and one Gramian."""
+    of the benign rows, each residual over its own benign energy (if ``per_feature``, else as it is). Statistics are one aggregate and one Gramian."""
     from pyspark.ml.feature import PCA, VectorAssembler
 
     stats = moments(fit_df, cols)
@@ -385,7 +358,7 @@ def pca_reconstruction(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha:
     vector = F.array(*zs)
     residual = F.array(*[F.col(z) - F.aggregate(F.zip_with(vector, F.array(*map(F.lit, keep[i].tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for i, z in enumerate(zs)])
     with_residual = lambda d: unit(d).withColumn("_r", residual)
-    energy = with_residual(fit_df).agg(*[F.avg(F.col("_r")[i] * F.col("_r")[i]) for i in range(len(cols))]).first()
+    energy = with_residual(fit_df).agg(*[F.avg(F.col("_r")[i] * F.col("_r")[i]) for i in range(len(cols))]).first() if per_feature else [1.0] * len(cols)
     each = [F.col("_r")[i] / float(np.sqrt(max(e or 0.0, 1e-8))) for i, e in enumerate(energy)]
     benign = with_residual(fit_df).select(_mean_square(each).alias("score"))
     return _judged(benign, with_residual(df), _mean_square(each), each, alpha, k).drop("_r", *zs)

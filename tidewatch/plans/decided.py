@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clustering, decisions, detectors, measurements, oversample
+from ..functions import labels
+from ..operators import clustering, decisions, detectors, measurements, oversample, sets
 from .registry import COLS, _FIT, _fit, _test, add, r
 from .vectors import _vectors
 
@@ -18,6 +19,18 @@ def _(v):
     return decisions.decision_rules(v("scored"), v("scored"), team).select("id", "agent", *decisions.RULES)
 
 
+@add(
+    "agent_assignment",
+    ", l AS (SELECT DISTINCT CASE trim(raw_label) WHEN 'DoS Hulk' THEN 'DoS' WHEN 'benign' THEN 'BENIGN' WHEN 'Web Attack – XSS' THEN 'WebAttack' ELSE trim(raw_label) END AS class FROM flows),"
+    " i AS (SELECT class, row_number() OVER (ORDER BY class) - 1 AS idx FROM l), p AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS place, count(*) OVER () AS n FROM i WHERE class NOT IN ('BENIGN', 'Other'))"
+    " SELECT agent, 'agent_' || class || CASE WHEN agent >= n THEN '_' || (agent // n + 1) ELSE '' END AS name, idx::INT AS focus FROM range(11) AS t(agent) JOIN p ON place = agent % n",
+    "flows",
+)
+def _(v):
+    each = v("flows").select(labels.label_family(F.col("raw_label")).alias("class"))
+    return decisions.assigned_agents(sets.class_vocabulary(each, each, "class"), 11)
+
+
 _NEAR = (
     "d AS (SELECT a.id, (b.label <> 0)::BIGINT AS far, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.id) AS k"
     " FROM vectors a JOIN vectors b ON a.id <> b.id WHERE a.label = 0), c AS (SELECT id, sum(far)::BIGINT AS crowd FROM d WHERE k <= 5 GROUP BY id),"
@@ -43,7 +56,21 @@ def _(v):
     return oversample.adasyn_multiclass(_vectors(v), "id", "vec", "label", [0, 1]).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@add("kalman_chi2_by_key", None)
+# The recursion with two measurements and the identity for h: a is the covariance ahead, s that of the innovation e.
+_FILTER = f""", o AS (SELECT id, user_id, score AS z1, cls * 10.0 AS z2, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS k FROM scored),
+    g AS (SELECT * FROM (WITH RECURSIVE w AS (
+        SELECT DISTINCT -1::BIGINT AS id, user_id, 0::BIGINT AS k, 50.0::DOUBLE AS x1, 20.0::DOUBLE AS x2, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS p12, 1.0::DOUBLE AS p22, 0.0::DOUBLE AS adi FROM o
+        UNION ALL SELECT id, user_id, k, x1 + g11 * e1 + g12 * e2, x2 + g21 * e1 + g22 * e2, a11 - g11 * a11 - g12 * a12, a12 - g11 * a12 - g12 * a22, a22 - g21 * a12 - g22 * a22, adi
+        FROM (SELECT *, (a11 * s22 - a12 * s12) / det AS g11, (a12 * s11 - a11 * s12) / det AS g12, (a12 * s22 - a22 * s12) / det AS g21, (a22 * s11 - a12 * s12) / det AS g22,
+            (s22 * e1 * e1 - 2 * s12 * e1 * e2 + s11 * e2 * e2) / det AS adi
+        FROM (SELECT *, s11 * s22 - s12 * s12 AS det
+        FROM (SELECT o.id, o.user_id, o.k, x1, x2, z1 - x1 AS e1, z2 - x2 AS e2, p11 + 1 AS a11, p12 + 0.1 AS a12, p22 + 1 AS a22, p11 + 401 AS s11, p12 + 0.1 AS s12, p22 + 101 AS s22
+            FROM w JOIN o ON o.user_id IS NOT DISTINCT FROM w.user_id AND o.k = w.k + 1))))
+        SELECT * FROM w WHERE k > 0))
+    SELECT id, {r('adi')}, CASE WHEN adi > -2 * ln(0.05) THEN 1 ELSE 0 END AS alarm FROM g"""
+
+
+@add("kalman_chi2_by_key", _FILTER, "scored")
 def _(v):
     d = v("scored").withColumn("c", F.col("cls") * 10.0)
     found = measurements.kalman_chi2_by_key(d, "user_id", ["ts", "id"], ["score", "c"], [[1, 0], [0, 1]], [[1, 0.1], [0.1, 1]], [[400, 0], [0, 100]], [50, 20])
