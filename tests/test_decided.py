@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidewatch.operators import clustering, decisions, measurements, oversample
+from tidewatch.operators import clustering, decisions, measurements, metrics, oversample
 
 
 def test_agents_take_classes_in_turn():
@@ -139,3 +139,41 @@ def test_evolution_finds_separate_groups(spark):
     assert abs(inertia - want) < 1e-6 * want
     with pytest.raises(ValueError):
         clustering.evolutionary_kmeans(d.limit(0), "id", "vec", 2)
+
+
+def test_a_rare_far_group_is_among_the_candidates_and_gets_a_centre(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 2))
+    x[[5, 7000]] = [[300.0, 300.0], [301.0, 300.0]]
+    d = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)] + [(-1, None)], "id long, vec array<double>").repartition(8)
+    rows = d.where("vec is not null")
+    found, weights = clustering.candidates(rows, "id", "vec", 3)
+    assert len(found) <= 31 and weights.sum() == 20_000 and (found[:, 0] > 200).any()
+    again, _ = clustering.candidates(rows.repartition(3), "id", "vec", 3)
+    assert np.array_equal(found, again)
+    centres, _ = clustering.evolutionary_kmeans(d, "id", "vec", 3, population=3, generations=3, refine=3)
+    assert any(np.allclose(c, [300.5, 300.0]) for c in centres)
+
+
+def test_candidates_of_equal_rows(spark):
+    d = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], "id long, vec array<double>")
+    found, weights = clustering.candidates(d, "id", "vec", 4)
+    assert found.tolist() == [[1.0, 2.0]] and weights.tolist() == [50]
+    assert len(clustering.candidates(d.limit(0), "id", "vec", 4)[0]) == 0
+    centres, inertia = clustering.evolutionary_kmeans(d, "id", "vec", 2, population=2, generations=2, refine=2)
+    assert inertia == 0 and [1.0, 2.0] in centres
+
+
+def test_agents_of_a_table_as_of_a_list(spark):
+    for classes in (["BENIGN", "DoS", "Bot", "Other"], ["BENIGN"], [], ["BENIGN", "Other"]):
+        table = spark.createDataFrame([(c, i) for i, c in enumerate(classes)] + [(None, 9)], "class string, idx int")
+        for n in (0, 1, 5):
+            got = [tuple(r) for r in decisions.assigned_agents(table, n).orderBy("agent").collect()]
+            assert got == decisions.agent_assignment(n, classes)
+
+
+def test_leaders_by_class_ignore_unknown_values(spark):
+    rows = [("a", "f1", 1, 0.5), ("b", "f1", 1, None), ("c", "f1", 1, float("nan")), ("d", "f1", 1, 0.5), ("a", "fpr", 2, 0.1), ("b", "fpr", 2, 0.2), ("b", "f1", 2, None)]
+    d = spark.createDataFrame(rows, "detector string, metric string, cls int, value double")
+    got = {(r.metric, r.cls): (r.winner, r.runner_up) for r in metrics.leaderboard(d, {"f1": True, "fpr": False}, by=("cls",)).collect()}
+    assert got == {("f1", 1): ("a", "d"), ("fpr", 2): ("a", "b")}

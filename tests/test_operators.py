@@ -198,6 +198,8 @@ def test_pca_reconstruction_replay(spark):
     res = z - z @ p.T @ p
     want = sorted(np.mean(res**2 / (res**2).mean(0), axis=1))
     assert np.allclose(sorted(r.score for r in detectors.pca_reconstruction(df, df, cols, latent=2).collect()), want)
+    plain = detectors.pca_reconstruction(df, df, cols, latent=2, per_feature=False)
+    assert np.allclose(sorted(r.score for r in plain.collect()), sorted(np.mean(res**2, axis=1)))
 
 
 def test_chains_go_on_from_batch_to_batch(spark):

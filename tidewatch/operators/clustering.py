@@ -59,37 +59,84 @@ def judge(df: DataFrame, vec: str, sets: np.ndarray) -> tuple[np.ndarray, np.nda
     return flat[:a].reshape(sets.shape), flat[a:b].reshape(sets.shape[:2]), flat[b:]
 
 
-def evolutionary_kmeans(df: DataFrame, id_col: str, vec: str, k: int, population: int = 10, generations: int = 50, alpha: float = 0.5, mutation: float = 0.1, restarts: int = 2, patience: int = 8, tol: float = 1e-4, refine: int = 100, seed: int = 42, pool_rows: int = 2000) -> tuple[list[list[float]], float]:
+def far_rows(df: DataFrame, id_col: str, vec: str, centres: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n rows drawn without replacement, each by its squared distance to the nearest centre: those with the least -log(u) / distance.
+
+    u is a hash of id and vector, so reruns agree. A task keeps its n least, so one pass does and the driver gets n rows.
+    """
+
+    def run(batches):
+        keys, held = np.zeros(0), np.zeros((0, centres.shape[1]))
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.array(batch.column(0).to_pylist(), float)
+            d = np.maximum((x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * x @ centres.T, 0).min(axis=1)
+            own = np.full(len(x), np.inf)
+            apart = d > 1e-12 * (x**2).sum(1)
+            own[apart] = -np.log(batch.column(1).to_numpy()[apart]) / d[apart]
+            keys, held = np.concatenate([keys, own]), np.concatenate([held, x])
+            least = np.argsort(keys, kind="stable")[:n]
+            least = least[np.isfinite(keys[least])]
+            keys, held = keys[least], held[least]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(held.tolist(), pa.list_(pa.float64()))], ["k", "v"])
+
+    u = (F.pmod(F.xxhash64(id_col, vec, F.lit(seed)), F.lit(1 << 50)) + F.lit(0.5)) / F.lit(float(1 << 50))
+    found = df.select(vec, u.alias("u")).mapInArrow(run, "k double, v array<double>").orderBy("k", "v").limit(n).select("v")
+    return np.array([row[0] for row in found.collect()], float).reshape(-1, centres.shape[1])
+
+
+def candidates(df: DataFrame, id_col: str, vec: str, k: int, rounds: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, weights): at most 1 + 2 * k * rounds distinct rows to start k centres from, and how many rows are nearest to each.
+
+    As k-means|| does it: rounds of 2 * k rows, drawn from all by their squared distance to those drawn before, so that a small group far from the others is
+    found. Each round, and the weighing, is one pass.
+    """
+    first = df.orderBy(F.xxhash64(id_col, vec, F.lit(seed)), vec).limit(1).select(vec).collect()
+    found = np.array([row[0] for row in first], float)
+    for number in range(rounds if len(found) else 0):
+        more = far_rows(df, id_col, vec, found, 2 * k, seed + number + 1)
+        if not len(more):
+            break
+        found = np.unique(np.concatenate([found, more]), axis=0)
+    weights = judge(df, vec, found[None])[1][0] if len(found) else np.zeros(0)
+    return found, weights
+
+
+def evolutionary_kmeans(df: DataFrame, id_col: str, vec: str, k: int, population: int = 10, generations: int = 50, alpha: float = 0.5, mutation: float = 0.1, restarts: int = 2, patience: int = 8, tol: float = 1e-4, refine: int = 100, seed: int = 42, rounds: int = 5) -> tuple[list[list[float]], float]:
     """(centres, inertia): the fittest of many centre sets, then plain k-means steps from it.
 
-    In a generation every set takes one k-means step and, with probability ``mutation``, swaps a centre for a row;
+    In a generation every set takes one k-means step and, with probability ``mutation``, swaps a centre for a candidate;
     ``restarts`` fresh sets join. Fitness is alpha * quality (inertia scaled over the generation) + (1 - alpha) *
     stability (exp of minus the mean shift of matched centres, over the mean distance between rows; 0 for fresh sets).
     It ends after ``patience`` generations without a gain of ``tol``.
 
-    Inertia, sums and counts are of all rows. Only starting centres and swaps come from a pool of ``pool_rows`` rows, the
-    first by a hash of the id. Null vectors take no part; vectors have one length. Fewer than two rows: an error.
+    Inertia, sums and counts are of all rows, and so are the weighted ``candidates`` that centres start from. Only the mean distance between rows is
+    of 500 of them, the first by a hash. Null vectors take no part; vectors have one length. Fewer than two rows: an error.
     """
     rows = df.where(F.col(vec).isNotNull()).select(id_col, F.col(vec).cast("array<double>").alias(vec))
-    pool = np.array([r[0] for r in rows.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(pool_rows).select(vec).collect()], float)
-    if len(pool) < 2:
+    some = np.array([r[0] for r in rows.orderBy(F.xxhash64(id_col, vec, F.lit(seed)), vec).limit(500).select(vec).collect()], float)
+    if len(some) < 2:
         raise ValueError("fewer than two rows")
+    pool, weights = candidates(rows, id_col, vec, k, rounds, seed)
+    share = weights / weights.sum()
     rng = np.random.default_rng(seed)
     far = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
-    scale = far(pool[:500], pool[:500]).mean() + 1e-12
+    scale = far(some, some).mean() + 1e-12
+    drawn = lambda n: pool[rng.choice(len(pool), size=n, p=share)]
 
     def fresh() -> np.ndarray:
-        centres = pool[[rng.integers(len(pool))]]
+        centres = drawn(1)
         while len(centres) < k:
-            d = (far(pool, centres) ** 2).min(axis=1)
-            pick = rng.choice(len(pool), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(pool))
-            centres = np.vstack([centres, pool[pick]])
+            d = share * (far(pool, centres) ** 2).min(axis=1)
+            centres = np.vstack([centres, pool[[rng.choice(len(pool), p=d / d.sum())]] if d.sum() > 0 else drawn(1)])
         return centres
 
     def moved(sums, counts):
         centres = sums / np.maximum(counts, 1)[:, None]
         empty = np.flatnonzero(counts == 0)
-        centres[empty] = pool[rng.integers(len(pool), size=len(empty))]
+        if len(empty):
+            centres[empty] = drawn(len(empty))
         return centres
 
     sets = np.array([fresh() for _ in range(population)])
@@ -99,7 +146,7 @@ def evolutionary_kmeans(df: DataFrame, id_col: str, vec: str, k: int, population
         young = [moved(s, c) for s, c in zip(sums, counts)]
         for centres in young:
             if rng.random() < mutation:
-                centres[rng.integers(k)] = pool[rng.integers(len(pool))]
+                centres[rng.integers(k)] = drawn(1)[0]
         stable = [np.exp(-assignment_cost(far(a, b)) / k / scale) for a, b in zip(sets, young)] + [0.0] * restarts
         every = np.array(young + [fresh() for _ in range(restarts)])
         sums, counts, inertia = judge(rows, vec, every)

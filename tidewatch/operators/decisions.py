@@ -22,6 +22,22 @@ def agent_assignment(n_agents: int, classes: list[str], benign: str = "BENIGN",
     return out
 
 
+def assigned_agents(classes: DataFrame, n_agents: int, benign: str = "BENIGN", other: str = "Other") -> DataFrame:
+    """(agent, name, focus) as of agent_assignment, for a table of classes (class, idx), as class_vocabulary gives it; any number of agents.
+
+    Rows without a class or idx are no classes; without a named attack class all agents take place 1.
+    """
+    named = classes.where(F.col("class").isNotNull() & F.col("idx").isNotNull())
+    pool = named.where(~F.col("class").isin(benign, other)).agg(F.sort_array(F.collect_list(F.struct("idx", "class"))).alias("pool"))  # a row for each class
+    first = named.where("idx = 1").agg(F.min("class").alias("class"))
+    none = F.array(F.struct(F.lit(1).cast(classes.schema["idx"].dataType).alias("idx"), F.coalesce("class", F.lit(other)).alias("class")))
+    team = pool.crossJoin(first).select(F.when(F.size("pool") > 0, F.col("pool")).otherwise(none).alias("pool"))  # one row and one row
+    each = classes.sparkSession.range(n_agents).withColumnRenamed("id", "agent").crossJoin(F.broadcast(team))
+    each = each.withColumn("turn", F.expr("agent div size(pool)")).withColumn("own", F.get("pool", F.expr("cast(agent % size(pool) as int)")))
+    again = F.when(F.col("turn") > 0, F.concat(F.lit("_"), (F.col("turn") + 1).cast("string"))).otherwise("")
+    return each.select("agent", F.concat(F.lit("agent_"), F.col("own.class"), again).alias("name"), F.col("own.idx").alias("focus"))
+
+
 def decision_rules(scored: DataFrame, prior: DataFrame, agents: list[tuple[int, str, int]], flag: str = "flag", cls: str = "cls") -> DataFrame:
     """scored's rows for each agent, with agent and one column for each rule.
 

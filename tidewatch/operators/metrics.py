@@ -189,11 +189,13 @@ def segment_summary(fused: DataFrame, segment: str, label: str = "label", alarm:
     return fused.agg(rate(hit, attack).alias("detection_rate"), rate(hit, ~attack).alias("false_alarm_rate"), F.avg((hit == attack).cast("double")).alias("accuracy"), rate(F.col(label).contains(F.col(segment)), attack).alias("label_match"))
 
 
-def leaderboard(metrics: DataFrame, higher_is_better: dict[str, bool]) -> DataFrame:
-    """(metric, winner, runner_up) of (detector, metric, value); ties by name."""
+def leaderboard(metrics: DataFrame, higher_is_better: dict[str, bool], by: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, by, winner, runner_up) of (detector, metric, value and the columns ``by``, as an attack class); ties by name, a null or NaN value wins nothing."""
     up = F.element_at(F.create_map(*[x for k, v in higher_is_better.items() for x in (F.lit(k), F.lit(v))]), F.col("metric"))
-    ranked = metrics.withColumn("r", F.row_number().over(Window.partitionBy("metric").orderBy(F.when(up, -F.col("value")).otherwise(F.col("value")), "detector")))
-    return ranked.groupBy("metric").agg(F.max(F.when(F.col("r") == 1, F.col("detector"))).alias("winner"), F.max(F.when(F.col("r") == 2, F.col("detector"))).alias("runner_up"))
+    keys = ["metric", *by]
+    known = metrics.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(up, -F.col("value")).otherwise(F.col("value")), "detector")))
+    return ranked.where("r <= 2").groupBy(*keys).agg(F.max(F.when(F.col("r") == 1, F.col("detector"))).alias("winner"), F.max(F.when(F.col("r") == 2, F.col("detector"))).alias("runner_up"))
 
 
 def majority_vote(df: DataFrame, id_col: str, vote: str) -> DataFrame:

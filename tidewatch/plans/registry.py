@@ -410,6 +410,13 @@ def _(v):
     return metrics.leaderboard(d.unpivot("detector", ["accuracy", "alarms"], "metric", "value"), {"accuracy": True, "alarms": False})
 
 
+@add("leaderboard_by_class", f", m AS (SELECT 'agent' || agent AS detector, cls, 'detected' AS metric, avg((pred > 0)::INT) AS value FROM decisions WHERE cls > 0 GROUP BY agent, cls UNION ALL SELECT 'agent' || agent, cls, 'named', avg((pred = cls)::INT) FROM decisions WHERE cls > 0 GROUP BY agent, cls), k AS (SELECT *, row_number() OVER (PARTITION BY metric, cls ORDER BY value DESC, detector) AS k FROM m) SELECT metric, cls, max(detector) FILTER (k = 1) AS winner, max(detector) FILTER (k = 2) AS runner_up FROM k GROUP BY metric, cls", "decisions")
+def _(v):
+    rate = lambda c: F.avg(c.cast("double"))
+    d = v("decisions").where("cls > 0").groupBy(F.concat(F.lit("agent"), F.col("agent").cast("string")).alias("detector"), "cls").agg(rate(F.col("pred") > 0).alias("detected"), rate(F.col("pred") == F.col("cls")).alias("named"))
+    return metrics.leaderboard(d.unpivot(["detector", "cls"], ["detected", "named"], "metric", "value"), {"detected": True, "named": True}, by=("cls",))
+
+
 # -- ranking metrics
 
 _CURVE = "g AS (SELECT score AS s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM scored GROUP BY 1), c AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n, row_number() OVER (ORDER BY s DESC) - 1 AS place FROM g)"
