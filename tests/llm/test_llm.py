@@ -280,6 +280,27 @@ def test_html_names_that_hold_the_page_and_broken_tags():
         assert time.perf_counter() - began < 5, broken
 
 
+def test_html_without_marked_elements():
+    text = "a line of running text that is long enough " * 3
+    text = text.strip()
+    body = f"<p>{text}</p>"
+    links = "".join(f'<li><a href="{i}">link number {i}</a></li>' for i in range(6))
+    assert html_text.main_text(f"<div><h1>Head</h1><p>short</p>{body}</div>") == f"Head\n\nshort\n\n{text}"
+    assert html_text.main_text(f"<div><h1>Site</h1></div><ul>{links}</ul><div><div><h2>Head</h2><div>{body}</div></div></div>") == f"Head\n\n{text}"  # links part the site's name
+    assert html_text.main_text(f"<section><div>{body}</div></section><section><div><p>last</p></div></section>") == f"{text}\n\nlast"  # nesting is no dive
+    assert html_text.main_text(f"{body}<ul>{links}</ul><p>after</p>") == text
+    assert html_text.main_text(f"<article><header><h1>Head</h1><p>by someone</p><a href=1>share</a></header>{body}</article>") == f"Head\n\n{text}"
+    assert html_text.main_text(f"<header><h1>Site</h1></header><div>{body}</div>") == text
+    assert html_text.main_text(f"<h2>Open {body}") == f"Open\n\n{text}"
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_html_pages_do_not_need_the_article_element(spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet").select("html").collect()]
+    renamed = [re.sub(r"(?i)<(/?)(article|main)\b", r"<\1div", p or "") for p in pages]
+    assert [html_text.main_text(p) for p in renamed] == [html_text.main_text(p or "") for p in pages]
+
+
 def test_html_rows(spark):
     rows = [(1, "u", None, "t", 0), (2, None, "", "t", 0), (None, "u", "<p>some words", "t", 0), (3, "u", "<p>same", "t", 0), (3, "u", "<p>same", "t", 0), (4, "u", "<p>" + "é " * 500_000, "t", 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
