@@ -167,7 +167,7 @@ def _dense_text(lines: list[Line], window: int, surge: int) -> str:
         i = j = start  # back to a heading that no dive parts from the block, and over the marked element's lines
         while j > floor and sums[j - 1]:
             j -= 1
-            if weights[j] and lines[j].heading or (lines[i].main and lines[j].main):
+            if weights[j] and (lines[j].heading or lines[i].main and lines[j].main):
                 i = j
         dense += range(i, end)
         floor = end
