@@ -451,7 +451,7 @@ def test_top_k_branches_are_passed_over(monkeypatch):
     q, seen = x[::50], []
     reach = top_k._reach
     monkeypatch.setattr(top_k, "_reach", lambda a, c, r: seen.append(len(a) * len(r)) or reach(a, c, r))
-    best, who = top_k.search(x, np.arange(1000), q, np.arange(0, 1000, 50), np.full(20, -np.inf), 5, 8)
+    best, who = top_k.search(x, np.arange(1000), q, np.arange(0, 1000, 50), np.full(20, top_k.LOW), 5, 8)
     nodes = len(top_k.BallTree(x, 8).radii)
     assert sum(seen) < 0.5 * nodes * len(q)
     for n in range(20):
@@ -548,3 +548,30 @@ def test_pipeline(spark):
         empty = stage(spark, empty, SF)
         assert empty.columns == cp.COLUMNS and empty.count() == 0
     assert shared_dir(spark)
+
+
+def test_top_k_is_exact_for_large_products(spark):
+    rng = np.random.default_rng(8)
+    v = rng.integers(-(2**21), 2**21, (40, 3)).astype(float)
+    v[1::2] = v[::2]
+    v[1::2, 2] += 2.0**-8  # products that differ beyond 53 bits
+    v[:2] = [[2.0**31, 1, 1], [2.0**30, 1, 1]]  # the first is too long, the second is not too long for itself
+    v[:2, 0] /= 256
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in top_k.top_k(d, d.where("vec_id % 4 = 1")).collect())
+    whole = [[math.floor(256 * x) for x in row] for row in v.tolist()]
+    fits = [i for i in range(40) if sum(x * x for x in whole[i]) < 2**62]
+    want = []
+    for i in (i for i in fits if i % 4 == 1):
+        scores = sorted((-sum(a * b for a, b in zip(whole[i], whole[j])), j) for j in fits if j != i)[:5]
+        want += [(i, rank, j, -s) for rank, (s, j) in enumerate(scores, 1)]
+    assert got == sorted(want) and 0 not in fits and 1 in fits and max(abs(r[3]) for r in got) > 2**53
+
+
+def test_rows_meet_their_decision_by_id_where_hashes_collide(spark, monkeypatch):
+    words = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
+    rows = [(i, words[i // 2] + (" more" if i % 4 == 1 else ""), i % 3) for i in range(80)] + [(None, words[0], 1), (None, words[39], 2), (7, words[30], 0), (200, words[5], 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    want = sorted(map(str, near_duplicates.without_near_duplicates(d).collect()))
+    monkeypatch.setattr(near_duplicates, "_row_hash", lambda id_col, text_col: F.pmod(F.xxhash64(text_col), F.lit(3)))
+    assert sorted(map(str, near_duplicates.without_near_duplicates(d).collect())) == want

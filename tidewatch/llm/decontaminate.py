@@ -180,13 +180,13 @@ def decontaminate(
     earlier, last = [], []
     for block in _blocks(bench, block_chars):
         if last:
-            found = scanned(rows.select(own.alias("row"), "text"), last).where("size(hits) > 0").select("row", "hits", "items")
-            earlier.append(cut(found.dropDuplicates(["row"])))
+            found = scanned(rows.select("id", own.alias("row"), "text"), last).where("size(hits) > 0").select("id", "row", "hits", "items")
+            earlier.append(cut(found.dropDuplicates(["id", "row"])))
         last = block
     out = scanned(rows, last)
     if earlier:
-        more = reduce(DataFrame.union, earlier).groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("more_hits"), F.flatten(F.collect_list("items")).alias("more_items"))  # at most one row for each block
-        out = out.withColumn("row", own).join(more, "row", "left")
+        more = reduce(DataFrame.union, earlier).groupBy(F.col("id").alias("more_id"), F.col("row").alias("more_row")).agg(F.flatten(F.collect_list("hits")).alias("more_hits"), F.flatten(F.collect_list("items")).alias("more_items"))  # at most one row for each block
+        out = out.withColumn("row", own).join(more, F.col("id").eqNullSafe(F.col("more_id")) & (F.col("row") == F.col("more_row")), "left")
         out = out.withColumn("hits", F.when(F.col("more_hits").isNull(), F.col("hits")).otherwise(_merged(F.array_sort(F.concat("hits", "more_hits")))))
         out = out.withColumn("items", F.when(F.col("more_items").isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", "more_items"))))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])

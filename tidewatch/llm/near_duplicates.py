@@ -388,12 +388,16 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     signed, classes = _linked(docs, id_col, text_col, **o)
     grouped = cut(_attach(signed.where("n > 0"), classes, "group").groupBy("group", F.col("id").isNull().alias("none"), "id", "row").agg(F.count("*").alias("rows")))
     best = grouped.groupBy("group").agg(F.min(F.struct("none", "id", "row")).alias("b"), F.sum("rows").alias("all")).where("all > 1")
-    shared = cut(grouped.join(best.select("group", F.col("b.row").alias("first")), "group").select("row", (F.col("row") == F.col("first")).alias("stays"), "rows"))
-    # Rows alone in their group go straight through; the others meet their decision.
+    head = best.select("group", F.col("b.id").alias("first_id"), F.col("b.row").alias("first"))
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("row") == F.col("first"))
+    shared = cut(grouped.join(head, "group").select("id", "row", stays.alias("stays"), "rows"))
+    # Rows alone in their group go straight through; the others meet their decision, by id and hash.
     rows = _likely_in(docs.withColumn("_row", _row_hash(id_col, text_col)), "_row", shared.select(F.col("row").alias("_row")))
     alone = rows.where("not maybe").select(*docs.columns)
-    met = rows.where("maybe").join(shared.select(F.col("row").alias("_shared"), F.col("stays").alias("_stays"), F.col("rows").alias("_rows")), F.col("_row") == F.col("_shared"), "left")
+    decided = shared.select(F.col("id").alias("_of"), F.col("row").alias("_shared"), F.col("stays").alias("_stays"), F.col("rows").alias("_rows"))
+    met = rows.where("maybe").withColumn("_id", F.col(id_col).cast("long"))
+    met = met.join(decided, (F.col("_row") == F.col("_shared")) & F.col("_id").eqNullSafe(F.col("_of")), "left")
     single = met.where("_shared is null or (_stays and _rows = 1)").select(*docs.columns)
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    first = met.where("_stays and _rows > 1").groupBy("_row").agg(F.min(F.struct(id_col, text_col, *others)).alias("x")).select("x.*")
+    first = met.where("_stays and _rows > 1").groupBy("_id", "_row").agg(F.min(F.struct(id_col, text_col, *others)).alias("x")).select("x.*")
     return alone.union(single).union(first.select(*docs.columns))

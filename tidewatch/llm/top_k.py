@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ._text import cut, discard, map_batches
 
 _NONE = np.iinfo(np.int64).max
+#: Below any score.
+LOW = -_NONE
 #: Most lengths of vectors that get routes of their own; rows of rarer ones are dealt by hash alone.
 _LENGTHS = 8
 #: Most routes of a length, and most components of their centres.
@@ -70,10 +72,12 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, flo
 
     Queries go down the tree together. At a node each goes first to the child of the larger bound (fewer than an
     eighth of all go with the others); to the other only if that child's bound still reaches the query's kth score, at
-    first the floor.
+    first the floor. Vectors hold whole numbers and scores are exact: products of long vectors are of integers.
     """
     tree = BallTree(x, leaf)
-    best = np.full((len(q), k), -np.inf)
+    longest = np.linalg.norm(x, axis=1).max() * np.linalg.norm(q, axis=1).max()
+    qs, xs = (q, x) if longest < 2**52 else (q.astype(np.int64), x.astype(np.int64))
+    best = np.full((len(q), k), LOW)
     who = np.full((len(q), k), _NONE)
     stack = [(0, np.arange(len(q)), _reach(q, tree.centres[:1], tree.radii[:1])[:, 0])]
     while stack:
@@ -93,12 +97,12 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, flo
                     stack += [(pair[1 - side], live[mine], below[mine, 1 - side]), (pair[side], live[mine], below[mine, side])]
             continue
         rows = tree.rows[node]
-        s = q[live] @ x[rows].T
+        s = (qs[live] @ xs[rows].T).astype(np.int64)
         own = np.broadcast_to(ids[rows], s.shape)
-        s = np.where((own == q_ids[live, None]) | (s < np.maximum(best[live, -1], floor[live])[:, None]), -np.inf, s)
-        new = ~np.isinf(s).all(axis=1)  # only these have anything to merge
+        s = np.where((own == q_ids[live, None]) | (s < np.maximum(best[live, -1], floor[live])[:, None]), LOW, s)
+        new = (s > LOW).any(axis=1)  # only these have anything to merge
         live, s = live[new], s[new]
-        own = np.where(np.isinf(s), _NONE, own[new])
+        own = np.where(s == LOW, _NONE, own[new])
         s, own = np.concatenate([best[live], s], axis=1), np.concatenate([who[live], own], axis=1)
         top = np.lexsort((own, -s), axis=1)[:, :k]
         best[live], who[live] = np.take_along_axis(s, top, 1), np.take_along_axis(own, top, 1)
@@ -118,7 +122,7 @@ def _search(k: int, leaf: int):
             q_ids, ids = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
             best, who = search(_matrix(right["v"]), ids, _matrix(left["v"]), q_ids, left["floor"].to_numpy(), k, leaf)
             row, col = np.nonzero(who != _NONE)
-            out = {"query_id": q_ids[row], "vec_id": who[row, col], "score": best[row, col].astype(np.int64)}
+            out = {"query_id": q_ids[row], "vec_id": who[row, col], "score": best[row, col]}
         return pa.table({n: pa.array(x, pa.int64()) for n, x in out.items()})
 
     return run
@@ -204,11 +208,11 @@ def top_k(
     route with the highest bound; to that route's other shards and the next ``ahead`` routes; to all others. Only
     routes whose ball reaches the kth score so far are asked, and each shard's own ball tree is searched from that
     score on. A task holds one shard and about query_rows of the queries that ask it; rows that nobody
-    asks are not sent. The sample decides on the way only. Exact while inner products stay below 2**53.
+    asks are not sent. The sample decides on the way only. Scores are 64-bit integers and exact.
 
     A query is matched with every row of another id and of as many components (shards hold
     one length). Vectors that are null, or hold null or non-finite components, and
-    rows without an id take no part; a vector without components scores nothing. Of queries that
+    rows without an id take no part, nor those whose squared length reaches 2**62, as their scores may not fit in a long; a vector without components scores nothing. Of queries that
     share an id the smallest vector counts; repeated rows are each a candidate. Other columns are ignored.
     An empty table gives no rows.
     """
@@ -216,7 +220,8 @@ def top_k(
     def clean(df: DataFrame) -> DataFrame:
         v = F.transform(vector_col, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
         odd = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-        return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & ~odd).select(F.col(id_col).cast("long").alias("vec_id"), F.size(vector_col).alias("dim"), v.alias("v"))
+        kept = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & ~odd).select(F.col(id_col).cast("long").alias("vec_id"), F.size(vector_col).alias("dim"), v.alias("v"))
+        return kept.where(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) < float(2**62))
 
     rows = clean(vectors)
     asked = cut(clean(queries).groupBy("vec_id", "dim").agg(F.min("v").alias("v")).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("m")).select(F.col("vec_id").alias("query_id"), "m.dim", "m.v"))
@@ -231,14 +236,14 @@ def top_k(
     dealt = routed.join(sizes, ["dim", "route"]).withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.col("shards"))).select(*keys, "vec_id", "v")
 
     def wave(number: int, found: DataFrame | None) -> DataFrame:
-        nothing = F.lit(float("-inf"))
+        nothing = F.lit(LOW)
         if found is None:
             start = asked.withColumn("floor", nothing)
         else:
             ranked = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-            low = ranked.groupBy("query_id").agg(F.min("score").cast("double").alias("low"), F.count("*").alias("n"))
+            low = ranked.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
             start = asked.join(low, "query_id", "left").withColumn("floor", F.when(F.col("n") >= k, F.col("low")).otherwise(nothing))
-        sent = map_batches(start.select("query_id", "dim", "v", "floor"), _targets(balls), "query_id long, dim int, v array<double>, floor double, route long, place long")
+        sent = map_batches(start.select("query_id", "dim", "v", "floor"), _targets(balls), "query_id long, dim int, v array<double>, floor long, route long, place long")
         sent = sent.join(sizes, ["dim", "route"]).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
         home = (F.col("place") == 0) & (F.col("shard") == F.pmod(F.xxhash64("query_id", F.lit(3)), F.col("shards")))
         sent = sent.where(F.when(home, 0).when(F.col("place") <= ahead, 1).otherwise(2) == number)
