@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import detectors
-from tidewatch.plans.files_streams import run_stream, state_store
+from tidewatch.plans.files_streams import replay_late, run_stream, state_store
 from tidewatch.streaming import online
 
 DAY = 86_400
@@ -79,3 +79,27 @@ def test_session_is_left_as_it_was(spark):
     with state_store(spark):
         assert spark.conf.get(online.ROCKSDB[0]) == online.ROCKSDB[1]
     assert spark.conf.get(online.ROCKSDB[0], None) == old
+
+
+@pytest.mark.parametrize("in_order", [False, True])
+def test_many_keys_share_a_bucket(spark, tmp_path, in_order):
+    """Sixty keys, one of them null, in two buckets, and a start from the checkpoint: state rows are of buckets, results of keys."""
+    rng = np.random.default_rng(11)
+    rows = [(None if i % 60 == 7 else i % 60, i, float(v)) for i, v in enumerate(rng.normal(size=600))]
+    df = spark.createDataFrame(rows, "k int, t int, v double").withColumn("ts", F.timestamp_seconds(F.col("t") * 600 + 1_700_006_400))
+    stream = lambda s: online.stream_kalman(s, "k", "ts", ["t"], ["v"], [0.0], [1.0], 1.0, warmup=3, in_order=in_order, watermark="30 days", buckets=2)
+    end = far(spark, df, 90 * DAY).select(*df.columns)
+    got = feed(spark, df.unionByName(end), tmp_path, ["t < 300", "t between 300 and 600", "t > 600"], stream)
+    of = lambda d: sorted((r.t, round(r.score, 9), r.flag) for r in d.where("t < 600").collect())
+    assert of(got) == of(detectors.kalman_by_key(df, "k", ["t"], ["v"], [0.0], [1.0], 1.0, warmup=3))
+    held = [q for q in tmp_path.glob("state/commits/*") if q.name.isdigit()]
+    first = spark.read.format("statestore").option("batchId", 0).option("stateVarName", "keys").load(f"{tmp_path}/state")
+    assert held and first.count() <= 3
+
+
+def test_parts_of_several_files(spark):
+    df = events(spark)
+    late = lambda s: online.stream_ema(s, "k", "ts", ["t"], ["v"], {"v": 0.0}, 0.1, watermark="3650 days", in_order=True, idle_ms=10**13)
+    got = replay_late(df, late, "ts", file_rows=16)  # five files for each of three parts
+    of = lambda d: sorted((r.t, round(r.score, 9)) for r in d.collect())
+    assert of(got) == of(detectors.ema_baseline_score(df, "k", ["t"], ["v"], {"v": 0.0}, 0.1))

@@ -200,21 +200,33 @@ def class_rates(scored: DataFrame, names: str = "detector", y: str = "cls", flag
     return class_detection_rate(scored, y, flag, [names])
 
 
-def ema_steps(x: np.ndarray, b: np.ndarray, ema: float) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of rows in order, and the baseline after them."""
-    out = np.empty(len(x))
-    for i, row in enumerate(x):
-        out[i] = np.sqrt(((row - b) ** 2).mean())
-        b = (1 - ema) * b + ema * row
-    return out, b
+def side_by_side(z: np.ndarray, group: np.ndarray, state: tuple[np.ndarray, ...], step: Callable[[np.ndarray, tuple], tuple[dict, tuple]]) -> dict[str, np.ndarray]:
+    """What ``step`` makes of each row, the rows of a group one after the other; ``state`` has a row for each group and moves with them.
+
+    Groups are numbered from 0 and lie one after the other. All step together: ``step`` gets one row of each that has one left, as a matrix, and their states.
+    """
+    n = len(group)
+    place = np.arange(n) - np.flatnonzero(np.diff(group, prepend=-1))[group]
+    rows = np.argsort(place, kind="stable")
+    ends = np.cumsum(np.bincount(place))
+    found: dict[str, np.ndarray] = {}
+    for a, b in zip(np.append(0, ends[:-1]), ends):
+        at = rows[a:b]
+        got, after = step(z[at], tuple(s[group[at]] for s in state))
+        for name, x in got.items():
+            if name not in found:
+                found[name] = np.empty((n, *x.shape[1:]), x.dtype)
+            found[name][at] = x
+        for s, x in zip(state, after):
+            s[group[at]] = x
+    return found
 
 
 def _in_order(df: DataFrame, key: str, order: list[str], cols: list[str], added: str, start: Callable[[int], tuple], step: Callable[[np.ndarray, tuple], tuple[dict, tuple]]) -> DataFrame:
     """df's key and order with the columns ``added``: a recursion over each key's rows in order.
 
     Rows are dealt and sorted by key and order, and come in batches: a task holds one batch and the state of the last key, so a key
-    may have any number of rows. In a batch all keys step side by side: ``step`` gets one row of each key that has one
-    left, as a matrix, and their states (arrays with a row for each key, as ``start`` makes them).
+    may have any number of rows. In a batch all keys step side by side (see side_by_side), from states as ``start`` makes them.
     """
     names = [c.split()[0] for c in added.split(", ")]
 
@@ -229,25 +241,12 @@ def _in_order(df: DataFrame, key: str, order: list[str], cols: list[str], added:
             new[0] = True
             begins = np.flatnonzero(new)
             group = np.cumsum(new) - 1
-            place = np.arange(n) - begins[group]
             state = start(len(begins))
             first = k.iloc[0]
             if carried is not None and (first == last or (pd.isna(first) and pd.isna(last))):
                 for s, c in zip(state, carried):
                     s[0] = c
-            z = pdf[cols].to_numpy(float)
-            rows = np.argsort(place, kind="stable")
-            ends = np.cumsum(np.bincount(place))
-            found: dict[str, np.ndarray] = {}
-            for a, b in zip(np.append(0, ends[:-1]), ends):
-                at = rows[a:b]
-                got, after = step(z[at], tuple(s[group[at]] for s in state))
-                for name, x in got.items():
-                    if name not in found:
-                        found[name] = np.empty((n, *x.shape[1:]), x.dtype)
-                    found[name][at] = x
-                for s, x in zip(state, after):
-                    s[group[at]] = x
+            found = side_by_side(pdf[cols].to_numpy(float), group, state, step)
             carried, last = tuple(s[-1] for s in state), k.iloc[-1]
             yield pdf[[key, *order]].assign(**{c: list(found[c]) if found[c].ndim > 1 else found[c] for c in names})
 
@@ -285,6 +284,18 @@ def _kalman_row(z: np.ndarray, x: np.ndarray, p: np.ndarray, seen, r: np.ndarray
     return score, flag, innovation / np.sqrt(s), x, p
 
 
+def kalman_step(var: list[float], threshold: float, **options) -> Callable[[np.ndarray, tuple], tuple[dict, tuple]]:
+    """One row of each filter, as ``side_by_side`` takes it, from states (x, p, rows seen); options as of ``kalman_steps``."""
+    r = np.maximum(np.array(var, float), 1e-8)
+
+    def step(z: np.ndarray, state: tuple) -> tuple[dict, tuple]:
+        x, p, seen = state
+        score, flag, off, x, p = _kalman_row(z, x, p, seen, r, threshold, **options)
+        return {"score": score, "flag": flag, "off": off}, (x, p, seen + 1)
+
+    return step
+
+
 def kalman_steps(z: np.ndarray, x: np.ndarray, p: np.ndarray, seen: int, var: list[float], threshold: float, mode: str = "decay", q: float = 1e-6, track: float = 0.01, warmup: int = 20, forgetting: float = 1.0) -> tuple:
     """(score, flag, x, p, seen): rows in order, from a state and the rows seen before it."""
     r = np.maximum(np.array(var), 1e-8)
@@ -335,12 +346,7 @@ def _kalman_chain(df: DataFrame, key: str, order: list[str], cols: list[str], x0
     def start(n: int) -> tuple:
         return np.tile(x0, (n, 1)), np.ones((n, len(cols))), np.zeros(n, np.int64)
 
-    def step(z: np.ndarray, state: tuple) -> tuple[dict, tuple]:
-        x, p, seen = state
-        score, flag, off, x, p = _kalman_row(z, x, p, seen, r, threshold, **options)
-        return {"score": score, "flag": flag, "off": off}, (x, p, seen + 1)
-
-    return _in_order(df, key, order, cols, "score double, flag int, off array<double>", start, step)
+    return _in_order(df, key, order, cols, "score double, flag int, off array<double>", start, kalman_step(r, threshold, **options))
 
 
 @register("pca_reconstruction")
@@ -459,28 +465,28 @@ class PatternLibrary:
 
     def state(self) -> tuple:
         """Plain lists, as a stream keeps them."""
-        return self.ids.tolist(), self.life.tolist(), [u.tolist() for u in self.unit], self.fresh
+        return self.ids.tolist(), self.life.tolist(), self.unit.tolist(), self.fresh
 
     def restore(self, ids: list, life: list, unit: list, fresh: int) -> PatternLibrary:
-        self.ids, self.life, self.unit, self.fresh = np.array(ids, int), np.array(life, float), [np.array(u, float) for u in unit], fresh
+        self.ids, self.life, self.unit, self.fresh = np.array(ids, int), np.array(life, float), np.array(unit, float), fresh
         return self
 
     def __init__(self, seeds: list | None, sim: float, sv: float, reward: float, decay: float, evict: float, cap: int):
         self.ids = np.arange(len(seeds or []))
         self.life = np.full(len(self.ids), sv)
-        self.unit = [self._unit(np.array(s, float)) for s in seeds or []]
+        self.unit = np.array([self._unit(np.array(s, float)) for s in seeds or []])
         self.fresh = len(self.ids)
         self.sim, self.sv, self.reward, self.decay, self.evict, self.cap = sim, sv, reward, decay, evict, cap
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
-        return x / (np.linalg.norm(x) + 1e-12)
+        return x / (np.sqrt(x.dot(x)) + 1e-12)
 
     def see(self, x: np.ndarray) -> tuple[int, float, bool, int]:
         """(pattern, similarity, matched, patterns left)."""
         u = self._unit(x)
         self.life = self.life * self.decay
-        sims = np.array(self.unit) @ u if len(self.ids) else np.zeros(0)
+        sims = self.unit @ u if len(self.ids) else np.zeros(0)
         best = int(np.argmax(sims)) if len(sims) else -1
         near = float(sims[best]) if len(sims) else 1.0
         hit = best < 0 or near >= self.sim
@@ -495,7 +501,7 @@ class PatternLibrary:
 
     def _add(self, mine: int, u: np.ndarray) -> None:
         self.ids, self.life, self.fresh = np.append(self.ids, mine), np.append(self.life, self.sv), mine + 1
-        self.unit.append(u)
+        self.unit = np.vstack([self.unit, u]) if len(self.unit) else u[None]
 
     def _drop(self, mine: int) -> None:
         """Patterns below evict go, but not the one just seen; of more than cap the weakest, then the oldest, go too."""
@@ -504,7 +510,7 @@ class PatternLibrary:
             weakest = np.lexsort((self.ids[stay], self.life[stay]))[: len(stay) - self.cap]
             stay = np.delete(stay, weakest)
         if len(stay) < len(self.ids):
-            self.ids, self.life, self.unit = self.ids[stay], self.life[stay], [self.unit[i] for i in stay]
+            self.ids, self.life, self.unit = self.ids[stay], self.life[stay], self.unit[stay]
 
 
 def pattern_cache(df: DataFrame, key: str, order: list[str], vec: str, seeds: list[list[float]] | None = None, sim: float = 0.9, sv: float = 1.0, reward: float = 1.0, decay: float = 0.99, evict: float = 0.2, cap: int = 1000) -> DataFrame:

@@ -116,16 +116,18 @@ def replay(df: DataFrame, transform) -> DataFrame:
     return run_stream(transform(spark.readStream.schema(df.schema).parquet(f"{path}/in")), path)
 
 
-def replay_late(df: DataFrame, transform, ts: str, files: int = 3) -> DataFrame:
-    """As replay, from files that each hold rows of all times and come one after the other; the last one has a row a century on, of no
+def replay_late(df: DataFrame, transform, ts: str, files: int = 3, file_rows: int = 250_000) -> DataFrame:
+    """As replay, in parts that each hold rows of all times and come one after the other, each of as many files as its rows need; the last one has a row a century on, of no
     key, which takes the watermark past all others and waits for ever."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     cols = [c for c in df.columns if c != ts]
+    each = -(-df.count() // (files * file_rows))  # so many files of a part are a micro-batch
     for i in range(files):
-        df.where(F.pmod(F.xxhash64(*cols), F.lit(files)) == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        part = df.where(F.pmod(F.xxhash64(*cols), F.lit(files)) == i)
+        (part.repartition(each) if each > 1 else part.coalesce(1)).write.mode("append").parquet(f"{path}/in")
     end = df.agg(F.make_dt_interval(F.lit(36_500)).alias("far"), F.max(ts).alias("t")).select((F.col("t") + F.col("far")).alias("t"))
     end.select(*[F.col("t").alias(ts) if c == ts else F.lit(None).cast(t).alias(c) for c, t in df.dtypes]).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, each)).parquet(f"{path}/in")
     return run_stream(transform(stream), path)
 
 
