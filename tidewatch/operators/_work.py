@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,20 +39,46 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _running(sums: list[str]):
+    """Rows with cum_<column> for each of sums, running on from batch to batch of a task; null until the first value, as a window's sum is."""
+
+    def run(batches):
+        carried, seen = dict.fromkeys(sums, 0), dict.fromkeys(sums, False)
+        for batch in batches:
+            if not len(batch):
+                continue
+            added = []
+            for c in sums:
+                x = batch.column(c)
+                x = x.cast(pa.float64() if pa.types.is_floating(x.type) else pa.int64())
+                cum = pc.cumulative_sum_checked(pc.fill_null(x, 0), start=pa.scalar(carried[c], x.type))
+                carried[c] = cum[-1].as_py()
+                if x.null_count and not seen[c]:
+                    begun = np.logical_or.accumulate(x.is_valid().to_numpy(zero_copy_only=False))
+                    cum = pc.if_else(pa.array(begun), cum, pa.scalar(None, x.type))
+                seen[c] |= x.null_count < len(x)
+                added.append(cum)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *[f"cum_{c}" for c in sums]])
+
+    return run
+
+
 def prefix_sums(df: DataFrame, order: list, sums: list[str]) -> DataFrame:
-    """df with cum_<column> for each of sums, running over ``order`` without a one-task window.
+    """df with cum_<column> for each of sums (whole numbers or doubles), running over ``order`` without a one-task window.
 
-    Rows are range-partitioned; each partition runs its own window, and the totals of the
-    partitions before it (one row for each) are added. Rows equal in order must be grouped before.
+    Rows are range-partitioned and sorted once; each task runs its own sums, batch by batch, and the totals of the
+    partitions before it (one row for each, broadcast) are added. Rows equal in order must be grouped before.
     """
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    parts = stored(parts)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    added = ", ".join(f"`cum_{c}` {'double' if kinds[c] in ('float', 'double') else 'long'}" for c in sums)
+    parts = stored(dealt.mapInArrow(_running(sums), f"{schema}, {added}"))
     totals = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
-    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = parts.join(offsets, F.col("_part") == F.col("_p"))
-    return out.select(*df.columns, *[(F.sum(c).over(own) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums])
+    offsets = stored(totals.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums]))
+    out = parts.join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
+    return out.select(*df.columns, *[(F.col(f"cum_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums])
 
 
 def _same(by: list[str], a: str, b: str):
@@ -65,8 +94,9 @@ def grouped_sums(g: DataFrame, by: list[str], order: list, sums: list[str]) -> D
     One running sum over (by, order) is spread over range partitions; what a group begins with is taken off, so no group
     is one task's work. Rows equal in by and order must be grouped before.
     """
-    c = stored(prefix_sums(g, [*by, *order], sums))
+    c = prefix_sums(g, [*by, *order], sums)
     sizes = c.groupBy(*by).agg(*[F.sum(x).alias(f"total_{x}") for x in sums], *[F.min(F.col(f"cum_{x}") - F.col(x)).alias(f"_before_{x}") for x in sums])
+    sizes = stored(sizes)  # of known size, so Spark broadcasts few groups, and their rows stay where they are
     joined = c.alias("c").join(sizes.alias("s"), _same(by, "c", "s")) if by else c.alias("c").crossJoin(F.broadcast(sizes).alias("s"))
     cums = [(F.col(f"c.cum_{x}") - F.col(f"s._before_{x}")).alias(f"cum_{x}") for x in sums]
     return joined.select(*[F.col(f"c.{x}") for x in g.columns], *cums, *[F.col(f"s.total_{x}") for x in sums])
