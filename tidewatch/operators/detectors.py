@@ -378,7 +378,7 @@ def isolation_forest(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: f
     its own, or else its columns and place) and the tree, and cut to psi before they meet. A row draws the few numbers of its trees, so
     no row meets all trees. Trees are built by tree id; the forest (trees * 2 * psi nodes) is broadcast for scoring.
     """
-    spark, width = fit_df.sparkSession, len(cols)
+    spark = fit_df.sparkSession
     n = max(1, fit_df.count())
     feature = F.array(*[F.col(c).cast("double") for c in cols])
     row = F.xxhash64(F.col(id_col), F.lit(seed)) if id_col else F.xxhash64(*fit_df.columns, F.monotonically_increasing_id(), F.lit(seed))
@@ -425,20 +425,45 @@ def isolation_forest(fit_df: DataFrame, df: DataFrame, cols: list[str], alpha: f
     @F.pandas_udf("double")
     def score(*xs: pd.Series) -> pd.Series:
         features, cuts, lengths = shared.value
-        x = np.column_stack([s.to_numpy(float) for s in xs])
-        flat, own = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * width
-        total = np.zeros(len(x))
-        for f, c, n in zip(features, cuts, lengths):  # one small tree at a time, all rows of the batch together
-            at = np.zeros(len(x), np.int64)
-            for _ in range(depth):
-                at = 2 * at + 2 - (flat[own + f[at]] < c[at])
-            total += n[at]
+        total = _path_lengths(np.column_stack([s.to_numpy(float) for s in xs]), features, cuts, lengths, depth)
         return pd.Series(2.0 ** (-(total / max(1, len(features))) / max(_c(psi), 1e-12)))
 
     value = score(*cols)
     return _judged(fit_df.select(value.alias("score")), df, value, _standardised(fit_df, cols), alpha, k)
 
 
+def _path_lengths(x: np.ndarray, features: np.ndarray, cuts: np.ndarray, lengths: np.ndarray, depth: int, top: int = 3) -> np.ndarray:
+    """Each row's path lengths summed over trees given as heaps.
+
+    One small tree at a time, all rows of the batch together. On the ``top`` levels, which have few nodes, every row is compared with every node, a column at a
+    time, and the outcomes as bits of a number tell its node there; only the levels below look a node up for each row.
+    """
+    top = min(top, depth)
+    codes = np.arange(1 << (2**top - 1))
+    entry = np.zeros(len(codes), np.int64)
+    for _ in range(top):
+        entry = 2 * entry + 2 - (codes >> entry & 1)
+    columns, flat = np.ascontiguousarray(x.T), np.ascontiguousarray(x).ravel()
+    own = np.arange(len(x)) * x.shape[1]
+    code, bit, less = np.empty(len(x), np.uint8), np.empty(len(x), np.uint8), np.empty(len(x), bool)  # 7 bits are enough for 3 levels
+    at, place, value, cut, total = np.empty(len(x), np.int64), np.empty(len(x), np.int64), np.empty(len(x)), np.empty(len(x)), np.zeros(len(x))
+    for f, c, n in zip(features, cuts, lengths):
+        code[:] = 0
+        for i in range(2**top - 1):
+            np.less(columns[f[i]], c[i], out=less)
+            np.left_shift(less.view(np.uint8), i, out=bit)
+            np.bitwise_or(code, bit, out=code)
+        np.take(entry, code, out=at, mode="clip")
+        for _ in range(depth - top):
+            np.add(np.take(f, at, out=place, mode="clip"), own, out=place)
+            np.less(np.take(flat, place, out=value, mode="clip"), np.take(c, at, out=cut, mode="clip"), out=less)
+            np.add(at, at, out=at)
+            np.add(at, 2, out=at)
+            np.subtract(at, less, out=at)
+        total += np.take(n, at, out=value, mode="clip")
+    return total
+
+
 def _as_heaps(trees: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, cuts, lengths) of each tree as a full one: the children of node i are 2 * i + 1 and 2 * i + 2. All below a leaf have its length."""
     features = np.zeros((len(trees), 2 ** (depth + 1) - 1), np.int64)
