@@ -241,6 +241,18 @@ def _of_lengths(batch: pa.RecordBatch, dims: np.ndarray):
         yield int(dim), batch.take(pa.array(np.flatnonzero(dims == dim)))
 
 
+#: Most numbers of a matrix of queries and cells (or rows and pivots) that a task holds at once.
+_MEETING = 1 << 20
+
+
+def _cut(batch: pa.RecordBatch, columns: dict[int, int]):
+    """(length, rows): the rows of each length, in pieces of as many as may meet the length's cells or pivots at once."""
+    for dim, mine in _of_lengths(batch, batch.column(2).to_numpy()):
+        step = max(1, _MEETING // max(1, columns.get(dim, 1)))
+        for i in range(0, len(mine), step):
+            yield dim, mine.slice(i, step)
+
+
 #: Rings of a cell: the rows whose distance from the pivot lies between a power of the root of 2 and the next.
 _RINGS = 4096
 
@@ -250,7 +262,7 @@ def _celled(pivots: dict):
 
     def run(batches):
         for batch in batches:
-            for dim, mine in _of_lengths(batch, batch.column(2).to_numpy()):
+            for dim, mine in _cut(batch, {d: len(p) for d, p in pivots.items()}):
                 cell, near, far = np.zeros(len(mine), np.int64), np.zeros(len(mine)), np.full(len(mine), np.inf)
                 if dim in pivots:
                     d, error = _to_pivots(_matrix(mine.column(1)), pivots[dim])
@@ -295,7 +307,7 @@ def _asking(balls: dict, k: int, home: bool):
 
     def run(batches):
         for batch in batches:
-            for dim, mine in _of_lengths(batch, batch.column(2).to_numpy()):
+            for dim, mine in _cut(batch, {d: len(b.cells) for d, b in balls.items()}):
                 if dim in balls:
                     cells, wanted = balls[dim].cells, balls[dim].ask(_matrix(mine.column(1)), mine.column(3).to_numpy(), k, home)
                 else:  # one cell without a place
