@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._work import discard, stored
+
 
 def assignment_cost(cost: np.ndarray) -> float:
     """The least total of a one-to-one matching of rows and columns of a square matrix, by augmenting paths with potentials."""
@@ -35,19 +37,31 @@ def assignment_cost(cost: np.ndarray) -> float:
     return float(cost[owner, np.arange(n)].sum())
 
 
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    """Vectors of one length as rows, straight from Arrow's buffer; other lengths are an error."""
+    if len(batch.column(0).value_lengths().unique()) > 1:
+        raise ValueError("vectors of different lengths")
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(batch), -1)
+
+
 def judge(df: DataFrame, vec: str, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sums, counts, inertia) of every centre set over all rows; tasks return sums, the driver gets one row for each centre's component."""
 
     def run(batches):
         sums, counts, inertia = np.zeros(sets.shape), np.zeros(sets.shape[:2]), np.zeros(len(sets))
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), float)
-            for c, centres in enumerate(sets if len(x) else []):
-                d = np.maximum((x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * x @ centres.T, 0)
+            if not len(batch):
+                continue
+            x = _vectors(batch)
+            size = (x**2).sum(1)[:, None]
+            for c, centres in enumerate(sets):
+                d = np.maximum(size + (centres**2).sum(1) - 2 * x @ centres.T, 0)
                 near = d.argmin(axis=1)
                 inertia[c] += d[np.arange(len(x)), near].sum()
                 counts[c] += np.bincount(near, minlength=len(centres))
-                np.add.at(sums[c], near, x)
+                order = np.argsort(near, kind="stable")
+                named, first = np.unique(near[order], return_index=True)
+                sums[c][named] += np.add.reduceat(x[order], first, axis=0)
         flat = np.concatenate([sums.ravel(), counts.ravel(), inertia])
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at])], ["at", "v"])
@@ -70,7 +84,7 @@ def far_rows(df: DataFrame, id_col: str, vec: str, centres: np.ndarray, n: int,
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.array(batch.column(0).to_pylist(), float)
+            x = _vectors(batch)
             d = np.maximum((x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * x @ centres.T, 0).min(axis=1)
             own = np.full(len(x), np.inf)
             apart = d > 1e-12 * (x**2).sum(1)
@@ -115,6 +129,7 @@ def evolutionary_kmeans(df: DataFrame, id_col: str, vec: str, k: int, population
     of 500 of them, the first by a hash. Null vectors take no part; vectors have one length. Fewer than two rows: an error.
     """
     rows = df.where(F.col(vec).isNotNull()).select(id_col, F.col(vec).cast("array<double>").alias(vec))
+    rows = stored(rows)  # cast once: every generation is a pass over them
     some = np.array([r[0] for r in rows.orderBy(F.xxhash64(id_col, vec, F.lit(seed)), vec).limit(500).select(vec).collect()], float)
     if len(some) < 2:
         raise ValueError("fewer than two rows")
@@ -168,4 +183,5 @@ def evolutionary_kmeans(df: DataFrame, id_col: str, vec: str, k: int, population
         last = inertia[0]
     else:
         s, c, inertia = judge(rows, vec, centres)
+    discard(rows)
     return centres[0].tolist(), float(inertia[0])
