@@ -194,6 +194,30 @@ def test_merged_sketches_never_underestimate(spark):
                 assert found.has(made.hash[p : p + 1])[0]
 
 
+@pytest.mark.parametrize("size", [1, 700, 1 << 22])
+def test_chunks_of_any_size_and_no_broadcast(spark, monkeypatch, size):
+    """Nothing whole goes to each task; of the shuffle files only those of two sums of a column stay."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", size)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", None)
+    rows = passages(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3).withColumns({"at": F.expr("timestamp_seconds(doc_id)"), "list": F.array("text", F.lit(None))})
+    files = lambda: {x.rpartition("/")[2].split("_")[1] for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = files()
+    made = substring_dedup.dedup_substrings(df, keep=["at", "text", "list"])
+    assert len(files() - before) <= 2
+    got = made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("h"), "at", "text", "list").collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == cut_by_hand(rows)
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str)
+    assert all(r["list"] == [r.text, None] and (r["at"] is None) == (r.doc_id is None) for r in got)
+
+
+def test_cells_far_apart_take_few_bytes():
+    c = np.unique(np.random.default_rng(1).integers(0, 1 << 36, 20_000))
+    found = dict(substring_dedup.packed(c, 25))
+    back = np.concatenate([substring_dedup.unpacked(x) + (b << 25) for b, x in found.items()])
+    assert (back == c).all() and sum(map(len, found.values())) <= 4 * len(c)
+
+
 # -- op13
 
 

@@ -132,11 +132,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: later steps start there and survive the loss of executors."""
-    where = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    out = df.sparkSession.read.schema(df.schema).parquet(where)
+#: Whether Spark removes a query's shuffle files as it ends, and not when the driver collects its garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, codec: str | None = None, free: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: later steps start there and survive the loss of executors.
+
+    free: the shuffle files that writing takes are removed then.
+    """
+    spark = df.sparkSession
+    where, before = f"{shared_dir(spark)}/{uuid.uuid4().hex}", spark.conf.get(_FREE, "false")
+    try:
+        spark.conf.set(_FREE, "true" if free else before)
+        df.write.parquet(where, compression=codec)
+    finally:
+        spark.conf.set(_FREE, before)
+    out = spark.read.schema(df.schema).parquet(where)
     out._written = where
     return out
 
